@@ -15,11 +15,15 @@ _NAMED = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
 
 
 def parse_purchase_date(col: Column | str) -> Column:
-    """Text to date. Ambiguous day and month are read month first; unreadable is null.
+    return date_of(blank_to_null(col))
+
+
+def date_of(text: Column) -> Column:
+    """Stripped text to date. Ambiguous day and month are read month first.
 
     A time of day, with or without offset, is dropped: the written date counts.
+    Unreadable text gives null.
     """
-    text = blank_to_null(col)
 
     def rebuilt(pattern: str, order: str) -> Column:
         iso = F.regexp_replace(text, pattern, order).try_cast("date")

@@ -11,11 +11,14 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def coerce_number(col: Column | str) -> Column:
-    """Text to double, anything that is not a plain number to null.
+    return number_of(strip(col))
+
+
+def number_of(text: Column) -> Column:
+    """Stripped text to double, anything that is not a plain number to null.
 
     The pattern keeps out what a bare cast to double takes: ``5d``, ``5f``, ``nan``, ``inf``.
     """
-    text = strip(col)
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 

@@ -39,13 +39,17 @@ def blank_to_null(col: Column | str) -> Column:
 
 
 def clean_name(col: Column | str) -> Column:
-    """Strip, then capitalise every letter that follows a non-letter.
+    return capitalised(strip(col))
+
+
+def capitalised(text: Column | str) -> Column:
+    """Capitalise every letter that follows a non-letter, the others small.
 
     ``initcap`` starts a word only after a space, so ``coca-cola 2l`` would become
     ``Coca-cola 2l``. A private marker plus a space goes in after each uncased
     character and comes out again, which keeps the whole rule inside codegen.
     """
-    marked = F.regexp_replace(strip(col), _UNCASED, f"$1{_BREAK}")
+    marked = F.regexp_replace(text, _UNCASED, f"$1{_BREAK}")
     return F.replace(F.initcap(marked), F.lit(_BREAK), F.lit(""))
 
 

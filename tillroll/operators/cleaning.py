@@ -8,12 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.functions.dates import parse_purchase_date
-from tillroll.functions.numbers import coerce_number, rint_decimal
-from tillroll.functions.text import blank_to_null, clean_name, receipt_meta, strip
+from tillroll.functions.dates import date_of, parse_purchase_date
+from tillroll.functions.numbers import coerce_number, number_of, rint_decimal
+from tillroll.functions.text import blank_to_null, capitalised, strip
 from tillroll.schemas import RECEIPT
 
 MANUAL_RAW_ID = 0
+_TEXTS = (
+    "purchase_date",
+    "product_id",
+    "product_price",
+    "quantity",
+    "unit_price",
+    "market_id",
+    "access_key",
+    "nfce_url",
+)
 
 
 def reconcile_amounts(quantity: Column, unit_price: Column, total: Column) -> dict[str, Column]:
@@ -35,30 +45,32 @@ def clean_purchases(
     """Typed purchase lines plus ``reject_reason``, null for lines fit for Bronze.
 
     ``strict`` fails the job on a date that cannot be read instead of setting the
-    line aside.
+    line aside. The steps are separate projections: each text is stripped once, and
+    each step compiles to a method small enough for the JIT.
     """
 
-    def text(name: str) -> Column:
-        return F.col(name) if name in raw.columns else F.lit(None).cast("string")
+    def tidy(name: str) -> Column:
+        known = blank_to_null(name) if name in raw.columns else F.lit(None).cast("string")
+        return known.alias(name)
 
-    day = parse_purchase_date("purchase_date")
+    kept = [c for c in ("ingest_id",) if c in raw.columns]
+    texts = raw.select(F.col("id").alias("raw_id"), *[tidy(c) for c in _TEXTS], *kept)
+    day = date_of(F.col("purchase_date"))
     if strict:
-        unreadable = F.concat(F.lit("unreadable purchase_date: "), F.coalesce("purchase_date", F.lit("null")))
+        unreadable = F.concat(
+            F.lit("unreadable purchase_date: "), F.coalesce("purchase_date", F.lit("null"))
+        )
         day = F.coalesce(day, F.raise_error(unreadable).cast("date"))
-    typed = raw.select(
-        F.col("id").alias("raw_id"),
-        day.alias("purchase_date"),
-        clean_name("product_id").alias("product_id"),
-        clean_name("market_id").alias("market_id"),
-        coerce_number("product_price").alias("product_price"),
-        coerce_number(text("quantity")).alias("quantity"),
-        coerce_number(text("unit_price")).alias("unit_price"),
-        receipt_meta(text("access_key")).alias("access_key"),
-        receipt_meta(text("nfce_url")).alias("nfce_url"),
-        blank_to_null("product_id").isNull().alias("no_product"),
-        blank_to_null("market_id").isNull().alias("no_market"),
+    amount_texts = ("quantity", "unit_price", "product_price")
+    typed = texts.withColumns(
+        {
+            "purchase_date": day,
+            "product_id": capitalised("product_id"),
+            "market_id": capitalised("market_id"),
+            **{c: number_of(F.col(c)) for c in amount_texts},
+        }
     )
-    amounts = reconcile_amounts(F.col("quantity"), F.col("unit_price"), F.col("product_price"))
+    amounts = reconcile_amounts(*[F.col(c) for c in amount_texts])
     stamp = F.lit(processed_at or datetime.now(tz=UTC)).cast("timestamp")
     return typed.withColumns(amounts).select(
         F.col("raw_id").alias("id"),
@@ -73,10 +85,11 @@ def clean_purchases(
         "raw_id",
         stamp.alias("processed_at"),
         F.when(F.col("purchase_date").isNull(), "date")
-        .when(F.col("no_product"), "product")
-        .when(F.col("no_market"), "market")
+        .when(F.col("product_id").isNull(), "product")
+        .when(F.col("market_id").isNull(), "market")
         .when(F.col("product_price").isNull(), "price")
         .alias("reject_reason"),
+        *kept,
     )
 
 

@@ -13,55 +13,85 @@ from tillroll.session import fresh_path
 from tillroll.sources.tables import Layers
 
 
-def ingest_to_raw(layers: Layers, df: DataFrame, source_type: str) -> None:
-    """Append lines of any source to Raw as text.
+def ingest_to_raw(layers: Layers, df: DataFrame, source_type: str) -> str:
+    """Append lines of any source to Raw as text; the name of the new ingest.
 
-    Ids continue after the largest one (read from file statistics) with Spark's
-    per-partition counter: unique and without a shuffle, with holes. They are fixed
-    by this write and only read from then on.
+    Ids continue after the largest one with Spark's per-partition counter: unique and
+    without a shuffle, with holes. They are fixed by this write and only read from then
+    on. One writer at a time is assumed.
     """
-    lines = cleaning.stringify_purchases(df, source_type)
+    ingest = f"{datetime.now(tz=UTC):%Y%m%d}-{uuid.uuid4().hex[:12]}"
     last = layers.scan_raw().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = lines.withColumn("id", F.monotonically_increasing_id() + F.lit(last + 1))
-    layers.append("raw", "raw_purchases", numbered)
+    lines = cleaning.stringify_purchases(df, source_type).withColumns(
+        {
+            "id": F.monotonically_increasing_id() + F.lit(last + 1),
+            "ingest_id": F.lit(ingest),
+        }
+    )
+    layers.append("raw", "raw_purchases", lines)
+    return ingest
 
 
-def write_bronze_batch(
-    layers: Layers, raw: DataFrame, batch_id: str, *, strict: bool = False, resurrect: bool = False
-) -> int:
-    """Clean those of the given raw lines that are new, write them as one batch, count them.
+def pending_ingests(layers: Layers, resurrect: bool = False) -> dict[str, bool]:
+    """Ingests with raw lines not in Bronze yet; True where some of them are.
 
-    The batch's own earlier lines do not count as taken, so running a batch again after
-    a failure writes it whole instead of losing what the failed run had written.
+    Counts per partition settle it, so ids of finished ingests are never read again.
     """
-    names = ["bronze_purchases", "bronze_rejects"] + ([] if resurrect else ["bronze_deleted"])
-    taken = [layers.scan("bronze", n).where(F.col("batch_id") != batch_id) for n in names]
-    fresh = cleaning.unprocessed_raw(raw, *taken)
-    cleaned = cleaning.clean_purchases(fresh, processed_at=datetime.now(tz=UTC), strict=strict)
-    batch = cleaned.withColumn("batch_id", F.lit(batch_id)).persist()
-    try:
-        rejects = cleaning.rejected(batch).withColumn("batch_id", F.lit(batch_id))
-        layers.write_batches("bronze_rejects", rejects)
-        layers.write_batches("bronze_purchases", cleaning.accepted(batch))
-    finally:
-        batch.unpersist()
-    written = layers.scan("bronze", "bronze_purchases").where(F.col("batch_id") == batch_id)
-    return written.count()
-
-
-def raw_to_bronze(
+    taken = layers.scan_lines().select("ingest_id")
+    if not resurrect:
+        taken = taken.unionByName(layers.scan_deleted().select("ingest_id"))
+    done = taken.groupBy("ingest_id").agg(F.count("*").alias("done"))
+    given = layers.scan_raw().groupBy("ingest_id").agg(F.count("*").alias("given"))
+    behind = given.join(done, "ingest_id", "left").where("done IS NULL OR done < given")
+    return {r["ingest_id"]: r["done"] is not None for r in behind.collect()}
+
+
+def write_new_lines(
     layers: Layers,
-    batch_id: str | None = None,
+    raw: DataFrame,
+    ingests: list[str],
     *,
     strict: bool = False,
     resurrect: bool = False,
-) -> int:
-    batch_id = batch_id or f"import-{uuid.uuid4().hex[:12]}"
-    return write_bronze_batch(
-        layers, layers.scan_raw(), batch_id, strict=strict, resurrect=resurrect
+) -> None:
+    """Clean the raw lines of the given ingests that Bronze lacks and append them.
+
+    The id check makes a second run, or one after a failure, add only what is missing.
+    Usable and set-aside lines go out in one pass.
+    """
+    named = F.col("ingest_id").isin(*ingests)
+    taken = [layers.scan_lines().where(named)]
+    if not resurrect:
+        taken.append(layers.scan_deleted().where(named))
+    ids = cleaning.processed_ids(*taken)
+    fresh = raw if ids.isEmpty() else cleaning.unprocessed_raw(raw, *taken)
+    cleaned = cleaning.clean_purchases(fresh, processed_at=datetime.now(tz=UTC), strict=strict)
+    layers.append(
+        "bronze",
+        "bronze_lines",
+        cleaned.withColumn("rejected", F.col("reject_reason").isNotNull()),
     )
 
 
+def raw_to_bronze(layers: Layers, *, strict: bool = False, resurrect: bool = False) -> int:
+    """Take in every raw line that is not in Bronze; the number of lines added.
+
+    Ingests that were never touched need no join at all; only those cut short, or with
+    lines to bring back, are compared by id.
+    """
+    pending = pending_ingests(layers, resurrect)
+    if not pending:
+        return 0
+    before = layers.scan_bronze_exact().where(F.col("ingest_id").isin(*pending)).count()
+    for begun in (False, True):
+        names = [name for name, partly in pending.items() if partly is begun]
+        if names:
+            raw = layers.scan_raw().where(F.col("ingest_id").isin(*names))
+            write_new_lines(layers, raw, names, strict=strict, resurrect=resurrect)
+    after = layers.scan_bronze_exact().where(F.col("ingest_id").isin(*pending)).count()
+    return after - before
+
+
 def refresh_silver(layers: Layers, as_of: date | str | None = None) -> None:
     """Recompute the three aggregates and publish them together.
 
@@ -78,11 +108,9 @@ def refresh_silver(layers: Layers, as_of: date | str | None = None) -> None:
     )
 
 
-def refresh_layers(
-    layers: Layers, batch_id: str | None = None, as_of: date | str | None = None
-) -> int:
+def refresh_layers(layers: Layers, as_of: date | str | None = None) -> int:
     """Raw to Bronze, then Bronze to Silver; the number of new Bronze lines."""
-    count = raw_to_bronze(layers, batch_id)
+    count = raw_to_bronze(layers)
     refresh_silver(layers, as_of)
     return count
 
@@ -91,7 +119,7 @@ def import_purchases(
     layers: Layers, df: DataFrame, source_type: str, as_of: date | str | None = None
 ) -> int:
     ingest_to_raw(layers, df, source_type)
-    return refresh_layers(layers, as_of=as_of)
+    return refresh_layers(layers, as_of)
 
 
 def migrate_legacy(layers: Layers, legacy_table: str) -> int:
@@ -112,18 +140,19 @@ def apply_edits(
 ) -> dict[str, int]:
     """Put the changes between two editable sets into Bronze and refresh Silver.
 
-    Only batches with a changed line are rewritten. Changes and rewritten lines are
+    Only ingests with a changed line are rewritten. Changes and rewritten lines are
     staged as tables first: the staged lines, not Bronze, are what the overwrite reads,
     so it can be run again, and new ids are fixed before anything depends on them.
     """
     spark = layers.spark
     stamp = datetime.now(tz=UTC)
     stage = fresh_path(spark, "edits")
-    # Written as one table so that the counts and the changes come from one evaluation.
-    edits.diff_purchases(original, edited).where("op != 'unchanged'").write.parquet(
-        f"{stage}/diff"
-    )
-    diff = spark.read.parquet(f"{stage}/diff")
+
+    def staged(df: DataFrame, label: str) -> DataFrame:
+        df.write.parquet(f"{stage}/{label}")
+        return spark.read.parquet(f"{stage}/{label}")
+
+    diff = staged(edits.diff_purchases(original, edited).where("op != 'unchanged'"), "diff")
     found = {r["op"]: r["n"] for r in edits.change_counts(diff).collect()}
     if found.get("unknown"):
         raise ValueError(f"{found['unknown']} edited lines have an id that is not in Bronze")
@@ -133,30 +162,28 @@ def apply_edits(
 
     changes = edits.cleaned_changes(diff, stamp)
     bronze = layers.scan_bronze_exact()
-    changed_ids = changes.where("op != 'inserted'").select("id")
-    touched = bronze.join(changed_ids, "id", "left_semi").select("batch_id").distinct()
-    in_touched = bronze.join(touched, "batch_id", "left_semi").select(*bronze.columns)
+    located = staged(
+        bronze.join(changes.where("op != 'inserted'").select("id", "op"), "id").select(
+            "id", "op", "raw_id", "ingest_id"
+        ),
+        "located",
+    )
+    touched = located.select("ingest_id").distinct()
+    in_touched = bronze.join(touched, "ingest_id", "left_semi").select(*bronze.columns)
     lowest = bronze.agg(F.least(F.coalesce(F.min("id"), F.lit(0)), F.lit(0))).first()[0]
     manual = f"manual-{stamp:%Y%m%dT%H%M%S%f}"
-    added = edits.inserted_lines(changes, lowest).withColumn("batch_id", F.lit(manual))
-    rewritten = edits.merge_changes(in_touched, changes).unionByName(added)
-    rewritten.write.parquet(f"{stage}/lines")
-    deleted = bronze.join(changes.where("op = 'deleted'").select("id"), "id", "left_semi")
-    deleted.select(
-        "raw_id",
-        F.lit(stamp).cast("timestamp").alias("deleted_at"),
-        F.lit(manual).alias("batch_id"),
-    ).write.parquet(f"{stage}/deleted")
-    touched.write.parquet(f"{stage}/touched")
-
-    staged = spark.read.parquet(f"{stage}/lines")
-    left = staged.select("batch_id").distinct()
-    emptied = spark.read.parquet(f"{stage}/touched").join(left, "batch_id", "left_anti")
+    added = edits.inserted_lines(changes, lowest).withColumn("ingest_id", F.lit(manual))
+    lines = staged(edits.merge_changes(in_touched, changes).unionByName(added), "lines")
+
     # Tombstones go first: a stop in between must not let an import bring a line back.
-    layers.write_batches("bronze_deleted", spark.read.parquet(f"{stage}/deleted"))
-    # Files per batch follow its size, and a large batch is split over tasks.
-    layers.write_batches("bronze_purchases", staged.hint("rebalance", "batch_id"))
+    gone = located.where((F.col("op") == "deleted") & (F.col("raw_id") != cleaning.MANUAL_RAW_ID))
+    layers.append(
+        "bronze", "bronze_deleted", gone.withColumn("deleted_at", F.lit(stamp).cast("timestamp"))
+    )
+    # Files follow the size of an ingest, and a large one is split over tasks.
+    layers.overwrite_lines(lines.hint("rebalance", "ingest_id"))
+    emptied = touched.join(lines.select("ingest_id").distinct(), "ingest_id", "left_anti")
     for row in emptied.toLocalIterator():
-        layers.drop_batch("bronze_purchases", row["batch_id"])
+        layers.drop_lines(row["ingest_id"])
     refresh_silver(layers, as_of)
     return counts

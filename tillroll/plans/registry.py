@@ -520,7 +520,7 @@ _LINE_OUT = _BRONZE_OUT[1:]
 
 @query
 def scan_raw(spark, d):
-    return _with_raw(spark, d).scan_raw().drop("id", "ingested_at")
+    return _with_raw(spark, d).scan_raw().drop("id", "ingested_at", "ingest_id")
 
 
 @query
@@ -571,7 +571,7 @@ def raw_to_bronze_stream(spark, d):
 @query
 def refresh_layers(spark, d):
     layers = _with_silver(spark, d)
-    products = layers.scan("silver", "silver_product_stats")
+    products = layers.scan_silver("silver_product_stats")
     return products.select("product_id", "total_purchases", "avg_product_price")
 
 
@@ -594,7 +594,7 @@ def scan_monthly_spending(spark, d):
 def refresh_silver(spark, d):
     layers = _with_silver(spark, d)
     imports.refresh_silver(layers, AS_OF)
-    return layers.scan("silver", "silver_market_stats").select("market_id", "visit_count")
+    return layers.scan_silver("silver_market_stats").select("market_id", "visit_count")
 
 
 @query
@@ -629,7 +629,7 @@ def migrate_legacy(spark, d):
     ).write.saveAsTable(legacy)
     imports.migrate_legacy(layers, legacy)
     imports.migrate_legacy(layers, legacy)
-    return layers.scan_raw().drop("id", "ingested_at")
+    return layers.scan_raw().drop("id", "ingested_at", "ingest_id")
 
 
 # --- Receipt text ------------------------------------------------------------------

@@ -43,8 +43,10 @@ BRONZE = _struct(
     raw_id=_LONG,
     processed_at=_TIME,
 )
-REJECTS = _struct(raw_id=_LONG, reason=_TEXT, processed_at=_TIME)
+BRONZE_LINES = T.StructType([*BRONZE.fields, T.StructField("reject_reason", _TEXT)])
 DELETED = _struct(raw_id=_LONG, deleted_at=_TIME)
+BY_INGEST = _struct(ingest_id=_TEXT)
+BY_INGEST_AND_FATE = _struct(ingest_id=_TEXT, rejected=T.BooleanType())
 PRODUCT_STATS = _struct(
     product_id=_TEXT,
     last_purchase_date=_DATE,

@@ -1,15 +1,15 @@
 """The Raw, Bronze and Silver tables.
 
-Raw and Bronze are catalog tables; Bronze is partitioned by the batch that wrote it,
-so that a batch can be written again without doubling its lines. A Silver table points
-to a versioned folder: a refresh writes a new folder and moves the pointer, and readers
-never see an empty or half-written table.
+Raw is partitioned by ingest. Bronze keeps every cleaned line in one table, partitioned
+by ingest and by whether the line was set aside, so that one pass over the raw lines
+writes both kinds; ``bronze_purchases`` and ``bronze_rejects`` are views on its two
+halves. A Silver table points to a versioned folder: a refresh writes a new folder and
+moves the pointer, and readers never see an empty or half-written table.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,22 +17,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll import schemas
+from tillroll.operators.edits import editable
 from tillroll.operators.markets import as_doubles
 from tillroll.operators.restock import with_buy_flag
+from tillroll.session import fresh_path
 
-_BATCHED = {"bronze_purchases", "bronze_rejects", "bronze_deleted"}
+_LAYERS = ("raw", "bronze", "silver")
+_STORED = {
+    ("raw", "raw_purchases"): (schemas.RAW, schemas.BY_INGEST),
+    ("bronze", "bronze_lines"): (schemas.BRONZE_LINES, schemas.BY_INGEST_AND_FATE),
+    ("bronze", "bronze_deleted"): (schemas.DELETED, schemas.BY_INGEST),
+}
 _SILVER = {
     "silver_product_stats": schemas.PRODUCT_STATS,
     "silver_market_stats": schemas.MARKET_STATS,
     "silver_monthly_spending": schemas.MONTHLY_SPENDING,
 }
-_TABLES = {
-    ("raw", "raw_purchases"): schemas.RAW,
-    ("bronze", "bronze_purchases"): schemas.BRONZE,
-    ("bronze", "bronze_rejects"): schemas.REJECTS,
-    ("bronze", "bronze_deleted"): schemas.DELETED,
-    **{("silver", name): schema for name, schema in _SILVER.items()},
-}
 
 
 def scan_or_empty(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
@@ -56,6 +56,10 @@ def overwrite_partitions(spark: SparkSession, table: str, df: DataFrame) -> None
         spark.conf.set(setting, before)
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+
+
 @dataclass
 class Layers:
     """Names and access of the layer tables under one root folder.
@@ -70,116 +74,125 @@ class Layers:
     def name(self, layer: str, table: str) -> str:
         return f"{self.prefix}{layer}.{table}"
 
-    def _location(self, layer: str, table: str) -> str:
-        return f"{self.root}/{layer}/{table}"
-
     def create(self) -> None:
-        """Create the schemas and tables that are missing."""
-        for layer in ("raw", "bronze", "silver"):
-            self.spark.sql(
-                f"CREATE SCHEMA IF NOT EXISTS {self.prefix}{layer} LOCATION '{self.root}/{layer}'"
-            )
-        for (layer, table), schema in _TABLES.items():
-            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-            batched = table in _BATCHED
-            if batched:
-                columns += ", batch_id STRING"
-            place = (
-                f"LOCATION '{self._location(layer, table)}/v=empty'" if layer == "silver" else ""
+        """Create schemas, tables and views that are missing; bring old tables up to date."""
+        sql = self.spark.sql
+        for layer in _LAYERS:
+            sql(f"CREATE SCHEMA IF NOT EXISTS {self.prefix}{layer} LOCATION '{self.root}/{layer}'")
+        for (layer, table), (schema, by) in _STORED.items():
+            sql(
+                f"CREATE TABLE IF NOT EXISTS {self.name(layer, table)} ({_ddl(schema)}, "
+                f"{_ddl(by)}) USING parquet PARTITIONED BY ({', '.join(by.fieldNames())})"
             )
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.name(layer, table)} ({columns}) USING parquet "
-                f"{'PARTITIONED BY (batch_id)' if batched else ''} {place}"
+        for table, schema in _SILVER.items():
+            sql(
+                f"CREATE TABLE IF NOT EXISTS {self.name('silver', table)} ({_ddl(schema)}) "
+                f"USING parquet LOCATION '{self._version('silver_empty', table)}'"
             )
+        self.evolve()
+        lines = self.name("bronze", "bronze_lines")
+        sql(
+            f"CREATE OR REPLACE VIEW {self.name('bronze', 'bronze_purchases')} AS SELECT "
+            f"{', '.join(schemas.BRONZE.fieldNames())}, ingest_id FROM {lines} WHERE NOT rejected"
+        )
+        sql(
+            f"CREATE OR REPLACE VIEW {self.name('bronze', 'bronze_rejects')} AS SELECT "
+            f"raw_id, reject_reason AS reason, processed_at, ingest_id FROM {lines} WHERE rejected"
+        )
+
+    def _version(self, version: str, table: str) -> str:
+        return f"{self.root}/silver/{table}/{version}"
 
-    def scan(self, layer: str, table: str) -> DataFrame:
-        schema = _TABLES[(layer, table)]
-        if table in _BATCHED:
-            schema = T.StructType([*schema.fields, T.StructField("batch_id", T.StringType())])
-        return scan_or_empty(self.spark, self.name(layer, table), schema)
+    def _stored(self, layer: str, table: str) -> DataFrame:
+        schema, by = _STORED[(layer, table)]
+        whole = T.StructType([*schema.fields, *by.fields])
+        return scan_or_empty(self.spark, self.name(layer, table), whole)
 
     def scan_raw(self) -> DataFrame:
-        return self.scan("raw", "raw_purchases")
+        return self._stored("raw", "raw_purchases")
+
+    def scan_lines(self) -> DataFrame:
+        """Every line taken in, fit for use or set aside."""
+        return self._stored("bronze", "bronze_lines")
+
+    def scan_deleted(self) -> DataFrame:
+        return self._stored("bronze", "bronze_deleted")
+
+    def scan_bronze_exact(self) -> DataFrame:
+        """All Bronze columns with their decimals."""
+        lines = self.scan_lines().where(~F.col("rejected"))
+        return lines.select(*schemas.BRONZE.fieldNames(), "ingest_id")
 
     def scan_bronze(self) -> DataFrame:
         """The columns analyses need, price as double, plus the id that settles ties."""
-        return as_doubles(
-            self.scan("bronze", "bronze_purchases").select(
-                "id", "purchase_date", "product_id", "product_price", "market_id"
-            ),
-            "product_price",
+        lines = self.scan_bronze_exact().select(
+            "id", "purchase_date", "product_id", "product_price", "market_id"
         )
-
-    def scan_bronze_exact(self) -> DataFrame:
-        return self.scan("bronze", "bronze_purchases")
+        return as_doubles(lines, "product_price")
 
     def scan_bronze_editable(self) -> DataFrame:
-        from tillroll.operators.edits import editable
-
-        lines = editable(self.scan("bronze", "bronze_purchases"))
+        lines = editable(self.scan_bronze_exact())
         return lines.orderBy(F.desc("purchase_date"), F.desc("id"))
 
+    def scan_silver(self, table: str) -> DataFrame:
+        return scan_or_empty(self.spark, self.name("silver", table), _SILVER[table])
+
     def scan_product_stats(self) -> DataFrame:
-        return with_buy_flag(self.scan("silver", "silver_product_stats"))
+        return with_buy_flag(self.scan_silver("silver_product_stats"))
 
     def scan_market_stats(self) -> DataFrame:
-        return as_doubles(
-            self.scan("silver", "silver_market_stats"), "total_spent", "avg_ticket"
-        )
+        return as_doubles(self.scan_silver("silver_market_stats"), "total_spent", "avg_ticket")
 
     def scan_monthly_spending(self) -> DataFrame:
-        return as_doubles(
-            self.scan("silver", "silver_monthly_spending"), "total_spent", "avg_price"
-        )
+        return as_doubles(self.scan_silver("silver_monthly_spending"), "total_spent", "avg_price")
 
     def append(self, layer: str, table: str, df: DataFrame) -> None:
-        columns = self.spark.table(self.name(layer, table)).columns
-        df.select(*columns).write.mode("append").insertInto(self.name(layer, table))
-
-    def write_batches(self, table: str, df: DataFrame) -> None:
-        """Replace exactly the batches that ``df`` holds rows of, in a Bronze-layer table."""
-        overwrite_partitions(self.spark, self.name("bronze", table), df)
+        name = self.name(layer, table)
+        df.select(*self.spark.table(name).columns).write.mode("append").insertInto(name)
 
-    def drop_batch(self, table: str, batch_id: str) -> None:
-        name = self.name("bronze", table)
-        quoted = batch_id.replace("'", "\\'")
-        self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (batch_id = '{quoted}')")
+    def overwrite_lines(self, df: DataFrame) -> None:
+        """Replace the ingests of usable lines that ``df`` holds rows of."""
+        lines = df.withColumns(
+            {"reject_reason": F.lit(None).cast("string"), "rejected": F.lit(False)}
+        )
+        overwrite_partitions(self.spark, self.name("bronze", "bronze_lines"), lines)
+
+    def drop_lines(self, ingest_id: str) -> None:
+        """Remove all usable lines of an ingest."""
+        quoted = ingest_id.replace("'", "\\'")
+        self.spark.sql(
+            f"ALTER TABLE {self.name('bronze', 'bronze_lines')} "
+            f"DROP IF EXISTS PARTITION (ingest_id = '{quoted}', rejected = false)"
+        )
 
     def publish_silver(self, frames: dict[str, DataFrame]) -> None:
         """Write new versions of all given tables, then point the tables at them."""
-        version = uuid.uuid4().hex[:12]
-        places = {}
+        version = f"v-{uuid.uuid4().hex[:12]}"
         for table, df in frames.items():
-            places[table] = f"{self._location('silver', table)}/v={version}"
-            schemas.conform(df, _SILVER[table]).write.mode("errorifexists").parquet(places[table])
-        for table, place in places.items():
+            schemas.conform(df, _SILVER[table]).write.parquet(self._version(version, table))
+        for table in frames:
             name = self.name("silver", table)
-            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{place}'")
+            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{self._version(version, table)}'")
             self.spark.catalog.refreshTable(name)
 
     def evolve(self) -> dict[str, list[str]]:
         """Add the later columns where missing; backfill Bronze amounts only then."""
         added = {}
-        for layer, table in (("raw", "raw_purchases"), ("bronze", "bronze_purchases")):
+        for layer, table in (("raw", "raw_purchases"), ("bronze", "bronze_lines")):
             name = self.name(layer, table)
-            missing = schemas.missing_columns(self.spark.table(name))
+            old = self.spark.table(name)
+            missing = schemas.missing_columns(old)
             if not missing:
                 continue
-            types = {f.name: f.dataType.simpleString() for f in _TABLES[(layer, table)]}
-            wanted = ", ".join(f"{c} {types[c]}" for c in missing)
+            stage = None
             if layer == "bronze":
-                filled = schemas.evolve_purchases(self.spark.table(name), backfill=True)
-                self._rewrite(name, wanted, lambda: filled)
-            else:
-                self.spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({wanted})")
+                # Staged first, so that the overwrite does not read what it replaces.
+                stage = fresh_path(self.spark, "evolve")
+                schemas.evolve_purchases(old, backfill=True).write.parquet(stage)
+            kinds = _STORED[(layer, table)][0]
+            columns = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in missing)
+            self.spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns})")
+            if stage:
+                overwrite_partitions(self.spark, name, self.spark.read.parquet(stage))
             added[f"{layer}.{table}"] = missing
         return added
-
-    def _rewrite(self, name: str, columns: str, filled: Callable[[], DataFrame]) -> None:
-        """Stage the filled lines, add the columns, then put the staged lines in place."""
-        from tillroll.session import fresh_path
-
-        stage = fresh_path(self.spark, "evolve")
-        filled().write.parquet(stage)
-        self.spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns})")
-        overwrite_partitions(self.spark, name, self.spark.read.parquet(stage))

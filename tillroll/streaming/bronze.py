@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
-from tillroll.plans.imports import write_bronze_batch
+from tillroll.plans.imports import write_new_lines
 from tillroll.session import shared_folder
 from tillroll.sources.tables import Layers
 
@@ -19,15 +21,17 @@ def raw_to_bronze_stream(
 ) -> None:
     """Take in all raw files not yet seen under this stream name, then stop.
 
-    Each micro-batch replaces its own Bronze batch, named after stream and number, so
-    one that is run again after a failure leaves the same lines. Lines an import has
-    taken already, or that were deleted by hand, are skipped as in the batch job.
-    A new checkpoint needs a new name.
+    The checkpoint skips files already read. A micro-batch that is run again after a
+    failure, or that meets lines an import took already, adds only what Bronze lacks:
+    its ids are compared with those of the same ingests.
     """
     checkpoint = checkpoint or f"{shared_folder(layers.spark)}/tillroll/streams/{name}"
 
     def write(batch: DataFrame, number: int) -> None:
-        write_bronze_batch(layers, batch, f"{name}-{number:09d}", strict=strict)
+        # A micro-batch has a session of its own; its tables are used through that one.
+        own = replace(layers, spark=batch.sparkSession)
+        ingests = [r["ingest_id"] for r in batch.select("ingest_id").distinct().collect()]
+        write_new_lines(own, batch, ingests, strict=strict)
 
     reader = layers.spark.readStream
     if max_files:

@@ -13,7 +13,7 @@ _QTY_TIMES_UNIT = rf"(?i){_AMOUNT}\s*(?:kg|g|un|l|ml)?\s*[x*]\s*(?:R\$\s*)?{_AMO
 
 # Words that open a receipt line which is not a product.
 _NOT_A_PRODUCT = (
-    r"(?i)^\s*(sub\s*-?\s*total|total|qtd\.?\s+total|troco|desconto|acr[eé]scimo|"
+    r"(?iU)^\s*(sub\s*-?\s*total|total|qtd\.?\s+total|troco|desconto|acr[eé]scimo|"
     r"taxas?|dinheiro|cart[aã]o|pix|cr[eé]dito|d[eé]bito|cpf|cnpj|consumidor|"
     r"tributos?|valor\s+(a\s+)?pag(ar|o)|forma\s+de\s+pagamento)\b"
 )

@@ -94,7 +94,15 @@ def clean_purchases(
 
 
 def accepted(cleaned: DataFrame) -> DataFrame:
-    return cleaned.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    """Lines fit for Bronze.
+
+    The counts of lines and rejects are observed on the way. A filter is not pushed
+    below them, which spares evaluating the whole cleaning a second time inside it.
+    """
+    counted = cleaned.observe(
+        "cleaning", F.count("*").alias("lines"), F.count("reject_reason").alias("rejects")
+    )
+    return counted.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
 def rejected(cleaned: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ def last_and_prior(purchases: DataFrame, price_col: str = "product_price") -> Da
     product next keeps every buffer fixed-width, so both steps stay hash aggregates
     with map-side partials: no sort, and no task holds a whole product.
     """
-    price = F.col(price_col)
+    # Whole cents, so that sums are exact and do not depend on the order of the lines.
+    price = F.col(price_col).cast("decimal(18,2)")
     per_day = purchases.groupBy("product_id", "purchase_date").agg(
         F.max_by(price, F.col("id")).alias("last_price"),
         F.sum(price).alias("spent"),

@@ -1,0 +1,190 @@
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from conftest import AS_OF, GOLDEN, LINES, rows
+from pyspark.sql import functions as F
+
+from tillroll.operators import edits, prices, trends
+from tillroll.plans import imports
+from tillroll.plans.dashboard import load_dashboard
+from tillroll.session import fresh_path
+from tillroll.sources.tables import Layers, scan_or_empty
+from tillroll.streaming.bronze import raw_to_bronze_stream
+
+
+def as_input(spark, lines=GOLDEN):
+    return spark.createDataFrame(lines, LINES).drop("id")
+
+
+def contents(layers):
+    return sorted(rows(layers.scan_bronze_exact(), "purchase_date", "product_id", "product_price", "market_id"))
+
+
+def test_import_and_second_run(spark, layers):
+    assert imports.import_purchases(layers, as_input(spark), "csv", AS_OF) == 6
+    assert imports.refresh_layers(layers, AS_OF) == 0
+    assert contents(layers) == sorted(line[1:] for line in GOLDEN)
+    assert rows(layers.scan_product_stats().where("buy"), "product_id") == [("Leite",)]
+    assert sorted(rows(layers.scan_market_stats(), "market_id", "total_spent")) == [("M1", 65.0), ("M2", 40.0)]
+    assert sorted(rows(layers.scan_monthly_spending(), "year_month", "avg_price")) == [("2026-01", 13.25), ("2026-02", 26.0)]
+    assert layers.scan_bronze().dtypes[3] == ("product_price", "double")
+    named = layers.name("bronze", "bronze_purchases")
+    assert spark.table(named).count() == 6
+    assert rows(layers.scan_bronze_editable(), "purchase_date")[0] == (date(2026, 2, 5),)
+
+
+def test_ids_are_unique_over_imports(spark, layers):
+    for _ in range(3):
+        imports.ingest_to_raw(layers, as_input(spark).repartition(4), "ocr")
+    raw = layers.scan_raw()
+    assert raw.select("id").distinct().count() == 18 and raw.agg(F.min("id")).first()[0] > 0
+
+
+def test_rejects_are_kept_and_not_read_again(spark, layers):
+    df = as_input(spark).withColumn(
+        "product_price", F.when(F.col("product_id") == "Cafe", "abc").otherwise("1.00")
+    )
+    assert imports.import_purchases(layers, df, "csv", AS_OF) == 5
+    assert rows(spark.table(layers.name("bronze", "bronze_rejects")), "reason") == [("price",)]
+    assert imports.pending_ingests(layers) == {}
+    assert imports.raw_to_bronze(layers) == 0
+
+
+def test_import_cut_short_is_completed(spark, layers):
+    ingest = imports.ingest_to_raw(layers, as_input(spark), "csv")
+    some = layers.scan_raw().where("product_id = 'Leite'")
+    imports.write_new_lines(layers, some, [ingest])
+    assert imports.pending_ingests(layers) == {ingest: True}
+    assert imports.raw_to_bronze(layers) == 3
+    assert contents(layers) == sorted(line[1:] for line in GOLDEN)
+
+
+def edited_set(layers):
+    original = edits.editable(layers.scan_bronze_exact())
+    kept = original.where("product_id != 'Cafe'").withColumn(
+        "product_price",
+        F.when(F.col("purchase_date") == "2026-01-08", 11).otherwise(F.col("product_price")).cast("decimal(10,2)"),
+    )
+    new = original.limit(1).withColumns(
+        {
+            "id": F.lit(None).cast("bigint"),
+            "purchase_date": F.lit(date(2026, 2, 6)),
+            "product_id": F.lit(" pão "),
+            "quantity": F.lit(None).cast("decimal(10,3)"),
+            "unit_price": F.lit(None).cast("decimal(10,2)"),
+            "product_price": F.lit(8).cast("decimal(10,2)"),
+            "market_id": F.lit("M2"),
+        }
+    )
+    return original, kept.unionByName(new)
+
+
+def test_edits_hold_over_a_later_import(spark, layers):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    counts = imports.apply_edits(layers, *edited_set(layers), AS_OF)
+    assert counts == {"inserted": 1, "updated": 1, "deleted": 1}
+    expected = {line[0]: line[1:] for line in GOLDEN if line[0] != 6}
+    expected[2] = (date(2026, 1, 8), "Leite", Decimal("11.00"), "M2")
+    expected[7] = (date(2026, 2, 6), "Pão", Decimal("8.00"), "M2")
+    assert contents(layers) == sorted(expected.values())
+    assert imports.refresh_layers(layers, AS_OF) == 0
+    assert contents(layers) == sorted(expected.values())
+    assert "Cafe" not in {r[0] for r in rows(layers.scan_product_stats(), "product_id")}
+    # Only the asked-for line comes back, with its own id.
+    assert imports.raw_to_bronze(layers, resurrect=True) == 1
+    assert len(contents(layers)) == 7
+
+
+def test_edit_without_change_writes_nothing(spark, layers):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    same = edits.editable(layers.scan_bronze_exact())
+    assert imports.apply_edits(layers, same, same) == {"inserted": 0, "updated": 0, "deleted": 0}
+
+
+def test_edit_can_empty_an_ingest(spark, layers):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    imports.import_purchases(layers, as_input(spark, GOLDEN[:1]), "csv", AS_OF)
+    last = layers.scan_bronze_exact().agg(F.max("id")).first()[0]
+    original = edits.editable(layers.scan_bronze_exact())
+    counts = imports.apply_edits(layers, original, original.where(F.col("id") != last), AS_OF)
+    assert counts["deleted"] == 1 and len(contents(layers)) == 6
+    assert imports.refresh_layers(layers, AS_OF) == 0
+
+
+def test_unknown_id_is_an_error(spark, layers):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    original = edits.editable(layers.scan_bronze_exact())
+    with pytest.raises(ValueError, match="not in Bronze"):
+        imports.apply_edits(layers, original, original.withColumn("id", F.col("id") + 1000))
+
+
+def test_silver_follows_an_emptied_bronze(spark, layers):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    original = edits.editable(layers.scan_bronze_exact())
+    imports.apply_edits(layers, original, original.limit(0), AS_OF)
+    assert layers.scan_product_stats().count() == 0
+
+
+def test_stream_restarts_where_it_stopped(spark, layers):
+    name = fresh_path(spark, "stream").rsplit("/", 1)[1]
+    imports.ingest_to_raw(layers, as_input(spark), "csv")
+    raw_to_bronze_stream(layers, name)
+    raw_to_bronze_stream(layers, name)
+    assert contents(layers) == sorted(line[1:] for line in GOLDEN)
+    imports.ingest_to_raw(layers, as_input(spark, GOLDEN[:3]), "csv")
+    raw_to_bronze_stream(layers, name, max_files=1)
+    assert len(contents(layers)) == 9
+    # Batch import and stream may be mixed, and a lost checkpoint doubles nothing.
+    assert imports.raw_to_bronze(layers) == 0
+    raw_to_bronze_stream(layers, f"{name}-again")
+    assert len(contents(layers)) == 9
+
+
+def test_legacy_table_is_copied_once(spark, layers):
+    assert imports.migrate_legacy(layers, layers.name("raw", "old")) == 0
+    as_input(spark).write.saveAsTable(layers.name("raw", "old"))
+    assert imports.migrate_legacy(layers, layers.name("raw", "old")) == 6
+    assert imports.migrate_legacy(layers, layers.name("raw", "old")) == 0
+    assert {r[0] for r in rows(layers.scan_raw(), "source_type")} == {"migration"}
+    assert imports.refresh_layers(layers, AS_OF) == 6
+
+
+def test_old_tables_get_the_later_columns(spark):
+    old = Layers(spark, fresh_path(spark, "old"), f"o{fresh_path(spark, 'x')[-12:]}_")
+    for layer in ("raw", "bronze"):
+        spark.sql(f"CREATE SCHEMA {old.prefix}{layer} LOCATION '{old.root}/{layer}'")
+    spark.sql(
+        f"CREATE TABLE {old.name('bronze', 'bronze_lines')} (id BIGINT, purchase_date DATE, "
+        "product_id STRING, product_price DECIMAL(10,2), market_id STRING, raw_id BIGINT, "
+        "processed_at TIMESTAMP, reject_reason STRING, ingest_id STRING, rejected BOOLEAN) "
+        "USING parquet PARTITIONED BY (ingest_id, rejected)"
+    )
+    spark.sql(
+        f"INSERT INTO {old.name('bronze', 'bronze_lines')} VALUES (1, DATE'2026-01-01', 'Leite', "
+        "9.50, 'M1', 1, TIMESTAMP'2026-01-01', NULL, 'a', false)"
+    )
+    old.create()
+    row = old.scan_bronze_exact().first()
+    assert (str(row["quantity"]), str(row["unit_price"]), row["access_key"]) == ("1.000", "9.50", None)
+    assert old.evolve() == {}
+    imports.import_purchases(old, as_input(spark), "csv", AS_OF)
+    assert len(contents(old)) == 7
+
+
+def test_missing_table_is_empty_and_other_errors_surface(spark, layers):
+    schema = layers.scan_raw().schema
+    empty = scan_or_empty(spark, layers.name("raw", "nothing"), schema)
+    assert empty.schema == schema and empty.isEmpty()
+    unmade = Layers(spark, layers.root, "unmade_")
+    assert unmade.scan_product_stats().isEmpty() and unmade.scan_bronze().isEmpty()
+
+
+def test_dashboard(spark, layers):
+    assert load_dashboard(layers).is_empty
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    data = load_dashboard(layers)
+    assert not data.is_empty and data.bronze.count() == 6
+    row = trends.kpi_summary(data.products, data.markets, data.monthly).first()
+    assert (row["total_spent"], row["visits"], row["avg_ticket"], row["due"]) == (105.0, 5, 21.0, 1)
+    assert rows(prices.price_alerts(data.bronze), "product_id") == [("Leite",)]

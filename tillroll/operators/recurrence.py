@@ -11,14 +11,17 @@ TOTAL = "Total"
 MAX_DAYS = 60
 
 
-def gap_histogram(purchases: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
+def market_days(purchases: DataFrame) -> DataFrame:
+    """Lines per market, product and day, from which everything here is computed."""
+    return daily_counts(purchases, ["market_id", "product_id"])
+
+
+def gap_histogram(daily: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
     """(scope, gap, n) for the whole set and for each market; longer gaps share one bar.
 
     The whole set counts gaps between purchases of a product anywhere, a market only
-    those within it, so one is not the sum of the others. Both start from the same
-    counts per market, product and day.
+    those within it, so one is not the sum of the others.
     """
-    daily = daily_counts(purchases, ["market_id", "product_id"])
     overall = purchase_gaps(daily_counts(daily, ["product_id"], "n"), ["product_id"])
     by_market = purchase_gaps(daily, ["market_id", "product_id"])
     gaps = overall.select(F.lit(TOTAL).alias("scope"), "gap", "n").unionByName(
@@ -30,8 +33,12 @@ def gap_histogram(purchases: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
 
 def recurrence_curve(purchases: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
     """(scope, days, cumulative_pct) for days 0..max_days of every scope with a gap."""
+    return curve_of(market_days(purchases), max_days)
+
+
+def curve_of(daily: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
     per_scope = (
-        gap_histogram(purchases, max_days)
+        gap_histogram(daily, max_days)
         .groupBy("scope")
         .agg(
             F.sum("n").alias("total"),
@@ -60,19 +67,21 @@ def median_repurchase_days(curve: DataFrame) -> DataFrame:
     return reached.agg(F.min("days").cast("double").alias("median_days"))
 
 
-def market_frequency(purchases: DataFrame) -> DataFrame:
+def market_frequency(purchases: DataFrame, weight: str | None = None) -> DataFrame:
+    """Lines per market, the busiest first; ``weight`` names a column of line counts."""
+    n = F.count("*") if weight is None else F.sum(weight)
     return (
         purchases.groupBy("market_id")
-        .agg(F.count("*").alias("lines"))
+        .agg(n.alias("lines"))
         .orderBy(F.desc("lines"), "market_id")
     )
 
 
-def default_scopes(purchases: DataFrame, curve: DataFrame, top: int = 3) -> DataFrame:
+def default_scopes(daily: DataFrame, curve: DataFrame, top: int = 3) -> DataFrame:
     """The whole set plus the busiest markets that have a curve, at most top + 1 rows."""
     scopes = curve.select("scope").distinct()
     markets = (
-        market_frequency(purchases)
+        market_frequency(daily, "n")
         .withColumnRenamed("market_id", "scope")
         .where(F.col("scope") != TOTAL)
         .join(scopes, "scope", "left_semi")
@@ -86,10 +95,11 @@ def default_scopes(purchases: DataFrame, curve: DataFrame, top: int = 3) -> Data
 def curve_for_scopes(
     purchases: DataFrame, scopes: list[str] | None = None, max_days: int = MAX_DAYS
 ) -> DataFrame:
-    curve = recurrence_curve(purchases, max_days)
+    daily = market_days(purchases)
+    curve = curve_of(daily, max_days)
     if scopes is not None:
         return curve.where(F.col("scope").isin(*scopes))
-    return curve.join(F.broadcast(default_scopes(purchases, curve)), "scope", "left_semi")
+    return curve.join(F.broadcast(default_scopes(daily, curve)), "scope", "left_semi")
 
 
 def scope_list(curve: DataFrame) -> DataFrame:

@@ -18,10 +18,15 @@ def ingest_to_raw(layers: Layers, df: DataFrame, source_type: str) -> str:
 
     Ids continue after the largest one with Spark's per-partition counter: unique and
     without a shuffle, with holes. They are fixed by this write and only read from then
-    on. One writer at a time is assumed.
+    on. Ingests are numbered, so the largest id is in the last one and no other is
+    looked at. One writer at a time is assumed.
     """
-    ingest = f"{datetime.now(tz=UTC):%Y%m%d}-{uuid.uuid4().hex[:12]}"
-    last = layers.scan_raw().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    newest = layers.last_ingest()
+    number, last = 0, 0
+    if newest:
+        number = int(newest.split("-")[0]) + 1
+        last = layers.scan_raw().where(F.col("ingest_id") == newest).agg(F.max("id")).first()[0]
+    ingest = f"{number:08d}-{uuid.uuid4().hex[:12]}"
     lines = cleaning.stringify_purchases(df, source_type).withColumns(
         {
             "id": F.monotonically_increasing_id() + F.lit(last + 1),
@@ -140,6 +145,9 @@ def apply_edits(
 ) -> dict[str, int]:
     """Put the changes between two editable sets into Bronze and refresh Silver.
 
+    The sets may be all of Bronze or any part of it; a line is deleted if it is in the
+    original and not in the edited set.
+
     Only ingests with a changed line are rewritten. Changes and rewritten lines are
     staged as tables first: the staged lines, not Bronze, are what the overwrite reads,
     so it can be run again, and new ids are fixed before anything depends on them.
@@ -170,7 +178,8 @@ def apply_edits(
     )
     touched = located.select("ingest_id").distinct()
     in_touched = bronze.join(touched, "ingest_id", "left_semi").select(*bronze.columns)
-    lowest = bronze.agg(F.least(F.coalesce(F.min("id"), F.lit(0)), F.lit(0))).first()[0]
+    # Only lines added by hand have ids below 0; file statistics skip all others.
+    lowest = bronze.where("id < 0").agg(F.coalesce(F.min("id"), F.lit(0))).first()[0]
     manual = f"manual-{stamp:%Y%m%dT%H%M%S%f}"
     added = edits.inserted_lines(changes, lowest).withColumn("ingest_id", F.lit(manual))
     lines = staged(edits.merge_changes(in_touched, changes).unionByName(added), "lines")

@@ -292,7 +292,13 @@ _MARKETS = (
     "market_id, total_spent, avg_ticket, visit_count, CAST(last_visit AS VARCHAR) AS last_visit"
 )
 _MONTHS = "year_month, total_spent, item_count, avg_price"
-_CRC_KEY = "lower(trim(market_id))"
+# crc32 of an ASCII text, byte by byte and bit by bit.
+_CRC = (
+    "xor(list_reduce(list_transform(range(1, length({0}) + 1), "
+    "lambda i: CAST(ascii({0}[i]) AS BIGINT)), lambda acc, byte: list_reduce(range(8), "
+    "lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, "
+    "xor(acc, byte)), CAST(4294967295 AS BIGINT)), 4294967295)"
+)
 
 ORACLES: dict[str, str] = {
     "product_stats": _silver(f"SELECT {_STATS} FROM products"),
@@ -330,6 +336,10 @@ ORACLES: dict[str, str] = {
         "(SELECT market_id FROM markets ORDER BY visit_count DESC, market_id LIMIT 1) "
         "AS most_visited FROM markets"
     ),
+    "market_buckets": _silver(
+        "SELECT market_id, lower(market_id) AS market_key, "
+        f"CAST({_CRC.format('lower(market_id)')} % 5 AS VARCHAR) AS bucket FROM markets"
+    ),
     "monthly_trend": _silver(
         f"SELECT {_MONTHS}, CAST(sum(month_cents) OVER w AS DOUBLE) / 100 / count(*) OVER w "
         "AS rolling_avg FROM monthly "

@@ -21,13 +21,13 @@ def check_purchase_columns(names: list[str]) -> None:
         raise ValueError("purchase file needs product_price, or quantity and unit_price")
 
 
-def scan_purchases_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_purchases_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """CSV with a header, every column as text.
 
     Without inference a 44-digit access key stays text and the data is read once;
     only the header is looked at to learn the columns. All files of one path share it.
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = spark.read.options(header=True, enforceSchema=False, **options)
     names = reader.csv(path).columns
     check_purchase_columns(names)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -41,7 +41,9 @@ def scan_receipt_json(spark: SparkSession, path: str, *, per_line: bool = False)
     empty array gives no lines; so does text that is no such array.
     """
     texts = spark.read.text(path, wholetext=not per_line)
-    items = F.from_json("value", T.ArrayType(RECEIPT))
+    # Amounts are read as text too, so that quoted numbers count as numbers.
+    item = T.StructType([T.StructField(n, T.StringType()) for n in RECEIPT.fieldNames()])
+    items = F.from_json("value", T.ArrayType(item))
     return conform_receipt(texts.select(F.inline(items)))
 
 

@@ -111,6 +111,12 @@ class Layers:
     def scan_raw(self) -> DataFrame:
         return self._stored("raw", "raw_purchases")
 
+    def last_ingest(self) -> str | None:
+        """Name of the newest ingest, from the catalog's partition list."""
+        parts = self.spark.sql(f"SHOW PARTITIONS {self.name('raw', 'raw_purchases')}")
+        newest = parts.agg(F.max("partition")).first()[0]
+        return newest.split("=", 1)[1] if newest else None
+
     def scan_lines(self) -> DataFrame:
         """Every line taken in, fit for use or set aside."""
         return self._stored("bronze", "bronze_lines")

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.operators import prices, recurrence, silver
+from tillroll.operators import gaps, prices, recurrence, silver
 from tillroll.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -41,18 +41,26 @@ def test_line_level_aggregates_hash_and_never_sort(lines):
         silver.product_stats(lines, "2026-02-10", collation=None),
         silver.market_stats(lines, collation=None),
         silver.monthly_spending(lines),
-        prices.last_and_prior(lines),
     ):
         text = plan(df)
         assert "SortAggregate" not in text and "Window" not in text and "partial_" in text
 
 
-def test_windows_only_see_counts_per_day(lines):
-    text = plan(recurrence.gap_histogram(recurrence.market_days(lines)))
-    # Below every window there is a finished aggregate per key and day.
-    for window in re.finditer(r"Window \[", text):
-        assert "HashAggregate" in text[window.end() :]
-    assert "SinglePartition" not in text
+def test_alerts_shuffle_once_after_partials(lines):
+    text = plan(prices.last_and_prior(lines))
+    assert text.count("Exchange") == 1 and "partial_max_by" in text and "Window" not in text
+
+
+def test_windows_only_see_aggregates(lines):
+    keys = ["product_id"]
+    for df in (
+        recurrence.gap_histogram(recurrence.market_blocks(lines)),
+        gaps.purchase_gaps(gaps.daily_counts(lines, keys), keys),
+    ):
+        text = plan(df)
+        for window in re.finditer(r"Window \[", text):
+            assert "partial_" in text[window.end() :]
+        assert "SinglePartition" not in text and "SortAggregate" not in text
 
 
 def test_scans_read_only_what_is_used(lines):

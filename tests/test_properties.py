@@ -49,12 +49,21 @@ def test_gaps(case):
         (k, g) for k, found in plain_gaps(lines, lambda x: x[2]).items() for g in found
     )
     keys = ["product_id"]
-    got = gaps.recurrence_gaps(gaps.daily_counts(df, keys), keys)
+    got = gaps.recurrence_gaps(gaps.day_blocks(df, keys), keys)
     assert {(p, g): n for p, g, n in rows(got)} == expected
     per_line = gaps.purchase_gaps(gaps.daily_counts(df, keys), keys)
     assert per_line.agg(F.sum("n")).first()[0] == len(lines)
 
 
+def test_gaps_over_block_borders(spark):
+    """Before 1970, at the first and last bit of a block, and over empty blocks."""
+    days = [-200, -129, -128, -65, -64, -63, -1, 0, 1, 62, 63, 64, 64, 64, 127, 128, 1000]
+    lines = [(i, date(1970, 1, 1) + timedelta(days=d), "A", Decimal(1), "M") for i, d in enumerate(days)]
+    blocks = gaps.day_blocks(spark.createDataFrame(lines, LINES), ["product_id"])
+    expected = Counter(b - a for a, b in zip(days, days[1:], strict=False))
+    assert {g: n for _, g, n in rows(gaps.recurrence_gaps(blocks, ["product_id"]))} == expected
+
+
 def test_curve(case):
     lines, df = case
     scopes = {"Total": [g for f in plain_gaps(lines, lambda x: x[2]).values() for g in f]}

@@ -14,23 +14,17 @@ ALERT_LIMIT = 15
 def last_and_prior(purchases: DataFrame, price_col: str = "product_price") -> DataFrame:
     """Last price of each product bought twice or more, and the mean of all before it.
 
-    Lines on the last day are told apart by ``id``. Aggregating per day first and per
-    product next keeps every buffer fixed-width, so both steps stay hash aggregates
-    with map-side partials: no sort, and no task holds a whole product.
+    Lines on the last day are told apart by ``id``. One aggregate does it: each task
+    passes on one row per product, so no product is too large and no line is shuffled.
     """
     # Whole cents, so that sums are exact and do not depend on the order of the lines.
     price = F.col(price_col).cast("decimal(18,2)")
-    per_day = purchases.groupBy("product_id", "purchase_date").agg(
-        F.max_by(price, F.col("id")).alias("last_price"),
-        F.sum(price).alias("spent"),
-        F.count(price).alias("n"),
-    )
     return (
-        per_day.groupBy("product_id")
+        purchases.groupBy("product_id")
         .agg(
-            F.max_by("last_price", "purchase_date").alias("last_price"),
-            F.sum("spent").alias("spent"),
-            F.sum("n").alias("n"),
+            F.max_by(price, F.struct("purchase_date", "id")).alias("last_price"),
+            F.sum(price).alias("spent"),
+            F.count(price).alias("n"),
             F.max("purchase_date").alias("last_purchase_date"),
         )
         .where("n >= 2")

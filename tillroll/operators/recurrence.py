@@ -5,40 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.gaps import daily_counts, purchase_gaps
+from tillroll.operators.gaps import block_gaps, day_blocks, merge_blocks
 
 TOTAL = "Total"
 MAX_DAYS = 60
 
 
-def market_days(purchases: DataFrame) -> DataFrame:
-    """Lines per market, product and day, from which everything here is computed."""
-    return daily_counts(purchases, ["market_id", "product_id"])
+def market_blocks(purchases: DataFrame) -> DataFrame:
+    """Days and lines per market and product, from which everything here is computed."""
+    return day_blocks(purchases, ["market_id", "product_id"])
 
 
-def gap_histogram(daily: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
+def gap_histogram(blocks: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
     """(scope, gap, n) for the whole set and for each market; longer gaps share one bar.
 
     The whole set counts gaps between purchases of a product anywhere, a market only
     those within it, so one is not the sum of the others.
     """
-    overall = purchase_gaps(daily_counts(daily, ["product_id"], "n"), ["product_id"])
-    by_market = purchase_gaps(daily, ["market_id", "product_id"])
+    overall = block_gaps(merge_blocks(blocks, ["product_id"]), ["product_id"])
+    by_market = block_gaps(blocks, ["market_id", "product_id"])
     gaps = overall.select(F.lit(TOTAL).alias("scope"), "gap", "n").unionByName(
         by_market.select(F.col("market_id").alias("scope"), "gap", "n")
     )
     bar = F.least("gap", F.lit(max_days + 1))
-    return gaps.where("gap >= 0").groupBy("scope", bar.alias("gap")).agg(F.sum("n").alias("n"))
+    return gaps.groupBy("scope", bar.alias("gap")).agg(F.sum("n").alias("n"))
 
 
 def recurrence_curve(purchases: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
     """(scope, days, cumulative_pct) for days 0..max_days of every scope with a gap."""
-    return curve_of(market_days(purchases), max_days)
+    return curve_of(market_blocks(purchases), max_days)
 
 
-def curve_of(daily: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
+def curve_of(blocks: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
     per_scope = (
-        gap_histogram(daily, max_days)
+        gap_histogram(blocks, max_days)
         .groupBy("scope")
         .agg(
             F.sum("n").alias("total"),
@@ -77,29 +77,35 @@ def market_frequency(purchases: DataFrame, weight: str | None = None) -> DataFra
     )
 
 
-def default_scopes(daily: DataFrame, curve: DataFrame, top: int = 3) -> DataFrame:
-    """The whole set plus the busiest markets that have a curve, at most top + 1 rows."""
-    scopes = curve.select("scope").distinct()
+def default_scopes(blocks: DataFrame, curve: DataFrame, top: int = 3) -> DataFrame:
+    """The whole set plus the busiest markets that have a curve, at most top + 1 rows.
+
+    A market that happens to bear the name of the whole set is taken out after the
+    limit: before it, the filter would reach the scan and keep it from being shared.
+    """
     markets = (
-        market_frequency(daily, "n")
+        market_frequency(blocks, "n")
         .withColumnRenamed("market_id", "scope")
+        .join(curve.select("scope").distinct(), "scope", "left_semi")
+        .orderBy(F.desc("lines"), "scope")
+        .limit(top + 1)
         .where(F.col("scope") != TOTAL)
-        .join(scopes, "scope", "left_semi")
         .orderBy(F.desc("lines"), "scope")
         .limit(top)
         .select("scope")
     )
-    return scopes.where(F.col("scope") == TOTAL).unionByName(markets)
+    whole = curve.sparkSession.range(1).select(F.lit(TOTAL).alias("scope"))
+    return whole.unionByName(markets)
 
 
 def curve_for_scopes(
     purchases: DataFrame, scopes: list[str] | None = None, max_days: int = MAX_DAYS
 ) -> DataFrame:
-    daily = market_days(purchases)
-    curve = curve_of(daily, max_days)
+    blocks = market_blocks(purchases)
+    curve = curve_of(blocks, max_days)
     if scopes is not None:
         return curve.where(F.col("scope").isin(*scopes))
-    return curve.join(F.broadcast(default_scopes(daily, curve)), "scope", "left_semi")
+    return curve.join(F.broadcast(default_scopes(blocks, curve)), "scope", "left_semi")
 
 
 def scope_list(curve: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tillroll.functions.numbers import exact_ratio
 from tillroll.functions.text import NAME_COLLATION
+from tillroll.operators.gaps import day_blocks, merge_blocks
 
 
 def as_of_date(as_of: date | str | None) -> Column:
@@ -72,38 +72,29 @@ def product_stats(
     )
 
 
-def one_spelling(per_name: DataFrame, key: str, collation: str | None) -> DataFrame:
-    """(key, name): the spelling to show for each distinct spelling in ``per_name``."""
-    names = per_name.select(key).distinct()
-    if not collation:
-        return names.withColumn("name", F.col(key))
-    alike = W.partitionBy(F.collate(key, collation))
-    return names.withColumn("name", F.min(key).over(alike))
-
-
 def market_stats(purchases: DataFrame, collation: str | None = NAME_COLLATION) -> DataFrame:
-    """Spend, visits (distinct days) and spend per visit of each market."""
-    per_day = purchases.groupBy("market_id", "purchase_date").agg(
-        F.sum("product_price").alias("spent")
-    )
+    """Spend, visits (distinct days) and spend per visit of each market.
+
+    Days are counted as bits of 64-day blocks, which merge over tasks and spellings.
+    """
+    blocks = day_blocks(purchases, ["market_id"], F.sum("product_price").alias("spent"))
+    key, names = "market_id", []
     if collation:
-        spelling = one_spelling(per_day, "market_id", collation)
-        per_day = (
-            per_day.join(spelling, "market_id")
-            .groupBy(F.col("name").alias("market_id"), "purchase_date")
-            .agg(F.sum("spent").alias("spent"))
-        )
-    per_market = per_day.groupBy("market_id").agg(
+        key, names = "same_name", [F.min("market_id").alias("market_id")]
+        same = F.collate("market_id", collation).alias(key)
+        blocks = merge_blocks(blocks, [same], F.sum("spent").alias("spent"), *names)
+    per_market = blocks.groupBy(key).agg(
         F.sum("spent").alias("spent"),
-        F.count("purchase_date").alias("visit_count"),
-        F.max("purchase_date").alias("last_visit"),
+        F.sum(F.bit_count("days")).alias("visit_count"),
+        F.max("last").alias("last"),
+        *names,
     )
     return per_market.select(
         "market_id",
         F.round("spent", 2).cast("decimal(20,2)").alias("total_spent"),
         exact_ratio(F.col("spent"), F.col("visit_count")).alias("avg_ticket"),
         "visit_count",
-        "last_visit",
+        F.date_from_unix_date("last").alias("last_visit"),
     )
 
 

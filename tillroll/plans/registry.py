@@ -289,7 +289,7 @@ def purchase_gaps(spark, d):
 @query
 def recurrence_gaps(spark, d):
     keys = ["market_id", "product_id"]
-    return gaps.recurrence_gaps(gaps.daily_counts(_trip_lines(spark, d), keys), keys)
+    return gaps.recurrence_gaps(gaps.day_blocks(_trip_lines(spark, d), keys), keys)
 
 
 @query

@@ -81,16 +81,19 @@ def block_gaps(blocks: DataFrame, keys: list[str]) -> DataFrame:
     previous = F.lag("last").over(W.partitionBy(*keys).orderBy("block"))
     entering = _weighted(F.col("first") - previous, F.lit(1))
     same_day = _weighted(F.lit(0), F.col("n") - F.bit_count("days"))
-    bought = F.filter(
-        F.sequence("first", "last"), lambda day: F.bit_get(F.col("days"), _bit_of(day)) == 1
+    # Most blocks of rarely bought keys hold one day, and have no steps to work out.
+    bought = F.when(
+        F.col("first") < F.col("last"),
+        F.filter(
+            F.sequence("first", "last"), lambda day: F.bit_get(F.col("days"), _bit_of(day)) == 1
+        ),
     )
     steps = F.zip_with(
         F.slice("bought", 2, F.lit(_BLOCK_DAYS)),
         F.slice("bought", 1, F.size("bought") - 1),
         lambda later, earlier: _weighted(later - earlier, F.lit(1)),
     )
-    # Most blocks of rarely bought keys hold one day, and no step to work out.
-    inside = F.when(F.col("first") < F.col("last"), steps).otherwise(F.array().cast(_GAPS))
+    inside = F.when(F.col("bought").isNotNull(), steps).otherwise(F.array().cast(_GAPS))
     return (
         blocks.withColumns({"entering": entering, "same_day": same_day, "bought": bought})
         .select(*keys, F.inline(F.concat(F.array("entering", "same_day"), inside)))

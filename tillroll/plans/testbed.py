@@ -28,14 +28,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal the rows out to all cores where the input has fewer splits than cores.
 
     The small test files are one row group each, which a single task would read and
     then work on alone. Inputs with splits enough are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def order_lines(spark: SparkSession, sf_dir: str, *joins: str) -> DataFrame:
@@ -43,7 +43,7 @@ def order_lines(spark: SparkSession, sf_dir: str, *joins: str) -> DataFrame:
 
     No side is forced to be broadcast: all of them grow with the data.
     """
-    lines = spread(_read(spark, sf_dir, "lineitem"))
+    lines = spread(_read(spark, sf_dir, "lineitem"), "l_orderkey")
     on = {
         "orders": ("l_orderkey", "o_orderkey"),
         "part": ("l_partkey", "p_partkey"),

@@ -49,6 +49,19 @@ def test_dates(spark):
         "Jan 5, 2026": date(2026, 1, 5),
         "January 5, 2026": date(2026, 1, 5),
         "5 Jan 2026": date(2026, 1, 5),
+        "Jan 5 2026": date(2026, 1, 5),
+        "5-Jan-2026": date(2026, 1, 5),
+        "Thu, 15 Jan 2026": date(2026, 1, 15),
+        "SEPT 5, 2026": date(2026, 9, 5),
+        "01/02/2026 10:30:00 PM": date(2026, 1, 2),
+        "2026 01 15": date(2026, 1, 15),
+        "01/02/26": date(2026, 1, 2),
+        "13/02/26": date(2026, 2, 13),
+        "2026-01": date(2026, 1, 1),
+        "2026": date(2026, 1, 1),
+        "13/13/2026": None,
+        "2026-13-01": None,
+        "5 Foo 2026": None,
         "2026-02-30": None,
         "2026-01-15 garbage": None,
         "bad": None,

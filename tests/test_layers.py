@@ -94,6 +94,7 @@ def test_edits_hold_over_a_later_import(spark, layers):
     # Only the asked-for line comes back, with its own id.
     assert imports.raw_to_bronze(layers, resurrect=True) == 1
     assert len(contents(layers)) == 7
+    assert layers.scan_deleted().isEmpty() and imports.pending_ingests(layers) == {}
 
 
 def test_edit_without_change_writes_nothing(spark, layers):

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.operators import gaps, prices, recurrence, silver
+from tillroll.operators import cleaning, gaps, prices, recurrence, silver
 from tillroll.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,15 @@ def test_scans_read_only_what_is_used(lines):
 
 def test_alert_limit_is_a_top_k(lines):
     assert "TakeOrderedAndProject" in plan(prices.price_alerts(lines))
+
+
+def test_cleaning_stays_within_what_the_jit_compiles(spark, tmp_path):
+    fields = "purchase_date product_id product_price quantity unit_price market_id access_key nfce_url"
+    raw = spark.range(1).select("id", *[F.lit("1").alias(c) for c in [*fields.split(), "ingest_id"]])
+    raw.write.parquet(str(tmp_path / "raw"))
+    cleaned = cleaning.clean_purchases(spark.read.parquet(str(tmp_path / "raw")))
+    stored = cleaned.withColumn("rejected", F.col("reject_reason").isNotNull())
+    stages = stored._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    # The JVM leaves methods over 8000 bytes to the interpreter.
+    assert sizes and max(sizes) < 8000

@@ -7,11 +7,31 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.text import blank_to_null
 
-_CLOCK = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)?$"
-_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _CLOCK
-_YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _CLOCK
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_NAMED = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
+_CLOCK = (
+    r"(?:[T ]+\d{1,2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?)?\s*(?:[AaPp][Mm])?\s*"
+    r"(?:Z|[+-]\d{2}:?\d{2})?)?$"
+)
+_SEP = r"[-/. ]"
+# Each numeric form and how its parts make year-month-day. Only a first number that can
+# not be a month is a day.
+_NUMERIC = (
+    (rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})", "$1-$2-$3"),
+    (rf"^(0?[1-9]|1[0-2]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}})", "$3-$1-$2"),
+    (rf"^(1[3-9]|2\d|3[01]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}})", "$3-$2-$1"),
+    (r"^(0?[1-9]|1[0-2])[-/.](\d{1,2})[-/.](\d{2})", "20$3-$1-$2"),
+    (r"^(1[3-9]|2\d|3[01])[-/.](\d{1,2})[-/.](\d{2})", "20$3-$2-$1"),
+    (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
+    (r"^(\d{4})", "$1-01-01"),
+    (r"^(\d{4})-(\d{1,2})", "$1-$2-01"),
+)
+_MONTH = (
+    r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+    r"(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\.?"
+)
+_NAMED = (
+    (rf"(?i)^(?:[a-z]+,\s*)?{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})", "$2 $1 $3"),
+    (rf"(?i)^(?:[a-z]+,\s*)?(\d{{1,2}})(?:st|nd|rd|th)?[\s-]*{_MONTH},?[\s-]*(\d{{4}})", "$1 $2 $3"),
+)
 
 
 def parse_purchase_date(col: Column | str) -> Column:
@@ -21,19 +41,19 @@ def parse_purchase_date(col: Column | str) -> Column:
 def date_of(text: Column) -> Column:
     """Stripped text to date. Ambiguous day and month are read month first.
 
-    A time of day, with or without offset, is dropped: the written date counts.
-    Unreadable text gives null.
+    A time of day, with or without offset, is dropped: the written date counts. A
+    missing day or month is the first. Unreadable text gives null.
     """
 
-    def rebuilt(pattern: str, order: str) -> Column:
-        iso = F.regexp_replace(text, pattern, order).try_cast("date")
-        return F.when(text.rlike(pattern), iso)
+    def rewritten(forms: tuple, result: str) -> Column:
+        column = text
+        for pattern, order in forms:
+            column = F.regexp_replace(column, pattern + _CLOCK, order)
+        return F.regexp_extract(column, result, 0)
 
-    named = [F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in _NAMED]
+    plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+    numeric = rewritten(_NUMERIC, r"^\d{4}-\d{1,2}-\d{1,2}$").try_cast("date")
+    named = rewritten(_NAMED, r"^\d{1,2} [A-Za-z]{3} \d{4}$")
     return F.coalesce(
-        rebuilt(_YEAR_FIRST, "$1-$2-$3"),
-        rebuilt(_YEAR_LAST, "$3-$1-$2"),
-        rebuilt(_YEAR_LAST, "$3-$2-$1"),
-        rebuilt(_COMPACT, "$1-$2-$3"),
-        *named,
+        plain, numeric, F.to_date(F.try_to_timestamp(named, F.lit("d MMM yyyy")))
     )

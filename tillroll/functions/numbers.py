@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.text import strip
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,2})?$"
 
 
 def coerce_number(col: Column | str) -> Column:

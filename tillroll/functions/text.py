@@ -16,6 +16,8 @@ WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace
 # Texts that stand for "no value" in raw columns.
 MISSING_TOKENS = ("", "nan", "None", "<NA>", "NaT")
 
+_MISSING = "^(" + "|".join(MISSING_TOKENS) + ")$"
+
 # Collation under which two spellings name the same product or market:
 # case, accents and trailing spaces do not count.
 NAME_COLLATION = "UNICODE_CI_AI_RTRIM"
@@ -35,7 +37,7 @@ def strip(col: Column | str) -> Column:
 def blank_to_null(col: Column | str) -> Column:
     """Stripped text, or null where it holds one of the missing tokens."""
     text = strip(col)
-    return F.when(~text.isin(*MISSING_TOKENS), text)
+    return F.when(~text.rlike(_MISSING), text)
 
 
 def clean_name(col: Column | str) -> Column:

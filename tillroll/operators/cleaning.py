@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -45,14 +46,17 @@ def clean_purchases(
     """Typed purchase lines plus ``reject_reason``, null for lines fit for Bronze.
 
     ``strict`` fails the job on a date that cannot be read instead of setting the
-    line aside. The steps are separate projections: each text is stripped once, and
-    each step compiles to a method small enough for the JIT.
+    line aside. The steps are separate projections, so that each text is stripped only
+    once and the generated method stays small enough for the JIT.
     """
 
     def tidy(name: str) -> Column:
-        known = blank_to_null(name) if name in raw.columns else F.lit(None).cast("string")
-        return known.alias(name)
+        if name not in raw.columns:
+            return F.lit(None).cast("string").alias(name)
+        # What stands for no value is no number either.
+        return (strip(name) if name in amount_texts else blank_to_null(name)).alias(name)
 
+    amount_texts = ("quantity", "unit_price", "product_price")
     kept = [c for c in ("ingest_id",) if c in raw.columns]
     texts = raw.select(F.col("id").alias("raw_id"), *[tidy(c) for c in _TEXTS], *kept)
     day = date_of(F.col("purchase_date"))
@@ -61,10 +65,8 @@ def clean_purchases(
             F.lit("unreadable purchase_date: "), F.coalesce("purchase_date", F.lit("null"))
         )
         day = F.coalesce(day, F.raise_error(unreadable).cast("date"))
-    amount_texts = ("quantity", "unit_price", "product_price")
     typed = texts.withColumns(
         {
-            "purchase_date": day,
             "product_id": capitalised("product_id"),
             "market_id": capitalised("market_id"),
             **{c: number_of(F.col(c)) for c in amount_texts},
@@ -72,7 +74,7 @@ def clean_purchases(
     )
     amounts = reconcile_amounts(*[F.col(c) for c in amount_texts])
     stamp = F.lit(processed_at or datetime.now(tz=UTC)).cast("timestamp")
-    return typed.withColumns(amounts).select(
+    return typed.withColumns({"purchase_date": day, **amounts}).select(
         F.col("raw_id").alias("id"),
         "purchase_date",
         "product_id",
@@ -100,7 +102,9 @@ def accepted(cleaned: DataFrame) -> DataFrame:
     below them, which spares evaluating the whole cleaning a second time inside it.
     """
     counted = cleaned.observe(
-        "cleaning", F.count("*").alias("lines"), F.count("reject_reason").alias("rejects")
+        f"cleaning-{uuid.uuid4().hex[:12]}",
+        F.count("*").alias("lines"),
+        F.count("reject_reason").alias("rejects"),
     )
     return counted.where(F.col("reject_reason").isNull()).drop("reject_reason")
 

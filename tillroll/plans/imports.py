@@ -93,6 +93,9 @@ def raw_to_bronze(layers: Layers, *, strict: bool = False, resurrect: bool = Fal
         if names:
             raw = layers.scan_raw().where(F.col("ingest_id").isin(*names))
             write_new_lines(layers, raw, names, strict=strict, resurrect=resurrect)
+    if resurrect:
+        for name in pending:
+            layers.drop_deleted(name)
     after = layers.scan_bronze_exact().where(F.col("ingest_id").isin(*pending)).count()
     return after - before
 

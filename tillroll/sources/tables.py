@@ -165,10 +165,17 @@ class Layers:
 
     def drop_lines(self, ingest_id: str) -> None:
         """Remove all usable lines of an ingest."""
+        self._drop_partition("bronze_lines", ingest_id, ", rejected = false")
+
+    def drop_deleted(self, ingest_id: str) -> None:
+        """Forget which lines of an ingest were deleted by hand."""
+        self._drop_partition("bronze_deleted", ingest_id)
+
+    def _drop_partition(self, table: str, ingest_id: str, more: str = "") -> None:
         quoted = ingest_id.replace("'", "\\'")
         self.spark.sql(
-            f"ALTER TABLE {self.name('bronze', 'bronze_lines')} "
-            f"DROP IF EXISTS PARTITION (ingest_id = '{quoted}', rejected = false)"
+            f"ALTER TABLE {self.name('bronze', table)} "
+            f"DROP IF EXISTS PARTITION (ingest_id = '{quoted}'{more})"
         )
 
     def publish_silver(self, frames: dict[str, DataFrame]) -> None:

@@ -13,7 +13,7 @@ RAW = (
 
 
 def raw_line(id_, price, qty, unit, day="2026-01-15", product="Arroz", key=None, url=None):
-    return (id_, day, product, price, qty, unit, " mercado exemplo ", key, url)
+    return (id_, day, product, price, qty, unit, " feira livre ", key, url)
 
 
 CASES = [
@@ -39,7 +39,7 @@ def test_amounts_and_names(spark):
         for r in cleaned.collect()
     }
     assert got == {line[0]: expected for line, expected in CASES}
-    assert {r["market_id"] for r in cleaned.collect()} == {"Mercado Exemplo"}
+    assert {r["market_id"] for r in cleaned.collect()} == {"Feira Livre"}
 
 
 def test_dates_and_receipt_data(spark):
@@ -99,7 +99,7 @@ def test_total_is_derived_only_without_the_column(spark):
 
 def test_conform_receipt(spark):
     df = spark.createDataFrame(
-        [("x", "2026-05-24", "Maçã", "1.5"), ("y", "never", None, "a")],
+        [("x", "2026-03-09", "Pêra", "1.5"), ("y", "never", None, "a")],
         "note string, purchase_date string, product_id string, quantity string",
     )
     conformed = cleaning.conform_receipt(df)
@@ -108,7 +108,7 @@ def test_conform_receipt(spark):
         "access_key", "nfce_url", "note",
     ]
     assert rows(conformed, "purchase_date", "quantity", "unit_price") == [
-        (date(2026, 5, 24), 1.5, None), (None, None, None),
+        (date(2026, 3, 9), 1.5, None), (None, None, None),
     ]
 
 

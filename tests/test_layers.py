@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 from conftest import AS_OF, GOLDEN, LINES, rows
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tillroll.operators import edits, prices, trends
@@ -10,6 +11,7 @@ from tillroll.plans import imports
 from tillroll.plans.dashboard import load_dashboard
 from tillroll.session import fresh_path
 from tillroll.sources.tables import Layers, scan_or_empty
+from tillroll.streaming import bronze as streams
 from tillroll.streaming.bronze import raw_to_bronze_stream
 
 
@@ -142,6 +144,39 @@ def test_stream_restarts_where_it_stopped(spark, layers):
     assert len(contents(layers)) == 9
 
 
+def test_a_micro_batch_that_fails_late_is_run_again(spark, layers, monkeypatch):
+    name = fresh_path(spark, "stream").rsplit("/", 1)[1]
+    imports.ingest_to_raw(layers, as_input(spark), "csv")
+
+    def write_then_fail(*args, **kwargs):
+        imports.write_new_lines(*args, **kwargs)
+        raise RuntimeError("lost after the write")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(streams, "write_new_lines", write_then_fail)
+        with pytest.raises(StreamingQueryException):
+            raw_to_bronze_stream(layers, name)
+    raw_to_bronze_stream(layers, name)
+    assert contents(layers) == sorted(line[1:] for line in GOLDEN)
+
+
+def test_edits_that_fail_midway_can_be_run_again(spark, layers, monkeypatch):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    original, edited = edited_set(layers)
+
+    def fail(df):
+        raise RuntimeError("lost before the overwrite")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(layers, "overwrite_lines", fail)
+        with pytest.raises(RuntimeError):
+            imports.apply_edits(layers, original, edited, AS_OF)
+    assert imports.raw_to_bronze(layers) == 0
+    counts = imports.apply_edits(layers, original, edited, AS_OF)
+    assert counts == {"inserted": 1, "updated": 1, "deleted": 1}
+    assert len(contents(layers)) == 6 and imports.raw_to_bronze(layers) == 0
+
+
 def test_legacy_table_is_copied_once(spark, layers):
     assert imports.migrate_legacy(layers, layers.name("raw", "old")) == 0
     as_input(spark).write.saveAsTable(layers.name("raw", "old"))

@@ -5,20 +5,20 @@ from conftest import rows
 
 from tillroll.sources.purchases import check_purchase_columns, export_csv, scan_purchases_csv, scan_receipt_json
 
-KEY = "35240612345678000190650010000012341123456789"
+KEY = "12345678901" * 4
 
 
 def test_csv_stays_text(spark, tmp_path):
     file = tmp_path / "lines.csv"
     file.write_text(
         "purchase_date,product_id,quantity,unit_price,product_price,market_id,access_key\n"
-        f"2026-01-15,Arroz,2,8.50,17.00,Mercado Exemplo,{KEY}\n"
-        '2026-01-15,"Leite, integral",3,5.20,,Mercado Exemplo,\n'
+        f"2026-01-15,Feijão,4,3.25,13.00,Feira,{KEY}\n"
+        '2026-01-15,"Leite, integral",3,5.20,,Feira,\n'
     )
     df = scan_purchases_csv(spark, str(file))
     assert {t for _, t in df.dtypes} == {"string"}
     assert rows(df, "product_id", "product_price", "access_key") == [
-        ("Arroz", "17.00", KEY), ("Leite, integral", None, None),
+        ("Feijão", "13.00", KEY), ("Leite, integral", None, None),
     ]
 
 
@@ -31,17 +31,17 @@ def test_required_columns():
 
 
 def item(product, **more):
-    return {"purchase_date": "2026-05-24", "product_id": product, "quantity": 3, "unit_price": 5.79,
-            "product_price": 17.37, "market_id": "Atacadão", "access_key": KEY, "nfce_url": "", **more}
+    return {"purchase_date": "2026-03-09", "product_id": product, "quantity": 2, "unit_price": 4.25,
+            "product_price": 8.5, "market_id": "Feira", "access_key": KEY, "nfce_url": "", **more}
 
 
 def test_receipts_one_per_file(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps([item("Maçã"), item("Queijo")], indent=2))
+    (tmp_path / "a.json").write_text(json.dumps([item("Pêra"), item("Uva")], indent=2))
     (tmp_path / "b.json").write_text("[]")
     (tmp_path / "c.json").write_text("no receipt")
     df = scan_receipt_json(spark, str(tmp_path))
     assert sorted(rows(df, "product_id", "quantity", "product_price")) == [
-        ("Maçã", 3.0, 17.37), ("Queijo", 3.0, 17.37),
+        ("Pêra", 2.0, 8.5), ("Uva", 2.0, 8.5),
     ]
 
 
@@ -51,7 +51,7 @@ def test_receipts_one_per_line(spark, tmp_path):
     df = scan_receipt_json(spark, str(tmp_path), per_line=True)
     got = {p: more for p, *more in rows(df, "product_id", "purchase_date", "quantity", "unit_price")}
     assert set(got) == {"A", "B", "C"} and got["B"][0] is None
-    assert got["A"][1:] == [3.0, 5.79] and got["C"][1:] == [None, 5.5]
+    assert got["A"][1:] == [2.0, 4.25] and got["C"][1:] == [None, 5.5]
 
 
 def test_export_and_read_back(spark, golden, tmp_path):

@@ -44,7 +44,8 @@ def pending_ingests(layers: Layers, resurrect: bool = False) -> dict[str, bool]:
     """
     taken = layers.scan_lines().select("ingest_id")
     if not resurrect:
-        taken = taken.unionByName(layers.scan_deleted().select("ingest_id"))
+        deleted = layers.scan_deleted().select("ingest_id", "raw_id").distinct()
+        taken = taken.unionByName(deleted.select("ingest_id"))
     done = taken.groupBy("ingest_id").agg(F.count("*").alias("done"))
     given = layers.scan_raw().groupBy("ingest_id").agg(F.count("*").alias("given"))
     behind = given.join(done, "ingest_id", "left").where("done IS NULL OR done < given")

@@ -29,13 +29,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows out to all cores where the input has fewer splits than cores.
+    """Deal the rows of a small input out to the cores.
 
     The small test files are one row group each, which a single task would read and
-    then work on alone. Inputs with splits enough are left as they are.
+    then work on alone. Inputs of more than a handful of splits are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    small = df.rdd.getNumPartitions() < min(cores, 16)
+    return df.repartition(cores, key) if small else df
 
 
 def order_lines(spark: SparkSession, sf_dir: str, *joins: str) -> DataFrame:

@@ -52,6 +52,19 @@ def test_spellings_of_one_name_are_merged(spark):
     assert silver.market_stats(df, collation=None).count() == 3
 
 
+def test_lines_without_a_date(spark):
+    lines = [(1, None, "A", 1, "M"), (2, date(2026, 1, 3), "A", 2, "M"), (3, date(2026, 1, 7), "A", 4, "M")]
+    lines.append((4, None, "B", 8, "N"))
+    df = spark.createDataFrame(lines, LINES.replace("decimal(10,2)", "int"))
+    assert rows(published(silver.market_stats(df)).orderBy("market_id")) == [
+        ("M", 7.0, 3.5, 2, "2026-01-07"), ("N", 8.0, None, 0, None),
+    ]
+    stats = published(silver.product_stats(df, "2026-01-10")).orderBy("product_id")
+    assert rows(stats, "avg_days_purchase", "total_purchases") == [(4.0, 3), (None, 1)]
+    curve = recurrence.recurrence_curve(df, max_days=4)
+    assert sorted(rows(curve.where("cumulative_pct > 0"))) == [("M", 4, 1.0), ("Total", 4, 1.0)]
+
+
 def test_restock(products):
     assert rows(products.orderBy("product_id"), "product_id", "buy") == [
         ("Arroz", False), ("Cafe", False), ("Leite", True),

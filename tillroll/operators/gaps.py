@@ -48,20 +48,17 @@ def _bit_of(day: Column) -> Column:
 def day_blocks(purchases: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """(keys, block, days, first, last, n): which of 64 days a key was bought on.
 
-    ``more`` are further aggregates of the lines of a block.
+    ``more`` are further aggregates of the lines of a block. Lines without a date form a
+    block of their own, which holds no day and gives no gap.
     """
     day = F.unix_date("purchase_date")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit_of(day))
-    return (
-        purchases.where(F.col("purchase_date").isNotNull())
-        .groupBy(*keys, F.shiftright(day, _BLOCK_BITS).alias("block"))
-        .agg(
-            F.bit_or(bit).alias("days"),
-            F.min(day).alias("first"),
-            F.max(day).alias("last"),
-            F.count("*").alias("n"),
-            *more,
-        )
+    return purchases.groupBy(*keys, F.shiftright(day, _BLOCK_BITS).alias("block")).agg(
+        F.bit_or(bit).alias("days"),
+        F.min(day).alias("first"),
+        F.max(day).alias("last"),
+        F.count("*").alias("n"),
+        *more,
     )
 
 

@@ -85,7 +85,7 @@ def market_stats(purchases: DataFrame, collation: str | None = NAME_COLLATION) -
         blocks = merge_blocks(blocks, [same], F.sum("spent").alias("spent"), *names)
     per_market = blocks.groupBy(key).agg(
         F.sum("spent").alias("spent"),
-        F.sum(F.bit_count("days")).alias("visit_count"),
+        F.sum(F.coalesce(F.bit_count("days"), F.lit(0))).alias("visit_count"),
         F.max("last").alias("last"),
         *names,
     )

@@ -14,7 +14,9 @@ COLUMNS = (
 )
 
 
-def line(id_, product="Leite", price="10.00", market="M1", day=date(2026, 1, 1), qty="1", unit="10", key=None):
+def line(
+    id_, product="Leite", price="10.00", market="M1", day=date(2026, 1, 1), qty="1", unit="10", key=None
+):
     def number(v):
         return None if v is None else Decimal(v)
 
@@ -67,7 +69,8 @@ def test_changed_lines_are_cleaned(spark, original):
         COLUMNS,
     )
     result = edits.apply_purchase_edits(original.where("id = 1"), edited)
-    got = rows(result.orderBy(F.col("id").isNull()), "product_id", "quantity", "unit_price", "product_price", "market_id")
+    shown = ("product_id", "quantity", "unit_price", "product_price", "market_id")
+    got = rows(result.orderBy(F.col("id").isNull()), *shown)
     assert [tuple(map(str, r)) for r in got] == [
         ("Coca-Cola", "3.000", "5.20", "15.60", "M1"),
         ("Pão", "1.000", "9.00", "9.00", "M2"),

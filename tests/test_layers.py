@@ -20,7 +20,8 @@ def as_input(spark, lines=GOLDEN):
 
 
 def contents(layers):
-    return sorted(rows(layers.scan_bronze_exact(), "purchase_date", "product_id", "product_price", "market_id"))
+    columns = ("purchase_date", "product_id", "product_price", "market_id")
+    return sorted(rows(layers.scan_bronze_exact(), *columns))
 
 
 def test_import_and_second_run(spark, layers):
@@ -28,8 +29,10 @@ def test_import_and_second_run(spark, layers):
     assert imports.refresh_layers(layers, AS_OF) == 0
     assert contents(layers) == sorted(line[1:] for line in GOLDEN)
     assert rows(layers.scan_product_stats().where("buy"), "product_id") == [("Leite",)]
-    assert sorted(rows(layers.scan_market_stats(), "market_id", "total_spent")) == [("M1", 65.0), ("M2", 40.0)]
-    assert sorted(rows(layers.scan_monthly_spending(), "year_month", "avg_price")) == [("2026-01", 13.25), ("2026-02", 26.0)]
+    spent = rows(layers.scan_market_stats(), "market_id", "total_spent")
+    assert sorted(spent) == [("M1", 65.0), ("M2", 40.0)]
+    prices_paid = rows(layers.scan_monthly_spending(), "year_month", "avg_price")
+    assert sorted(prices_paid) == [("2026-01", 13.25), ("2026-02", 26.0)]
     assert layers.scan_bronze().dtypes[3] == ("product_price", "double")
     named = layers.name("bronze", "bronze_purchases")
     assert spark.table(named).count() == 6
@@ -66,7 +69,9 @@ def edited_set(layers):
     original = edits.editable(layers.scan_bronze_exact())
     kept = original.where("product_id != 'Cafe'").withColumn(
         "product_price",
-        F.when(F.col("purchase_date") == "2026-01-08", 11).otherwise(F.col("product_price")).cast("decimal(10,2)"),
+        F.when(F.col("purchase_date") == "2026-01-08", 11)
+        .otherwise(F.col("product_price"))
+        .cast("decimal(10,2)"),
     )
     new = original.limit(1).withColumns(
         {

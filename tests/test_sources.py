@@ -3,7 +3,12 @@ import json
 import pytest
 from conftest import rows
 
-from tillroll.sources.purchases import check_purchase_columns, export_csv, scan_purchases_csv, scan_receipt_json
+from tillroll.sources.purchases import (
+    check_purchase_columns,
+    export_csv,
+    scan_purchases_csv,
+    scan_receipt_json,
+)
 
 KEY = "12345678901" * 4
 
@@ -46,7 +51,8 @@ def test_receipts_one_per_file(spark, tmp_path):
 
 
 def test_receipts_one_per_line(spark, tmp_path):
-    lines = [json.dumps([item("A"), item("B", purchase_date="?")]), "[]", json.dumps([item("C", quantity="2,5", unit_price="5.5")])]
+    first, last = [item("A"), item("B", purchase_date="?")], [item("C", quantity="2,5", unit_price="5.5")]
+    lines = [json.dumps(first), "[]", json.dumps(last)]
     (tmp_path / "log.txt").write_text("\n".join(lines))
     df = scan_receipt_json(spark, str(tmp_path), per_line=True)
     got = {p: more for p, *more in rows(df, "product_id", "purchase_date", "quantity", "unit_price")}

@@ -179,7 +179,8 @@ def test_catalog(spark, products, golden):
     assert rows(catalog.known_products(products.limit(0), ["Pêra", "", "Uva"])) == [
         ("Pêra",), ("Uva",),
     ]
-    lines = spark.createDataFrame([(1, " café"), (2, "LEITE "), (3, "pão"), (4, None)], "id int, product_id string")
+    names = [(1, " café"), (2, "LEITE "), (3, "pão"), (4, None)]
+    lines = spark.createDataFrame(names, "id int, product_id string")
     matched = catalog.match_known_products(lines, products)
     assert sorted(rows(matched, "id", "matched_name")) == [
         (1, "Cafe"), (2, "Leite"), (3, "Pão"), (4, None),

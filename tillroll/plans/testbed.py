@@ -178,8 +178,12 @@ def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.round(_unit_price() * 100).cast("bigint")
     whole = F.floor(unit / 100)
     printed = F.concat(
-        F.when(whole >= 1000, F.concat(F.floor(whole / 1000), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0")))
-        .otherwise(whole.cast("string")),
+        F.when(
+            whole >= 1000,
+            F.concat(
+                F.floor(whole / 1000), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0")
+            ),
+        ).otherwise(whole.cast("string")),
         F.lit(","),
         F.lpad((unit % 100).cast("string"), 2, "0"),
     )

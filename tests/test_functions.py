@@ -58,6 +58,7 @@ def test_dates(spark):
         "01/02/26": date(2026, 1, 2),
         "13/02/26": date(2026, 2, 13),
         "2026-01": date(2026, 1, 1),
+        "Mar 2026": date(2026, 3, 1),
         "2026": date(2026, 1, 1),
         "13/13/2026": None,
         "2026-13-01": None,

@@ -28,9 +28,10 @@ _MONTH = (
     r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
     r"(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\.?"
 )
+_WEEKDAY, _ORDINAL = r"(?i)^(?:[a-z]+,\s*)?", r"(?:st|nd|rd|th)?"
 _NAMED = (
-    (rf"(?i)^(?:[a-z]+,\s*)?{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})", "$2 $1 $3"),
-    (rf"(?i)^(?:[a-z]+,\s*)?(\d{{1,2}})(?:st|nd|rd|th)?[\s-]*{_MONTH},?[\s-]*(\d{{4}})", "$1 $2 $3"),
+    (rf"{_WEEKDAY}{_MONTH}\s+(?:(\d{{1,2}}){_ORDINAL},?\s+)?(\d{{4}})", "$2 $1 $3"),
+    (rf"{_WEEKDAY}(\d{{1,2}}){_ORDINAL}[\s-]*{_MONTH},?[\s-]*(\d{{4}})", "$1 $2 $3"),
 )
 
 
@@ -53,7 +54,7 @@ def date_of(text: Column) -> Column:
 
     plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
     numeric = rewritten(_NUMERIC, r"^\d{4}-\d{1,2}-\d{1,2}$").try_cast("date")
-    named = rewritten(_NAMED, r"^\d{1,2} [A-Za-z]{3} \d{4}$")
+    named = rewritten(_NAMED, r"^\d{0,2} [A-Za-z]{3} \d{4}$")
     return F.coalesce(
-        plain, numeric, F.to_date(F.try_to_timestamp(named, F.lit("d MMM yyyy")))
+        plain, numeric, F.to_date(F.try_to_timestamp(named, F.lit("[d] MMM yyyy")))
     )

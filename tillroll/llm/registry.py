@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe
+from tillroll.llm import bpe, ordinal
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,5 +24,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.train(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
+    return ordinal.classify(docs, model).drop("text")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality}
 ORACLES: dict[str, str] = {}

@@ -1,23 +1,25 @@
-"""Shared folder for checkpoints, staged tables and test outputs."""
+"""The shared folder for checkpoints, staged tables and test outputs."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; on a cluster
-    a machine-local folder would be lost with the machine.
+    A session whose executors are threads of the driver (``local`` or ``local[n]``) and that
+    has no such setting gets a folder of its own. Anything else needs the setting: a folder
+    of one machine would be lost with it.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-"))
         folder = context.getCheckpointDir()
@@ -26,3 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tillroll/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared folder and read again: a short lineage that does not
+    depend on the executors that made it."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED_PIECES = 200_000
+CACHED_PIECES = 300_000
 CACHED_PAIRS = 500_000
 ROWS_AT_ONCE = 256
 
@@ -44,8 +44,9 @@ class Vocabulary:
                 self.ranks[base64.b64decode(token)] = int(rank)
         self.longest = max(map(len, self.ranks))
         self.token_bytes = {rank: token for token, rank in self.ranks.items()}
-        self.prefixes = {t[:n] for t in self.ranks for n in range(1, len(t) + 1)}
-        self._apart: dict[int, bool] = {}
+        #: every prefix of a token: its own id, or -1 if it is none
+        self.prefixes = {t[:n]: -1 for t in self.ranks for n in range(1, len(t))} | self.ranks
+        self.known_pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self.pieces = _PieceCache(self)
 
@@ -73,14 +74,11 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether the two tokens, written side by side, are encoded as themselves."""
-        key = left << 32 | right
-        known = self._apart.get(key)
-        if known is None:
-            if len(self._apart) >= CACHED_PAIRS:
-                self._apart.clear()
-            data = self.token_bytes[left] + self.token_bytes[right]
-            known = self._apart[key] = self.merged(data) == [left, right]
-        return known
+        if len(self.known_pairs) >= CACHED_PAIRS:
+            self.known_pairs.clear()
+        data = self.token_bytes[left] + self.token_bytes[right]
+        fits = self.known_pairs[left << 32 | right] = self.merged(data) == [left, right]
+        return fits
 
 
 class PrefixTable:
@@ -98,21 +96,26 @@ class PrefixTable:
         piece = self.piece = self.piece + more
         last = self.last
         last.extend([-1] * len(more))
-        ranks, prefixes, n = words.ranks, words.prefixes, len(piece)
+        prefix, pair, n = words.prefixes.get, words.known_pairs.get, len(piece)
         for start in range(max(0, old - words.longest), n):
             before = last[start]
             if start and before < 0:
                 continue
-            for end in range(start + 1, min(n, start + words.longest) + 1):
-                part = piece[start:end]
-                if part not in prefixes:
+            end = start
+            while end < n:
+                end += 1
+                token = prefix(piece[start:end])
+                if token is None:
                     break
-                if end <= old or last[end] >= 0:
+                if token < 0 or end <= old or last[end] >= 0:
                     continue
-                token = ranks.get(part)
-                if token is not None and (
-                    words.apart(before, token) if start else words.whole(token)
-                ):
+                if start:
+                    fits = pair(before << 32 | token)
+                    if fits is None:
+                        fits = words.apart(before, token)
+                else:
+                    fits = words.whole(token)
+                if fits:
                     last[end] = token
         return self
 
@@ -146,16 +149,20 @@ class PrefixTable:
 
 
 class _PieceCache(dict):
-    """Piece of text to its ids as little-endian bytes; emptied when full."""
+    """Piece of text to its ids as little-endian bytes. When full, its entries become the old
+    ones, which are taken over again as they are asked for, and the old ones before go."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = PrefixTable(self.vocabulary, piece.encode()).encoded()
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = PrefixTable(self.vocabulary, piece.encode()).encoded()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHED_PIECES:
+            self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = packed

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, ordinal
+from tillroll.llm import bpe, ordinal, rules, sharding, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,5 +30,72 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.classify(docs, model).drop("text")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality}
-ORACLES: dict[str, str] = {}
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return sharded.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.judge(docs).select("doc_id", *rules.MEASURES, "base_failed", "kept", "p_good")
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled by the row of ``labels`` of the same id: toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = ordinal.ratings(table(spark, sf_dir, "labels")).select(
+        F.col("doc_id").alias("page_id"), (F.col("grade") < 2).alias("bad")
+    )
+    mined = urls.mine(pages.join(bad, "page_id"))
+    return urls.judge(pages, mined).drop("url")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op3_shards": op3_shards,
+    "op8_rules": op8_rules,
+    "op10_urls": op10_urls,
+}
+
+#: CRC-32 of the hexadecimal digits of a text's bytes, byte by byte
+_CRC32 = """
+bits AS (SELECT list(CASE WHEN i IS NULL THEN 0 ELSE c END ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+  FROM range(256) t(i)))"""
+
+ORACLES = {
+    "op3_shards": f"""
+WITH {_CRC32},
+docs AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS g, strlen(coalesce(text, '')) + 1 AS size,
+    hex(encode(coalesce(text, ''))) AS digits FROM documents),
+sums AS (
+  SELECT doc_id, CAST(xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(digits, '..'),
+        lambda d: CAST('0x' || d AS BIGINT))),
+      lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) AS BIGINT) AS crc
+  FROM docs, bits),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY g, doc_id ROWS UNBOUNDED PRECEDING) - size AS b,
+    row_number() OVER (ORDER BY g, doc_id) AS r, sum(size) OVER () AS total,
+    sum(size) OVER (PARTITION BY g) AS gs FROM docs),
+grouped AS (SELECT *, min(b) OVER (PARTITION BY g) AS gb FROM placed),
+assigned AS (
+  SELECT doc_id, size, r, least(15, (CASE WHEN gs <= floor({sharding.TOLERANCE} * total / 16)
+    THEN 2 * gb + gs ELSE 2 * b + size END) * 16 // (2 * total)) AS shard FROM grouped)
+SELECT a.doc_id, CAST(a.size AS BIGINT) AS size, s.crc AS text_crc32, 'bytes' AS law,
+  CAST(a.shard AS INTEGER) AS shard,
+  CAST(a.r - min(a.r) OVER (PARTITION BY a.shard) AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM assigned a JOIN sums s USING (doc_id)""",
+}

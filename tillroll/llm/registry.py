@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, ordinal, rules, sharding, urls
+from tillroll.llm import bpe, near, ordinal, rules, sharding, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -43,6 +43,10 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.judge(docs).select("doc_id", *rules.MEASURES, "base_failed", "kept", "p_good")
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_shards": op3_shards,
+    "op7_near": op7_near,
     "op8_rules": op8_rules,
     "op10_urls": op10_urls,
 }

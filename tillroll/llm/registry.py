@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, near, ordinal, rules, sharding, urls
+from tillroll.llm import bpe, contain, near, ordinal, rules, sharding, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -43,6 +43,14 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contain.find(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(
+        "doc_id", "n_items", F.array_join("item_ids", ",").alias("item_ids"), "contaminated"
+    )
+
+
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -66,6 +74,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_shards": op3_shards,
+    "op4_decontaminate": op4_decontaminate,
     "op7_near": op7_near,
     "op8_rules": op8_rules,
     "op10_urls": op10_urls,
@@ -103,4 +112,31 @@ SELECT a.doc_id, CAST(a.size AS BIGINT) AS size, s.crc AS text_crc32, 'bytes' AS
   CAST(a.r - min(a.r) OVER (PARTITION BY a.shard) AS BIGINT) AS slot,
   CAST(NULL AS INTEGER) AS grown_shard
 FROM assigned a JOIN sums s USING (doc_id)""",
+    "op4_decontaminate": f"""
+WITH item_words AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'),
+    lambda w: w <> '') AS w FROM benchmark),
+items AS (
+  SELECT item_id, least(len(w), {contain.SHINGLE}) AS n, list_distinct(list_transform(
+      range(1, greatest(len(w) - {contain.SHINGLE}, 0) + 2),
+      lambda i: array_to_string(w[i : i + least(len(w), {contain.SHINGLE}) - 1], ' '))) AS g
+  FROM item_words WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM items),
+doc_words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'),
+    lambda w: w <> '') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2),
+      lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g
+    FROM doc_words, lengths WHERE len(w) >= n)),
+held AS (
+  SELECT doc_id, item_id, count(*) AS c, any_value(q) AS q
+  FROM grams JOIN (SELECT item_id, unnest(g) AS g, len(g) AS q FROM items) USING (g)
+  GROUP BY doc_id, item_id),
+found AS (SELECT doc_id, item_id FROM held WHERE 100 * c >= {contain.PERCENT} * q)
+SELECT d.doc_id, count(f.item_id) AS n_items,
+  coalesce(string_agg(f.item_id, ',' ORDER BY f.item_id), '') AS item_ids,
+  count(f.item_id) > 0 AS contaminated
+FROM documents d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id""",
 }

@@ -8,11 +8,12 @@ within MOST_ERRORS have a chunk with at most MOST_ERRORS // CHUNKS = 1 error, so
 looks itself up under every chunk with each symbol left out in turn: no pair of signatures
 within the distance is missed.
 
-Candidates are not expanded to all pairs. In each bucket the class that shares most buckets is
-the hub; the others are compared with it, and confirmed links make components. What a bucket
-then still has in different components is compared pair by pair, if sizes and signature
-distance allow a link. Every link is confirmed on the full sets. Components come from minimum
-labels passed along links, in tables, until nothing changes.
+Candidates are not expanded to all pairs. Buckets with the same members count once. A bucket is
+cut into blocks of at most about BLOCK members, and every two blocks meet in a task, which gives
+back only as many pairs as connect what lies within the signature distance. What they connect
+are the groups inside which links can be; a group is cut into blocks in the same way, and a task
+confirms links on the full sets, again only those that connect something new. Components come
+from least labels passed along links, in tables, until nothing changes.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing;
 a document with fewer words than a shingle has its whole word sequence as one; rows without
@@ -22,18 +23,19 @@ text; an empty table gives no rows; further columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import words as W
 from tillroll.session import staged
 
 SYMBOLS, CHUNKS, MOST_ERRORS = 64, 13, 25
-PLANES = 4
+BLOCK = 256
 _rng = np.random.default_rng(20_260_101)
 _FACTORS = (_rng.integers(1, 2**32, SYMBOLS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _OFFSETS = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -80,13 +82,6 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def planes(signatures: np.ndarray) -> list[np.ndarray]:
-    """The lowest bits of the symbols, SYMBOLS to a word: differing symbols differ in one."""
-    place = np.uint64(1) << np.arange(SYMBOLS, dtype=np.uint64)
-    bits = [(signatures >> np.uint16(b)) & np.uint16(1) for b in range(PLANES)]
-    return [(x.astype(np.uint64) * place).sum(axis=1, dtype=np.uint64).view(np.int64) for x in bits]
-
-
 def _described(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, the set's digest and signature of every row."""
 
@@ -136,50 +131,85 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
-def _compact(classes: DataFrame) -> DataFrame:
-    """(node, size, p0..): what the safe filters on pairs need."""
-    names = [f"p{b}" for b in range(PLANES)]
-
-    def run(batches):
-        for batch in batches:
-            found = planes(_matrix(batch))
-            yield pa.RecordBatch.from_arrays(
-                [batch["node"], batch["n_shingles"], *map(pa.array, found)],
-                names=["node", "size", *names],
-            )
-
-    return classes.select("node", "n_shingles", "signature").mapInArrow(
-        run, "node long, size long, " + ", ".join(f"{n} long" for n in names)
+def _blocked(rows: DataFrame, group: str) -> DataFrame:
+    """Rows with n, the size of their group, in every pair of blocks (low, high) they meet in."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return (
+        rows.withColumn("blocks", blocks)
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("low", F.least("own", "other"))
+        .withColumn("high", F.greatest("own", "other"))
+        .drop("n", "blocks", "other")
+        .repartition(group, "low", "high")
+        .sortWithinPartitions(group, "low", "high")
     )
 
 
-def _may_link(percent: int) -> Column:
-    """What holds for every similar pair a, b: sizes near enough, few symbols different."""
-    differ = F.col("a.p0").bitwiseXOR(F.col("b.p0"))
-    for b in range(1, PLANES):
-        differ = differ.bitwiseOR(F.col(f"a.p{b}").bitwiseXOR(F.col(f"b.p{b}")))
-    small, large = (f("a.size", "b.size") for f in (F.least, F.greatest))
-    return (100 * small >= percent * large) & (F.bit_count(differ) <= MOST_ERRORS)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+def _connected(rows: DataFrame, group: str, percent: int, confirm: bool) -> DataFrame:
+    """Pairs (u, v) that connect the members of each block pair which may be linked, or which
+    are, if ``confirm`` (full sets are then in column ``set``); at most one less than members."""
 
     def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                kept = []
-                for a, b in zip(batch["set_u"].to_pylist(), batch["set_v"].to_pylist(), strict=True):
-                    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    kept.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+        for block in _runs_of(batches, (group, "low", "high")):
+            signatures = np.frombuffer(
+                b"".join(block["signature"].to_pylist()), np.uint16
+            ).reshape(-1, SYMBOLS)
+            sizes = block["n_shingles"].to_numpy(zero_copy_only=False)
+            own = block["own"].to_numpy(zero_copy_only=False)
+            within = block["low"][0] == block["high"][0]
+            sets = [np.frombuffer(x, np.uint64) for x in block["set"].to_pylist()] if confirm else None
+            root = np.arange(len(sizes))
+            found = []
+            for a in range(len(sizes) - 1):
+                later = np.arange(a + 1, len(sizes))
+                later = later[root[later] != root[a]]
+                if not within:
+                    later = later[own[later] != own[a]]
+                small, large = np.minimum(sizes[later], sizes[a]), np.maximum(sizes[later], sizes[a])
+                later = later[100 * small >= percent * large]
+                errors = (signatures[later] != signatures[a]).sum(axis=1)
+                near_by = errors <= MOST_ERRORS
+                later = later[near_by][np.argsort(errors[near_by], kind="stable")]
+                while len(later):
+                    b, later = later[0], later[1:]
+                    if confirm:
+                        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if 100 * both < percent * (sizes[a] + sizes[b] - both):
+                            continue
+                    found.append((a, b))
+                    root[root == root[b]] = root[a]
+                    later = later[root[later] != root[a]]
+            if found:
+                nodes = block["node"].to_numpy(zero_copy_only=False)
+                u, v = np.array(found).T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"]
+                )
 
-    joined = pairs.join(
-        sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u"
-    ).join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
-    return joined.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def _runs_of(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted batches, one batch for each run of equal keys of two rows or more."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        edge = np.zeros(batch.num_rows - 1, bool)
+        for key in keys:
+            column = batch[key].to_numpy(zero_copy_only=False)
+            edge |= column[1:] != column[:-1]
+        ends = [0, *(np.nonzero(edge)[0] + 1).tolist()]
+        for start, end in zip(ends, ends[1:], strict=False):
+            if end - start > 1:
+                yield batch.slice(start, end - start)
+        held = batch.slice(ends[-1])
+    if held is not None and held.num_rows > 1:
+        yield held
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -235,51 +265,22 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared"
     )
     members = staged(keyed.join(shared, "key").distinct(), "members")
-    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    hubs = (
-        members.join(degrees, "node")
-        .groupBy("key")
-        .agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
-    )
-    with_hub = members.join(hubs, "key")
-    compact = staged(_compact(classes), "compact")
-    star = with_hub.filter("node != hub").select("node", "hub").distinct()
-    star = (
-        star.select(F.col("hub").alias("u"), F.col("node").alias("v"))
-        .join(compact.withColumnRenamed("node", "u").alias("a"), "u")
-        .join(compact.withColumnRenamed("node", "v").alias("b"), "v")
-        .filter(_may_link(percent))
-        .select("u", "v")
-    )
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = staged(_sets(docs.join(involved, "doc_id"), n), "sets")
-    links = staged(_confirmed(star, sets, percent), "star-links")
-    first = components(links)
-    # buckets that still hold several components: what lies in different ones is compared
-    placed = members.join(first, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
-    )
-    open_keys = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .filter("least != most")
-        .select("key")
-    )
-    rest = staged(placed.join(open_keys, "key").join(compact, "node"), "open")
-    a, b = rest.alias("a"), rest.alias("b")
-    cross = (
-        a.join(
-            b,
-            (F.col("a.key") == F.col("b.key"))
-            & (F.col("a.node") < F.col("b.node"))
-            & (F.col("a.component") != F.col("b.component"))
-            & _may_link(percent),
-        )
-        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        .distinct()
+    # buckets with the same members count once
+    prints = members.groupBy("key", "n").agg(
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"),
     )
-    more = staged(_confirmed(cross, sets, percent), "cross-links")
-    found = components(links.unionByName(more), "final") if more.limit(1).count() else first
+    chosen = prints.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    described_nodes = classes.select("node", "n_shingles", "signature")
+    rows = members.join(chosen, "key").join(described_nodes, "node")
+    near_by = staged(_connected(_blocked(rows, "key"), "key", percent, False).distinct(), "near-by")
+    within = components(near_by, "groups").withColumnRenamed("component", "group")
+    sizes = within.groupBy("group").agg(F.count("*").alias("n"))
+    placed = staged(within.join(sizes, "group"), "placed")
+    full = _sets(docs.join(placed.select(F.col("node").alias("doc_id")), "doc_id"), n)
+    rows = placed.join(described_nodes, "node").join(full, "node")
+    links = _connected(_blocked(rows, "group"), "group", percent, True)
+    found = components(links)
     nodes = classes.select("set", "node").join(found, "node", "left").select(
         "set", F.coalesce("component", "node").alias("component")
     )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, contain, near, ordinal, rules, sharding, urls
+from tillroll.llm import bpe, contain, licences, near, ordinal, rules, sharding, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -51,6 +51,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, *licences.train(docs))
+
+
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_shards": op3_shards,
     "op4_decontaminate": op4_decontaminate,
+    "op6_licences": op6_licences,
     "op7_near": op7_near,
     "op8_rules": op8_rules,
     "op10_urls": op10_urls,

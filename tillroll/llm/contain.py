@@ -80,7 +80,8 @@ def search(
 ) -> DataFrame:
     """(digest, item_ids) of the texts that hold an item, by the MD5 of the text.
 
-    ``docs`` has text, ``benchmark`` item_id and text.
+    ``docs`` has text, ``benchmark`` item_id and text. The outer form of explode keeps the
+    optimizer from adding a filter that splits the text anew for every shingle.
     """
     by_text = benchmark.select("item_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("item"))
     items = staged(_items(by_text.select("item", "text"), percent), "items")
@@ -89,11 +90,11 @@ def search(
     split = docs.select(digest.alias("digest"), words(F.col("text")).alias("words"))
     all_runs = [_runs(n) for n in lengths] or [F.array().cast("array<bigint>")]
     runs = split.select("digest", F.array_distinct(F.concat(*all_runs)).alias("runs"))
-    sized = runs.select("digest", F.size("runs").alias("size"), F.explode("runs").alias("h"))
+    sized = runs.select("digest", F.size("runs").alias("size"), F.explode_outer("runs").alias("h"))
 
     # one lookup for each sketch value, with the least size of document that it can be in
     sketches = staged(
-        items.select("size_class", "item", "need", F.explode("sketch").alias("h")), "sketches"
+        items.select("size_class", "item", "need", F.explode_outer("sketch").alias("h")), "sketches"
     )
     values = staged(sketches.groupBy("h").agg(F.min("need").alias("least")), "values")
     hits = sized.join(values, "h").filter("size >= least").select("digest", "size", "h").distinct()
@@ -108,9 +109,9 @@ def search(
     full = (
         whole.dropDuplicates(["digest"])
         .select("digest", words(F.col("text")).alias("words"))
-        .select("digest", F.explode(F.array_distinct(F.concat(*all_runs))).alias("h"))
+        .select("digest", F.explode_outer(F.array_distinct(F.concat(*all_runs))).alias("h"))
     )
-    wanted = items.select("item", F.explode("shingles").alias("h"))
+    wanted = items.select("item", F.explode_outer("shingles").alias("h"))
     confirmed = (
         full.join(wanted, "h")
         .join(candidates, ["digest", "item"])

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, contain, licences, near, ordinal, rules, sharding, urls
+from tillroll.llm import bpe, contain, licences, near, ordinal, repeats, rules, sharding, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def span_sum(spans: str) -> Column:
+    lengths = F.transform(spans, lambda s: (s["end"] - s["start"]).cast("long"))
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda total, n: total + n)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +70,13 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs).select("doc_id", *rules.MEASURES, "base_failed", "kept", "p_good")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove(docs).select(
+        "doc_id", "n_words", span_sum("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by the row of ``labels`` of the same id: toxic or of low quality."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -83,6 +95,7 @@ QUERIES = {
     "op6_licences": op6_licences,
     "op7_near": op7_near,
     "op8_rules": op8_rules,
+    "op9_repeats": op9_repeats,
     "op10_urls": op10_urls,
 }
 

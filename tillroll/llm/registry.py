@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, contain, licences, near, ordinal, repeats, rules, sharding, urls
+from tillroll.llm import bpe, contain, licences, near, ordinal, repeats, rules, sharding, suffixes, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,6 +56,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove(docs).select(
+        "doc_id",
+        "n_bytes",
+        span_sum("spans").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.scan(docs, *licences.train(docs))
@@ -92,6 +103,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_shards": op3_shards,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffixes": op5_suffixes,
     "op6_licences": op6_licences,
     "op7_near": op7_near,
     "op8_rules": op8_rules,

@@ -91,8 +91,8 @@ def test_nulls_empty_long_and_extra_columns(spark, theirs):
     assert len(coded) == 5 and {r.tokens for r in coded} == {None, "a", "b", ""}
     empty = bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN)
     assert empty.count() == 0
-    with pytest.raises(ValueError, match="exist"):
-        bpe.encode(df.withColumnRenamed("tokens", "IDS"), PATH, public_tokenizers.PATTERN)
+    clash = bpe.encode(df.withColumnRenamed("tokens", "IDS"), PATH, public_tokenizers.PATTERN)
+    assert clash.columns == ["doc_id", "text", "ids", "n_tokens"] and clash.count() == 5
 
 
 def test_append_operator(spark, theirs):

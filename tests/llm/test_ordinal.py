@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tillroll.llm import ordinal
@@ -58,8 +57,9 @@ def test_edge_cases(spark):
     again = ordinal.classify(docs, two).collect()
     assert [r.p_accept for r in again if r.doc_id == 3][0] > 0.5
     assert ordinal.classify(docs.limit(0), two).count() == 0
-    with pytest.raises(ValueError, match="exist"):
-        ordinal.classify(docs.withColumnRenamed("grade", "P_Accept"), two)
+    clash = ordinal.classify(docs.withColumnRenamed("grade", "P_Accept"), two)
+    assert clash.columns == ["doc_id", "text", "expected_grade", "p_accept", "accepted"]
+    assert clash.count() == 5
 
 
 def test_query_rejects_toxic_and_keeps_clean(spark):

@@ -2,7 +2,6 @@ import random
 import re
 from itertools import combinations
 
-import pytest
 from pyspark.sql import functions as F
 
 from tillroll.llm import urls
@@ -53,8 +52,9 @@ def test_odd_urls(spark):
         host, path, rule, verdict = by_hand(r.url)
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or "allow"), r.url
     assert urls.judge(pages.limit(0), mined).count() == 0
-    with pytest.raises(ValueError, match="exist"):
-        urls.judge(pages.withColumnRenamed("page_id", "Verdict"), mined)
+    clash = urls.judge(pages.withColumnRenamed("page_id", "Verdict"), mined)
+    assert clash.columns == ["url", "host", "path", "rule", "verdict", "mined_confidence"]
+    assert set(clash.select("verdict").distinct().toPandas()["verdict"]) == {"allow", "block"}
 
 
 def test_mined_rules_match_brute_force(spark):

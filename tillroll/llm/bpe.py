@@ -11,7 +11,7 @@ a token's own bytes do not merge into it can leave a gap in the array; such a pi
 directly.
 
 Defined results: a null text is encoded as an empty one; null ids decode to an empty text;
-extra columns are kept; an output name that is taken raises.
+extra columns are kept, but for those that have the name of an added one: it replaces them.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.llm.frames import without
+
 CACHED_PIECES = 300_000
 CACHED_PAIRS = 500_000
 ROWS_AT_ONCE = 256
@@ -250,9 +252,6 @@ def _read(path: str) -> bytes:
 
 
 def _schema(df: DataFrame, *added: T.StructField) -> T.StructType:
-    taken = {c.lower() for c in df.columns} & {f.name.lower() for f in added}
-    if taken:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
     return T.StructType([*df.schema.fields, *added])
 
 
@@ -278,6 +277,7 @@ def encode(
 ) -> DataFrame:
     """Add the ids of each whole text, as little-endian unsigned 32-bit integers, and their
     number. Each match of ``pattern`` is encoded separately, without special tokens."""
+    df = without(df, ids, n_tokens)
     shared = df.sparkSession.sparkContext.broadcast(_read(rank_path))
 
     def run(batches):
@@ -305,6 +305,7 @@ def decode(
     df: DataFrame, rank_path: str, ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
     """Add the bytes that the ids stand for."""
+    df = without(df, decoded)
     shared = df.sparkSession.sparkContext.broadcast(_read(rank_path))
 
     def run(batches):
@@ -328,6 +329,7 @@ def append_text(
     ids: str = "ids",
 ) -> DataFrame:
     """Add the ids of ``text`` followed by ``more``: the prefix table of the text is kept."""
+    df = without(df, ids)
     shared = df.sparkSession.sparkContext.broadcast(_read(rank_path))
 
     def run(batches):

@@ -252,7 +252,4 @@ def finished(
 
 
 def result_schema(df: DataFrame, added: list[T.StructField]) -> T.StructType:
-    taken = {c.lower() for c in df.columns} & {f.name.lower() for f in added}
-    if taken:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
     return T.StructType([*df.schema.fields, *added])

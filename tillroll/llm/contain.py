@@ -18,8 +18,8 @@ is a shuffle join.
 
 Defined results: a null or empty text holds nothing; equal texts have equal results, also in
 repeated rows and rows without an id; repeated items count once for each id; an empty table of
-documents gives no rows, an empty one of items finds nothing; columns named like the added
-ones raise.
+documents gives no rows, an empty one of items finds nothing; ``find`` carries no further
+columns, ``clean`` carries all.
 """
 
 from __future__ import annotations
@@ -126,17 +126,12 @@ def search(
 
 
 def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Add n_items, item_ids (ascending) and contaminated; the text is not carried."""
-    added = ("digest", "n_items", "item_ids", "contaminated")
-    taken = {c.lower() for c in docs.columns} & set(added)
-    if taken:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
+    """doc_id, n_items, item_ids (ascending) and contaminated of each document."""
     found = search(docs, benchmark, percent)
     digest = F.md5(F.coalesce("text", F.lit("")))
     none = F.array().cast("array<bigint>")
     return (
-        docs.withColumn("digest", digest)
-        .drop("text")
+        docs.select("doc_id", digest.alias("digest"))
         .join(found, "digest", "left")
         .withColumn("item_ids", F.coalesce(F.col("item_ids").cast("array<bigint>"), none))
         .withColumn("n_items", F.size("item_ids").cast("long"))
@@ -147,6 +142,6 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataF
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    found = search(docs, benchmark, percent).select(F.col("digest").alias("_digest"))
-    digest = F.md5(F.coalesce("text", F.lit("")))
-    return docs.join(found, digest == F.col("_digest"), "left_anti")
+    found = search(docs, benchmark, percent).select("digest").alias("found")
+    digest = F.md5(F.coalesce("d.text", F.lit("")))
+    return docs.alias("d").join(found, digest == F.col("found.digest"), "left_anti")

@@ -16,7 +16,8 @@ all ratings. Everything else covers all rows.
 Defined results: a null or empty text has no features and so the score of the intercept; a
 rating of a document that is absent is ignored, of several ratings of one document the lowest
 counts; without ratings, or with one grade only, every document is accepted at its highest
-grade with probability 1.
+grade with probability 1. Extra columns are kept, but for those that have the name of an added
+one: it replaces them.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.llm.frames import without
+
 WORD_BITS, SHAPE_BITS = 18, 12
 N_FEATURES = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 1
 SHAPE_SCALE = 15.0
@@ -227,9 +230,7 @@ def classify(
 ) -> DataFrame:
     """Add expected_grade, p_accept = P(grade >= accepted_grade), and accepted (p >= 1/2)."""
     added = {"expected_grade": T.DoubleType(), "p_accept": T.DoubleType()}
-    taken = {c.lower() for c in df.columns} & {*added, "accepted"}
-    if taken:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
+    df = without(df, *added, "accepted")
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added.items())])
 

@@ -12,8 +12,8 @@ Blocks and windows are exchanged as sorted values between chunks (see ``chunks``
 whose whole text a smaller id has too are settled by that alone.
 
 Defined results: a null text is an empty one; rows without an id are kept whole and no source
-of repeats; rows that share an id are not earlier than each other; extra columns are kept, and
-added names that are taken raise; an empty table gives no rows.
+of repeats; rows that share an id are not earlier than each other; extra columns are kept, but
+for those that have the name of an added one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ from tillroll.llm.chunks import (
     runs,
     sent_values,
 )
+from tillroll.llm.frames import without
 from tillroll.session import staged
 
 WINDOW, BLOCK = 20, 10
@@ -171,6 +172,7 @@ def _cut(text: bytes, mask: np.ndarray | bool | None) -> tuple:
 def remove(docs: DataFrame) -> DataFrame:
     """Add n_words, spans (maximal removed runs of words) and kept (the other words, joined by
     one space) to ``docs`` (doc_id, text and other columns); the text itself is not carried."""
+    docs = without(docs, "n_words", "spans", "kept")
     schema = result_schema(
         docs.drop("text"),
         [

@@ -6,7 +6,7 @@ rule votes on good and on bad documents, and the posterior probability of being
 
 Defined results: a null text counts as an empty one; an empty text has no words and fails the
 base rules; a rule whose measure is undefined abstains; repeated rows are judged each; an empty
-table gives no rows; columns named like the added ones raise.
+table gives no rows; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -63,11 +63,8 @@ def _repeat_words() -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measures of each whole text to the other columns."""
-    taken = {c.lower() for c in docs.columns} & {*MEASURES, *_EXTRA}
-    if taken:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
-    others = [c for c in docs.columns if c != text]
+    """doc_id and the measures of each whole text."""
+    others = ["doc_id"]
     whole = F.coalesce(F.col(text), F.lit(""))
     split = docs.select(
         *others,
@@ -169,7 +166,7 @@ def posteriors(counts: dict[int, int], n_rules: int, rounds: int = 50) -> dict[i
 def judge(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 ) -> DataFrame:
-    """Add measures, votes, base_failed, p_good and kept; the text itself is not carried."""
+    """doc_id, the measures, votes, base_failed, p_good and kept."""
     measured = staged(measure(docs, text).withColumn("votes", pattern(rules)), "measured")
     counts = dict(measured.groupBy("votes").count().collect())  # at most 3 ** rules
     spark = docs.sparkSession

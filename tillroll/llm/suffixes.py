@@ -25,8 +25,8 @@ that differ, which are compared in one task, are bytes that differ within LENGTH
 Documents whose whole text a smaller id has too are settled by that alone.
 
 Defined results: a null text is an empty one; rows without an id are kept whole and no source of
-repeats; rows that share an id are no source for each other; extra columns are kept, and added
-names that are taken raise; an empty table gives no rows.
+repeats; rows that share an id are no source for each other; extra columns are kept, but
+for those that have the name of an added one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ from tillroll.llm.chunks import (
     sent_values,
     unpacked,
 )
+from tillroll.llm.frames import without
 from tillroll.llm.repeats import SPANS
 from tillroll.session import staged
 
@@ -376,6 +377,7 @@ def remove(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     """Add n_bytes, spans (maximal removed runs of bytes) and kept (the other bytes) to ``docs``
     (doc_id, text and other columns); the text itself is not carried."""
     spark = docs.sparkSession
+    docs = without(docs, "n_bytes", "spans", "kept")
     schema = result_schema(
         docs.drop("text"),
         [

@@ -8,7 +8,8 @@ Rules given by hand come first; the longest that fits decides.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no tokens, and
 is allowed unless a rule fits; repeated URLs are judged alike; without labels there are no mined
-rules; an empty table gives no rows; columns named like the added ones raise.
+rules; an empty table gives no rows; extra columns are kept, but for those that have the
+name of an added one: it replaces them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.frames import without
 from tillroll.session import staged
 
 MIN_SHARE, MIN_COUNT, MIN_CONFIDENCE = 0.005, 20, 0.6
@@ -148,9 +150,7 @@ def judge(
 ) -> DataFrame:
     """Add host, path, rule, verdict and the confidence of the mined rule that fits best."""
     added = ("host", "path", "rule", "verdict", "mined_confidence")
-    taken = {c.lower() for c in pages.columns} & set(added)
-    if taken:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
+    pages = without(pages, *added, "_given")
     urls = (
         pages.select("url")
         .filter(F.col("url").isNotNull())

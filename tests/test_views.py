@@ -62,7 +62,7 @@ def test_lines_without_a_date(spark):
     stats = published(silver.product_stats(df, "2026-01-10")).orderBy("product_id")
     assert rows(stats, "avg_days_purchase", "total_purchases") == [(4.0, 3), (None, 1)]
     curve = recurrence.recurrence_curve(df, max_days=4)
-    assert sorted(rows(curve.where("cumulative_pct > 0"))) == [("M", 4, 1.0), ("Total", 4, 1.0)]
+    assert sorted(rows(curve.where("cumulative_pct > 0").drop("is_whole"))) == [("M", 4, 1.0), ("Total", 4, 1.0)]
 
 
 def test_restock(products):
@@ -140,7 +140,7 @@ def test_one_month_has_no_change(monthly):
 
 def test_recurrence(golden):
     curve = recurrence.recurrence_curve(golden).cache()
-    points = {(s, d): p for s, d, p in rows(curve)}
+    points = {(s, d): p for s, d, p in rows(curve.drop("is_whole"))}
     assert len(points) == 122
     assert [points["Total", d] for d in (6, 7, 14, 31)] == [0.0, 1 / 3, 2 / 3, 1.0]
     assert [points["M1", d] for d in (20, 21, 31)] == [0.0, 0.5, 1.0]
@@ -148,12 +148,28 @@ def test_recurrence(golden):
     assert rows(recurrence.scope_list(curve)) == [("Total",), ("M1",)]
     assert rows(recurrence.median_repurchase_days(curve.where("days < 10"))) == [(None,)]
     short = recurrence.recurrence_curve(golden, max_days=10).where("scope = 'Total'")
-    assert [p for _, d, p in sorted(rows(short))] == [0.0] * 7 + [1 / 3] * 4
+    assert [p for _, d, p in sorted(rows(short.drop("is_whole")))] == [0.0] * 7 + [1 / 3] * 4
     chosen = recurrence.curve_for_scopes(golden)
     assert {r[0] for r in rows(chosen, "scope")} == {"Total", "M1"}
     assert {r[0] for r in rows(recurrence.curve_for_scopes(golden, ["M1"]), "scope")} == {"M1"}
 
 
+def test_a_market_called_like_the_whole_set(golden):
+    """Its gaps stay apart from those of the whole set."""
+    plain = recurrence.recurrence_curve(golden)
+    named = golden.replace("M1", "Total", "market_id")
+    curve = recurrence.recurrence_curve(named)
+
+    def points(df, whole):
+        return sorted(rows(df.where(F.col("is_whole") == whole), "days", "cumulative_pct"))
+
+    assert points(curve, True) == points(plain, True)
+    assert points(curve, False) == points(plain, False)
+    assert rows(recurrence.median_repurchase_days(curve)) == [(14.0,)]
+    assert rows(recurrence.scope_list(curve)) == [("Total",), ("Total",)]
+    assert recurrence.curve_for_scopes(named).count() == curve.count()
+
+
 def test_headlines(products, market, monthly, golden):
     assert rows(trends.kpi_summary(products, market, monthly)) == [
         ("2026-02", 52.0, pytest.approx(-1 / 53), "neutral", 105.0, 2, 5, 21.0, 1, 3)

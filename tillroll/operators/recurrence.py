@@ -17,29 +17,32 @@ def market_blocks(purchases: DataFrame) -> DataFrame:
 
 
 def gap_histogram(blocks: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
-    """(scope, gap, n) for the whole set and for each market; longer gaps share one bar.
+    """(scope, is_whole, gap, n) for the whole set and each market; longer gaps share one bar.
 
     The whole set counts gaps between purchases of a product anywhere, a market only
-    those within it, so one is not the sum of the others.
+    those within it, so one is not the sum of the others. ``is_whole`` tells the whole set
+    from a market that bears its name.
     """
     overall = block_gaps(merge_blocks(blocks, ["product_id"]), ["product_id"])
     by_market = block_gaps(blocks, ["market_id", "product_id"])
-    gaps = overall.select(F.lit(TOTAL).alias("scope"), "gap", "n").unionByName(
-        by_market.select(F.col("market_id").alias("scope"), "gap", "n")
+    gaps = overall.select(
+        F.lit(TOTAL).alias("scope"), F.lit(True).alias("is_whole"), "gap", "n"
+    ).unionByName(
+        by_market.select(F.col("market_id").alias("scope"), F.lit(False).alias("is_whole"), "gap", "n")
     )
     bar = F.least("gap", F.lit(max_days + 1))
-    return gaps.groupBy("scope", bar.alias("gap")).agg(F.sum("n").alias("n"))
+    return gaps.groupBy("scope", "is_whole", bar.alias("gap")).agg(F.sum("n").alias("n"))
 
 
 def recurrence_curve(purchases: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
-    """(scope, days, cumulative_pct) for days 0..max_days of every scope with a gap."""
+    """(scope, is_whole, days, cumulative_pct) for days 0..max_days of scopes with a gap."""
     return curve_of(market_blocks(purchases), max_days)
 
 
 def curve_of(blocks: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
     per_scope = (
         gap_histogram(blocks, max_days)
-        .groupBy("scope")
+        .groupBy("scope", "is_whole")
         .agg(
             F.sum("n").alias("total"),
             # At most max_days + 2 bars per scope.
@@ -47,7 +50,11 @@ def curve_of(blocks: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
         )
     )
     spine = per_scope.select(
-        "scope", "total", "bars", F.explode(F.sequence(F.lit(0), F.lit(max_days))).alias("days")
+        "scope",
+        "is_whole",
+        "total",
+        "bars",
+        F.explode(F.sequence(F.lit(0), F.lit(max_days))).alias("days"),
     )
     reached = F.aggregate(
         F.col("bars"),
@@ -56,6 +63,7 @@ def curve_of(blocks: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
     )
     return spine.select(
         "scope",
+        "is_whole",
         "days",
         (reached.cast("double") / F.col("total").cast("double")).alias("cumulative_pct"),
     )
@@ -63,7 +71,7 @@ def curve_of(blocks: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
 
 def median_repurchase_days(curve: DataFrame) -> DataFrame:
     """One row: the first day at which half of all repurchases have happened, or null."""
-    reached = curve.where((F.col("scope") == TOTAL) & (F.col("cumulative_pct") >= 0.5))
+    reached = curve.where(F.col("is_whole") & (F.col("cumulative_pct") >= 0.5))
     return reached.agg(F.min("days").cast("double").alias("median_days"))
 
 
@@ -78,23 +86,18 @@ def market_frequency(purchases: DataFrame, weight: str | None = None) -> DataFra
 
 
 def default_scopes(blocks: DataFrame, curve: DataFrame, top: int = 3) -> DataFrame:
-    """The whole set plus the busiest markets that have a curve, at most top + 1 rows.
-
-    A market that happens to bear the name of the whole set is taken out after the
-    limit: before it, the filter would reach the scan and keep it from being shared.
-    """
+    """The whole set plus the busiest markets that have a curve, at most top + 1 rows."""
     markets = (
         market_frequency(blocks, "n")
         .withColumnRenamed("market_id", "scope")
-        .join(curve.select("scope").distinct(), "scope", "left_semi")
-        .orderBy(F.desc("lines"), "scope")
-        .limit(top + 1)
-        .where(F.col("scope") != TOTAL)
+        .join(curve.where(~F.col("is_whole")).select("scope").distinct(), "scope", "left_semi")
         .orderBy(F.desc("lines"), "scope")
         .limit(top)
-        .select("scope")
+        .select("scope", F.lit(False).alias("is_whole"))
+    )
+    whole = curve.sparkSession.range(1).select(
+        F.lit(TOTAL).alias("scope"), F.lit(True).alias("is_whole")
     )
-    whole = curve.sparkSession.range(1).select(F.lit(TOTAL).alias("scope"))
     return whole.unionByName(markets)
 
 
@@ -105,9 +108,11 @@ def curve_for_scopes(
     curve = curve_of(blocks, max_days)
     if scopes is not None:
         return curve.where(F.col("scope").isin(*scopes))
-    return curve.join(F.broadcast(default_scopes(blocks, curve)), "scope", "left_semi")
+    chosen = F.broadcast(default_scopes(blocks, curve))
+    return curve.join(chosen, ["scope", "is_whole"], "left_semi")
 
 
 def scope_list(curve: DataFrame) -> DataFrame:
     """Distinct scopes, the whole set first."""
-    return curve.select("scope").distinct().orderBy(F.col("scope") != TOTAL, "scope")
+    scopes = curve.select("scope", "is_whole").distinct()
+    return scopes.orderBy(F.desc("is_whole"), "scope").select("scope")

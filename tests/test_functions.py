@@ -147,3 +147,40 @@ def test_receipt_keys_and_urls(spark):
     assert values(spark, items, receipts.clean_access_key("s")) == [key, key] + [None] * 4
     urls = ["https://a.b/c?p=1|2", "http://a.b/c?x=1&p=2", "ftp://a?p=1", "https://a/?xp=1", "", None]
     assert values(spark, urls, receipts.valid_receipt_url("s")) == [True, True] + [False] * 4
+
+
+def test_two_digit_years_and_short_named_dates(spark):
+    cases = {
+        "01/02/99": date(1999, 1, 2), "31/12/98": date(1998, 12, 31), "01/02/26": date(2026, 1, 2),
+        "15-Jan-26": date(2026, 1, 15), "15 mar 99": date(1999, 3, 15), "Jan 5, 26": date(2026, 1, 5),
+        "JANUARY 5 2026": date(2026, 1, 5), "sept 3, 2026": date(2026, 9, 3), "Janch 5 2026": None,
+        "Marly 5 2026": None,
+    }
+    assert values(spark, list(cases), dates.parse_purchase_date("s")) == list(cases.values())
+
+
+def test_receipt_packs_totals_and_prices(spark):
+    lines = {
+        "SUCO 2X500ML 3 x 4,50": (3.0, 4.5, None, True),
+        "AGUA 12X350ML 1 x 39,90 39,90": (1.0, 39.9, 39.9, True),
+        "QUEIJO 0,250 kg x R$ 40,00 R$ 10,00": (0.25, 40.0, 10.0, True),
+        "PAO 7,25": (1.0, None, 7.25, True),
+        "SEM PRECO 2X500ML": (1.0, None, None, False),
+        "13 x 1.030,00 13.390,00": (13.0, 1030.0, 13390.0, True),
+    }
+    columns = [f("s") for f in (
+        receipts.line_quantity, receipts.line_unit_price, receipts.line_total, receipts.shows_price
+    )]
+    for k, column in enumerate(columns):
+        assert values(spark, list(lines), column) == [v[k] for v in lines.values()]
+    assert values(spark, ["SUCO 2X500ML", "AGUA 12 X 1,5L"], receipts.strip_pack_size("s")) == ["SUCO", "AGUA"]
+
+
+def test_products_that_begin_like_other_lines(spark):
+    kinds = {
+        "TOTAL FLEX 1 x 5,00": True, "PIX DOCE 200G 3,00": True, "CARTAO POSTAL 2 x 1,50": True,
+        "TOTAL 10,00": False, "Subtotal: R$ 9,00": False, "CARTÃO DE CRÉDITO 50,00": False,
+        "VALOR A PAGAR R$ 1,00": False, "QTD. TOTAL DE ITENS 5": False, "TROCO": False,
+        "CPF CONSUMIDOR: 123.456.789-00": False,
+    }
+    assert values(spark, list(kinds), receipts.is_product_line("s")) == list(kinds.values())

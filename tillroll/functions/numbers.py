@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.text import strip
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,2})?$"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"
 
 
 def coerce_number(col: Column | str) -> Column:
@@ -17,7 +17,8 @@ def coerce_number(col: Column | str) -> Column:
 def number_of(text: Column) -> Column:
     """Stripped text to double, anything that is not a plain number to null.
 
-    The pattern keeps out what a bare cast to double takes: ``5d``, ``5f``, ``nan``, ``inf``.
+    The pattern keeps out what a bare cast to double takes: ``5d``, ``5f``, ``nan``, ``inf``;
+    an exponent has three digits at most, which covers every double.
     """
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from tillroll.functions.numbers import coerce_number
 from tillroll.functions.text import strip
 
-_AMOUNT = r"([0-9][0-9.]*(?:,[0-9]+)?)"
-_QTY_TIMES_UNIT = rf"(?i){_AMOUNT}\s*(?:kg|g|un|l|ml)?\s*[x*]\s*(?:R\$\s*)?{_AMOUNT}"
-
-# Words that open a receipt line which is not a product.
+_QUANTITY = r"(?<![0-9.,])([0-9][0-9.]*(?:,[0-9]+)?)"
+_PRICE = r"([0-9][0-9.]*,[0-9]{2})(?![0-9,])"
+# The last such pair of a line: packs such as 2X500ML come before it and show no price.
+_QTY_TIMES_UNIT = rf"(?i)^.*{_QUANTITY}\s*(?:kg|g|un|l|ml)?\s*[x*]\s*(?:R\$\s*)?{_PRICE}"
+_LAST_PRICE = rf"^.*(?<![0-9.,]){_PRICE}"
+
+# Words that open a receipt line which is not a product. What follows them is
+# more such words, an amount, a colon or the end: a product may begin with one of them.
 _NOT_A_PRODUCT = (
-    r"(?iU)^\s*(sub\s*-?\s*total|total|qtd\.?\s+total|troco|desconto|acr[eé]scimo|"
+    r"(?iU)^\s*(?:(?:sub\s*-?\s*total|total|qtd\.?\s+total|troco|desconto|acr[eé]scimo|"
     r"taxas?|dinheiro|cart[aã]o|pix|cr[eé]dito|d[eé]bito|cpf|cnpj|consumidor|"
-    r"tributos?|valor\s+(a\s+)?pag(ar|o)|forma\s+de\s+pagamento)\b"
+    r"tributos?|valor\s+(?:a\s+)?pag(?:ar|o)|forma\s+de\s+pagamento)\b[\s.]*"
+    r"(?:(?:de|da|do|em|no|na|itens|aprox)\b[\s.]*)*)+"
+    r"(?::|-|R\$|[0-9][0-9.,/-]*\s*$|[0-9.]+,[0-9]{2}|$)"
 )
 
 _PACK_SIZE = (
-    r"(?i)\s*\b(?:[0-9]+(?:[.,][0-9]+)?\s*(?:kg|g|mg|l|lt|ml|un|und|pct|cx|m|cm)|kg|und?|pct|cx)\b"
+    r"(?i)\s*\b(?:(?:[0-9]+\s*x\s*)?[0-9]+(?:[.,][0-9]+)?\s*(?:kg|g|mg|l|lt|ml|un|und|pct|cx|m|cm)|kg|und?|pct|cx)\b"
 )
 
 
@@ -46,6 +52,22 @@ def line_unit_price(col: Column | str) -> Column:
     return parse_br_number(F.regexp_extract(col, _QTY_TIMES_UNIT, 2))
 
 
+def line_total(col: Column | str) -> Column:
+    """The amount paid, printed after quantity times unit price or alone; else null.
+
+    It prevails over quantity times unit price, as everywhere.
+    """
+    column = F.col(col) if isinstance(col, str) else col
+    rest = F.regexp_replace(column, _QTY_TIMES_UNIT, "")
+    return parse_br_number(F.regexp_extract(rest, _LAST_PRICE, 1))
+
+
+def shows_price(col: Column | str) -> Column:
+    """Whether the line shows any price; a product line without one is set aside."""
+    column = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(column.rlike(_LAST_PRICE), F.lit(False))
+
+
 def clean_access_key(col: Column | str) -> Column:
     """The 44 digits of a receipt key, blocks joined; null for anything else."""
     digits = F.regexp_replace(col, r"\s", "")

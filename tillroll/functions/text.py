@@ -16,8 +16,6 @@ WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace
 # Texts that stand for "no value" in raw columns.
 MISSING_TOKENS = ("", "nan", "None", "<NA>", "NaT")
 
-_MISSING = "^(" + "|".join(MISSING_TOKENS) + ")$"
-
 # Collation under which two spellings name the same product or market:
 # case, accents and trailing spaces do not count.
 NAME_COLLATION = "UNICODE_CI_AI_RTRIM"
@@ -31,13 +29,18 @@ _UNCASED = r"([^\p{IsUppercase}\p{IsLowercase}\p{Lt}])"
 
 
 def strip(col: Column | str) -> Column:
-    return F.trim(col, F.lit(WHITESPACE))
+    """As Python's ``str.strip``. Text with plain ends, the common case, is left as it is."""
+    column = F.col(col) if isinstance(col, str) else col
+    plain = "[!-~]"
+    return F.when(column.rlike(f"^{plain}(?s:.*){plain}$|^{plain}$"), column).otherwise(
+        F.trim(column, F.lit(WHITESPACE))
+    )
 
 
 def blank_to_null(col: Column | str) -> Column:
     """Stripped text, or null where it holds one of the missing tokens."""
     text = strip(col)
-    return F.when(~text.rlike(_MISSING), text)
+    return F.when(~text.isin(*MISSING_TOKENS), text)
 
 
 def clean_name(col: Column | str) -> Column:
@@ -51,8 +54,10 @@ def capitalised(text: Column | str) -> Column:
     ``Coca-cola 2l``. A private marker plus a space goes in after each uncased
     character and comes out again, which keeps the whole rule inside codegen.
     """
-    marked = F.regexp_replace(text, _UNCASED, f"$1{_BREAK}")
-    return F.replace(F.initcap(marked), F.lit(_BREAK), F.lit(""))
+    column = F.col(text) if isinstance(text, str) else text
+    marked = F.regexp_replace(column, _UNCASED, f"$1{_BREAK}")
+    by_marks = F.replace(F.initcap(marked), F.lit(_BREAK), F.lit(""))
+    return F.when(column.rlike("^[A-Za-z ]*$"), F.initcap(column)).otherwise(by_marks)
 
 
 @F.pandas_udf(T.StringType())

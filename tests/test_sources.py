@@ -6,6 +6,7 @@ from conftest import rows
 from tillroll.sources.purchases import (
     check_purchase_columns,
     export_csv,
+    receipt_rejects,
     scan_purchases_csv,
     scan_receipt_json,
 )
@@ -63,3 +64,42 @@ def test_receipts_one_per_line(spark, tmp_path):
 def test_export_and_read_back(spark, golden, tmp_path):
     export_csv(golden, str(tmp_path / "out"))
     assert scan_purchases_csv(spark, str(tmp_path / "out")).count() == 6
+
+
+def test_csv_of_other_programs(spark, tmp_path):
+    head = "purchase_date,product_id,product_price,market_id"
+    (tmp_path / "a.csv").write_text(
+        head + ',access_key\n2026-01-15,"Arroz ""Tia"" 5kg, tipo 1",13.00,Feira,NULL\n'
+        '2026-01-16,"Doce\nde leite",4.00,"Feira ""livre""",n/a\n'
+    )
+    (tmp_path / "b c.csv").write_text(head + "\n2026-01-17,NA,1.00,Loja\n")
+    df = scan_purchases_csv(spark, str(tmp_path), multi_line=True)
+    assert sorted(rows(df, "purchase_date", "product_id", "market_id", "access_key")) == [
+        ("2026-01-15", 'Arroz "Tia" 5kg, tipo 1', "Feira", None),
+        ("2026-01-16", "Doce\nde leite", 'Feira "livre"', None),
+        ("2026-01-17", None, "Loja", None),
+    ]
+    with pytest.raises(ValueError, match="no purchase file"):
+        (tmp_path / "empty").mkdir()
+        (tmp_path / "empty" / "x.csv").write_text("")
+        scan_purchases_csv(spark, str(tmp_path / "empty"))
+
+
+def test_exported_quotes_are_doubled(spark, tmp_path):
+    df = spark.createDataFrame([('a "b", c',)], "name string").coalesce(1)
+    export_csv(df, str(tmp_path / "out"))
+    text = next((tmp_path / "out").glob("part-*")).read_text()
+    assert text == 'name\n"a ""b"", c"\n'
+
+
+def test_unreadable_receipts_are_set_aside(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([item("Uva")]))
+    (tmp_path / "b.json").write_text("no receipt")
+    (tmp_path / "c.json").write_text('{"product_id": "x"}')
+    found = receipt_rejects(spark, str(tmp_path))
+    assert sorted(rows(found, "text", "reason")) == [
+        ("no receipt", "receipt"), ('{"product_id": "x"}', "receipt"),
+    ]
+    assert scan_receipt_json(spark, str(tmp_path)).count() == 1
+    with pytest.raises(Exception, match="unreadable receipt"):
+        scan_receipt_json(spark, str(tmp_path), strict=True).collect()

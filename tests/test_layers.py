@@ -52,15 +52,15 @@ def test_rejects_are_kept_and_not_read_again(spark, layers):
     )
     assert imports.import_purchases(layers, df, "csv", AS_OF) == 5
     assert rows(spark.table(layers.name("bronze", "bronze_rejects")), "reason") == [("price",)]
-    assert imports.pending_ingests(layers) == {}
+    assert imports.pending_ingests(layers).isEmpty()
     assert imports.raw_to_bronze(layers) == 0
 
 
 def test_import_cut_short_is_completed(spark, layers):
     ingest = imports.ingest_to_raw(layers, as_input(spark), "csv")
     some = layers.scan_raw().where("product_id = 'Leite'")
-    imports.write_new_lines(layers, some, [ingest])
-    assert imports.pending_ingests(layers) == {ingest: True}
+    imports.write_new_lines(layers, some, some.select("ingest_id").distinct())
+    assert rows(imports.pending_ingests(layers)) == [(ingest, True)]
     assert imports.raw_to_bronze(layers) == 3
     assert contents(layers) == sorted(line[1:] for line in GOLDEN)
 
@@ -101,7 +101,7 @@ def test_edits_hold_over_a_later_import(spark, layers):
     # Only the asked-for line comes back, with its own id.
     assert imports.raw_to_bronze(layers, resurrect=True) == 1
     assert len(contents(layers)) == 7
-    assert layers.scan_deleted().isEmpty() and imports.pending_ingests(layers) == {}
+    assert layers.scan_deleted().isEmpty() and imports.pending_ingests(layers).isEmpty()
 
 
 def test_edit_without_change_writes_nothing(spark, layers):
@@ -229,3 +229,31 @@ def test_dashboard(spark, layers):
     row = trends.kpi_summary(data.products, data.markets, data.monthly).first()
     assert (row["total_spent"], row["visits"], row["avg_ticket"], row["due"]) == (105.0, 5, 21.0, 1)
     assert rows(prices.price_alerts(data.bronze), "product_id") == [("Leite",)]
+
+
+def test_edits_stopped_after_the_overwrite_can_be_run_again(spark, layers, monkeypatch):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    original, edited = (
+        spark.createDataFrame(df.collect(), df.schema) for df in edited_set(layers)
+    )
+
+    def fail(*_):
+        raise RuntimeError("lost before the refresh")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(imports, "refresh_silver", fail)
+        with pytest.raises(RuntimeError):
+            imports.apply_edits(layers, original, edited, AS_OF)
+    once = contents(layers)
+    assert imports.raw_to_bronze(layers) == 0
+    imports.apply_edits(layers, original, edited, AS_OF)
+    assert contents(layers) == once and len(once) == 6
+
+
+def test_ids_count_within_their_ingest(spark, layers):
+    """A second writer's equal ids do not hide lines of another ingest."""
+    first = imports.ingest_to_raw(layers, as_input(spark), "csv")
+    imports.raw_to_bronze(layers)
+    again = layers.scan_raw().where(F.col("ingest_id") == first).withColumn("ingest_id", F.lit("other"))
+    layers.append("raw", "raw_purchases", again)
+    assert imports.raw_to_bronze(layers) == 6 and len(contents(layers)) == 12

@@ -40,53 +40,60 @@ def _comparable(name: str, alias: str) -> Column:
     return value
 
 
-def diff_purchases(original: DataFrame, edited: DataFrame) -> DataFrame:
-    """(op, id, edited columns): inserted, updated, deleted, unchanged or unknown.
+def _joined(original: DataFrame, edited: DataFrame) -> DataFrame:
+    """One full outer join of both sets, original as ``o`` and edited as ``e``, with ``op``.
 
-    A null id marks a new line. Those are kept out of the join, where they would all
-    land in one partition. A known line that was blanked counts as unchanged, a new
-    blank line is ignored, and an id that is not in the original is ``unknown``.
+    A null id marks a new line. Those match nothing; a second key keeps them from all landing in
+    one partition. A known line that was blanked counts as unchanged, a new blank line is left
+    out, and an id that is not in the original is ``unknown``.
     """
-    before, after = original.alias("o"), edited.where("id IS NOT NULL").alias("e")
-    joined = before.join(after, F.col("o.id") == F.col("e.id"), "full_outer")
+    spread = F.pmod(F.xxhash64(*EDITABLE), F.lit(1 << 20)).cast("int")
+    before = original.withColumn("_spread", F.lit(0)).alias("o")
+    after = edited.withColumn(
+        "_spread", F.when(F.col("id").isNull(), spread).otherwise(F.lit(0))
+    ).alias("e")
+    on = (F.col("o.id") == F.col("e.id")) & (F.col("o._spread") == F.col("e._spread"))
     same = F.lit(True)
     for name in EDITABLE:
         same = same & _comparable(name, "o").eqNullSafe(_comparable(name, "e"))
-    known = joined.select(
-        F.when(F.col("e.id").isNull(), "deleted")
+    blank = is_blank_purchase("e")
+    op = (
+        F.when(F.col("o.id").isNull() & F.col("e.id").isNull(), F.when(~blank, "inserted"))
+        .when(F.col("e.id").isNull(), "deleted")
         .when(F.col("o.id").isNull(), "unknown")
-        .when(same, "unchanged")
+        .when(same | blank, "unchanged")
         .otherwise("updated")
-        .alias("op"),
-        F.coalesce("o.id", "e.id").alias("id"),
-        *[F.col(f"e.{c}").alias(c) for c in EDITABLE],
     )
-    blanked = (F.col("op") == "updated") & is_blank_purchase()
-    known = known.withColumn("op", F.when(blanked, "unchanged").otherwise(F.col("op")))
-    added = edited.where(F.col("id").isNull() & ~is_blank_purchase()).select(
-        F.lit("inserted").alias("op"), "id", *EDITABLE
+    return before.join(after, on, "full_outer").withColumn("op", op).where("op IS NOT NULL")
+
+
+def diff_purchases(original: DataFrame, edited: DataFrame) -> DataFrame:
+    """(op, id, edited columns): inserted, updated, deleted, unchanged or unknown."""
+    return _joined(original, edited).select(
+        "op", F.coalesce("o.id", "e.id").alias("id"), *[F.col(f"e.{c}").alias(c) for c in EDITABLE]
     )
-    return known.unionByName(added)
 
 
 def change_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("op").agg(F.count("*").alias("n"))
 
 
+def _cleaned(prefix: str = "") -> dict[str, Column]:
+    """Names, amounts and receipt data of edited lines as Bronze holds them."""
+    amounts = ("quantity", "unit_price", "product_price")
+    text = {c: F.nullif(strip(F.col(prefix + c)), F.lit("")) for c in ("access_key", "nfce_url")}
+    return {
+        **reconcile_amounts(*[F.col(prefix + c).cast("double") for c in amounts]),
+        "product_id": clean_name(F.col(prefix + "product_id")),
+        "market_id": clean_name(F.col(prefix + "market_id")),
+        **text,
+    }
+
+
 def cleaned_changes(diff: DataFrame, stamp: datetime | None = None) -> DataFrame:
     """Inserted, updated and deleted lines with names, amounts and receipt data cleaned."""
-    amounts = reconcile_amounts(
-        *[F.col(c).cast("double") for c in ("quantity", "unit_price", "product_price")]
-    )
     return diff.where(F.col("op").isin("inserted", "updated", "deleted")).withColumns(
-        {
-            **amounts,
-            "product_id": clean_name("product_id"),
-            "market_id": clean_name("market_id"),
-            "access_key": F.nullif(strip("access_key"), F.lit("")),
-            "nfce_url": F.nullif(strip("nfce_url"), F.lit("")),
-            "processed_at": F.lit(stamp or datetime.now(tz=UTC)).cast("timestamp"),
-        }
+        {**_cleaned(), "processed_at": F.lit(stamp or datetime.now(tz=UTC)).cast("timestamp")}
     )
 
 
@@ -118,10 +125,14 @@ def inserted_lines(changes: DataFrame, below: int = 0) -> DataFrame:
 
 
 def apply_purchase_edits(original: DataFrame, edited: DataFrame) -> DataFrame:
-    """The whole corrected set as one frame (id null for new lines)."""
-    changes = cleaned_changes(diff_purchases(original, edited))
-    added = changes.where(F.col("op") == "inserted").select(
-        F.lit(None).cast(original.schema["id"].dataType).alias("id"), *EDITABLE
+    """The whole corrected set as one frame (id null for new lines), from one join."""
+    joined = _joined(original, edited).where("op NOT IN ('deleted', 'unknown')")
+    changed = F.col("op").isin("inserted", "updated")
+    new = {c: F.col(f"e.{c}") for c in EDITABLE} | _cleaned("e.")
+    return joined.select(
+        F.col("o.id").alias("id"),
+        *[
+            F.when(changed, new[c]).otherwise(F.col(f"o.{c}")).cast(original.schema[c].dataType).alias(c)
+            for c in EDITABLE
+        ],
     )
-    stamped = editable(original).withColumn("processed_at", F.lit(None).cast("timestamp"))
-    return merge_changes(stamped, changes).drop("processed_at").unionByName(added)

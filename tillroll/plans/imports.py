@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning, edits, silver
-from tillroll.session import fresh_path
+from tillroll.session import fresh_path, staged
 from tillroll.sources.tables import Layers
 
 
@@ -37,38 +37,41 @@ def ingest_to_raw(layers: Layers, df: DataFrame, source_type: str) -> str:
     return ingest
 
 
-def pending_ingests(layers: Layers, resurrect: bool = False) -> dict[str, bool]:
-    """Ingests with raw lines not in Bronze yet; True where some of them are.
+def pending_ingests(layers: Layers, resurrect: bool = False) -> DataFrame:
+    """(ingest_id, partly) of ingests with raw lines not in Bronze yet; True where some are.
 
-    Counts per partition settle it, so ids of finished ingests are never read again.
+    Counts per partition settle it, so ids of finished ingests are never read again. A line
+    deleted by hand counts as done unless it still stands in Bronze, as it does after an edit
+    that was cut short.
     """
     taken = layers.scan_lines().select("ingest_id")
     if not resurrect:
         deleted = layers.scan_deleted().select("ingest_id", "raw_id").distinct()
-        taken = taken.unionByName(deleted.select("ingest_id"))
+        standing = layers.scan_lines().select("ingest_id", "raw_id")
+        gone = deleted.join(standing, ["ingest_id", "raw_id"], "left_anti")
+        taken = taken.unionByName(gone.select("ingest_id"))
     done = taken.groupBy("ingest_id").agg(F.count("*").alias("done"))
     given = layers.scan_raw().groupBy("ingest_id").agg(F.count("*").alias("given"))
     behind = given.join(done, "ingest_id", "left").where("done IS NULL OR done < given")
-    return {r["ingest_id"]: r["done"] is not None for r in behind.collect()}
+    return behind.select("ingest_id", F.col("done").isNotNull().alias("partly"))
 
 
 def write_new_lines(
     layers: Layers,
     raw: DataFrame,
-    ingests: list[str],
+    ingests: DataFrame,
     *,
     strict: bool = False,
     resurrect: bool = False,
 ) -> None:
-    """Clean the raw lines of the given ingests that Bronze lacks and append them.
+    """Clean the raw lines of the given ingests (ingest_id) that Bronze lacks and append them.
 
     The id check makes a second run, or one after a failure, add only what is missing.
     Usable and set-aside lines go out in one pass.
     """
-    named = F.col("ingest_id").isin(*ingests)
-    taken = [layers.scan_lines().where(named)]
+    taken = [layers.scan_lines().join(ingests, "ingest_id", "left_semi")]
     if not resurrect:
-        taken.append(layers.scan_deleted().where(named))
+        taken.append(layers.scan_deleted().join(ingests, "ingest_id", "left_semi"))
     ids = cleaning.processed_ids(*taken)
     fresh = raw if ids.isEmpty() else cleaning.unprocessed_raw(raw, *taken)
     cleaned = cleaning.clean_purchases(fresh, processed_at=datetime.now(tz=UTC), strict=strict)
@@ -83,22 +86,25 @@ def raw_to_bronze(layers: Layers, *, strict: bool = False, resurrect: bool = Fal
     """Take in every raw line that is not in Bronze; the number of lines added.
 
     Ingests that were never touched need no join at all; only those cut short, or with
-    lines to bring back, are compared by id.
+    lines to bring back, are compared by id. The list of ingests stays a table.
     """
-    pending = pending_ingests(layers, resurrect)
-    if not pending:
+    pending = staged(pending_ingests(layers, resurrect), "pending")
+    if pending.isEmpty():
         return 0
-    before = layers.scan_bronze_exact().where(F.col("ingest_id").isin(*pending)).count()
+
+    def lines() -> int:
+        return layers.scan_bronze_exact().join(pending, "ingest_id", "left_semi").count()
+
+    before = lines()
     for begun in (False, True):
-        names = [name for name, partly in pending.items() if partly is begun]
-        if names:
-            raw = layers.scan_raw().where(F.col("ingest_id").isin(*names))
+        names = pending.where(F.col("partly") == begun).select("ingest_id")
+        if not names.isEmpty():
+            raw = layers.scan_raw().join(names, "ingest_id", "left_semi")
             write_new_lines(layers, raw, names, strict=strict, resurrect=resurrect)
     if resurrect:
-        for name in pending:
-            layers.drop_deleted(name)
-    after = layers.scan_bronze_exact().where(F.col("ingest_id").isin(*pending)).count()
-    return after - before
+        for row in pending.toLocalIterator():
+            layers.drop_deleted(row["ingest_id"])
+    return lines() - before
 
 
 def refresh_silver(layers: Layers, as_of: date | str | None = None) -> None:
@@ -160,11 +166,11 @@ def apply_edits(
     stamp = datetime.now(tz=UTC)
     stage = fresh_path(spark, "edits")
 
-    def staged(df: DataFrame, label: str) -> DataFrame:
+    def kept(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(f"{stage}/{label}")
         return spark.read.parquet(f"{stage}/{label}")
 
-    diff = staged(edits.diff_purchases(original, edited).where("op != 'unchanged'"), "diff")
+    diff = kept(edits.diff_purchases(original, edited).where("op != 'unchanged'"), "diff")
     found = {r["op"]: r["n"] for r in edits.change_counts(diff).collect()}
     if found.get("unknown"):
         raise ValueError(f"{found['unknown']} edited lines have an id that is not in Bronze")
@@ -174,7 +180,7 @@ def apply_edits(
 
     changes = edits.cleaned_changes(diff, stamp)
     bronze = layers.scan_bronze_exact()
-    located = staged(
+    located = kept(
         bronze.join(changes.where("op != 'inserted'").select("id", "op"), "id").select(
             "id", "op", "raw_id", "ingest_id"
         ),
@@ -182,11 +188,16 @@ def apply_edits(
     )
     touched = located.select("ingest_id").distinct()
     in_touched = bronze.join(touched, "ingest_id", "left_semi").select(*bronze.columns)
+    # The changes name the ingest of the lines added by hand: the same edit, applied again
+    # after a stop, replaces them and adds nothing twice.
+    content = F.xxhash64("op", "id", *edits.EDITABLE).cast("decimal(38,0)")
+    named = diff.agg(F.sum(content).alias("s"), F.count("*").alias("n")).first()
+    manual = f"manual-{uuid.uuid5(uuid.NAMESPACE_OID, repr(tuple(named))).hex}"
     # Only lines added by hand have ids below 0; file statistics skip all others.
-    lowest = bronze.where("id < 0").agg(F.coalesce(F.min("id"), F.lit(0))).first()[0]
-    manual = f"manual-{stamp:%Y%m%dT%H%M%S%f}"
+    others = bronze.where((F.col("id") < 0) & (F.col("ingest_id") != manual))
+    lowest = others.agg(F.coalesce(F.min("id"), F.lit(0))).first()[0]
     added = edits.inserted_lines(changes, lowest).withColumn("ingest_id", F.lit(manual))
-    lines = staged(edits.merge_changes(in_touched, changes).unionByName(added), "lines")
+    lines = kept(edits.merge_changes(in_touched, changes).unionByName(added), "lines")
 
     # Tombstones go first: a stop in between must not let an import bring a line back.
     gone = located.where((F.col("op") == "deleted") & (F.col("raw_id") != cleaning.MANUAL_RAW_ID))

@@ -410,6 +410,10 @@ FROM toned t ORDER BY t.year_month DESC LIMIT 1"""
         "WHERE gap IS NOT NULL GROUP BY ALL"
     ),
     "recurrence_curve": _curve("SELECT * FROM curve"),
+    "curve_with_market_total": _curve(
+        "SELECT CASE WHEN scope = 'Supplier#000000001' THEN 'Total' ELSE scope END AS scope, "
+        "scope = 'Total' AS is_whole, days, cumulative_pct FROM curve"
+    ),
     "curve_for_scopes": _curve(
         "SELECT * FROM curve WHERE scope = 'Total' OR scope IN (SELECT market_id FROM purchases "
         "WHERE market_id IN (SELECT scope FROM sizes) GROUP BY market_id "
@@ -469,10 +473,17 @@ SELECT NULL, {_DAY}, 'New ' || {_TITLE.format("product_id")} || ' Pão', CAST(1
   access_key, nfce_url
 FROM marked WHERE l_quantity = 50""",
     "scan_purchases_csv": _with()
-    + f"""SELECT {_ID}, {_DAY}, product_id, CAST(product_price AS VARCHAR) AS product_price,
-  CAST(quantity AS VARCHAR) AS quantity,
-  CAST(CAST(unit_price AS DECIMAL(10,2)) AS VARCHAR) AS unit_price, market_id, access_key, nfce_url
+    + f"""SELECT {_ID}, {_DAY}, product_id || ' "extra", grande' AS product_id,
+  CAST(product_price AS VARCHAR) AS product_price, CAST(quantity AS VARCHAR) AS quantity,
+  CAST(CAST(unit_price AS DECIMAL(10,2)) AS VARCHAR) AS unit_price, market_id,
+  CASE WHEN quantity > 25 THEN access_key END AS access_key,
+  CASE WHEN quantity <> 1 THEN nfce_url END AS nfce_url
 FROM purchases""",
+    "receipt_rejects": _with()
+    + """SELECT 'unreadable ' || product_id AS text, 'receipt' AS reason, count(*) AS n
+FROM purchases WHERE quantity % 7 = 0 GROUP BY product_id""",
+    "oversized_amounts": _with()
+    + f"SELECT {_ID}, 'amount' AS reason FROM purchases WHERE quantity IN (7, 9)",
     "scan_receipt_json": _with()
     + f"""SELECT {_DAY}, product_id, CAST(quantity AS DOUBLE) AS quantity, unit_price, {_PRICE},
   market_id, access_key, nfce_url FROM purchases""",
@@ -518,6 +529,8 @@ FROM purchases""",
   'migration' AS source_type FROM purchases""",
     "receipt_items": _with()
     + f"""SELECT {_ID}, CAST(l_quantity AS DOUBLE) AS quantity, unit_price, upper(p_name) AS name,
+  CASE WHEN l_returnflag = 'A' THEN CAST(CAST(round(unit_price * 100) AS BIGINT)
+    * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100 END AS total,
   {_DAY}, CASE WHEN l_linestatus = 'F' THEN access_key END AS access_key,
   l_returnflag = 'R' AS url_ok FROM purchases""",
 }

@@ -294,12 +294,19 @@ def recurrence_gaps(spark, d):
 
 @query
 def recurrence_curve(spark, d):
-    return _curve(spark, d)
+    return _curve(spark, d).drop("is_whole")
+
+
+@query
+def curve_with_market_total(spark, d):
+    """One market bears the name of the whole set."""
+    name = F.when(F.col("market_id") == "Supplier#000000001", "Total").otherwise(F.col("market_id"))
+    return recurrence.recurrence_curve(_trip_lines(spark, d).withColumn("market_id", name))
 
 
 @query
 def curve_for_scopes(spark, d):
-    return recurrence.curve_for_scopes(_trip_lines(spark, d))
+    return recurrence.curve_for_scopes(_trip_lines(spark, d)).drop("is_whole")
 
 
 @query
@@ -461,9 +468,22 @@ def apply_purchase_edits(spark, d):
 
 @query
 def scan_purchases_csv(spark, d):
+    """Files of another program: doubled quotes, commas, null words, two layouts."""
     path = fresh_path(spark, "csv")
-    files.export_csv(testbed.original_lines(spark, d), path)
-    return files.scan_purchases_csv(spark, path)
+    lines = testbed.original_lines(spark, d).withColumns(
+        {
+            "product_id": F.concat(F.col("product_id"), F.lit(' "extra", grande')),
+            "nfce_url": F.when(F.col("quantity") == 1, "NULL").otherwise(F.col("nfce_url")),
+        }
+    )
+    for part, columns in (("long", lines.columns), ("short", lines.drop("access_key").columns)):
+        chosen = lines.where((F.col("quantity") > 25) == (part == "long"))
+        cells = [F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+                 for c in columns]
+        text = chosen.select(F.concat_ws(",", *cells).alias("value"))
+        # the header is the first line of every file
+        text.mapInArrow(testbed.headed(",".join(columns)), "value string").write.text(f"{path}/{part}")
+    return files.scan_purchases_csv(spark, f"{path}/*")
 
 
 @query
@@ -635,6 +655,33 @@ def migrate_legacy(spark, d):
 # --- Receipt text ------------------------------------------------------------------
 
 
+@query
+def receipt_rejects(spark, d):
+    """Every seventh line's receipt is no JSON array; it is set aside with its text."""
+    lines = testbed.original_lines(spark, d)
+    good = F.to_json(F.array(F.struct("purchase_date", "product_id")))
+    text = F.when(F.col("quantity") % 7 == 0, F.concat(F.lit("unreadable "), "product_id")).otherwise(good)
+    path = fresh_path(spark, "receipts")
+    lines.select(text.alias("value")).write.text(path)
+    found = files.receipt_rejects(spark, path, per_line=True)
+    return found.groupBy("text", "reason").agg(F.count("*").alias("n"))
+
+
+@query
+def oversized_amounts(spark, d):
+    """Quantities and unit prices that do not fit their columns."""
+    lines = testbed.original_lines(spark, d)
+    raw = lines.select("id", *[F.col(c).cast("string").alias(c) for c in lines.columns if c != "id"])
+    spoiled = raw.withColumns(
+        {
+            "quantity": F.when(F.col("quantity") == "7.000", "99999999").otherwise(F.col("quantity")),
+            "unit_price": F.when(F.col("quantity") == "9.000", "1e12").otherwise(F.col("unit_price")),
+        }
+    )
+    cleaned = cleaning.clean_purchases(spoiled)
+    return cleaning.rejected(cleaned).select(F.col("raw_id").cast("string").alias("id"), "reason")
+
+
 @query
 def receipt_items(spark, d):
     """Product lines of printed receipts, taken apart."""
@@ -643,6 +690,7 @@ def receipt_items(spark, d):
         "id",
         receipts.line_quantity("line").alias("quantity"),
         receipts.line_unit_price("line").alias("unit_price"),
+        receipts.line_total("line").alias("total"),
         receipts.strip_pack_size("name").alias("name"),
         receipts.parse_br_date("printed_date").alias("purchase_date"),
         receipts.clean_access_key("key").alias("access_key"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,23 +29,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a small input out to the cores.
-
-    The small test files are one row group each, which a single task would read and
-    then work on alone. Inputs of more than a handful of splits are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = df.rdd.getNumPartitions() < min(cores, 16)
-    return df.repartition(cores, key) if small else df
-
-
 def order_lines(spark: SparkSession, sf_dir: str, *joins: str) -> DataFrame:
     """Order lines joined to those of orders, part and supplier that are asked for.
 
     No side is forced to be broadcast: all of them grow with the data.
     """
-    lines = spread(_read(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = _read(spark, sf_dir, "lineitem")
     on = {
         "orders": ("l_orderkey", "o_orderkey"),
         "part": ("l_partkey", "p_partkey"),
@@ -173,11 +163,24 @@ def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(names).unionByName(added.select(names))
 
 
-def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines as printed receipt text, with a total line for each first line."""
-    unit = F.round(_unit_price() * 100).cast("bigint")
-    whole = F.floor(unit / 100)
-    printed = F.concat(
+def headed(header: str):
+    """Puts a header line before the lines of each task, which writes one file."""
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], schema=batch.schema)
+                first = False
+            yield batch
+
+    return run
+
+
+def _printed(cents: Column) -> Column:
+    """An amount of cents as receipts print it: 1.234,56."""
+    whole = F.floor(cents / 100)
+    return F.concat(
         F.when(
             whole >= 1000,
             F.concat(
@@ -185,14 +188,27 @@ def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         ).otherwise(whole.cast("string")),
         F.lit(","),
-        F.lpad((unit % 100).cast("string"), 2, "0"),
+        F.lpad((cents % 100).cast("string"), 2, "0"),
+    )
+
+
+def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as printed receipt text, with a total line for each first line.
+
+    Some show a pack such as 2X500ML, some the amount paid after the unit price.
+    """
+    unit = F.round(_unit_price() * 100).cast("bigint")
+    printed = _printed(unit)
+    paid = _printed(unit * F.col("l_quantity").cast("bigint"))
+    size = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("2X"), "p_size", F.lit("ML"))).otherwise(
+        F.concat(F.col("p_size"), F.lit("G"))
     )
     key = F.lpad(F.col("l_orderkey").cast("string"), 44, "0")
     blocks = F.trim(F.regexp_replace(key, "(.{4})", "$1 "))
     product = F.array(
         F.concat_ws(
-            " ", F.upper("p_name"), F.concat(F.col("p_size"), F.lit("G")),
-            F.col("l_quantity").cast("int"), F.lit("x"), printed,
+            " ", F.upper("p_name"), size, F.col("l_quantity").cast("int"), F.lit("x"), printed,
+            F.when(F.col("l_returnflag") == "A", paid),
         )
     )
     total = F.array(F.concat(F.lit("TOTAL R$ "), printed))
@@ -200,7 +216,7 @@ def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_lines(spark, sf_dir, "orders", "part").select(
         line_id().alias("id"),
         F.explode(texts).alias("line"),
-        F.concat(F.upper("p_name"), F.lit(" "), F.col("p_size"), F.lit("G")).alias("name"),
+        F.concat_ws(" ", F.upper("p_name"), size).alias("name"),
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("printed_date"),
         F.when(F.col("l_linestatus") == "F", blocks).otherwise(F.lit("unreadable")).alias("key"),
         F.when(

@@ -56,6 +56,10 @@ def overwrite_partitions(spark: SparkSession, table: str, df: DataFrame) -> None
         spark.conf.set(setting, before)
 
 
+def _quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
 
@@ -157,11 +161,24 @@ class Layers:
         df.select(*self.spark.table(name).columns).write.mode("append").insertInto(name)
 
     def overwrite_lines(self, df: DataFrame) -> None:
-        """Replace the ingests of usable lines that ``df`` holds rows of."""
+        """Replace the ingests of usable lines that ``df`` holds rows of.
+
+        New folders are written first; then each partition is pointed at its own. A reader, and
+        a run that is stopped, sees an ingest as it was or as it is now.
+        """
+        name = self.name("bronze", "bronze_lines")
+        folder = f"{self.root}/bronze/rewritten/{uuid.uuid4().hex[:12]}"
         lines = df.withColumns(
             {"reject_reason": F.lit(None).cast("string"), "rejected": F.lit(False)}
-        )
-        overwrite_partitions(self.spark, self.name("bronze", "bronze_lines"), lines)
+        ).select(*self.spark.table(name).columns)
+        lines.write.partitionBy("ingest_id", "rejected").parquet(folder)
+        written = self.spark.read.schema(lines.schema).parquet(folder).select("ingest_id").distinct()
+        for row in written.toLocalIterator():
+            part = f"ingest_id = '{_quoted(row['ingest_id'])}', rejected = false"
+            place = f"{folder}/ingest_id={row['ingest_id']}/rejected=false"
+            self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({part})")
+            self.spark.sql(f"ALTER TABLE {name} PARTITION ({part}) SET LOCATION '{_quoted(place)}'")
+        self.spark.catalog.refreshTable(name)
 
     def drop_lines(self, ingest_id: str) -> None:
         """Remove all usable lines of an ingest."""
@@ -172,10 +189,9 @@ class Layers:
         self._drop_partition("bronze_deleted", ingest_id)
 
     def _drop_partition(self, table: str, ingest_id: str, more: str = "") -> None:
-        quoted = ingest_id.replace("'", "\\'")
         self.spark.sql(
             f"ALTER TABLE {self.name('bronze', table)} "
-            f"DROP IF EXISTS PARTITION (ingest_id = '{quoted}'{more})"
+            f"DROP IF EXISTS PARTITION (ingest_id = '{_quoted(ingest_id)}'{more})"
         )
 
     def publish_silver(self, frames: dict[str, DataFrame]) -> None:

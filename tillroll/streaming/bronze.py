@@ -30,8 +30,7 @@ def raw_to_bronze_stream(
     def write(batch: DataFrame, number: int) -> None:
         # A micro-batch has a session of its own; its tables are used through that one.
         own = replace(layers, spark=batch.sparkSession)
-        ingests = [r["ingest_id"] for r in batch.select("ingest_id").distinct().collect()]
-        write_new_lines(own, batch, ingests, strict=strict)
+        write_new_lines(own, batch, batch.select("ingest_id").distinct(), strict=strict)
 
     reader = layers.spark.readStream
     if max_files:

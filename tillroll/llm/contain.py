@@ -92,28 +92,22 @@ def search(
     runs = split.select("digest", F.array_distinct(F.concat(*all_runs)).alias("runs"))
     sized = runs.select("digest", F.size("runs").alias("size"), F.explode_outer("runs").alias("h"))
 
-    # one lookup for each sketch value, with the least size of document that it can be in
-    sketches = staged(
-        items.select("size_class", "item", "need", F.explode_outer("sketch").alias("h")), "sketches"
+    # the item shingles that each text holds, in one pass: (digest, size, h)
+    wanted = staged(
+        items.select("size_class", "item", "need", "sketch", F.explode_outer("shingles").alias("h")),
+        "wanted",
     )
-    values = staged(sketches.groupBy("h").agg(F.min("need").alias("least")), "values")
+    values = staged(wanted.groupBy("h").agg(F.min("need").alias("least")), "values")
     hits = sized.join(values, "h").filter("size >= least").select("digest", "size", "h").distinct()
     hits = staged(hits, "hits")
-    candidates = staged(
-        hits.join(sketches, "h").filter("size >= need").select("digest", "item", "need").distinct(),
-        "candidates",
-    )
 
-    holders = candidates.select("digest").distinct()
-    whole = docs.select(digest.alias("digest"), "text").join(holders, "digest")
-    full = (
-        whole.dropDuplicates(["digest"])
-        .select("digest", words(F.col("text")).alias("words"))
-        .select("digest", F.explode_outer(F.array_distinct(F.concat(*all_runs))).alias("h"))
+    in_sketch = F.array_contains("sketch", F.col("h"))
+    sketches = wanted.filter(in_sketch).select("size_class", "item", "need", "h")
+    candidates = (
+        hits.join(sketches, "h").filter("size >= need").select("digest", "item", "need").distinct()
     )
-    wanted = items.select("item", F.explode_outer("shingles").alias("h"))
     confirmed = (
-        full.join(wanted, "h")
+        hits.join(wanted.select("item", "h"), "h")
         .join(candidates, ["digest", "item"])
         .groupBy("digest", "item", "need")
         .agg(F.count("*").alias("held"))

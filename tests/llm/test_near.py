@@ -105,7 +105,10 @@ def test_signature_distance_has_no_gaps():
         places = rng.choice(near.SYMBOLS, near.MOST_ERRORS, replace=False)
         other[places] ^= rng.integers(1, 2**16, near.MOST_ERRORS).astype(np.uint16)
         keys = near.bucket_keys(np.stack([base, other]))
-        assert (keys[0] == keys[1]).any()
+        same = np.nonzero(keys[0] == keys[1])[0]
+        assert len(same)
+        first = near.first_shared_key((base != other)[None, :])
+        assert first[0] == same[0] and keys[0][same[0]] & 63 == same[0]
 
 
 def test_edge_cases(spark):

@@ -8,12 +8,13 @@ within MOST_ERRORS have a chunk with at most MOST_ERRORS // CHUNKS = 1 error, so
 looks itself up under every chunk with each symbol left out in turn: no pair of signatures
 within the distance is missed.
 
-Candidates are not expanded to all pairs. Buckets with the same members count once. A bucket is
+Candidates are not expanded to all pairs. Of buckets with the same members the one of the first
+key counts, and a pair counts in the bucket of the first key that it shares. A bucket is
 cut into blocks of at most about BLOCK members, and every two blocks meet in a task, which gives
 back only as many pairs as connect what lies within the signature distance. What they connect
 are the groups inside which links can be; a group is cut into blocks in the same way, and a task
-confirms links on the full sets, again only those that connect something new. Components come
-from least labels passed along links, in tables, until nothing changes.
+confirms links on the full sets, again only those that connect something new. Components come from
+hooking nodes to their least neighbour and contracting, in tables, until no link is left.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing;
 a document with fewer words than a shingle has its whole word sequence as one; rows without
@@ -35,7 +36,7 @@ from tillroll.llm import words as W
 from tillroll.session import staged
 
 SYMBOLS, CHUNKS, MOST_ERRORS = 64, 13, 25
-BLOCK = 256
+BLOCK = 512
 _rng = np.random.default_rng(20_260_101)
 _FACTORS = (_rng.integers(1, 2**32, SYMBOLS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _OFFSETS = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -79,7 +80,19 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
         for s in symbols:
             value = W.mixed(value * np.uint64(0x9E3779B97F4A7C15) + wide[:, s])
         out[:, k] = value
-    return out.view(np.int64)
+    # the last six bits name the key's place among the keys
+    return ((out << np.uint64(6)) | np.arange(len(_KEYS), dtype=np.uint64)).view(np.int64)
+
+
+def first_shared_key(unequal: np.ndarray) -> np.ndarray:
+    """For rows that tell which symbols two signatures differ in: their first key in common."""
+    by_chunk = np.add.reduceat(unequal, _BOUNDS[:-1], axis=1, dtype=np.int64)
+    chunk = (by_chunk <= 1).argmax(axis=1)
+    begin = np.array(_BOUNDS)[chunk]
+    inside = np.arange(SYMBOLS)[None, :] >= begin[:, None]
+    left_out = (unequal & inside).argmax(axis=1)
+    one = by_chunk[np.arange(len(chunk)), chunk] == 1
+    return np.where(one, left_out, begin)
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
@@ -159,6 +172,7 @@ def _connected(rows: DataFrame, group: str, percent: int, confirm: bool) -> Data
             sizes = block["n_shingles"].to_numpy(zero_copy_only=False)
             own = block["own"].to_numpy(zero_copy_only=False)
             within = block["low"][0] == block["high"][0]
+            bucket = block[group][0].as_py() & 63
             sets = [np.frombuffer(x, np.uint64) for x in block["set"].to_pylist()] if confirm else None
             root = np.arange(len(sizes))
             found = []
@@ -169,8 +183,11 @@ def _connected(rows: DataFrame, group: str, percent: int, confirm: bool) -> Data
                     later = later[own[later] != own[a]]
                 small, large = np.minimum(sizes[later], sizes[a]), np.maximum(sizes[later], sizes[a])
                 later = later[100 * small >= percent * large]
-                errors = (signatures[later] != signatures[a]).sum(axis=1)
+                unequal = signatures[later] != signatures[a]
+                errors = unequal.sum(axis=1)
                 near_by = errors <= MOST_ERRORS
+                if not confirm:  # each pair counts in one of the buckets that it shares
+                    near_by[near_by] = first_shared_key(unequal[near_by]) == bucket
                 later = later[near_by][np.argsort(errors[near_by], kind="stable")]
                 while len(later):
                     b, later = later[0], later[1:]
@@ -215,30 +232,48 @@ def _runs_of(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of the nodes that links (u, v) have: the least node reachable.
 
-    Each round takes the least label among a node, its neighbours and its label's own label;
-    it ends when a round changes nothing.
+    Each node hooks to the least of itself and its neighbours; hooks are followed to their
+    ends, and links between ends make a smaller graph, on which the same is done until no link
+    is left. At least half of the nodes go each time.
     """
-    both = staged(
-        links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))),
-        f"{label}-links",
-    )
-    known = staged(both.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("node"), F.least("u", "m").alias("component")
-    ), label)
-    while True:
-        of_next = known.select(F.col("node").alias("v"), F.col("component").alias("c"))
-        heard = both.join(of_next, "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c"))
-        nearer = known.join(heard, "node").select(
-            "node", F.col("component").alias("old"), F.least("component", "c").alias("component")
+    low, high = F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")
+    edges = staged(links.select(low, high).where("a != b").distinct(), f"{label}-links")
+    levels = []
+    while not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+            edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
-        of_label = known.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        moved = nearer.join(of_label, "component", "left").select(
-            "node", "old", F.least("component", "jump").alias("component")
+        hooks = staged(
+            ends.groupBy("node").agg(F.min("other").alias("least")).select(
+                "node", F.least("node", "least").alias("up")
+            ),
+            label,
+        )
+        while True:
+            next_up = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            followed = staged(
+                hooks.join(next_up, "up").select(
+                    "node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")
+                ),
+                label,
+            )
+            hooks = followed.select("node", "up")
+            if followed.where("moved").isEmpty():
+                break
+        levels.append(hooks)
+        between = edges.join(
+            hooks.select(F.col("node").alias("a"), F.col("up").alias("u")), "a"
+        ).join(hooks.select(F.col("node").alias("b"), F.col("up").alias("v")), "b")
+        edges = staged(between.select(low, high).where("a != b").distinct(), f"{label}-links")
+    if not levels:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = levels.pop().withColumnRenamed("up", "component")
+    while levels:
+        above = found.select(F.col("node").alias("up"), F.col("component"))
+        found = levels.pop().join(above, "up", "left").select(
+            "node", F.coalesce("component", "up").alias("component")
         )
-        moved = staged(moved, label)
-        known = moved.select("node", "component")
-        if not moved.filter("component != old").limit(1).count():
-            return known
+    return staged(found, label)
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -270,7 +305,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         F.bit_xor(F.xxhash64("node")).alias("x"),
         F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"),
     )
-    chosen = prints.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    place = F.col("key").bitwiseAND(F.lit(63))
+    chosen = prints.groupBy("n", "x", "y").agg(F.min_by("key", place).alias("key")).select("key")
     described_nodes = classes.select("node", "n_shingles", "signature")
     rows = members.join(chosen, "key").join(described_nodes, "node")
     near_by = staged(_connected(_blocked(rows, "key"), "key", percent, False).distinct(), "near-by")

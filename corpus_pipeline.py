@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, fitted on ``labels``, accepts."""
     model = ordinal.train(docs.select("doc_id", "text"), ordinal.ratings(table(spark, sf_dir, "labels")))
     judged = ordinal.classify(set_aside(docs, "doc_id", "text"), model)
-    return brought_back(judged.filter("accepted"), docs.columns)
+    return brought_back(judged.filter("accepted"), docs.columns, "doc_id", "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +37,11 @@ def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The documents without the characters that repeat a string of a smaller id; a character
     goes only with all its bytes. n_chars, where there is one, follows the text."""
     left = suffixes.remove(set_aside(docs, "doc_id", "text"), whole_characters=True)
-    left = left.withColumn("text", F.col("kept").cast("string")).drop("kept", "spans", "n_bytes")
+    left = left.withColumn("text", F.col("kept").cast("string"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         left = left.withColumn("n_chars", F.char_length("text").cast(kind))
-    return brought_back(left, docs.columns)
+    return brought_back(left, docs.columns, "doc_id", "text", "n_chars")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

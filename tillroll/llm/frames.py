@@ -20,7 +20,6 @@ def set_aside(df: DataFrame, *kept: str) -> DataFrame:
     return df.select(*kept, F.struct(F.lit(0).alias("-"), *others).alias(OTHERS))
 
 
-def brought_back(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns that ``set_aside`` took, in their order, those kept with what they now are."""
-    own = set(df.columns)
+def brought_back(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """The columns that ``set_aside`` took, in their order; ``own`` ones as they now are."""
     return df.select(*[F.col(c) if c in own else F.col(OTHERS)[c].alias(c) for c in columns])

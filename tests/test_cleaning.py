@@ -12,13 +12,13 @@ RAW = (
 )
 
 
-def raw_line(id_, price, qty, unit, day="2026-01-15", product="Arroz", key=None, url=None):
+def raw_line(id_, price, qty, unit, day="2026-04-18", product="Arroz", key=None, url=None):
     return (id_, day, product, price, qty, unit, " feira livre ", key, url)
 
 
 CASES = [
-    (raw_line(1, "17.00", "2", "8.50", product=" arroz "), ("Arroz", "2.000", "8.50", "17.00")),
-    (raw_line(2, None, "3", "5.20"), ("Arroz", "3.000", "5.20", "15.60")),
+    (raw_line(1, "22.40", "4", "5.60", product=" arroz "), ("Arroz", "4.000", "5.60", "22.40")),
+    (raw_line(2, None, "5", "3.30"), ("Arroz", "5.000", "3.30", "16.50")),
     (raw_line(3, "13.50", None, None), ("Arroz", "1.000", "13.50", "13.50")),
     (raw_line(4, "10", "-2", ""), ("Arroz", "1.000", "10.00", "10.00")),
     (raw_line(5, "9.00", "3", "5.00"), ("Arroz", "3.000", "5.00", "9.00")),
@@ -54,7 +54,7 @@ def test_dates_and_receipt_data(spark):
         cleaning.clean_purchases(raw).orderBy("raw_id"), "purchase_date", "access_key", "nfce_url"
     )
     assert got == [
-        (date(2026, 1, 15), None, None),
+        (date(2026, 4, 18), None, None),
         (date(2026, 1, 2), "3524", "https://x?p=1"),
     ]
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.operators import cleaning, gaps, prices, recurrence, silver
+from tillroll.operators import catalog, cleaning, edits, gaps, prices, recurrence, silver
 from tillroll.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +14,7 @@ WRITERS = {
     "scan_raw", "ingest_to_raw", "scan_bronze", "scan_bronze_editable", "append_bronze",
     "raw_to_bronze_stream", "refresh_layers", "scan_product_stats", "scan_market_stats",
     "scan_monthly_spending", "refresh_silver", "apply_edits_to_layers", "migrate_legacy",
-    "scan_purchases_csv", "scan_receipt_json", "export_due_csv",
+    "scan_purchases_csv", "scan_receipt_json", "export_due_csv", "receipt_rejects",
 }
 
 
@@ -85,3 +85,35 @@ def test_cleaning_stays_within_what_the_jit_compiles(spark, tmp_path):
     sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
     # The JVM leaves methods over 8000 bytes to the interpreter.
     assert sizes and max(sizes) < 8000
+
+
+def test_a_hot_product_is_split_in_name_matching(spark):
+    """With broadcasts off and low thresholds, adaptive execution divides the hot product."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        name = F.when(F.col("id") % 3 == 0, F.lit("Hot")).otherwise(F.concat(F.lit("P"), F.col("id")))
+        lines = spark.range(0, 60_000, 1, 16).select("id", name.alias("product_id"))
+        known = spark.createDataFrame([("HOT",), ("P1",)], "product_id string")
+        matched = catalog.match_known_products(lines, known)
+        assert matched.where("matched_name = 'HOT'").count() == 20_000
+        matched.collect()
+        assert "skewed" in matched._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_edits_need_one_join_of_two_inputs(spark):
+    columns = "id long, " + ", ".join(f"{c} string" for c in edits.EDITABLE)
+    original, edited = (spark.createDataFrame([], columns) for _ in range(2))
+    plan = edits.apply_purchase_edits(original, edited)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "FullOuter" in plan and plan.count("LogicalRDD") == 2

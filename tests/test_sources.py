@@ -18,8 +18,8 @@ def test_csv_stays_text(spark, tmp_path):
     file = tmp_path / "lines.csv"
     file.write_text(
         "purchase_date,product_id,quantity,unit_price,product_price,market_id,access_key\n"
-        f"2026-01-15,Feijão,4,3.25,13.00,Feira,{KEY}\n"
-        '2026-01-15,"Leite, integral",3,5.20,,Feira,\n'
+        f"2026-04-18,Feijão,4,3.25,13.00,Feira,{KEY}\n"
+        '2026-04-18,"Leite, integral",3,5.20,,Feira,\n'
     )
     df = scan_purchases_csv(spark, str(file))
     assert {t for _, t in df.dtypes} == {"string"}
@@ -69,15 +69,15 @@ def test_export_and_read_back(spark, golden, tmp_path):
 def test_csv_of_other_programs(spark, tmp_path):
     head = "purchase_date,product_id,product_price,market_id"
     (tmp_path / "a.csv").write_text(
-        head + ',access_key\n2026-01-15,"Arroz ""Tia"" 5kg, tipo 1",13.00,Feira,NULL\n'
-        '2026-01-16,"Doce\nde leite",4.00,"Feira ""livre""",n/a\n'
+        head + ',access_key\n2026-04-18,"Arroz ""Tia"" 5kg, tipo 1",13.00,Feira,NULL\n'
+        '2026-04-19,"Doce\nde leite",4.00,"Feira ""livre""",n/a\n'
     )
-    (tmp_path / "b c.csv").write_text(head + "\n2026-01-17,NA,1.00,Loja\n")
+    (tmp_path / "b c.csv").write_text(head + "\n2026-04-20,NA,1.00,Loja\n")
     df = scan_purchases_csv(spark, str(tmp_path), multi_line=True)
     assert sorted(rows(df, "purchase_date", "product_id", "market_id", "access_key")) == [
-        ("2026-01-15", 'Arroz "Tia" 5kg, tipo 1', "Feira", None),
-        ("2026-01-16", "Doce\nde leite", 'Feira "livre"', None),
-        ("2026-01-17", None, "Loja", None),
+        ("2026-04-18", 'Arroz "Tia" 5kg, tipo 1', "Feira", None),
+        ("2026-04-19", "Doce\nde leite", 'Feira "livre"', None),
+        ("2026-04-20", None, "Loja", None),
     ]
     with pytest.raises(ValueError, match="no purchase file"):
         (tmp_path / "empty").mkdir()

@@ -12,21 +12,18 @@ _CLOCK = (
     r"(?:Z|[+-]\d{2}:?\d{2})?)?$"
 )
 _SEP = r"[-/. ]"
-# Two-digit years: 69 to 99 are of the last century, the others of this one.
-_THIS, _LAST = r"[0-5]\d|6[0-8]", r"69|[7-9]\d"
-# Each numeric form and how its parts make year-month-day. Only a first number that can
-# not be a month is a day.
+# Numeric forms, one rewrite after the other; # marks what was written year last.
 _NUMERIC = (
-    (rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})", "$1-$2-$3"),
-    (rf"^(0?[1-9]|1[0-2]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}})", "$3-$1-$2"),
-    (rf"^(1[3-9]|2\d|3[01]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}})", "$3-$2-$1"),
-    (rf"^(0?[1-9]|1[0-2])[-/.](\d{{1,2}})[-/.]({_THIS})", "20$3-$1-$2"),
-    (rf"^(0?[1-9]|1[0-2])[-/.](\d{{1,2}})[-/.]({_LAST})", "19$3-$1-$2"),
-    (rf"^(1[3-9]|2\d|3[01])[-/.](\d{{1,2}})[-/.]({_THIS})", "20$3-$2-$1"),
-    (rf"^(1[3-9]|2\d|3[01])[-/.](\d{{1,2}})[-/.]({_LAST})", "19$3-$2-$1"),
-    (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
-    (r"^(\d{4})", "$1-01-01"),
-    (r"^(\d{4})-(\d{1,2})", "$1-$2-01"),
+    (rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}}){_CLOCK}", "#$3-$1-$2"),
+    # Two-digit years 69 to 99 are of the last century, the others of this one.
+    (r"^#(69|[7-9]\d)-", "#19$1-"),
+    (r"^#(\d\d)-", "#20$1-"),
+    # Only a first number that can not be a month is a day.
+    (r"^#(\d+)-(1[3-9]|2\d|3[01])-(\d{1,2})$", "$1-$3-$2"),
+    (
+        rf"^#?(\d{{4}})(?:{_SEP}(\d{{1,2}})(?:{_SEP}(\d{{1,2}}))?|(\d{{2}})(\d{{2}}))?{_CLOCK}",
+        "$1-$2$4-$3$5",
+    ),
 )
 _MONTH = (
     r"(Jan(?=uary|\b)|Feb(?=ruary|\b)|Mar(?=ch|\b)|Apr(?=il|\b)|May(?=\b)|Jun(?=e|\b)|"
@@ -34,13 +31,20 @@ _MONTH = (
     r"Dec(?=ember|\b))(?:uary|ruary|ch|il|e|y|ust|tember|t|ober|ember)?\b\.?"
 )
 _WEEKDAY, _ORDINAL = r"(?i)^(?:[a-z]+,\s*)?", r"(?:st|nd|rd|th)?"
+# Named forms as year, month, day; a year of two digits needs a comma or hyphen before it.
 _NAMED = (
-    (rf"{_WEEKDAY}{_MONTH}\s+(?:(\d{{1,2}}){_ORDINAL},?\s+)?(\d{{4}})", "$2 $1 $3"),
-    (rf"{_WEEKDAY}(\d{{1,2}}){_ORDINAL}[\s-]*{_MONTH},?[\s-]*(\d{{4}})", "$1 $2 $3"),
-    (rf"{_WEEKDAY}(\d{{1,2}}){_ORDINAL}[\s-]+{_MONTH},?[\s-]+({_THIS})", "$1 $2 20$3"),
-    (rf"{_WEEKDAY}(\d{{1,2}}){_ORDINAL}[\s-]+{_MONTH},?[\s-]+({_LAST})", "$1 $2 19$3"),
-    (rf"{_WEEKDAY}{_MONTH}\s+(\d{{1,2}}){_ORDINAL},\s*({_THIS})", "$2 $1 20$3"),
-    (rf"{_WEEKDAY}{_MONTH}\s+(\d{{1,2}}){_ORDINAL},\s*({_LAST})", "$2 $1 19$3"),
+    (
+        rf"{_WEEKDAY}{_MONTH}\s+(?:(\d{{1,2}}){_ORDINAL},?\s+)?"
+        rf"(\d{{4}}|(?<=,\s{{1,3}})\d{{2}}){_CLOCK}",
+        "#$3 $1 $2",
+    ),
+    (
+        rf"{_WEEKDAY}(\d{{1,2}}){_ORDINAL}[\s-]*{_MONTH},?[\s-]*"
+        rf"(\d{{4}}|(?<=[\s-])\d{{2}}){_CLOCK}",
+        "#$3 $2 $1",
+    ),
+    (r"^#(69|[7-9]\d) ", "#19$1 "),
+    (r"^#(\d\d) ", "#20$1 "),
 )
 
 
@@ -55,17 +59,15 @@ def date_of(text: Column) -> Column:
     missing day or month is the first. Unreadable text gives null.
     """
 
-    def rewritten(forms: tuple) -> Column:
-        """The first form that fits decides; the others are not looked at."""
-        column = F.when(F.lit(False), text)
+    def rewritten(forms: tuple, result: str) -> Column:
+        column = text
         for pattern, order in forms:
-            whole = pattern + _CLOCK
-            column = column.when(text.rlike(whole), F.regexp_replace(text, whole, order))
-        return column
+            column = F.regexp_replace(column, pattern, order)
+        return F.regexp_extract(column, result, 1)
 
     plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
-    numeric = rewritten(_NUMERIC).try_cast("date")
-    named = F.initcap(F.ltrim(rewritten(_NAMED)))
-    # Only text with a letter can be of a named form.
-    by_name = F.to_date(F.try_to_timestamp(named, F.lit("[d ]MMM yyyy")))
-    return F.coalesce(plain, numeric, F.when(text.rlike("(?i)[a-z]{3}"), by_name))
+    numeric = rewritten(_NUMERIC, r"^(\d{4}(?:-\d{1,2}){0,2})-*$").try_cast("date")
+    named = F.initcap(rewritten(_NAMED, r"^#(\d{4} [A-Za-z]{3}(?: \d{1,2})?) *$"))
+    return F.coalesce(
+        plain, numeric, F.to_date(F.try_to_timestamp(named, F.lit("yyyy MMM[ d]")))
+    )

@@ -14,6 +14,7 @@ from tillroll.functions.text import blank_to_null, capitalised, strip
 from tillroll.schemas import RECEIPT
 
 MANUAL_RAW_ID = 0
+_TOO_LARGE = 99_999_999.995  # rounds to more than a decimal(10,2) holds
 _TEXTS = (
     "purchase_date",
     "product_id",
@@ -78,10 +79,9 @@ def clean_purchases(
     )
     amounts = reconcile_amounts(*[F.col(c) for c in amount_texts])
     # An amount too large for its column is a reason of its own, not a missing amount.
-    wanted = unrounded_amounts(*[F.col(c) for c in amount_texts])
-    unfit = F.lit(False)
-    for name, value in amounts.items():
-        unfit = unfit | (value.isNull() & wanted[name].isNotNull())
+    exact = unrounded_amounts(*[F.col(c) for c in amount_texts])
+    sizes = [F.abs(exact["quantity"]) * 10, F.abs(exact["unit_price"])]
+    unfit = F.greatest(*sizes) >= _TOO_LARGE
     stamp = F.lit(processed_at or datetime.now(tz=UTC)).cast("timestamp")
     return typed.withColumns(
         {"purchase_date": day, "unfit_amount": unfit, **amounts}

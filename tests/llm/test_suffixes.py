@@ -90,7 +90,7 @@ def test_whole_characters(spark):
 def test_merge_is_sorted_with_right_prefixes():
     rng = random.Random(6)
     strings = [bytes(rng.choice(b"ab") for _ in range(suffixes.CONTEXT)) for _ in range(40)]
-    strings += [s[:30] + bytes(rng.choice(b"ab") for _ in range(45)) for s in strings]
+    strings += [s[:30] + bytes(rng.choice(b"ab") for _ in range(suffixes.CONTEXT - 30)) for s in strings]
     runs = [sorted({rng.choice(strings) for _ in range(rng.randint(1, 30))}) for _ in range(11)]
     sources = []
     for run in runs:

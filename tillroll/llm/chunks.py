@@ -25,12 +25,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tillroll.session import staged
 
-CHUNK_BYTES = 2_000_000
-VALUES_PER_BUCKET = 2_000_000
+CHUNK_BYTES = 1_000_000
+VALUES_PER_BUCKET = 1_000_000
 
 
 def squeezed(data: bytes) -> bytes:
-    return zstandard.compress(data, 1)
+    return zstandard.compress(data, 3)
 
 
 def packed(*parts) -> bytes:
@@ -129,6 +129,11 @@ def n_buckets(chunks: DataFrame, values_per_chunk: int) -> int:
     return max(8, chunks.count() * values_per_chunk // VALUES_PER_BUCKET)
 
 
+def filter_bits(chunks: DataFrame, values_per_chunk: int) -> int:
+    """Length of fingerprints of which about one in a thousand is equal to another by chance."""
+    return min(64, 10 + (chunks.count() * values_per_chunk + 1).bit_length())
+
+
 def exchanged(
     rows: DataFrame,
     send: Callable[[dict], Iterable[tuple[int, bytes]]],

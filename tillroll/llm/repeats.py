@@ -34,6 +34,7 @@ from tillroll.llm.chunks import (
     copies,
     covered,
     exchanged,
+    filter_bits,
     finished,
     n_buckets,
     received,
@@ -45,9 +46,7 @@ from tillroll.llm.frames import without
 from tillroll.session import staged
 
 WINDOW, BLOCK = 20, 10
-VALUES_PER_CHUNK = 350_000
-_FILTER_BITS = 44
-_DROP = np.uint64(64 - _FILTER_BITS)
+VALUES_PER_CHUNK = 175_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 SPANS = T.ArrayType(
     T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -57,7 +56,8 @@ SPANS = T.ArrayType(
 class _Words:
     """Word hashes of the documents of a chunk that are long enough, and their blocks."""
 
-    def __init__(self, chunk: Chunk, left_out: set[int]):
+    def __init__(self, chunk: Chunk, left_out: set[int], bits: int):
+        drop = np.uint64(64 - bits)
         self.documents = []  # (place, id, word hashes)
         blocks, is_reference = [], []
         for i in chunk.distinct():
@@ -69,7 +69,7 @@ class _Words:
             mark = np.zeros(len(rolled), bool)
             mark[::BLOCK] = True
             self.documents.append((i, chunk.ids[i], hashes, rolled))
-            blocks.append((rolled >> _DROP) << _DROP)
+            blocks.append(rolled >> drop << drop)
             is_reference.append(mark)
         joined = np.concatenate(blocks) if blocks else np.empty(0, np.uint64)
         marks = np.concatenate(is_reference) if blocks else np.empty(0, bool)
@@ -183,9 +183,10 @@ def remove(docs: DataFrame) -> DataFrame:
     )
     chunks = chunked(docs)
     buckets = n_buckets(chunks, VALUES_PER_CHUNK)
+    bits = filter_bits(chunks, VALUES_PER_CHUNK)
 
     def blocks(row):
-        words = _Words(Chunk(row["data"]), set())
+        words = _Words(Chunk(row["data"]), set(), bits)
         return sent_values(words.blocks, [words.reference, words.several], buckets)
 
     hits = exchanged(chunks.select("chunk", "data"), blocks, _hits, "hits")
@@ -199,10 +200,10 @@ def remove(docs: DataFrame) -> DataFrame:
     def windows(row):
         chunk = Chunk(row["data"])
         left_out = set(row["copies"] or [])
-        words = _Words(chunk, set())
+        words = _Words(chunk, set(), bits)
         hit = bits_of(words.blocks, row["hits"], buckets)
         if left_out:
-            rest = _Words(chunk, left_out)
+            rest = _Words(chunk, left_out, bits)
             hit = hit[np.searchsorted(words.blocks, rest.blocks)]
             words = rest
         return chunk, left_out, words, _Windows(words, hit)

@@ -50,6 +50,7 @@ from tillroll.llm.chunks import (
     copies,
     covered,
     exchanged,
+    filter_bits,
     finished,
     n_buckets,
     packed,
@@ -63,26 +64,27 @@ from tillroll.llm.frames import without
 from tillroll.llm.repeats import SPANS
 from tillroll.session import staged
 
-LENGTH, ANCHOR = 50, 25
+LENGTH, ANCHOR = 50, 32
 LEFT = LENGTH - ANCHOR
 CONTEXT = LENGTH + LEFT
-VALUES_PER_CHUNK = 150_000
+VALUES_PER_CHUNK = 100_000
 CONTEXTS_PER_RANGE = 100_000
-CONTEXTS_PER_CHUNK = 25_000
+CONTEXTS_PER_CHUNK = 16_000
 SAMPLED_CHUNKS, SAMPLES_PER_CHUNK = 64, 512
 FULL = 2**32 - 1
-_DROP = np.uint64(20)  # a fingerprint has 44 bits
-_BASE = 0x9E3779B97F4A7C15
+_BASE = 0x9E3779B1
+_NO_HASH = np.uint32(2**32 - 1)
+_BLOCK_BYTES = 128_000
 _PAD = 0xFF  # never a byte of UTF-8
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(_BASE, n, 2**64))
+def _power(n: int) -> np.uint32:
+    return np.uint32(pow(_BASE, n, 2**32))
 
 
 def _anchor_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the ANCHOR bytes from each place on, joined from halves."""
-    power, span, left = data.astype(np.uint64) + np.uint64(1), 1, ANCHOR
+    """32-bit hash of the ANCHOR bytes from each place on, joined from halves."""
+    power, span, left = data.astype(np.uint32) + np.uint32(1), 1, ANCHOR
     out, done = None, 0
     while left:
         if left & 1:
@@ -97,7 +99,11 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
             n = len(power) - span
             power = power[:n] * _power(span) + power[span : span + n]
             span *= 2
-    return W.mixed(out)
+    out = out ^ (out >> np.uint32(15))
+    out *= np.uint32(0x2C1B3C6D)
+    out ^= out >> np.uint32(12)
+    out *= np.uint32(0x297A2D39)
+    return out ^ (out >> np.uint32(15))
 
 
 def _sliding(values: np.ndarray, width: int, take: np.ufunc) -> np.ndarray:
@@ -108,41 +114,52 @@ def _sliding(values: np.ndarray, width: int, take: np.ufunc) -> np.ndarray:
     return take(values[: span - width], values[width - span :]) if width > span else values
 
 
+def _anchors_in(data: np.ndarray) -> np.ndarray:
+    """Places whose hash is the least of a string of LENGTH bytes around them; none that reach
+    into padding."""
+    hashes = _anchor_hashes(data)
+    outside = np.concatenate([[0], np.cumsum(data == _PAD, dtype=np.int32)])
+    hashes[outside[ANCHOR:] > outside[:-ANCHOR]] = _NO_HASH
+    width = LENGTH - ANCHOR + 1
+    least = _sliding(hashes, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint32)
+    greatest = _sliding(np.concatenate([edge, least, edge]), width, np.maximum)
+    return np.nonzero((greatest == hashes) & (hashes != _NO_HASH))[0]
+
+
 class _Anchors:
     """Places of anchors in the distinct long-enough documents of a chunk, joined with padding."""
 
-    def __init__(self, chunk: Chunk):
+    def __init__(self, chunk: Chunk, bits: int):
         self.places = [i for i in chunk.distinct() if len(chunk.texts[i]) >= LENGTH]
         self.ids = np.array([chunk.ids[i] for i in self.places], np.int64)
         pad = bytes([_PAD]) * LENGTH
         self.data = np.frombuffer(pad + b"".join(chunk.texts[i] + pad for i in self.places), np.uint8)
-        sizes = np.array([len(chunk.texts[i]) for i in self.places], np.int64)
-        self.begins = np.cumsum(sizes + LENGTH) - sizes
-        self.sizes = sizes
-        self.at, self.number = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.values = np.empty(0, np.uint64)
-        if not self.places:
-            return
-        hashes = _anchor_hashes(self.data)
-        width = LENGTH - ANCHOR + 1
-        outside = np.concatenate([[0], np.cumsum(self.data == _PAD)])
-        hashes[outside[ANCHOR:] > outside[:-ANCHOR]] = FULL << 32 | FULL
-        least = _sliding(hashes, width, np.minimum)
-        edge = np.zeros(width - 1, np.uint64)
-        greatest = _sliding(np.concatenate([edge, least, edge]), width, np.maximum)
-        at = np.nonzero((greatest == hashes) & (hashes != np.uint64(FULL << 32 | FULL)))[0]
-        self.at = at
-        self.number = np.searchsorted(self.begins, at, "right") - 1
-        self.values = hashes[at] >> _DROP << _DROP
-
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct values, whether several documents here have each, and the value of each anchor."""
-        values, which = np.unique(self.values, return_inverse=True)
-        low = np.full(len(values), 2**62)
-        high = np.full(len(values), -1)
-        np.minimum.at(low, which, self.number)
-        np.maximum.at(high, which, self.number)
-        return values, high > low, which
+        self.sizes = np.array([len(chunk.texts[i]) for i in self.places], np.int64)
+        self.begins = np.cumsum(self.sizes + LENGTH) - self.sizes
+        # some documents at a time, so that the arrays stay in the processor's cache
+        found, k = [np.empty(0, np.int64)], 0
+        while k < len(self.places):
+            start = int(self.begins[k]) - LENGTH
+            k = max(k + 1, int(np.searchsorted(self.begins, start + _BLOCK_BYTES)))
+            end = int(self.begins[k - 1] + self.sizes[k - 1]) + LENGTH
+            found.append(_anchors_in(self.data[start:end]) + start)
+        self.at = np.concatenate(found)
+        self.number = np.searchsorted(self.begins, self.at, "right") - 1
+        drop = np.uint64(64 - bits)
+        words = self.data[self.at[:, None] + np.arange(ANCHOR)].view(np.uint64)
+        values = np.zeros(len(self.at), np.uint64)
+        for k in range(words.shape[1]):
+            values = W.mixed(values * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
+        self.values, self.which = np.unique(values >> drop << drop, return_inverse=True)
+
+    def several(self) -> np.ndarray:
+        """Whether two documents here or more have each distinct value."""
+        order = np.lexsort((self.number, self.which))
+        which, number = self.which[order], self.number[order]
+        out = np.zeros(len(self.values), bool)
+        out[which[1:][(which[1:] == which[:-1]) & (number[1:] != number[:-1])]] = True
+        return out
 
 
 class _Run:
@@ -153,14 +170,15 @@ class _Run:
             anchors.number, [k for k, i in enumerate(anchors.places) if i in left_out]
         )
         self.at, self.number = anchors.at[keep], anchors.number[keep]
-        reach = np.concatenate([np.arange(LENGTH), -1 - np.arange(LEFT)])
-        rows = anchors.data[np.minimum(self.at[:, None] + reach[None, :], len(anchors.data) - 1)]
-        # padding hides what lies beyond the document
-        ends = (anchors.begins + anchors.sizes)[self.number]
-        begins = anchors.begins[self.number]
-        where = self.at[:, None] + reach[None, :]
-        rows = np.where((where < ends[:, None]) & (where >= begins[:, None]), rows, _PAD)
-        rows = np.ascontiguousarray(rows, np.uint8)
+        reach = np.concatenate([np.arange(LENGTH), -1 - np.arange(LEFT)]).astype(np.int32)
+        rows = anchors.data[self.at.astype(np.int32)[:, None] + reach]
+        # padding, and all beyond it, hides what lies outside the document
+        place, size = self.at - anchors.begins[self.number], anchors.sizes[self.number]
+        near_end = np.nonzero((place + LENGTH > size) | (place < LEFT))[0]
+        where = place[near_end, None] + reach
+        edge = rows[near_end]
+        edge[(where < 0) | (where >= size[near_end, None])] = _PAD
+        rows[near_end] = edge
         whole = rows.view(f"V{CONTEXT}").ravel()
         _, first, self.which = np.unique(whole, return_index=True, return_inverse=True)
         self.rows = rows[first]
@@ -388,11 +406,12 @@ def remove(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     )
     chunks = chunked(docs)
     buckets = n_buckets(chunks, VALUES_PER_CHUNK)
+    bits = filter_bits(chunks, VALUES_PER_CHUNK)
     ranges = max(8, chunks.count() * CONTEXTS_PER_CHUNK // CONTEXTS_PER_RANGE)
 
     def fingerprints(row):
-        values, several, _ = _Anchors(Chunk(row["data"])).fingerprints()
-        return sent_values(values, [several], buckets)
+        anchors = _Anchors(Chunk(row["data"]), bits)
+        return sent_values(anchors.values, [anchors.several()], buckets)
 
     shared = exchanged(chunks.select("chunk", "data"), fingerprints, _shared, "shared")
     shared = shared.withColumnRenamed("answers", "shared")
@@ -401,10 +420,9 @@ def remove(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     def sorted_run(row):
         chunk = Chunk(row["data"])
         left_out = set(row["copies"] or [])
-        anchors = _Anchors(chunk)
-        values, _, which = anchors.fingerprints()
-        bits = bits_of(values, row["shared"], buckets)
-        return chunk, left_out, anchors, _Run(anchors, bits[which], left_out)
+        anchors = _Anchors(chunk, bits)
+        shared_here = bits_of(anchors.values, row["shared"], buckets)[anchors.which]
+        return chunk, left_out, anchors, _Run(anchors, shared_here, left_out)
 
     def joined(rows: DataFrame) -> DataFrame:
         return rows.join(shared, "chunk", "left").join(whole, "chunk", "left")

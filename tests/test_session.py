@@ -1,35 +1,21 @@
 from types import SimpleNamespace
 
-import pytest
-
 from tillroll.session import fresh_path, shared_folder
 
 
-class Context:
-    def __init__(self, master):
-        self.master, self.folder = master, None
-
-    def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = f"file:{folder}/id"
-
-
-def session(master, setting=None):
-    conf = SimpleNamespace(get=lambda key, default: setting or default)
-    return SimpleNamespace(conf=conf, sparkContext=Context(master))
+def session(**settings):
+    conf = SimpleNamespace(get=lambda key, default=None: settings.get(key.rsplit(".", 2)[1], default))
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
 
 
 def test_the_named_folder_is_used():
-    assert shared_folder(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    spark = session(checkpoint="hdfs:///shared/", warehouse="hdfs:///warehouse")
+    assert shared_folder(spark) == "hdfs:///shared"
 
 
-def test_only_a_local_session_makes_its_own():
-    spark = session("local[2]")
-    assert shared_folder(spark) == shared_folder(spark) and "tillroll-" in shared_folder(spark)
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session("spark://host:7077"))
+def test_without_it_a_folder_beside_the_tables_is_used():
+    """Never a temporary folder of one machine."""
+    assert shared_folder(session(warehouse="hdfs:///warehouse")) == "hdfs:///warehouse/_shared"
 
 
 def test_paths_are_fresh(spark):

@@ -170,4 +170,71 @@ SELECT d.doc_id, count(f.item_id) AS n_items,
   coalesce(string_agg(f.item_id, ',' ORDER BY f.item_id), '') AS item_ids,
   count(f.item_id) > 0 AS contaminated
 FROM documents d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id""",
+    "op5_suffixes": f"""
+WITH docs AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), {2 * suffixes.LENGTH}) AS k
+  FROM (SELECT doc_id, h, unnest(range(n - {suffixes.LENGTH} + 1)) AS i FROM docs
+        WHERE n >= {suffixes.LENGTH})),
+repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM windows)
+  WHERE first < doc_id),
+begun AS (
+  SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {suffixes.LENGTH}
+    THEN 0 ELSE 1 END AS begins FROM repeated),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM begun),
+spans AS (
+  SELECT doc_id, run, min(i) AS s, max(i) + {suffixes.LENGTH} AS e FROM numbered
+  GROUP BY doc_id, run),
+between AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM spans),
+joined AS (
+  SELECT b.doc_id, sum(e - s) AS removed, count(*) AS spans, max(e) AS last,
+    string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (s - p) AS BIGINT)), '' ORDER BY s) AS head
+  FROM between b JOIN docs USING (doc_id) GROUP BY b.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM docs d LEFT JOIN joined j USING (doc_id)""",
+    "op7_near": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1),
+      lambda i: array_to_string(w[i : i + 2], ' ')))) END AS g FROM words),
+sized AS (SELECT doc_id, g, len(g) AS n, min(doc_id) OVER (PARTITION BY g) AS node FROM sets),
+grams AS (SELECT doc_id AS node, n, unnest(g) AS k FROM sized WHERE node = doc_id),
+links AS (
+  SELECT a.node AS u, b.node AS v FROM grams a JOIN grams b ON a.k = b.k AND a.node <> b.node
+  GROUP BY a.node, b.node
+  HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reached AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u),
+least AS (SELECT u AS node, min(v) AS m FROM reached GROUP BY u)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles,
+  CASE WHEN s.n = 0 THEN s.doc_id ELSE least(s.node, coalesce(l.m, s.node)) END AS component_id,
+  s.doc_id = CASE WHEN s.n = 0 THEN s.doc_id ELSE least(s.node, coalesce(l.m, s.node)) END AS kept
+FROM sized s LEFT JOIN least l USING (node)""",
+    "op9_repeats": rf"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + {repeats.WINDOW - 1}], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {repeats.WINDOW - 2})) AS i FROM words
+        WHERE len(w) >= {repeats.WINDOW})),
+repeated AS (
+  SELECT doc_id, i FROM
+    (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows)
+  WHERE r > 1),
+gone AS (
+  SELECT doc_id, list_distinct(list(i + o)) AS p
+  FROM repeated, (SELECT unnest(range({repeats.WINDOW})) AS o) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: p IS NULL OR NOT list_contains(p, i)), ' '))
+    AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)""",
 }

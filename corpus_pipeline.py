@@ -52,7 +52,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of the ids and of the bytes they decode to."""
     ranks = public_tokenizers.path(RANKS)
-    coded = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    # a small cache: the workers hold what the stages before need as well
+    coded = bpe.encode(
+        docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, cached_pieces=30_000
+    )
     decoded = bpe.decode(coded.drop("text"), ranks)
     return decoded.select(
         "doc_id",

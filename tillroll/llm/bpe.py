@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.frames import without
+from tillroll.llm.frames import small_batches, without
 
 CACHED_PIECES = 300_000
-CACHED_PAIRS = 500_000
+CACHED_PAIRS = 300_000
 ROWS_AT_ONCE = 256
 
 
@@ -156,14 +156,16 @@ class _PieceCache(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.old = vocabulary, {}
+        self.vocabulary, self.old, self.limit = vocabulary, {}, CACHED_PIECES
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.old.get(piece)
         if packed is None:
-            ids = PrefixTable(self.vocabulary, piece.encode()).encoded()
+            data = piece.encode()
+            whole = self.vocabulary.ranks.get(data)
+            ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).encoded()
             packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHED_PIECES:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
@@ -245,6 +247,13 @@ def vocabulary(rank_file: bytes) -> Vocabulary:
     return Vocabulary(rank_file)
 
 
+@lru_cache(maxsize=2)
+def tokens(rank_file: bytes) -> dict[int, bytes]:
+    """The bytes of every id: all that decoding needs."""
+    lines = (line.split() for line in rank_file.splitlines() if line.strip())
+    return {int(rank): base64.b64decode(token) for token, rank in lines}
+
+
 def _read(path: str) -> bytes:
     """A rank file, of bounded size: it goes to the tasks with their code."""
     with open(path, "rb") as file:
@@ -274,15 +283,22 @@ def encode(
     text: str = "text",
     ids: str = "ids",
     n_tokens: str = "n_tokens",
+    cached_pieces: int = CACHED_PIECES,
 ) -> DataFrame:
     """Add the ids of each whole text, as little-endian unsigned 32-bit integers, and their
-    number. Each match of ``pattern`` is encoded separately, without special tokens."""
+    number. Each match of ``pattern`` is encoded separately, without special tokens.
+
+    A worker keeps the ids of up to twice ``cached_pieces`` pieces, about 230 bytes each, also
+    between tasks: more is faster, less leaves room for what else runs there."""
+    small_batches(df.sparkSession)
     df = without(df, ids, n_tokens)
     shared = df.sparkSession.sparkContext.broadcast(_read(rank_path))
 
     def run(batches):
         find = regex.compile(pattern).findall
-        lookup = vocabulary(shared.value).pieces.__getitem__
+        known = vocabulary(shared.value).pieces
+        known.limit = cached_pieces
+        lookup = known.__getitem__
         for batch in _sliced(batches):
             packed = [
                 b"".join(map(lookup, find(t))) if t else b"" for t in batch[text].to_pylist()
@@ -309,7 +325,7 @@ def decode(
     shared = df.sparkSession.sparkContext.broadcast(_read(rank_path))
 
     def run(batches):
-        lookup = vocabulary(shared.value).token_bytes.__getitem__
+        lookup = tokens(shared.value).__getitem__
         for batch in _sliced(batches):
             out = [
                 b"".join(map(lookup, memoryview(p).cast("I"))) if p else b""

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tillroll.llm.frames import small_batches
 from tillroll.session import staged
 
 CHUNK_BYTES = 1_000_000
@@ -71,6 +72,7 @@ class Chunk:
 
 def chunked(docs: DataFrame) -> DataFrame:
     """(chunk, ids, digests, data) of all rows, written to the shared folder."""
+    small_batches(docs.sparkSession)
 
     def sealed(rows: pa.Table, number: int) -> pa.RecordBatch:
         batch = rows.combine_chunks().to_batches()[0]

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OTHERS = "_others"
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ROWS_PER_BATCH documents go to a task's Python at once, from now on: the session's
+    default of ten times that is meant for narrower rows than whole texts."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if now <= 0 or now > ROWS_PER_BATCH:
+        spark.conf.set(setting, str(ROWS_PER_BATCH))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

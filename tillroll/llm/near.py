@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import words as W
+from tillroll.llm.frames import small_batches
 from tillroll.session import staged
 
 SYMBOLS, CHUNKS, MOST_ERRORS = 64, 13, 25
@@ -284,6 +285,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
+    small_batches(docs.sparkSession)
     described = staged(_described(docs, n), "described")
     classes = staged(
         described.filter("set is not null and doc_id is not null")

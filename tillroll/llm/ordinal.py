@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.frames import without
+from tillroll.llm.frames import small_batches, without
 
 WORD_BITS, SHAPE_BITS = 18, 12
 N_FEATURES = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 1
@@ -43,7 +43,7 @@ SHAPE_SCALE = 15.0
 PER_GRADE = 4000
 ACCEPTED_GRADE = 2
 ROWS_AT_ONCE = 512
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -191,6 +191,7 @@ def train(
     ``rated`` has doc_id and grade. The sample's features, at most n_grades * per_grade rows,
     are gathered on the driver; texts are not.
     """
+    small_batches(df.sparkSession)
     rated = rated.select("doc_id", "grade").persist()
     total = dict(rated.groupBy("grade").count().collect())
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -230,6 +231,7 @@ def classify(
 ) -> DataFrame:
     """Add expected_grade, p_accept = P(grade >= accepted_grade), and accepted (p >= 1/2)."""
     added = {"expected_grade": T.DoubleType(), "p_accept": T.DoubleType()}
+    small_batches(df.sparkSession)
     df = without(df, *added, "accepted")
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added.items())])

@@ -146,7 +146,11 @@ def _similarity(sentences: Column, pairs: Column) -> Column:
 def train(docs: DataFrame) -> tuple[PipelineModel, float]:
     """The classifier and the least probability at which a family is named."""
     spark = docs.sparkSession
-    chosen = docs.filter(F.col("text").isNotNull()).orderBy(F.xxhash64("text")).limit(NEGATIVE_DOCUMENTS)
+    # hashes alone are sorted: the texts of the sample stay where they are until it is known
+    order = F.xxhash64("text")
+    hashes = docs.filter(F.col("text").isNotNull()).select(order.alias("h")).distinct()
+    last = hashes.orderBy("h").limit(NEGATIVE_DOCUMENTS).agg(F.max("h")).first()[0]
+    chosen = docs.filter(F.col("text").isNotNull() & (order <= F.lit(last))).dropDuplicates(["text"])
     every = _templates(spark).groupBy(F.lit(1).alias("one")).agg(F.collect_list("pairs").alias("all"))
     # the limit stands above the word pairs, so that the filter sees them made once
     sampled = _grams(paragraphs(chosen)).limit(NEGATIVE_PARAGRAPHS).withColumn("one", F.lit(1))

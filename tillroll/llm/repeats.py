@@ -56,46 +56,38 @@ SPANS = T.ArrayType(
 class _Words:
     """Word hashes of the documents of a chunk that are long enough, and their blocks."""
 
-    def __init__(self, chunk: Chunk, left_out: set[int], bits: int):
+    def __init__(self, chunk: Chunk, bits: int):
+        places = list(chunk.distinct())
+        self.documents = []  # (place, id, word hashes, block hashes), by id
+        for i, hashes in zip(places, W.hashes_of([chunk.texts[i] for i in places]), strict=True):
+            if len(hashes) >= WINDOW:
+                self.documents.append((i, chunk.ids[i], hashes, W.joined(hashes, BLOCK)))
         drop = np.uint64(64 - bits)
-        self.documents = []  # (place, id, word hashes)
-        blocks, is_reference = [], []
-        for i in chunk.distinct():
-            words = chunk.texts[i].split()
-            if len(words) < WINDOW or i in left_out:
-                continue
-            hashes = W.hashed(words)
-            rolled = W.rolling(hashes, BLOCK)
-            mark = np.zeros(len(rolled), bool)
-            mark[::BLOCK] = True
-            self.documents.append((i, chunk.ids[i], hashes, rolled))
-            blocks.append(rolled >> drop << drop)
-            is_reference.append(mark)
-        joined = np.concatenate(blocks) if blocks else np.empty(0, np.uint64)
-        marks = np.concatenate(is_reference) if blocks else np.empty(0, bool)
-        self.blocks, first, self.which, counts = np.unique(
-            joined, return_index=True, return_inverse=True, return_counts=True
-        )
+        none = np.empty(0, np.uint64)
+        rolled = np.concatenate([none, *[d[3] for d in self.documents]])
+        self.blocks, self.which, counts = W.distinct(rolled >> drop << drop)
+        sizes = [len(d[3]) for d in self.documents]
+        starts = np.cumsum([0, *sizes])
+        marks = [np.arange(a, b, BLOCK) for a, b in zip(starts, starts[1:], strict=False)]
         self.reference = np.zeros(len(self.blocks), bool)
-        self.reference[self.which[marks]] = True
+        self.reference[self.which[np.concatenate([np.empty(0, np.int64), *marks])]] = True
         self.several = counts > 1
 
-    def candidates(self, hit: np.ndarray):
-        """(first hash, second hash, document, start) of the windows that hold a hit block."""
+    def candidates(self, hit: np.ndarray, left_out: set[int]):
+        """(first hash, second hash, document, start) of the windows that hold a hit block, in
+        the documents not left out."""
         live, at, found = hit[self.which], 0, []
-        for number, (_, _, hashes, rolled) in enumerate(self.documents):
+        for number, (place, _, hashes, rolled) in enumerate(self.documents):
             own = live[at : at + len(rolled)]
             at += len(rolled)
-            if not own.any():
+            if place in left_out or not own.any():
                 continue
             total = np.concatenate([[0], np.cumsum(own)])
-            starts = np.arange(len(hashes) - WINDOW + 1)
-            starts = starts[total[starts + WINDOW - BLOCK + 1] > total[starts]]
+            n = len(hashes) - WINDOW + 1
+            starts = np.flatnonzero(total[WINDOW - BLOCK + 1 :][:n] > total[:n])
             first = W.mixed(rolled[starts] * _SECOND + rolled[starts + BLOCK])
-            second = np.zeros(len(starts), np.uint64)
-            for k in range(WINDOW):
-                second = second * _SECOND + hashes[starts + k]
-            second = (W.mixed(second) >> np.uint64(32)).astype(np.uint32)
+            second = W.joined(hashes, WINDOW, int(_SECOND))[starts]
+            second = (second >> np.uint64(32)).astype(np.uint32)
             found.append((first, second, np.full(len(starts), number), starts))
         if not found:
             return [np.empty(0, t) for t in (np.uint64, np.uint32, np.int64, np.int64)]
@@ -105,8 +97,8 @@ class _Words:
 class _Windows:
     """Candidate windows of a chunk; for each distinct one its earliest place."""
 
-    def __init__(self, words: _Words, hit: np.ndarray):
-        first, second, number, start = words.candidates(hit)
+    def __init__(self, words: _Words, hit: np.ndarray, left_out: set[int]):
+        first, second, number, start = words.candidates(hit, left_out)
         ids = np.array([d[1] for d in words.documents] or [0], np.int64)[number]
         order = np.lexsort((start, ids, second, first))
         self.first, self.second, self.ids = first[order], second[order], ids[order]
@@ -186,7 +178,7 @@ def remove(docs: DataFrame) -> DataFrame:
     bits = filter_bits(chunks, VALUES_PER_CHUNK)
 
     def blocks(row):
-        words = _Words(Chunk(row["data"]), set(), bits)
+        words = _Words(Chunk(row["data"]), bits)
         return sent_values(words.blocks, [words.reference, words.several], buckets)
 
     hits = exchanged(chunks.select("chunk", "data"), blocks, _hits, "hits")
@@ -200,13 +192,9 @@ def remove(docs: DataFrame) -> DataFrame:
     def windows(row):
         chunk = Chunk(row["data"])
         left_out = set(row["copies"] or [])
-        words = _Words(chunk, set(), bits)
+        words = _Words(chunk, bits)
         hit = bits_of(words.blocks, row["hits"], buckets)
-        if left_out:
-            rest = _Words(chunk, left_out, bits)
-            hit = hit[np.searchsorted(words.blocks, rest.blocks)]
-            words = rest
-        return chunk, left_out, words, _Windows(words, hit)
+        return chunk, left_out, words, _Windows(words, hit, left_out)
 
     def candidates(row):
         return sent_values(*windows(row)[3].sent(), buckets)

@@ -151,7 +151,7 @@ class _Anchors:
         values = np.zeros(len(self.at), np.uint64)
         for k in range(words.shape[1]):
             values = W.mixed(values * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
-        self.values, self.which = np.unique(values >> drop << drop, return_inverse=True)
+        self.values, self.which, _ = W.distinct(values >> drop << drop)
 
     def several(self) -> np.ndarray:
         """Whether two documents here or more have each distinct value."""
@@ -428,7 +428,8 @@ def remove(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
         return rows.join(shared, "chunk", "left").join(whole, "chunk", "left")
 
     # splitters from the runs of a bounded number of chunks
-    few = chunks.select("chunk", "data").orderBy(F.xxhash64("chunk")).limit(SAMPLED_CHUNKS)
+    names = chunks.select("chunk").orderBy(F.xxhash64("chunk")).limit(SAMPLED_CHUNKS).collect()
+    few = chunks.select("chunk", "data").filter(F.col("chunk").isin([r.chunk for r in names]))
 
     def sampled(batches):
         for batch in batches:

@@ -62,27 +62,27 @@ def scan_purchases_csv(
 def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """The files of each header line. Only the first block of a file is looked at, and one row
     for each file comes to the driver, as Spark's own file listing does."""
+
+    def first_lines(batches):
+        """The first line of every file block, in the order that a task reads them."""
+        seen = set()
+        for batch in batches:
+            paths = batch["file_path"].to_pylist()
+            new = [k for k, p in enumerate(paths) if p not in seen and paths.index(p) == k]
+            seen.update(paths[k] for k in new)
+            if new:
+                yield batch.select(["file_path", "value"]).take(pa.array(new, pa.int64()))
+
     lines = spark.read.text(path).select(
         "value", "_metadata.file_path", "_metadata.file_block_start"
     )
-    heads = lines.where("file_block_start = 0").mapInArrow(_first_lines, "file_path string, value string")
+    heads = lines.where("file_block_start = 0").mapInArrow(first_lines, "file_path string, value string")
     found: dict[str, list[str]] = {}
     for row in heads.groupBy("file_path").agg(F.first("value").alias("value")).collect():
         found.setdefault(row["value"], []).append(unquote(row["file_path"]))
     return found
 
 
-def _first_lines(batches):
-    """The first line of every file block, in the order that a task reads them."""
-    seen = set()
-    for batch in batches:
-        paths = batch["file_path"].to_pylist()
-        new = [k for k, p in enumerate(paths) if p not in seen and paths.index(p) == k]
-        seen.update(paths[k] for k in new)
-        if new:
-            yield batch.select(["file_path", "value"]).take(pa.array(new, pa.int64()))
-
-
 def scan_receipt_json(
     spark: SparkSession, path: str, *, per_line: bool = False, strict: bool = False
 ) -> DataFrame:

@@ -51,6 +51,23 @@ def test_held_out_wordings(spark, trained):
     assert all(found.get(len(HELD_OUT) + i, "unknown") == "unknown" for i in range(len(PLAIN)))
 
 
+def test_a_bound_that_binds_leaves_one_sample_and_one_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lines = docs.count()
+    many = "\n".join(f"line {'abcdefghij'[n % 10]} of {'klmnopqrst'[n // 10 % 10]} {n // 100 * 'x'}" for n in range(lines))
+    docs = docs.unionByName(spark.createDataFrame([(10**9, many)], docs.schema))
+    orders = [docs.repartition(7, "doc_id"), docs.orderBy(F.desc("doc_id")).coalesce(2)]
+    every = {tuple(r.words) for r in licences.paragraphs(docs).select("words").distinct().collect()}
+    assert len(every) > 300
+    taken, models = [], []
+    for rows in orders:
+        taken.append(sorted(tuple(r.words) for r in licences.sample(rows, 10**6, 300).collect()))
+        model, least = licences.train(rows, negative_documents=10**6, negative_paragraphs=300)
+        models.append((model.stages[-1].coefficientMatrix.toArray().tobytes(), least))
+    assert len(set(taken[0])) == len(taken[0]) == 300 and set(taken[0]) <= every
+    assert taken[0] == taken[1] and models[0] == models[1]
+
+
 def test_edge_cases(spark, trained):
     notice = "Released under the MIT License."
     long = "words of no licence " * 20_000 + "\n" + notice

@@ -2,9 +2,12 @@
 
 A paragraph is a line with a word in it. Its 1-, 2- and 3-word n-grams, hashed, go through a
 multinomial logistic regression over licence families and "none". It is trained here, on word
-windows of the notices below and on a bounded sample of the table's own paragraphs, of the
-``negative_documents`` documents of smallest text hash. A held-out part of both sets the
-least probability at which a family is named (the smallest with the asked precision); what is
+windows of the notices below and on a bounded sample of the table's own paragraphs: of the
+``negative_documents`` distinct texts of smallest hash, the ``negative_paragraphs`` distinct
+paragraphs (as words) of smallest hash, less those like a template. Nobody has labelled these;
+that they are unlike every template is what makes them "none". The sample depends on the rows
+alone, not on their order, and so does the model, which is fitted in one task on sorted rows.
+All paragraphs are scanned. A held-out part of both sets the least probability at which a family is named (the smallest with the asked precision); what is
 likely a licence but below it is "unknown". A named family is confirmed by comparison with its
 templates: with too few word pairs in common it is "unknown" too, with next to none no licence.
 
@@ -143,17 +146,32 @@ def _similarity(sentences: Column, pairs: Column) -> Column:
     return F.array_max(shares)
 
 
-def train(docs: DataFrame) -> tuple[PipelineModel, float]:
+def _least_hashes(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The rows with the ``n`` smallest hashes of a column; rows equal in it stay together."""
+    # hashes alone are sorted: the rows stay where they are until the last hash is known
+    order = F.xxhash64(column)
+    hashes = df.filter(F.col(column).isNotNull()).select(order.alias("h")).distinct()
+    last = hashes.orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.filter(F.col(column).isNotNull() & (order <= F.lit(last)))
+
+
+def sample(docs: DataFrame, n_documents: int, n_paragraphs: int) -> DataFrame:
+    """(words, pairs) of the paragraphs that may be negatives, each once."""
+    chosen = _least_hashes(docs, "text", n_documents).dropDuplicates(["text"])
+    found = staged(paragraphs(chosen).select("words").distinct(), "paragraphs")
+    # written, so that a filter on the word pairs sees them made once
+    return staged(_grams(_least_hashes(found, "words", n_paragraphs)).drop("grams"), "sampled")
+
+
+def train(
+    docs: DataFrame,
+    negative_documents: int = NEGATIVE_DOCUMENTS,
+    negative_paragraphs: int = NEGATIVE_PARAGRAPHS,
+) -> tuple[PipelineModel, float]:
     """The classifier and the least probability at which a family is named."""
     spark = docs.sparkSession
-    # hashes alone are sorted: the texts of the sample stay where they are until it is known
-    order = F.xxhash64("text")
-    hashes = docs.filter(F.col("text").isNotNull()).select(order.alias("h")).distinct()
-    last = hashes.orderBy("h").limit(NEGATIVE_DOCUMENTS).agg(F.max("h")).first()[0]
-    chosen = docs.filter(F.col("text").isNotNull() & (order <= F.lit(last))).dropDuplicates(["text"])
     every = _templates(spark).groupBy(F.lit(1).alias("one")).agg(F.collect_list("pairs").alias("all"))
-    # the limit stands above the word pairs, so that the filter sees them made once
-    sampled = _grams(paragraphs(chosen)).limit(NEGATIVE_PARAGRAPHS).withColumn("one", F.lit(1))
+    sampled = sample(docs, negative_documents, negative_paragraphs).withColumn("one", F.lit(1))
     negatives = (
         sampled.join(F.broadcast(every), "one")
         .filter(_similarity(F.col("all"), F.col("pairs")) < 0.25)
@@ -164,7 +182,9 @@ def train(docs: DataFrame) -> tuple[PipelineModel, float]:
         F.lit(FAMILIES.index(NONE)).alias("label"), F.explode("words").alias("w")
     ).distinct().select("label", F.array("w").alias("words"))
     examples = _positives(spark).unionByName(negatives).unionByName(alone)
-    rows = staged(_grams(examples).select(F.col("label").cast("double").alias("label"), "grams"), "examples")
+    rows = _grams(examples).select(F.col("label").cast("double").alias("label"), "grams")
+    # a bounded number of rows in one order: sums of doubles are the same in every run
+    rows = staged(rows.repartition(1).sortWithinPartitions("label", "grams"), "examples")
     held_out = F.pmod(F.xxhash64("grams"), F.lit(4)) == 0
     stages = [
         HashingTF(inputCol="grams", outputCol="features", numFeatures=N_FEATURES, binary=True),

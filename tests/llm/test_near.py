@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tillroll.llm import near
@@ -138,3 +139,35 @@ def test_components_of_a_long_path(spark):
     assert {r.node: r.component for r in found} == {
         **{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100
     }
+
+
+def test_a_run_of_more_than_two_gib_keeps_its_rows():
+    # all batches show the same zeros, which nothing reads
+    half = 600 << 20
+    zeros = pa.py_buffer(np.zeros(2 * half, np.uint8))
+    offsets = pa.py_buffer(np.array([0, half, 2 * half], np.int32))
+    sets = pa.Array.from_buffers(pa.binary(), 2, [None, offsets, zeros])
+    numbers = [([7, 8], [1, 2]), ([8, 8], [3, 4]), ([8, 8], [5, 6]), ([8, 9], [7, 8]), ([9, 10], [9, 10])]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(g), pa.array(n), sets], names=["group", "node", "set"])
+        for g, n in numbers
+    ]
+    runs = [r["node"].to_pylist() for r in near._runs_of(iter(batches), ("group",))]
+    assert runs == [[2, 3, 4, 5, 6, 7], [8, 9]]
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(24):
+        copy = list(words)
+        copy[rng.randrange(300)] = f"other{i}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near, "BLOCK_BYTES", 10_000)
+    seen = []
+    blocked = near._blocked
+    monkeypatch.setattr(near, "_blocked", lambda *a: seen.append(blocked(*a)) or seen[-1])
+    check(rows, near.groups(docs, n=3, percent=85).collect())
+    assert seen[-1].select("low", "high").distinct().count() > 1

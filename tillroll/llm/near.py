@@ -12,8 +12,8 @@ Candidates are not expanded to all pairs. Of buckets with the same members the o
 key counts, and a pair counts in the bucket of the first key that it shares. A bucket is
 cut into blocks of at most about BLOCK members, and every two blocks meet in a task, which gives
 back only as many pairs as connect what lies within the signature distance. What they connect
-are the groups inside which links can be; a group is cut into blocks in the same way, and a task
-confirms links on the full sets, again only those that connect something new. Components come from
+are the groups inside which links can be; a group is cut into blocks in the same way, also of at
+most about BLOCK_BYTES of sets, and a task confirms links on the full sets, again only those that connect something new. Components come from
 hooking nodes to their least neighbour and contracting, in tables, until no link is left.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing;
@@ -37,7 +37,7 @@ from tillroll.llm.frames import small_batches
 from tillroll.session import staged
 
 SYMBOLS, CHUNKS, MOST_ERRORS = 64, 13, 25
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 64_000_000
 _rng = np.random.default_rng(20_260_101)
 _FACTORS = (_rng.integers(1, 2**32, SYMBOLS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _OFFSETS = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -146,8 +146,12 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _blocked(rows: DataFrame, group: str) -> DataFrame:
-    """Rows with n, the size of their group, in every pair of blocks (low, high) they meet in."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    """Rows with n, the size of their group, in every pair of blocks (low, high) they meet in;
+    with bytes, the length of all its sets, blocks are bounded by that too."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    if "bytes" in rows.columns:
+        blocks = F.greatest(blocks, F.least("n", F.ceil(F.col("bytes") / BLOCK_BYTES)))
+    blocks = blocks.cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     return (
         rows.withColumn("blocks", blocks)
@@ -155,7 +159,7 @@ def _blocked(rows: DataFrame, group: str) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))
-        .drop("n", "blocks", "other")
+        .drop("n", "bytes", "blocks", "other")
         .repartition(group, "low", "high")
         .sortWithinPartitions(group, "low", "high")
     )
@@ -209,25 +213,30 @@ def _connected(rows: DataFrame, group: str, percent: int, confirm: bool) -> Data
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _runs_of(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """The rows of sorted batches, one batch for each run of equal keys of two rows or more."""
-    held = None
+def _runs_of(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of sorted batches, one table for each run of equal keys of two rows or more.
+
+    A run stays in the slices it came in: joined, its sets can be too long for one column.
+    """
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        edge = np.zeros(batch.num_rows - 1, bool)
+        edge = np.zeros(batch.num_rows, bool)
         for key in keys:
             column = batch[key].to_numpy(zero_copy_only=False)
-            edge |= column[1:] != column[:-1]
-        ends = [0, *(np.nonzero(edge)[0] + 1).tolist()]
-        for start, end in zip(ends, ends[1:], strict=False):
-            if end - start > 1:
-                yield batch.slice(start, end - start)
-        held = batch.slice(ends[-1])
-    if held is not None and held.num_rows > 1:
-        yield held
+            edge[1:] |= column[1:] != column[:-1]
+            edge[0] |= bool(held) and column[0] != held[0][key][0].as_py()
+        ends = [0, *np.nonzero(edge)[0].tolist(), batch.num_rows]
+        for k, (start, end) in enumerate(zip(ends, ends[1:], strict=False)):
+            if k:
+                if sum(x.num_rows for x in held) > 1:
+                    yield pa.Table.from_batches(held)
+                held = []
+            if end > start:
+                held.append(batch.slice(start, end - start))
+    if sum(x.num_rows for x in held) > 1:
+        yield pa.Table.from_batches(held)
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -313,7 +322,11 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = members.join(chosen, "key").join(described_nodes, "node")
     near_by = staged(_connected(_blocked(rows, "key"), "key", percent, False).distinct(), "near-by")
     within = components(near_by, "groups").withColumnRenamed("component", "group")
-    sizes = within.groupBy("group").agg(F.count("*").alias("n"))
+    sizes = (
+        within.join(classes.select("node", "n_shingles"), "node")
+        .groupBy("group")
+        .agg(F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("bytes"))
+    )
     placed = staged(within.join(sizes, "group"), "placed")
     full = _sets(docs.join(placed.select(F.col("node").alias("doc_id")), "doc_id"), n)
     rows = placed.join(described_nodes, "node").join(full, "node")

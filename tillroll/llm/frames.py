@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(ROWS_PER_BATCH))
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> Iterator[None]:
+    """At most so many rows go to a task's Python at once in what is run meanwhile."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if int(before) <= 0 or int(before) > rows:
+        spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame without columns of these names, in any case: the operator's own replace them."""
     added = {n.lower() for n in names}

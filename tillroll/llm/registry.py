@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, contain, licences, near, ordinal, repeats, rules, sharding, suffixes, urls
+from tillroll.llm import (
+    bpe,
+    contain,
+    lattice,
+    licences,
+    near,
+    ordinal,
+    repeats,
+    resample,
+    rules,
+    sharding,
+    suffixes,
+    urls,
+    whiten,
+)
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -98,6 +112,20 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, mined).drop("url")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample.draw(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.groups(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -109,6 +137,9 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_repeats": op9_repeats,
     "op10_urls": op10_urls,
+    "op11_resample": op11_resample,
+    "op12_whiten": op12_whiten,
+    "op13_lattice": op13_lattice,
 }
 
 #: CRC-32 of the hexadecimal digits of a text's bytes, byte by byte
@@ -237,4 +268,51 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BI
   sha256(array_to_string(list_filter(w, lambda x, i: p IS NULL OR NOT list_contains(p, i)), ' '))
     AS kept_sha256
 FROM words LEFT JOIN gone USING (doc_id)""",
+    "op11_resample": rf"""
+WITH {_CRC32},
+texts AS (
+  SELECT 0 AS side, doc_id, text FROM documents
+  UNION ALL SELECT 1, NULL, text FROM benchmark),
+words AS (
+  SELECT side, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM texts),
+grams AS (
+  SELECT side, doc_id, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: array_to_string(w[i : i + 1], ' ')),
+    list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) AS g
+  FROM words),
+counted AS (SELECT side, doc_id, g, count(*) AS c FROM grams GROUP BY side, doc_id, g),
+hashed AS (
+  SELECT g, CAST(xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(g)), '..'),
+        lambda d: CAST('0x' || d AS BIGINT))),
+      lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) AS BIGINT)
+    % {resample.BUCKETS} AS bucket
+  FROM (SELECT DISTINCT g FROM counted), bits),
+placed AS (SELECT side, doc_id, bucket, c FROM counted JOIN hashed USING (g)),
+sums AS (SELECT side, bucket, sum(c) AS c FROM placed GROUP BY side, bucket),
+wholes AS (
+  SELECT coalesce(sum(c) FILTER (side = 0), 0) AS s, coalesce(sum(c) FILTER (side = 1), 0) AS t
+  FROM sums),
+gain AS (
+  SELECT a.bucket, CAST(floor(1000 * ln(CAST(coalesce(b.c, 0) + 1 AS DOUBLE)
+      * CAST(w.s + {resample.BUCKETS} AS DOUBLE)
+      / (CAST(a.c + 1 AS DOUBLE) * CAST(w.t + {resample.BUCKETS} AS DOUBLE)))) AS BIGINT) AS gain
+  FROM (SELECT * FROM sums WHERE side = 0) a
+  LEFT JOIN (SELECT * FROM sums WHERE side = 1) b USING (bucket), wholes w),
+weighed AS (
+  SELECT doc_id, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * gain) AS BIGINT) AS weight
+  FROM placed JOIN gain USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((
+      CAST('0x' || substr(sha256('42:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM (SELECT * FROM words WHERE side = 0) d LEFT JOIN weighed USING (doc_id)),
+ordered AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n
+  FROM scored WHERE n_words >= {resample.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ordered USING (doc_id)""",
 }

@@ -22,6 +22,7 @@ text; without documents there are no rows, without a target all its counts are 0
 from __future__ import annotations
 
 import math
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -44,7 +45,7 @@ _FLAT = bytes(
 
 def runs_pattern(n: int) -> regex.Pattern:
     """One match for each run of ``n`` words of a collapsed text, if matches may overlap."""
-    return regex.compile(rb"(?<![^ ])[^ ]+(?: [^ ]+){%d}(?![^ ])" % (n - 1))
+    return regex.compile(rb"(?<![^ ])" + b" ".join([b"[^ ]+"] * n) + rb"(?![^ ])")
 
 
 def collapsed(text: bytes | None) -> bytes:
@@ -67,16 +68,13 @@ def features(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) ->
 
     def run(batches):
         patterns = [runs_pattern(n) for n in range(1, longest + 1)]
+        whole = itemgetter(0)
         for batch in batches:
             words, sizes, found = [], [], []
             for data in batch["text"].to_pylist():
                 text = collapsed(data)
-                sums = [
-                    np.fromiter(
-                        (crc32(m[0]) for m in p.finditer(text, overlapped=True)), np.uint32
-                    )
-                    for p in patterns
-                ]
+                matches = (p.finditer(text, overlapped=True) for p in patterns)
+                sums = [np.fromiter(map(crc32, map(whole, m)), np.uint32) for m in matches]
                 words.append(len(sums[0]))
                 hashed = np.sort(np.concatenate(sums) % np.uint32(buckets))
                 sizes.append(len(hashed))

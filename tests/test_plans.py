@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import catalog, cleaning, edits, gaps, prices, recurrence, silver
+from tillroll.plans import testbed
 from tillroll.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +118,14 @@ def test_edits_need_one_join_of_two_inputs(spark):
     original, edited = (spark.createDataFrame([], columns) for _ in range(2))
     plan = edits.apply_purchase_edits(original, edited)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "FullOuter" in plan and plan.count("LogicalRDD") == 2
+
+
+def test_a_filter_on_cleaned_lines_parses_no_text_again(spark):
+    cleaned = cleaning.clean_purchases(testbed.raw_purchases(spark, SF))
+    names = ("regexp_replace", "RLIKE", "try_cast", "rint")
+    for chosen in (cleaning.accepted(cleaned), cleaning.rejected(cleaned)):
+        whole, part = (
+            df._jdf.queryExecution().optimizedPlan().toString() for df in (cleaned, chosen)
+        )
+        assert all(part.count(n) <= whole.count(n) for n in names)
+        assert "Generate inline" in part

@@ -52,7 +52,7 @@ def clean_purchases(
 
     ``strict`` fails the job on a date that cannot be read instead of setting the
     line aside. The steps are separate projections, so that each text is stripped only
-    once and the generated method stays small enough for the JIT.
+    once.
     """
 
     def tidy(name: str) -> Column:
@@ -83,9 +83,7 @@ def clean_purchases(
     sizes = [F.abs(exact["quantity"]) * 10, F.abs(exact["unit_price"])]
     unfit = F.greatest(*sizes) >= _TOO_LARGE
     stamp = F.lit(processed_at or datetime.now(tz=UTC)).cast("timestamp")
-    return typed.withColumns(
-        {"purchase_date": day, "unfit_amount": unfit, **amounts}
-    ).select(
+    line = F.struct(
         F.col("raw_id").alias("id"),
         "purchase_date",
         "product_id",
@@ -105,6 +103,10 @@ def clean_purchases(
         .alias("reject_reason"),
         *kept,
     )
+    # A filter on the result would be pushed down to the raw lines, past the projections, and
+    # parse every text there once more for each use of it. Nothing passes a generated row.
+    amended = typed.withColumns({"purchase_date": day, "unfit_amount": unfit, **amounts})
+    return amended.select(F.inline(F.array(line)))
 
 
 def accepted(cleaned: DataFrame) -> DataFrame:

@@ -327,8 +327,14 @@ def market_frequency(spark, d):
 # --- Cleaning ----------------------------------------------------------------------
 
 
+def _raw(spark, d):
+    """Raw lines dealt out evenly, as a stored table has them: the joins that make them here
+    would otherwise leave all text work to the few tasks that read the order lines."""
+    return testbed.raw_purchases(spark, d).repartition("id")
+
+
 def _cleaned(spark, d):
-    return cleaning.clean_purchases(testbed.raw_purchases(spark, d))
+    return cleaning.clean_purchases(_raw(spark, d))
 
 
 _BRONZE_OUT = (
@@ -410,7 +416,7 @@ def conform_receipt_columns(spark, d):
 
 @query
 def unprocessed_raw(spark, d):
-    raw = testbed.raw_purchases(spark, d)
+    raw = _raw(spark, d)
     taken = cleaning.accepted(_cleaned(spark, d))
     return cleaning.unprocessed_raw(raw, taken).select("id")
 
@@ -519,7 +525,7 @@ def _layers(spark: SparkSession) -> Layers:
 
 def _with_raw(spark, d) -> Layers:
     layers = _layers(spark)
-    imports.ingest_to_raw(layers, testbed.raw_purchases(spark, d).drop("id"), "csv")
+    imports.ingest_to_raw(layers, _raw(spark, d).drop("id"), "csv")
     return layers
 
 

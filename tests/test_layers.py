@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from datetime import date
 from decimal import Decimal
 
@@ -6,11 +8,13 @@ from conftest import AS_OF, GOLDEN, LINES, rows
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from tillroll.operators import edits, prices, trends
+from tillroll.operators import edits, prices, silver, trends
 from tillroll.plans import imports
 from tillroll.plans.dashboard import load_dashboard
+from tillroll.schemas import conform
 from tillroll.session import fresh_path
 from tillroll.sources.tables import Layers, scan_or_empty
+from tillroll.sources.versions import Conflict, Version, VersionLog
 from tillroll.streaming import bronze as streams
 from tillroll.streaming.bronze import raw_to_bronze_stream
 
@@ -59,9 +63,12 @@ def test_rejects_are_kept_and_not_read_again(spark, layers):
 def test_import_cut_short_is_completed(spark, layers):
     ingest = imports.ingest_to_raw(layers, as_input(spark), "csv")
     some = layers.scan_raw().where("product_id = 'Leite'")
-    imports.write_new_lines(layers, some, some.select("ingest_id").distinct())
+    streams.take_in_batch(layers, some, 0, "a stream")
+    streams.take_in_batch(layers, some, 0, "a stream")
     assert rows(imports.pending_ingests(layers)) == [(ingest, True)]
+    assert len(contents(layers)) == 3
     assert imports.raw_to_bronze(layers) == 3
+    assert imports.pending_ingests(layers).isEmpty()
     assert contents(layers) == sorted(line[1:] for line in GOLDEN)
 
 
@@ -153,33 +160,188 @@ def test_a_micro_batch_that_fails_late_is_run_again(spark, layers, monkeypatch):
     name = fresh_path(spark, "stream").rsplit("/", 1)[1]
     imports.ingest_to_raw(layers, as_input(spark), "csv")
 
+    take_in = streams.take_in_batch
+
     def write_then_fail(*args, **kwargs):
-        imports.write_new_lines(*args, **kwargs)
-        raise RuntimeError("lost after the write")
+        take_in(*args, **kwargs)
+        raise RuntimeError("lost after the commit")
 
     with monkeypatch.context() as patch:
-        patch.setattr(streams, "write_new_lines", write_then_fail)
+        patch.setattr(streams, "take_in_batch", write_then_fail)
         with pytest.raises(StreamingQueryException):
             raw_to_bronze_stream(layers, name)
     raw_to_bronze_stream(layers, name)
     assert contents(layers) == sorted(line[1:] for line in GOLDEN)
 
 
-def test_edits_that_fail_midway_can_be_run_again(spark, layers, monkeypatch):
+STEPS = ("staged", "write_generation", "write_silver", "put")
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_stopped_edit_leaves_nothing_and_can_be_run_again(spark, layers, monkeypatch, step):
     imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
-    original, edited = edited_set(layers)
+    original, edited = (spark.createDataFrame(df.collect(), df.schema) for df in edited_set(layers))
+    before, products = contents(layers), sorted(rows(layers.scan_product_stats()))
 
-    def fail(df):
-        raise RuntimeError("lost before the overwrite")
+    def fail(*_, **__):
+        raise RuntimeError("lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(layers, "overwrite_lines", fail)
-        with pytest.raises(RuntimeError):
-            imports.apply_edits(layers, original, edited, AS_OF)
+        if step == "put":
+            patch.setattr(type(layers), "reserve_ids", lambda *_: 1000)
+        owner = {"staged": imports, "put": VersionLog}.get(step, type(layers))
+        patch.setattr(owner, step, fail)
+        with pytest.raises(RuntimeError, match="lost"):
+            imports.apply_edits(layers, original, edited, AS_OF, edit_id="e1")
+    assert contents(layers) == before and sorted(rows(layers.scan_product_stats())) == products
     assert imports.raw_to_bronze(layers) == 0
-    counts = imports.apply_edits(layers, original, edited, AS_OF)
+    counts = imports.apply_edits(layers, original, edited, AS_OF, edit_id="e1")
     assert counts == {"inserted": 1, "updated": 1, "deleted": 1}
-    assert len(contents(layers)) == 6 and imports.raw_to_bronze(layers) == 0
+    after = contents(layers)
+    assert len(after) == 6 and imports.raw_to_bronze(layers) == 0
+    # The same edit by name counts once.
+    assert imports.apply_edits(layers, original, edited, AS_OF, edit_id="e1") == counts
+    assert contents(layers) == after
+
+
+def added(layers, spark, name="Cafe"):
+    original = edits.editable(layers.scan_bronze_exact())
+    line = (None, date(2026, 2, 7), name, None, None, Decimal("3.00"), "M2", None, None)
+    return original, original.unionByName(spark.createDataFrame([line], original.schema))
+
+
+def test_equal_additions_all_count(spark, layers):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    for _ in range(2):
+        assert imports.apply_edits(layers, *added(layers, spark), AS_OF)["inserted"] == 1
+    assert len(contents(layers)) == 8
+    # A correction of one of them stays when the line is added once more.
+    original = edits.editable(layers.scan_bronze_exact())
+    one = original.where("purchase_date = '2026-02-07'").agg(F.min("id")).first()[0]
+    corrected = original.withColumn(
+        "market_id", F.when(F.col("id") == one, "M3").otherwise(F.col("market_id"))
+    )
+    imports.apply_edits(layers, original, corrected, AS_OF)
+    imports.apply_edits(layers, *added(layers, spark), AS_OF)
+    found = [r[3] for r in contents(layers) if r[0] == date(2026, 2, 7)]
+    assert sorted(found) == ["M2", "M2", "M3"]
+    ids = rows(layers.scan_bronze_exact(), "id")
+    assert len(set(ids)) == len(ids) == 9
+
+
+def test_edits_of_two_sessions(spark, layers):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    one, other = added(layers, spark), added(layers, spark)
+    imports.apply_edits(layers, *one, AS_OF)
+    imports.apply_edits(layers, *other, AS_OF)
+    assert len(contents(layers)) == 8
+    # Both worked from the same version; the second would undo what the first did to a line.
+    original, edited = edited_set(layers)
+    base = layers.pinned()
+    imports.apply_edits(layers, original, edited, AS_OF)
+    pieces = base.write_generation(base.scan_lines(), True)
+    with pytest.raises(Conflict):
+        layers.commit(base.now(), pieces, pieces.select("ingest_id"))
+    with pytest.raises(Conflict):
+        imports.apply_edits(
+            layers, original, original.withColumn("product_price", F.lit(1).cast("decimal(10,2)"))
+        )
+
+
+def test_a_reader_keeps_its_version(spark, layers):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    reader = layers.pinned()
+    lines, products = contents(reader), sorted(rows(reader.scan_product_stats()))
+    imports.apply_edits(layers, *edited_set(layers), AS_OF)
+    imports.import_purchases(layers, as_input(spark, GOLDEN[:2]), "csv", AS_OF)
+    assert contents(reader) == lines and sorted(rows(reader.scan_product_stats())) == products
+    assert len(contents(layers)) == 8
+    # SQL names follow the newest version.
+    assert spark.table(layers.name("bronze", "bronze_purchases")).count() == 8
+    stats = spark.table(layers.name("silver", "silver_product_stats"))
+    assert sorted(rows(stats)) == sorted(rows(layers.scan_silver("silver_product_stats")))
+
+
+def test_of_two_commits_of_a_number_one_counts(layers):
+    first, second = (replace(Version(), number=1, next_id=n) for n in (5, 9))
+    assert layers.log.put(first) and not layers.log.put(second)
+    assert layers.log.latest() == first
+
+
+def test_two_writers_at_once(spark, layers):
+    def one(k):
+        return imports.ingest_to_raw(layers, as_input(spark).repartition(4), f"w{k}")
+
+    with ThreadPoolExecutor(3) as pool:
+        ingests = list(pool.map(one, range(3)))
+    assert len(set(ingests)) == 3
+    ids = sorted(r[0] for r in rows(layers.scan_raw(), "id"))
+    assert ids == list(range(1, 19))
+    with ThreadPoolExecutor(2) as pool:
+        counts = list(pool.map(lambda _: imports.refresh_layers(layers, AS_OF), range(2)))
+    assert sorted(counts) == [0, 18] and len(contents(layers)) == 18
+
+
+def test_ids_have_no_holes_over_many_partitions(spark, layers):
+    lines = as_input(spark).crossJoin(spark.range(500)).drop("id").repartition(200)
+    imports.ingest_to_raw(layers, lines, "csv")
+    imports.ingest_to_raw(layers, as_input(spark), "csv")
+    found = layers.scan_raw().agg(F.min("id"), F.max("id"), F.count_distinct("id")).first()
+    assert tuple(found) == (1, 3006, 3006)
+
+
+def test_an_import_reads_its_own_partitions_only(spark, layers, monkeypatch):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    second = imports.ingest_to_raw(layers, as_input(spark, GOLDEN[:2]), "csv")
+    read = []
+    written = type(layers).write_generation
+
+    def watched(self, lines, *rest):
+        read.extend(lines.inputFiles())
+        return written(self, lines, *rest)
+
+    monkeypatch.setattr(type(layers), "write_generation", watched)
+    assert imports.refresh_layers(layers, AS_OF) == 2
+    assert read and all(second in f for f in read)
+
+
+def silver_of(layers):
+    names = ("silver_product_stats", "silver_market_stats", "silver_monthly_spending")
+    return [sorted(rows(layers.scan_silver(n)), key=repr) for n in names]
+
+
+def test_added_up_silver_equals_a_full_recompute(spark, layers):
+    def recomputed():
+        lines = layers.scan_bronze_exact()
+        frames = {
+            "silver_product_stats": silver.product_stats(lines, AS_OF),
+            "silver_market_stats": silver.market_stats(lines),
+            "silver_monthly_spending": silver.monthly_spending(lines),
+        }
+        kinds = {n: layers.scan_silver(n).schema for n in frames}
+        return [sorted(rows(conform(f, kinds[n])), key=repr) for n, f in frames.items()]
+
+    variants = [(None, d, n.upper() if k else n, p, f"{m} " if k else m) for k in (0, 1) for _, d, n, p, m in GOLDEN]
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    assert silver_of(layers) == recomputed()
+    imports.import_purchases(layers, as_input(spark, variants[4:]), "ocr", AS_OF)
+    assert silver_of(layers) == recomputed()
+    # The largest and the newest line go: what is left decides again.
+    imports.apply_edits(layers, *edited_set(layers), AS_OF)
+    assert silver_of(layers) == recomputed()
+    imports.raw_to_bronze(layers, resurrect=True)
+    imports.refresh_silver(layers, AS_OF)
+    assert silver_of(layers) == recomputed()
+    original = edits.editable(layers.scan_bronze_exact())
+    imports.apply_edits(layers, original, original.limit(0), AS_OF)
+    assert silver_of(layers) == recomputed() == [[], [], []]
+
+
+def test_a_refresh_reads_no_lines(spark, layers):
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    for table in ("silver_product_stats", "silver_market_stats", "silver_monthly_spending"):
+        files = layers.scan_parts(table).inputFiles()
+        assert files and not any("/bronze/lines/" in f for f in files)
 
 
 def test_legacy_table_is_copied_once(spark, layers):
@@ -191,7 +353,7 @@ def test_legacy_table_is_copied_once(spark, layers):
     assert imports.refresh_layers(layers, AS_OF) == 6
 
 
-def test_old_tables_get_the_later_columns(spark):
+def test_old_tables_get_the_later_columns(spark, monkeypatch):
     old = Layers(spark, fresh_path(spark, "old"), f"o{fresh_path(spark, 'x')[-12:]}_")
     for layer in ("raw", "bronze"):
         spark.sql(f"CREATE SCHEMA {old.prefix}{layer} LOCATION '{old.root}/{layer}'")
@@ -205,7 +367,26 @@ def test_old_tables_get_the_later_columns(spark):
         f"INSERT INTO {old.name('bronze', 'bronze_lines')} VALUES (1, DATE'2026-01-01', 'Leite', "
         "9.50, 'M1', 1, TIMESTAMP'2026-01-01', NULL, 'a', false)"
     )
+    spark.sql(
+        f"CREATE TABLE {old.name('bronze', 'bronze_deleted')} (raw_id BIGINT, deleted_at TIMESTAMP, "
+        "ingest_id STRING) USING parquet PARTITIONED BY (ingest_id)"
+    )
+    spark.sql(
+        f"INSERT INTO {old.name('bronze', 'bronze_deleted')} VALUES (7, TIMESTAMP'2026-01-02', 'a')"
+    )
+
+    def fail(*_):
+        raise RuntimeError("lost before the commit")
+
+    for step in ("write_generation", "write_silver"):
+        with monkeypatch.context() as patch:
+            patch.setattr(Layers, step, fail)
+            with pytest.raises(RuntimeError):
+                old.create()
+        assert old.scan_bronze_exact().isEmpty()
     old.create()
+    assert rows(old.scan_deleted(), "raw_id", "ingest_id") == [(7, "a")]
+    assert rows(old.scan_product_stats(), "product_id", "total_purchases") == [("Leite", 1)]
     row = old.scan_bronze_exact().first()
     assert (str(row["quantity"]), str(row["unit_price"]), row["access_key"]) == ("1.000", "9.50", None)
     assert old.evolve() == {}
@@ -231,29 +412,10 @@ def test_dashboard(spark, layers):
     assert rows(prices.price_alerts(data.bronze), "product_id") == [("Leite",)]
 
 
-def test_edits_stopped_after_the_overwrite_can_be_run_again(spark, layers, monkeypatch):
-    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
-    original, edited = (
-        spark.createDataFrame(df.collect(), df.schema) for df in edited_set(layers)
-    )
-
-    def fail(*_):
-        raise RuntimeError("lost before the refresh")
-
-    with monkeypatch.context() as patch:
-        patch.setattr(imports, "refresh_silver", fail)
-        with pytest.raises(RuntimeError):
-            imports.apply_edits(layers, original, edited, AS_OF)
-    once = contents(layers)
-    assert imports.raw_to_bronze(layers) == 0
-    imports.apply_edits(layers, original, edited, AS_OF)
-    assert contents(layers) == once and len(once) == 6
-
-
 def test_ids_count_within_their_ingest(spark, layers):
     """A second writer's equal ids do not hide lines of another ingest."""
     first = imports.ingest_to_raw(layers, as_input(spark), "csv")
     imports.raw_to_bronze(layers)
-    again = layers.scan_raw().where(F.col("ingest_id") == first).withColumn("ingest_id", F.lit("other"))
-    layers.append("raw", "raw_purchases", again)
+    again = layers.scan_raw().where(F.col("ingest_id") == first)
+    layers.append_raw(again, "other")
     assert imports.raw_to_bronze(layers) == 6 and len(contents(layers)) == 12

@@ -16,6 +16,7 @@ WRITERS = {
     "raw_to_bronze_stream", "refresh_layers", "scan_product_stats", "scan_market_stats",
     "scan_monthly_spending", "refresh_silver", "apply_edits_to_layers", "migrate_legacy",
     "scan_purchases_csv", "scan_receipt_json", "export_due_csv", "receipt_rejects",
+    "silver_after_changes", "evolve_tables",
 }
 
 

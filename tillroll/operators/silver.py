@@ -23,17 +23,10 @@ def as_of_date(as_of: date | str | None) -> Column:
     return F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
 
 
-def product_stats(
-    purchases: DataFrame, as_of: date | str | None = None, collation: str | None = NAME_COLLATION
-) -> DataFrame:
-    """Interval and price statistics per product.
-
-    The gaps between consecutive dates add up to last minus first, so the average
-    gap needs neither a window nor a sort.
-    """
-    price = F.col("product_price")
-    day = F.col("purchase_date")
-    per_name = purchases.groupBy("product_id").agg(
+def product_parts(purchases: DataFrame, *by: str) -> DataFrame:
+    """Sums and extremes per product, and per value of ``by``: what adds up to Silver."""
+    price, day = F.col("product_price"), F.col("purchase_date")
+    return purchases.groupBy(*by, "product_id").agg(
         F.count("*").alias("lines"),
         F.count(day).alias("dated"),
         F.count(price).alias("priced"),
@@ -43,19 +36,43 @@ def product_stats(
         F.min(day).alias("first_day"),
         F.max(day).alias("last_day"),
     )
+
+
+def _added_up(parts: DataFrame, key: str | Column, *more: Column) -> DataFrame:
+    return parts.groupBy(key).agg(
+        *more,
+        *[F.sum(c).alias(c) for c in ("lines", "dated", "priced")],
+        F.sum("spent").cast("decimal(20,2)").alias("spent"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.min("first_day").alias("first_day"),
+        F.max("last_day").alias("last_day"),
+    )
+
+
+def product_stats(
+    purchases: DataFrame, as_of: date | str | None = None, collation: str | None = NAME_COLLATION
+) -> DataFrame:
+    """Interval and price statistics per product."""
+    return products_of_names(product_parts(purchases), as_of, collation)
+
+
+def products_of_parts(
+    parts: DataFrame, as_of: date | str | None = None, collation: str | None = NAME_COLLATION
+) -> DataFrame:
+    """The same from ``product_parts`` of any division of the lines."""
+    return products_of_names(_added_up(parts, "product_id"), as_of, collation)
+
+
+def products_of_names(
+    per_name: DataFrame, as_of: date | str | None, collation: str | None
+) -> DataFrame:
+    """From one row per spelling. The gaps between consecutive dates add up to last minus first,
+    so the average gap needs neither a window nor a sort."""
     if collation:
-        sums = ("lines", "dated", "priced", "spent")
-        per_name = (
-            per_name.groupBy(F.collate("product_id", collation).alias("same_name"))
-            .agg(
-                F.min("product_id").alias("product_id"),
-                *[F.sum(c).alias(c) for c in sums],
-                F.min("low").alias("low"),
-                F.max("high").alias("high"),
-                F.min("first_day").alias("first_day"),
-                F.max("last_day").alias("last_day"),
-            )
-            .drop("same_name")
+        same = F.collate("product_id", collation).alias("same_name")
+        per_name = _added_up(per_name, same, F.min("product_id").alias("product_id")).drop(
+            "same_name"
         )
     money = "decimal(10,2)"
     return per_name.select(
@@ -77,7 +94,21 @@ def market_stats(purchases: DataFrame, collation: str | None = NAME_COLLATION) -
 
     Days are counted as bits of 64-day blocks, which merge over tasks and spellings.
     """
-    blocks = day_blocks(purchases, ["market_id"], F.sum("product_price").alias("spent"))
+    return markets_of_blocks(market_parts(purchases), collation)
+
+
+def market_parts(purchases: DataFrame, *by: str) -> DataFrame:
+    """Spend and visited days per market and 64 days, and per value of ``by``."""
+    return day_blocks(purchases, [*by, "market_id"], F.sum("product_price").alias("spent"))
+
+
+def markets_of_parts(parts: DataFrame, collation: str | None = NAME_COLLATION) -> DataFrame:
+    """``market_stats`` from ``market_parts`` of any division of the lines."""
+    blocks = merge_blocks(parts, ["market_id"], F.sum("spent").alias("spent"))
+    return markets_of_blocks(blocks, collation)
+
+
+def markets_of_blocks(blocks: DataFrame, collation: str | None) -> DataFrame:
     key, names = "market_id", []
     if collation:
         key, names = "same_name", [F.min("market_id").alias("market_id")]
@@ -98,18 +129,29 @@ def market_stats(purchases: DataFrame, collation: str | None = NAME_COLLATION) -
     )
 
 
+def monthly_parts(purchases: DataFrame, *by: str) -> DataFrame:
+    month = F.date_format("purchase_date", "yyyy-MM").alias("year_month")
+    return purchases.groupBy(*by, month).agg(
+        F.sum("product_price").alias("spent"),
+        F.count("*").alias("item_count"),
+        F.count("product_price").alias("priced"),
+    )
+
+
+def months_of_parts(parts: DataFrame) -> DataFrame:
+    """``monthly_spending`` from ``monthly_parts`` of any division of the lines."""
+    sums = [F.sum(c).alias(c) for c in ("spent", "item_count", "priced")]
+    return _months(parts.groupBy("year_month").agg(*sums))
+
+
 def monthly_spending(purchases: DataFrame) -> DataFrame:
-    return (
-        purchases.groupBy(F.date_format("purchase_date", "yyyy-MM").alias("year_month"))
-        .agg(
-            F.sum("product_price").alias("spent"),
-            F.count("*").alias("item_count"),
-            F.count("product_price").alias("priced"),
-        )
-        .select(
-            "year_month",
-            F.round("spent", 2).cast("decimal(20,2)").alias("total_spent"),
-            "item_count",
-            exact_ratio(F.col("spent"), F.col("priced")).cast("decimal(10,2)").alias("avg_price"),
-        )
+    return _months(monthly_parts(purchases))
+
+
+def _months(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        "year_month",
+        F.round("spent", 2).cast("decimal(20,2)").alias("total_spent"),
+        "item_count",
+        exact_ratio(F.col("spent"), F.col("priced")).cast("decimal(10,2)").alias("avg_price"),
     )

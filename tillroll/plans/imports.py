@@ -8,126 +8,127 @@ from datetime import UTC, date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators import cleaning, edits, silver
-from tillroll.session import fresh_path, staged
-from tillroll.sources.tables import Layers
+from tillroll.operators import cleaning, edits
+from tillroll.session import numbered, staged
+from tillroll.sources.tables import Layers, tombstones
+from tillroll.sources.versions import Conflict
+
+ATTEMPTS = 5
 
 
 def ingest_to_raw(layers: Layers, df: DataFrame, source_type: str) -> str:
     """Append lines of any source to Raw as text; the name of the new ingest.
 
-    Ids continue after the largest one with Spark's per-partition counter: unique and
-    without a shuffle, with holes. They are fixed by this write and only read from then
-    on. Ingests are numbered, so the largest id is in the last one and no other is
-    looked at. One writer at a time is assumed.
+    Lines are staged and counted, and get ids without holes from a block that the version log
+    reserves, so that several writers can work at once. Only an ingest that stops after that
+    leaves its block unused. The ids are fixed by this write and only read from then on.
     """
-    newest = layers.last_ingest()
-    number, last = 0, 0
-    if newest:
-        number = int(newest.split("-")[0]) + 1
-        last = layers.scan_raw().where(F.col("ingest_id") == newest).agg(F.max("id")).first()[0]
-    ingest = f"{number:08d}-{uuid.uuid4().hex[:12]}"
-    lines = cleaning.stringify_purchases(df, source_type).withColumns(
-        {
-            "id": F.monotonically_increasing_id() + F.lit(last + 1),
-            "ingest_id": F.lit(ingest),
-        }
-    )
-    layers.append("raw", "raw_purchases", lines)
+    lines = numbered(cleaning.stringify_purchases(df, source_type), "ingest", "id")
+    first = layers.reserve_ids(lines.count())
+    ingest = f"{first:016d}-{uuid.uuid4().hex[:12]}"
+    layers.append_raw(lines.withColumn("id", F.col("id") + F.lit(first)), ingest)
     return ingest
 
 
-def pending_ingests(layers: Layers, resurrect: bool = False) -> DataFrame:
-    """(ingest_id, partly) of ingests with raw lines not in Bronze yet; True where some are.
+def pending_ingests(layers: Layers) -> DataFrame:
+    """(ingest_id, partly) of ingests of Raw that Bronze is not done with; True where a stream
+    has brought some of their lines.
 
-    Counts per partition settle it, so ids of finished ingests are never read again. A line
-    deleted by hand counts as done unless it still stands in Bronze, as it does after an edit
-    that was cut short.
+    Names of partitions are compared with the version's pieces; no line is read or counted.
     """
-    taken = layers.scan_lines().select("ingest_id")
-    if not resurrect:
-        deleted = layers.scan_deleted().select("ingest_id", "raw_id").distinct()
-        standing = layers.scan_lines().select("ingest_id", "raw_id")
-        gone = deleted.join(standing, ["ingest_id", "raw_id"], "left_anti")
-        taken = taken.unionByName(gone.select("ingest_id"))
-    done = taken.groupBy("ingest_id").agg(F.count("*").alias("done"))
-    given = layers.scan_raw().groupBy("ingest_id").agg(F.count("*").alias("given"))
-    behind = given.join(done, "ingest_id", "left").where("done IS NULL OR done < given")
-    return behind.select("ingest_id", F.col("done").isNotNull().alias("partly"))
-
-
-def write_new_lines(
-    layers: Layers,
-    raw: DataFrame,
-    ingests: DataFrame,
-    *,
-    strict: bool = False,
-    resurrect: bool = False,
-) -> None:
-    """Clean the raw lines of the given ingests (ingest_id) that Bronze lacks and append them.
-
-    The id check makes a second run, or one after a failure, add only what is missing.
-    Usable and set-aside lines go out in one pass.
-    """
-    taken = [layers.scan_lines().join(ingests, "ingest_id", "left_semi")]
-    if not resurrect:
-        taken.append(layers.scan_deleted().join(ingests, "ingest_id", "left_semi"))
-    ids = cleaning.processed_ids(*taken)
-    fresh = raw if ids.isEmpty() else cleaning.unprocessed_raw(raw, *taken)
-    cleaned = cleaning.clean_purchases(fresh, processed_at=datetime.now(tz=UTC), strict=strict)
-    layers.append(
-        "bronze",
-        "bronze_lines",
-        cleaned.withColumn("rejected", F.col("reject_reason").isNotNull()),
+    done = layers.scan_pieces().groupBy("ingest_id").agg(F.bool_or("whole").alias("whole"))
+    state = layers.raw_ingests().join(done, "ingest_id", "left")
+    return state.where("whole IS NULL OR NOT whole").select(
+        "ingest_id", F.col("whole").isNotNull().alias("partly")
     )
 
 
-def raw_to_bronze(layers: Layers, *, strict: bool = False, resurrect: bool = False) -> int:
-    """Take in every raw line that is not in Bronze; the number of lines added.
-
-    Ingests that were never touched need no join at all; only those cut short, or with
-    lines to bring back, are compared by id. The list of ingests stays a table.
-    """
-    pending = staged(pending_ingests(layers, resurrect), "pending")
-    if pending.isEmpty():
-        return 0
+def fated(cleaned: DataFrame) -> DataFrame:
+    return cleaned.withColumn("rejected", F.col("reject_reason").isNotNull())
 
-    def lines() -> int:
-        return layers.scan_bronze_exact().join(pending, "ingest_id", "left_semi").count()
 
-    before = lines()
-    for begun in (False, True):
-        names = pending.where(F.col("partly") == begun).select("ingest_id")
-        if not names.isEmpty():
-            raw = layers.scan_raw().join(names, "ingest_id", "left_semi")
-            write_new_lines(layers, raw, names, strict=strict, resurrect=resurrect)
+def _taken_in(
+    layers: Layers, strict: bool, resurrect: bool
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Write what a version lacks; the new pieces, and the ingests whose earlier ones they
+    replace. Raw is read in the partitions of these ingests only."""
+    names = pending_ingests(layers).collect()
+    back = []
     if resurrect:
-        for row in pending.toLocalIterator():
-            layers.drop_deleted(row["ingest_id"])
-    return lines() - before
+        back = [r[0] for r in layers.scan_pieces().where("deleted > 0").select("ingest_id").distinct().collect()]
+    pieces, stamp = None, datetime.now(tz=UTC)
+
+    def cleaned(raw: DataFrame) -> DataFrame:
+        return fated(cleaning.clean_purchases(raw, processed_at=stamp, strict=strict))
+
+    def raw_of(ingests: list[str]) -> DataFrame:
+        return layers.scan_raw().where(F.col("ingest_id").isin(ingests))
+
+    if names:
+        raw = raw_of([r["ingest_id"] for r in names])
+        begun = [r["ingest_id"] for r in names if r["partly"]]
+        if begun:
+            before = layers.scan_pieces().where(F.col("ingest_id").isin(begun))
+            raw = cleaning.unprocessed_raw(raw, layers.scan_lines(before))
+        done = layers.spark.createDataFrame(
+            [(r["ingest_id"], True) for r in names], "ingest_id string, whole boolean"
+        )
+        pieces = layers.write_generation(cleaned(raw), done)
+    if not back:
+        return pieces, None
+    of = layers.scan_pieces().where(F.col("ingest_id").isin(back))
+    ids = layers.scan_deleted().where(F.col("ingest_id").isin(back)).select("ingest_id", "raw_id")
+    raw = raw_of(back).withColumnRenamed("id", "raw_id").join(ids, ["ingest_id", "raw_id"], "left_semi")
+    kept = layers.scan_lines(of).where(F.coalesce("reject_reason", F.lit("")) != "deleted")
+    again = kept.unionByName(cleaned(raw.withColumnRenamed("raw_id", "id")))
+    states = of.groupBy("ingest_id").agg(F.bool_or("whole").alias("whole"))
+    rewritten = layers.write_generation(again.hint("rebalance", "ingest_id"), states)
+    replaced = rewritten.select("ingest_id")
+    return (rewritten if pieces is None else pieces.unionByName(rewritten)), replaced
+
+
+def _import(
+    layers: Layers, strict: bool, resurrect: bool, refresh: bool, as_of: date | str | None
+) -> int:
+    for attempt in range(ATTEMPTS):
+        base = layers.pinned()
+        pieces, replaced = _taken_in(base, strict, resurrect)
+        if pieces is None and not refresh:
+            return 0
+        try:
+            layers.commit(base.now(), pieces, replaced, refresh=refresh, as_of=as_of)
+        except Conflict:  # another import was first: see what is left to do
+            if attempt + 1 == ATTEMPTS:
+                raise
+            continue
+        if pieces is None:
+            return 0
+        new = base.scan_lines(pieces).where(~F.col("rejected")).count()
+        if replaced is None:
+            return new
+        old = base.scan_pieces().join(replaced, "ingest_id", "left_semi")
+        return new - base.scan_lines(old).where(~F.col("rejected")).count()
+    return 0
 
 
-def refresh_silver(layers: Layers, as_of: date | str | None = None) -> None:
-    """Recompute the three aggregates and publish them together.
+def raw_to_bronze(layers: Layers, *, strict: bool = False, resurrect: bool = False) -> int:
+    """Take in every raw line that is not in Bronze; the number of lines added.
 
-    Each reads only its own two or three columns of Bronze; that is less work than
-    persisting Bronze, which would hold all of it.
+    Ingests that were never touched need no join; only those that a stream has begun are
+    compared by id. A stop before the commit leaves Bronze as it was. ``resurrect`` brings
+    lines back that were deleted by hand.
     """
-    lines = layers.scan_bronze_exact()
-    layers.publish_silver(
-        {
-            "silver_product_stats": silver.product_stats(lines, as_of),
-            "silver_market_stats": silver.market_stats(lines),
-            "silver_monthly_spending": silver.monthly_spending(lines),
-        }
-    )
+    return _import(layers, strict, resurrect, False, None)
+
+
+def refresh_silver(layers: Layers, as_of: date | str | None = None) -> None:
+    """Add the three aggregates up from what the pieces of Bronze add to them."""
+    layers.commit(layers.now(), refresh=True, as_of=as_of)
 
 
 def refresh_layers(layers: Layers, as_of: date | str | None = None) -> int:
-    """Raw to Bronze, then Bronze to Silver; the number of new Bronze lines."""
-    count = raw_to_bronze(layers)
-    refresh_silver(layers, as_of)
-    return count
+    """Raw to Bronze to Silver, in one commit; the number of new Bronze lines."""
+    return _import(layers, False, False, True, as_of)
 
 
 def import_purchases(
@@ -151,26 +152,31 @@ def migrate_legacy(layers: Layers, legacy_table: str) -> int:
 
 
 def apply_edits(
-    layers: Layers, original: DataFrame, edited: DataFrame, as_of: date | str | None = None
+    layers: Layers,
+    original: DataFrame,
+    edited: DataFrame,
+    as_of: date | str | None = None,
+    *,
+    edit_id: str | None = None,
 ) -> dict[str, int]:
-    """Put the changes between two editable sets into Bronze and refresh Silver.
+    """Put the changes between two editable sets into Bronze and Silver, in one commit.
 
     The sets may be all of Bronze or any part of it; a line is deleted if it is in the
-    original and not in the edited set.
+    original and not in the edited set. Only ingests with a changed line are rewritten.
 
-    Only ingests with a changed line are rewritten. Changes and rewritten lines are
-    staged as tables first: the staged lines, not Bronze, are what the overwrite reads,
-    so it can be run again, and new ids are fixed before anything depends on them.
+    Until the commit readers see nothing of an edit, and one that stops leaves nothing. Each call
+    counts, also if it adds the same lines as one before; a caller who may repeat a call names it
+    by ``edit_id``, and the second time only the counts are given back. A Conflict is raised if
+    a line to update is not there any more, or if another commit rewrote the same ingests; such
+    an edit can be made again.
     """
-    spark = layers.spark
+    done = layers.log.of_edit(edit_id) if edit_id else None
+    if done:
+        return done.counts
+    edit_id = edit_id or uuid.uuid4().hex
     stamp = datetime.now(tz=UTC)
-    stage = fresh_path(spark, "edits")
-
-    def kept(df: DataFrame, label: str) -> DataFrame:
-        df.write.parquet(f"{stage}/{label}")
-        return spark.read.parquet(f"{stage}/{label}")
-
-    diff = kept(edits.diff_purchases(original, edited).where("op != 'unchanged'"), "diff")
+    base = layers.pinned()
+    diff = staged(edits.diff_purchases(original, edited).where("op != 'unchanged'"), "diff")
     found = {r["op"]: r["n"] for r in edits.change_counts(diff).collect()}
     if found.get("unknown"):
         raise ValueError(f"{found['unknown']} edited lines have an id that is not in Bronze")
@@ -179,35 +185,45 @@ def apply_edits(
         return counts
 
     changes = edits.cleaned_changes(diff, stamp)
-    bronze = layers.scan_bronze_exact()
-    located = kept(
-        bronze.join(changes.where("op != 'inserted'").select("id", "op"), "id").select(
-            "id", "op", "raw_id", "ingest_id"
-        ),
-        "located",
-    )
+    bronze = base.scan_bronze_exact()
+    changed = changes.where("op != 'inserted'").select("id", "op")
+    located = staged(bronze.join(changed, "id").select("id", "op", "raw_id", "ingest_id"), "located")
+    if located.where("op = 'updated'").count() < counts["updated"]:
+        raise Conflict("lines to update are not in Bronze any more")
     touched = located.select("ingest_id").distinct()
-    in_touched = bronze.join(touched, "ingest_id", "left_semi").select(*bronze.columns)
-    # The changes name the ingest of the lines added by hand: the same edit, applied again
-    # after a stop, replaces them and adds nothing twice.
-    content = F.xxhash64("op", "id", *edits.EDITABLE).cast("decimal(38,0)")
-    named = diff.agg(F.sum(content).alias("s"), F.count("*").alias("n")).first()
-    manual = f"manual-{uuid.uuid5(uuid.NAMESPACE_OID, repr(tuple(named))).hex}"
-    # Only lines added by hand have ids below 0; file statistics skip all others.
-    others = bronze.where((F.col("id") < 0) & (F.col("ingest_id") != manual))
-    lowest = others.agg(F.coalesce(F.min("id"), F.lit(0))).first()[0]
-    added = edits.inserted_lines(changes, lowest).withColumn("ingest_id", F.lit(manual))
-    lines = kept(edits.merge_changes(in_touched, changes).unionByName(added), "lines")
-
-    # Tombstones go first: a stop in between must not let an import bring a line back.
+    of = base.scan_pieces().join(touched, "ingest_id", "left_semi")
+    before = staged(base.scan_lines(of), "before")
+    usable = before.where(~F.col("rejected"))
     gone = located.where((F.col("op") == "deleted") & (F.col("raw_id") != cleaning.MANUAL_RAW_ID))
-    layers.append(
-        "bronze", "bronze_deleted", gone.withColumn("deleted_at", F.lit(stamp).cast("timestamp"))
+    lines = (
+        edits.merge_changes(usable, changes)
+        .unionByName(before.where("rejected"))
+        .unionByName(tombstones(gone.withColumn("at", F.lit(stamp).cast("timestamp")), "at"))
     )
+    states = of.groupBy("ingest_id").agg(F.bool_or("whole").alias("whole"))
+    if counts["inserted"]:
+        first = layers.reserve_ids(counts["inserted"])
+        manual = f"manual-{uuid.uuid5(uuid.NAMESPACE_OID, edit_id).hex}"
+        added = numbered(edits.inserted_lines(changes), "added", "id").withColumns(
+            {
+                "id": F.col("id") + F.lit(first),
+                "ingest_id": F.lit(manual),
+                "reject_reason": F.lit(None).cast("string"),
+                "rejected": F.lit(False),
+            }
+        )
+        lines = lines.unionByName(added)
+        own = layers.spark.createDataFrame([(manual, True)], states.schema)
+        states = states.unionByName(own)
     # Files follow the size of an ingest, and a large one is split over tasks.
-    layers.overwrite_lines(lines.hint("rebalance", "ingest_id"))
-    emptied = touched.join(lines.select("ingest_id").distinct(), "ingest_id", "left_anti")
-    for row in emptied.toLocalIterator():
-        layers.drop_lines(row["ingest_id"])
-    refresh_silver(layers, as_of)
+    pieces = layers.write_generation(lines.hint("rebalance", "ingest_id"), states)
+    layers.commit(
+        base.now(),
+        pieces,
+        pieces.select("ingest_id"),
+        refresh=True,
+        as_of=as_of,
+        edit=edit_id,
+        counts=counts,
+    )
     return counts

@@ -492,10 +492,10 @@ FROM purchases WHERE quantity % 7 = 0 GROUP BY product_id""",
     ),
     "scan_raw": _with(_RAW_TEXT) + f"SELECT {_LAYER_COLUMNS}, 'csv' AS source_type FROM raw_text",
     "ingest_to_raw": _with(_RAW_TEXT)
-    + """SELECT 'csv' AS source_type, count(*) AS n, count(*) AS ids,
+    + """SELECT 'csv' AS source_type, count(*) AS n, count(*) AS ids, count(*) AS id_span,
   CAST(sum(TRY_CAST(product_price AS DECIMAL(10,2))) AS DOUBLE) AS spent FROM raw_text
 UNION ALL
-SELECT 'ocr', count(*), count(*),
+SELECT 'ocr', count(*), count(*), count(*),
   CAST(sum(CAST(CAST(l_quantity * unit_price AS VARCHAR) AS DECIMAL(10,2))) AS DOUBLE)
 FROM purchases""",
     "scan_bronze": _raw("SELECT purchase_date, product_id, product_price, market_id FROM bronze"),
@@ -504,21 +504,34 @@ FROM purchases""",
     "raw_to_bronze_stream": _raw(
         f"SELECT {_LAYER_COLUMNS} FROM bronze UNION ALL SELECT {_LAYER_COLUMNS} FROM bronze"
     ),
-    "refresh_layers": _layered(
-        "SELECT product_id, total_purchases, avg_product_price FROM products"
-    ),
+    "refresh_layers": _layered(f"SELECT {_STATS} FROM products"),
     "scan_product_stats": _layered(
         f"SELECT {_STATS}, coalesce(days_last_purchase > avg_days_purchase, false) AS buy "
         "FROM products"
     ),
     "scan_market_stats": _layered(f"SELECT {_MARKETS} FROM markets"),
     "scan_monthly_spending": _layered(f"SELECT {_MONTHS} FROM monthly"),
-    "refresh_silver": _layered("SELECT market_id, visit_count FROM markets"),
+    "refresh_silver": _layered(f"SELECT {_MARKETS} FROM markets"),
+    "silver_after_changes": _with(
+        _RAW.replace("\nbronze AS", "\nonce AS"),
+        """
+bronze AS (
+  SELECT * FROM once UNION ALL SELECT * FROM once WHERE NOT starts_with(product_id, 'Old'))""",
+        _BRONZE_SILVER,
+    )
+    + f"SELECT {_STATS} FROM products",
     "apply_edits_to_layers": _raw(
-        "SELECT purchase_date, product_id, CASE WHEN starts_with(product_id, 'New') "
-        "THEN round((product_price + 1) * 100) / 100 ELSE product_price END AS product_price "
-        "FROM bronze WHERE NOT starts_with(product_id, 'Old')"
+        f"""SELECT purchase_date, product_id, CASE WHEN starts_with(product_id, 'New')
+  THEN round((product_price + 1) * 100) / 100 ELSE product_price END AS product_price,
+  quantity, unit_price, market_id, access_key, nfce_url
+FROM bronze WHERE NOT starts_with(product_id, 'Old')
+UNION ALL
+SELECT {_LAYER_COLUMNS} FROM bronze, range(2) WHERE quantity = 50"""
     ),
+    "evolve_tables": _with()
+    + f"""SELECT {_DAY}, product_id, {_PRICE}, CAST(1 AS DOUBLE) AS quantity,
+  CAST(cents AS DOUBLE) / 100 AS unit_price, market_id, CAST(NULL AS VARCHAR) AS access_key,
+  CAST(NULL AS VARCHAR) AS nfce_url FROM purchases""",
     "evolve_schema": _with()
     + f"""SELECT {_ID}, {_DAY}, product_id, {_PRICE}, market_id, CAST(1 AS DOUBLE) AS quantity,
   CAST(cents AS DOUBLE) / 100 AS unit_price, CAST(NULL AS VARCHAR) AS access_key,

@@ -25,7 +25,7 @@ from tillroll.operators import (
 from tillroll.plans import imports, testbed
 from tillroll.plans.testbed import AS_OF
 from tillroll.schemas import LATER_COLUMNS, evolve_purchases
-from tillroll.session import fresh_path
+from tillroll.session import fresh_path, staged
 from tillroll.sources import purchases as files
 from tillroll.sources.tables import Layers
 from tillroll.streaming import bronze as streams
@@ -551,7 +551,7 @@ def scan_raw(spark, d):
 
 @query
 def ingest_to_raw(spark, d):
-    """Numbers of lines and ids per source after two imports."""
+    """Numbers of lines and ids per source after two imports, and how far the ids reach."""
     layers = _with_raw(spark, d)
     lines = testbed.purchases(
         spark, d, ("purchase_date", "product_id", "quantity", "unit_price", "market_id")
@@ -561,6 +561,7 @@ def ingest_to_raw(spark, d):
     return raw.groupBy("source_type").agg(
         F.count("*").alias("n"),
         F.count_distinct("id").alias("ids"),
+        (F.max("id") - F.min("id") + 1).alias("id_span"),
         F.sum(F.col("product_price").try_cast("decimal(10,2)")).alias("spent"),
     )
 
@@ -597,8 +598,7 @@ def raw_to_bronze_stream(spark, d):
 @query
 def refresh_layers(spark, d):
     layers = _with_silver(spark, d)
-    products = layers.scan_silver("silver_product_stats")
-    return products.select("product_id", "total_purchases", "avg_product_price")
+    return layers.scan_silver("silver_product_stats")
 
 
 @query
@@ -620,14 +620,28 @@ def scan_monthly_spending(spark, d):
 def refresh_silver(spark, d):
     layers = _with_silver(spark, d)
     imports.refresh_silver(layers, AS_OF)
-    return layers.scan_silver("silver_market_stats").select("market_id", "visit_count")
+    return layers.scan_silver("silver_market_stats")
+
+
+@query
+def silver_after_changes(spark, d):
+    """Silver added up from the pieces of two imports and an edit of the first."""
+    layers = _with_silver(spark, d)
+    original = edits.editable(layers.scan_bronze_exact())
+    kept = original.where(~F.col("product_id").startswith("Old"))
+    imports.apply_edits(layers, original, kept, AS_OF)
+    imports.import_purchases(layers, _raw(spark, d).drop("id"), "ocr", AS_OF)
+    return layers.scan_silver("silver_product_stats")
 
 
 @query
 def apply_edits_to_layers(spark, d):
-    """Remove and reprice lines of imported Bronze, import again, show what is there."""
+    """Remove, reprice and add lines of imported Bronze; add the same lines once more; import
+    again, and show what is there."""
     layers = _with_bronze(spark, d)
     original = edits.editable(layers.scan_bronze_exact())
+    added = original.where("quantity = 50").withColumn("id", F.lit(None).cast("bigint"))
+    added = staged(added, "added")
     kept = original.where(~F.col("product_id").startswith("Old"))
     edited = kept.withColumn(
         "product_price",
@@ -635,9 +649,11 @@ def apply_edits_to_layers(spark, d):
         .otherwise(F.col("product_price"))
         .cast("decimal(10,2)"),
     )
-    imports.apply_edits(layers, original, edited, AS_OF)
+    imports.apply_edits(layers, original, edited.unionByName(added), AS_OF)
+    none = original.where("false")
+    imports.apply_edits(layers, none, added, AS_OF)
     imports.raw_to_bronze(layers)
-    return layers.scan_bronze_exact().select("purchase_date", "product_id", "product_price")
+    return layers.scan_bronze_exact().select(*_LINE_OUT)
 
 
 @query
@@ -646,6 +662,27 @@ def evolve_schema(spark, d):
     return evolve_purchases(old, backfill=True)
 
 
+@query
+def evolve_tables(spark, d):
+    """A Bronze table of the old form, without the later columns, taken over."""
+    layers = Layers(spark, fresh_path(spark, "layers"), f"t{uuid.uuid4().hex[:10]}_")
+    spark.sql(f"CREATE SCHEMA {layers.prefix}bronze LOCATION '{layers.root}/bronze'")
+    lines = testbed.original_lines(spark, d).drop(*LATER_COLUMNS).withColumns(
+        {
+            "id": F.monotonically_increasing_id() + 1,
+            "raw_id": F.monotonically_increasing_id() + 1,
+            "processed_at": F.lit("2026-01-01").cast("timestamp"),
+            "reject_reason": F.lit(None).cast("string"),
+            "ingest_id": F.lit("old"),
+            "rejected": F.lit(False),
+        }
+    )
+    table = layers.name("bronze", "bronze_lines")
+    lines.write.partitionBy("ingest_id", "rejected").saveAsTable(table)
+    layers.create()
+    return layers.scan_bronze_exact().select(*_LINE_OUT)
+
+
 @query
 def migrate_legacy(spark, d):
     layers = _layers(spark)

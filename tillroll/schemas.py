@@ -44,9 +44,23 @@ BRONZE = _struct(
     processed_at=_TIME,
 )
 BRONZE_LINES = T.StructType([*BRONZE.fields, T.StructField("reject_reason", _TEXT)])
-DELETED = _struct(raw_id=_LONG, deleted_at=_TIME)
 BY_INGEST = _struct(ingest_id=_TEXT)
-BY_INGEST_AND_FATE = _struct(ingest_id=_TEXT, rejected=T.BooleanType())
+# Where a line lies: what was written together, its ingest, and whether it was set aside.
+PLACED_LINES = T.StructType(
+    [*BRONZE_LINES.fields, *_struct(generation=_TEXT, ingest_id=_TEXT, rejected=T.BooleanType())]
+)
+# Lines of one ingest that were written together; ``whole`` if the ingest is done with them,
+# ``source`` if a stream brought them.
+PIECES = _struct(
+    ingest_id=_TEXT,
+    generation=_TEXT,
+    source=_TEXT,
+    whole=T.BooleanType(),
+    lines=_LONG,
+    deleted=_LONG,
+)
+# reject_reason of a line deleted by hand
+DELETED_BY_HAND = "deleted"
 PRODUCT_STATS = _struct(
     product_id=_TEXT,
     last_purchase_date=_DATE,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +28,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, label: str, name: str = "place") -> DataFrame:
+    """The rows staged, with numbers 0, 1, 2 ... without holes in the column ``name``.
+
+    The write fixes each row's place within its task; the rows of the tasks before it are summed
+    over one row a task.
+    """
+    at = staged(df.withColumn(name, F.monotonically_increasing_id()), label)
+    task = F.shiftright(name, 33).alias("_task")
+    before = F.sum("n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1))
+    sizes = at.groupBy(task).agg(F.count("*").alias("n")).select(
+        "_task", F.coalesce(before, F.lit(0)).alias("_before")
+    )
+    within = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        at.withColumn("_task", F.shiftright(name, 33))
+        .join(F.broadcast(sizes), "_task")
+        .withColumn(name, F.col("_before") + within)
+        .drop("_task", "_before")
+    )

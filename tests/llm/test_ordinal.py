@@ -67,3 +67,9 @@ def test_query_rejects_toxic_and_keeps_clean(spark):
     rated = op2_quality(spark, LARGEST).join(ordinal.ratings(labels), "doc_id").collect()
     by = {g: [r.accepted for r in rated if r.grade == g] for g in (0, 1, 2)}
     assert np.mean(by[2]) > 0.98 and np.mean(by[0]) < 0.1
+
+
+def test_a_long_word_counts_whole():
+    word = "ab" * 40
+    assert ordinal._shape(word + "42") != ordinal._shape(word) != ordinal._shape(word + "ABc")
+    assert len(ordinal._shape("a1" * 50_000)) == 100_000

@@ -52,7 +52,7 @@ def _shape(word: str) -> str:
         part = m.group()
         return "a" if part.islower() else "A" if part.isupper() and len(part) > 1 else "Aa"
 
-    text = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", letters, word[:64]))
+    text = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", letters, word))
     return re.sub(r"(.)\1+", r"\1\1", text)
 
 

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -206,3 +207,60 @@ def test_catalog(spark, products, golden):
 def test_table_page(products):
     page = restock.table_page(restock.restock_progress(products, show_all=True), 2)
     assert rows(page, "product_id", "total_rows") == [("Leite", 3), ("Arroz", 3)]
+
+
+def test_similar_names(spark):
+    known = spark.createDataFrame(
+        [("Leite Integral", 5), ("Leite Interno", 9), ("Refrigerante", 4), ("Pão", 7), ("Sabonete", 2),
+         ("Sabonetes", 8), ("Arroz", 3), ("Chá", 1), ("Aa", 1)],
+        "product_id string, total_purchases long",
+    )
+    expected = {
+        " leite  integral": ("Leite  Integral", "new"),
+        "LEITE INTEGRAL": ("Leite Integral", "same"),
+        "PAO": ("Pão", "same"),
+        "LEITE INT": ("Leite Interno", "short"),
+        "leite integ.": ("Leite Integral", "short"),
+        "REFRIG": ("Refrigerante", "short"),
+        "RE": ("Re", "new"),
+        "Sabonte": ("Sabonete", "edited"),
+        "Sabonetess": ("Sabonetes", "edited"),
+        "Aroz": ("Arroz", "edited"),
+        "Rrroz": ("Arroz", "edited"),
+        "Arros Branco": ("Arros Branco", "new"),
+        "Aab": ("Aa", "edited"),
+        None: (None, None),
+    }
+    expected[" leite  integral"] = ("Leite Integral", "short")
+    lines = spark.createDataFrame([(k, n) for k, n in enumerate(expected)], "id long, product_id string")
+    for some in (lines, lines.unionByName(lines)):
+        found = catalog.match_similar_products(some, known)
+        assert found.count() == some.count()
+        assert {r[0]: (r[1], r[2]) for r in rows(found, "product_id", "matched_name", "matched_by")} == expected
+    nothing = catalog.match_similar_products(lines, known.limit(0))
+    assert {r[0] for r in rows(nothing, "matched_by")} == {"new", None}
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_no_similar_name_is_missed(spark, edits):
+    rng = random.Random(edits)
+    least = 3 * edits - 1
+    words = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(0, 9))) for _ in range(400)})
+    mine, theirs = words[::2], words[1::2]
+    frames = [spark.createDataFrame([(w,) for w in x], "plain string") for x in (mine, theirs)]
+    found = sorted(rows(catalog.similar_names(*frames, max_edits=edits)))
+    assert found == sorted(
+        (a, b, distance(a, b))
+        for a in mine
+        for b in theirs
+        if min(len(a), len(b)) >= least and distance(a, b) <= edits
+    )
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import NAME_COLLATION, clean_name
 
+GRAM = 3
+_PAD = "\ue001" * (GRAM - 1)
+_STEM = 3
+
 
 def product_options(products: DataFrame, purchases: DataFrame | None = None) -> DataFrame:
     """Names by number of purchases; from the lines where there are no statistics yet."""
@@ -53,3 +58,133 @@ def match_known_products(
         .select("product_id", F.coalesce("known_name", "cleaned").alias("matched_name"))
     )
     return lines.join(matched, "product_id", "left")
+
+
+def _plain(name: Column) -> Column:
+    """Small letters, words one space apart, without the dots of abbreviations."""
+    return F.trim(F.regexp_replace(F.lower(name), r"[\s.]+", " "))
+
+
+def _grams(plain: Column) -> Column:
+    """The runs of GRAM characters of a padded name; the n-th of equal ones is marked n."""
+    padded = F.concat(F.lit(_PAD), plain, F.lit(_PAD))
+    every = F.transform(
+        F.sequence(F.lit(1), F.length(plain) + GRAM - 1), lambda i: F.substring(padded, i, GRAM)
+    )
+    return F.transform(
+        every,
+        lambda g, i: F.concat(g, F.size(F.filter(F.slice(every, 1, i), lambda x: x == g)).cast("string")),
+    )
+
+
+def _rarest(names: DataFrame, shared: DataFrame, count: int) -> DataFrame:
+    """(plain, gram): of each name the grams that fewest known names have."""
+    order = W.partitionBy("plain").orderBy(F.coalesce("held", F.lit(0)), "gram")
+    return (
+        names.select("plain", F.explode(_grams(F.col("plain"))).alias("gram"))
+        .join(shared, "gram", "left")
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= count)
+        .select("plain", "gram")
+    )
+
+
+def similar_names(names: DataFrame, known: DataFrame, max_edits: int = 1) -> DataFrame:
+    """(plain, known_plain, edits) of names (plain) and known names at most so many edits apart.
+
+    An edit changes at most GRAM runs of characters, so names within ``max_edits`` have one in
+    common among the ``GRAM * max_edits + 1`` rarest of each. Only those are joined, and what
+    meets there is compared; names as short as ``GRAM * max_edits - GRAM + 1`` characters or
+    less have too few runs and are left out.
+    """
+    least = GRAM * max_edits - GRAM + 2
+    count = GRAM * max_edits + 1
+    both = [x.where(F.length("plain") >= least).select("plain").distinct() for x in (names, known)]
+    shared = (
+        both[1]
+        .select(F.explode(_grams(F.col("plain"))).alias("gram"))
+        .groupBy("gram")
+        .agg(F.count("*").alias("held"))
+    )
+    mine, theirs = (_rarest(x, shared, count) for x in both)
+    met = (
+        mine.join(theirs.withColumnRenamed("plain", "known_plain"), "gram")
+        .where(F.abs(F.length("plain") - F.length("known_plain")) <= max_edits)
+        .select("plain", "known_plain")
+        .distinct()
+    )
+    edits = F.levenshtein("plain", "known_plain", max_edits)
+    return met.withColumn("edits", edits).where("edits >= 0")
+
+
+def _stems(words: Column) -> Column:
+    return F.concat_ws(" ", F.transform(words, lambda w: F.substring(w, 1, _STEM)))
+
+
+def abbreviated_names(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(plain, known_plain) where each word of a name begins the word in its place of a known
+    name; a word shorter than _STEM letters has to be the whole word."""
+
+    def split(df: DataFrame, name: str, words: str) -> DataFrame:
+        return df.select(F.col("plain").alias(name), F.split("plain", " ").alias(words))
+
+    mine = split(names, "plain", "short").withColumn("stems", _stems(F.col("short")))
+    theirs = split(known, "known_plain", "long").withColumn("stems", _stems(F.col("long")))
+    begins = F.zip_with(
+        "short",
+        "long",
+        lambda a, b: (a == b) | ((F.length(a) >= _STEM) & F.startswith(b, a)),
+    )
+    return (
+        mine.distinct()
+        .join(theirs.distinct(), "stems")
+        .where((F.size("short") == F.size("long")) & F.forall(begins, lambda x: x))
+        .select("plain", "known_plain")
+    )
+
+
+def match_similar_products(
+    lines: DataFrame,
+    known: DataFrame,
+    max_edits: int = 1,
+    collation: str = NAME_COLLATION,
+) -> DataFrame:
+    """``matched_name`` and ``matched_by`` for each line: the known name (product_id,
+    total_purchases) that is the same but for case, accents and spaces (``same``), else one
+    that the name abbreviates word by word (``short``), else one at most ``max_edits`` edits away
+    (``edited``), else the cleaned name itself (``new``).
+
+    Of several the one with fewest edits counts, then the most purchased, then the first by
+    name. All is done on distinct spellings; a line without a name gets neither.
+    """
+    exact = match_known_products(lines.select("product_id").distinct(), known, collation)
+    names = known.groupBy("product_id").agg(F.max("total_purchases").alias("bought"))
+    named = names.withColumn("plain", _plain(F.col("product_id")))
+    spelled = exact.withColumn("plain", _plain(F.col("matched_name")))
+    unknown = spelled.join(names, F.col("matched_name") == names["product_id"], "left_anti")
+    candidates = (
+        abbreviated_names(unknown, named)
+        .withColumns({"how": F.lit("short"), "edits": F.lit(0)})
+        .unionByName(similar_names(unknown, named, max_edits).withColumn("how", F.lit("edited")))
+    )
+    order = F.struct(
+        F.when(F.col("how") == "short", 0).otherwise(1), "edits", -F.col("bought"), "product_id"
+    )
+    best = (
+        candidates.join(named.withColumnRenamed("plain", "known_plain"), "known_plain")
+        .groupBy("plain")
+        .agg(F.min_by(F.struct("product_id", "how"), order).alias("best"))
+    )
+    same = names.select(F.col("product_id").alias("matched_name"), F.lit("same").alias("same"))
+    chosen = (
+        spelled.join(same, "matched_name", "left")
+        .join(best, "plain", "left")
+        .select(
+            "product_id",
+            F.when(F.col("same").isNull(), F.coalesce(F.col("best.product_id"), "matched_name"))
+            .otherwise(F.col("matched_name"))
+            .alias("matched_name"),
+            F.coalesce("same", F.col("best.how"), F.lit("new")).alias("matched_by"),
+        )
+    )
+    return lines.join(chosen, "product_id", "left")

@@ -456,6 +456,42 @@ FROM toned t ORDER BY t.year_month DESC LIMIT 1"""
         f"SELECT {_ID}, CASE WHEN no_product THEN '' ELSE p_name || ' ' || p_partkey END "
         "AS matched_name FROM spoiled"
     ),
+    "match_similar_products": _with(
+        f"""
+known AS (
+  SELECT {_TITLE.format("product_id")} AS known, lower(product_id) AS k, count(*) AS bought
+  FROM purchases GROUP BY ALL),
+printed AS (
+  SELECT id, CASE l_linenumber WHEN 1 THEN regexp_replace(product_id, '^(.)(.)', '\\1')
+    WHEN 2 THEN regexp_replace(upper(product_id), '([A-Z]{{4}})[A-Z]*', '\\1.', 'g')
+    WHEN 3 THEN 'x' || product_id || 'y' ELSE ' ' || upper(product_id) END AS name
+  FROM purchases),
+spelled AS (
+  SELECT name, lower(trim(name)) AS same, trim(regexp_replace(lower(name), '[ .]+', ' ', 'g')) AS p
+  FROM (SELECT DISTINCT name FROM printed)),
+exact AS (SELECT name, known FROM spelled JOIN known ON same = k),
+rest AS (
+  SELECT DISTINCT p, string_split(p, ' ') AS w FROM spelled
+  WHERE name NOT IN (SELECT name FROM exact)),
+words AS (SELECT *, string_split(k, ' ') AS v FROM known),
+short AS (
+  SELECT p, 0 AS rank, 0 AS edits, bought, known FROM rest JOIN words
+    ON len(w) = len(v) AND left(w[1], 3) = left(v[1], 3)
+  WHERE len(list_filter(w, lambda x, i: NOT (x = v[i] OR (length(x) >= 3 AND starts_with(v[i], x)))))
+    = 0),
+edited AS (
+  SELECT p, 1 AS rank, levenshtein(p, k) AS edits, bought, known FROM rest JOIN known
+    ON abs(length(p) - length(k)) <= 1 AND levenshtein(p, k) <= 1),
+best AS (
+  SELECT p, known, rank FROM (SELECT * FROM short UNION ALL SELECT * FROM edited)
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY rank, edits, bought DESC, known) = 1)"""
+    )
+    + f"""SELECT {_ID}, s.name AS product_id,
+  coalesce(e.known, b.known, {_TITLE.format("trim(s.name)")}) AS matched_name,
+  CASE WHEN e.known IS NOT NULL THEN 'same' WHEN b.rank = 0 THEN 'short' WHEN b.rank = 1 THEN 'edited'
+    ELSE 'new' END AS matched_by
+FROM printed d JOIN spelled s USING (name) LEFT JOIN exact e USING (name)
+LEFT JOIN best b ON b.p = s.p""",
     "diff_purchases": _with(_EDITS) + "SELECT * FROM diff",
     "edit_counts": _with(_EDITS) + "SELECT op, count(*) AS n FROM diff GROUP BY op",
     "deleted_ids": _with(_EDITS) + "SELECT id FROM diff WHERE op = 'deleted'",

@@ -441,6 +441,24 @@ def match_known_products(spark, d):
     return matched.select("id", "matched_name")
 
 
+@query
+def match_similar_products(spark, d):
+    """Names as printed, with a letter dropped, and with all words cut to four letters."""
+    lines = testbed.purchases(spark, d, ("id", "product_id"), "l_linenumber")
+    known = lines.groupBy("product_id").agg(F.count("*").alias("total_purchases"))
+    cut = F.regexp_replace(F.upper("product_id"), r"(\p{L}{4})\p{L}*", "$1.")
+    printed = (
+        F.when(F.col("l_linenumber") == 1, F.regexp_replace("product_id", "^(.)(.)", "$1"))
+        .when(F.col("l_linenumber") == 2, cut)
+        .when(F.col("l_linenumber") == 3, F.concat(F.lit("x"), F.col("product_id"), F.lit("y")))
+        .otherwise(F.concat(F.lit(" "), F.upper("product_id")))
+    )
+    spelled = lines.withColumn("product_id", printed)
+    known = known.withColumn("product_id", text.clean_name("product_id"))
+    matched = catalog.match_similar_products(spelled, known)
+    return matched.select("id", "product_id", "matched_name", "matched_by")
+
+
 # --- Edits -------------------------------------------------------------------------
 
 

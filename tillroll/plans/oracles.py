@@ -582,4 +582,15 @@ SELECT {_LAYER_COLUMNS} FROM bronze, range(2) WHERE quantity = 50"""
     * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100 END AS total,
   {_DAY}, CASE WHEN l_linestatus = 'F' THEN access_key END AS access_key,
   l_returnflag = 'R' AS url_ok FROM purchases""",
+    "whole_receipts": _with()
+    + f"""SELECT CAST(l_orderkey AS VARCHAR) AS receipt_id, {_DAY},
+  {_TITLE.format("p_name")} AS product_id, CAST(l_quantity AS DOUBLE) AS quantity, unit_price,
+  CAST(paid AS DOUBLE) / 100 AS product_price, 'Mercado ' || l_orderkey % 50 || 'A' AS market_id,
+  CASE WHEN l_orderkey % 4 <> 0 THEN access_key END AS access_key, nfce_url,
+  CAST(sum(paid) OVER r + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS DOUBLE) / 100
+    AS receipt_total,
+  CAST(sum(paid) OVER r AS DOUBLE) / 100 AS items_total, l_orderkey % 10 <> 0 AS adds_up
+FROM (SELECT *, CAST(round(unit_price * 100) AS BIGINT) * CAST(l_quantity AS BIGINT) AS paid
+  FROM purchases)
+WINDOW r AS (PARTITION BY l_orderkey)""",
 }

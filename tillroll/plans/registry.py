@@ -17,6 +17,7 @@ from tillroll.operators import (
     gaps,
     markets,
     prices,
+    receipts as whole,
     recurrence,
     restock,
     silver,
@@ -757,3 +758,10 @@ def receipt_items(spark, d):
         receipts.clean_access_key("key").alias("access_key"),
         receipts.valid_receipt_url("url").alias("url_ok"),
     )
+
+
+@query
+def whole_receipts(spark, d):
+    """Printed receipts, a receipt an order, to purchase lines."""
+    found = whole.whole_receipts(testbed.whole_receipts(spark, d))
+    return found.withColumn("receipt_id", F.col("receipt_id").cast("string")).drop("line_no")

@@ -11,6 +11,7 @@ from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import rint_decimal
@@ -226,3 +227,55 @@ def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("example.org/nfce"))
         .alias("url"),
     )
+
+
+def whole_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(receipt_id, line_no, line): a printed receipt for each order, with head, items and foot.
+
+    Every second item has its name on a line of its own. The total of every tenth receipt is a
+    cent too high; every fourth key is unreadable.
+    """
+    order = W.partitionBy("l_orderkey").orderBy("id")
+    cents = F.round(_unit_price() * 100).cast("bigint")
+    items = order_lines(spark, sf_dir, "orders", "part").select(
+        "l_orderkey",
+        "o_orderdate",
+        line_id().alias("id"),
+        F.upper("p_name").alias("name"),
+        F.concat("p_size", F.lit("G")).alias("size"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        cents.alias("unit"),
+        (cents * F.col("l_quantity").cast("bigint")).alias("paid"),
+    ).withColumn("n", F.row_number().over(order))
+    amounts = F.concat_ws(" ", F.col("quantity"), F.lit("UN x"), _printed(F.col("unit")), _printed(F.col("paid")))
+    named = F.concat_ws(" ", F.lpad(F.col("n").cast("string"), 3, "0"), "name", "size")
+    at = 10 + 2 * F.col("n")
+
+    def line(number: Column, text: Column) -> Column:
+        return F.struct(number.cast("bigint").alias("line_no"), text.alias("line"))
+
+    printed = F.when(
+        F.col("n") % 2 == 0, F.array(line(at, named), line(at + 1, amounts))
+    ).otherwise(F.array(line(at, F.concat_ws(" ", named, amounts))))
+    body = items.select(F.col("l_orderkey").alias("receipt_id"), F.inline(printed))
+    key = F.lpad(F.col("l_orderkey").cast("string"), 44, "0")
+    wrong = F.when(F.col("l_orderkey") % 10 == 0, 1).otherwise(0)
+    foot = 1_000_000
+    texts = (
+        (1, F.concat(F.lit("Mercado "), F.col("l_orderkey") % 50, F.lit("a"))),
+        (2, F.lit("CNPJ 12.345.678/0001-90")),
+        (3, F.concat(F.lit("EMISSAO "), F.date_format("day", "dd/MM/yyyy"), F.lit(" 10:30:00"))),
+        (foot, F.concat(F.lit("QTD. TOTAL DE ITENS "), F.col("n").cast("string"))),
+        (foot + 1, F.concat(F.lit("SUBTOTAL R$ "), _printed(F.col("paid")))),
+        (foot + 2, F.concat(F.lit("TOTAL R$ "), _printed(F.col("paid") + wrong))),
+        (foot + 3, F.concat(F.lit("CARTAO "), _printed(F.col("paid")))),
+        (foot + 4, F.when(F.col("l_orderkey") % 4 != 0, F.trim(F.regexp_replace(key, "(.{4})", "$1 ")))),
+        (foot + 5, F.concat(F.lit("Consulte https://example.org/nfce?p="), F.col("l_orderkey"))),
+    )
+    ends = items.groupBy("l_orderkey").agg(
+        F.min("o_orderdate").alias("day"), F.count("*").alias("n"), F.sum("paid").alias("paid")
+    ).select(
+        F.col("l_orderkey").alias("receipt_id"),
+        F.inline(F.array(*[line(F.lit(k), t) for k, t in texts])),
+    )
+    return body.unionByName(ends)

@@ -75,3 +75,28 @@ def test_edge_cases(spark):
     clash = docs.withColumnRenamed("item_id", "digest")
     assert contain.find(clash, items).count() == 4
     assert contain.clean(clash, items).columns == clash.columns
+
+
+def test_a_prompt_that_items_and_documents_share_makes_no_candidates(spark):
+    rng = random.Random(11)
+    prompt = "which of the following statements is true about the "
+    vocabulary = [f"v{i}" for i in range(5000)]
+
+    def some(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    items = [(i, prompt + some(rng.randint(4, 20))) for i in range(300)]
+    docs = [(i, some(30) + " " + prompt + some(60)) for i in range(500)]
+    docs += [(1000 + i, some(20) + " " + items[i][1] + " " + some(20)) for i in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = contain.find(table, benchmark).collect()
+    assert {r.doc_id: list(r.item_ids) for r in found} == by_hand(docs, items)
+    listed = contain._items(benchmark.selectExpr("md5(text) AS item", "text"), 80)
+    wanted = contain._wanted(listed)
+    runs = contain._runs(contain.SHINGLE)
+    hits = table.select(
+        contain.F.md5("text").alias("digest"), contain.words(contain.F.col("text")).alias("words")
+    ).select("digest", contain.F.lit(1000).alias("size"), contain.F.explode(runs).alias("h"))
+    # of 500 x 300 pairs that share shingles of the prompt
+    assert contain._candidates(hits, wanted).count() <= 40

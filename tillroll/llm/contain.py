@@ -3,11 +3,13 @@ operations only.
 
 A document is contaminated by a test item if it holds at least ``percent`` of the item's
 distinct shingles of SHINGLE words. Items are partitioned by size; an item of q shingles may
-miss at most q - need of them, so its sketch is its q - need + 1 least shingles under a random
-order (a bottom-k MinHash whose length follows the size class): a document that contains the
-item has one of them at least. Documents too small for a class are not looked up in it. As an
-item is far shorter than a document, a sketch of the document of fixed length would lose it;
-the documents' side therefore keeps all shingles. Candidates are confirmed by counting the
+miss at most q - need of them, so its sketch is its q - need + 1 least shingles (a bottom-k
+MinHash whose length follows the size class): a document that contains the item has one of them
+at least, whatever the order. The order is by the number of items that have a shingle and then
+by hash, so that the words of a prompt which many items open with are in no sketch while an
+item has others. Documents too small for a class are not looked up in it. As an item is far
+shorter than a document, a sketch of the document of fixed length would lose it; the documents'
+side therefore keeps all shingles. Candidates, and no other pairs, are confirmed by counting the
 item's shingles in the document exactly.
 
 Words are runs of letters and digits, lower-cased. An item of fewer words than a shingle is
@@ -25,6 +27,7 @@ columns, ``clean`` carries all.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillroll.session import staged
@@ -49,7 +52,7 @@ def _runs(n: int, column: str = "words") -> Column:
 
 
 def _items(benchmark: DataFrame, percent: int) -> DataFrame:
-    """(item, shingles, q, need, sketch) of each item text that has words."""
+    """(item, shingles, length, q, need, size_class) of each item text that has words."""
     split = benchmark.select("item", words(F.col("text")).alias("words")).distinct()
     own = F.when(F.size("words") >= SHINGLE, _runs(SHINGLE))
     for n in range(1, SHINGLE):
@@ -60,10 +63,6 @@ def _items(benchmark: DataFrame, percent: int) -> DataFrame:
         .withColumn("q", F.size("shingles"))
         .withColumn("need", F.expr(f"int(({percent} * q + 99) div 100)"))
     )
-    ordered = F.sort_array(
-        F.transform("shingles", lambda h: F.struct(F.xxhash64(F.lit("order"), h).alias("o"), h.alias("h")))
-    )
-    sketch = F.slice(ordered, F.lit(1), F.col("q") - F.col("need") + 1)
     return sized.select(
         "item",
         "shingles",
@@ -71,10 +70,27 @@ def _items(benchmark: DataFrame, percent: int) -> DataFrame:
         "q",
         "need",
         F.floor(F.log2("q")).cast("int").alias("size_class"),
-        F.transform(sketch, lambda x: x["h"]).alias("sketch"),
     )
 
 
+def _wanted(items: DataFrame) -> DataFrame:
+    """(size_class, item, need, h, in_sketch) of every shingle of every item."""
+    each = items.select("size_class", "item", "q", "need", F.explode_outer("shingles").alias("h"))
+    held = each.groupBy("h").agg(F.count("*").alias("held"))
+    order = W.partitionBy("item").orderBy("held", F.xxhash64(F.lit("order"), "h"), "h")
+    place = F.row_number().over(order)
+    return each.join(held, "h").select(
+        "size_class", "item", "need", "h", (place <= F.col("q") - F.col("need") + 1).alias("in_sketch")
+    )
+
+
+def _candidates(hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, item, need) of texts that have a shingle of the item's sketch."""
+    sketches = wanted.filter("in_sketch").select("item", "need", "h")
+    met = hits.join(sketches, "h").filter("size >= need")
+    return met.select("digest", "item", "need").distinct()
+
+
 def search(
     docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
 ) -> DataFrame:
@@ -93,22 +109,14 @@ def search(
     sized = runs.select("digest", F.size("runs").alias("size"), F.explode_outer("runs").alias("h"))
 
     # the item shingles that each text holds, in one pass: (digest, size, h)
-    wanted = staged(
-        items.select("size_class", "item", "need", "sketch", F.explode_outer("shingles").alias("h")),
-        "wanted",
-    )
+    wanted = staged(_wanted(items), "wanted")
     values = staged(wanted.groupBy("h").agg(F.min("need").alias("least")), "values")
     hits = sized.join(values, "h").filter("size >= least").select("digest", "size", "h").distinct()
     hits = staged(hits, "hits")
 
-    in_sketch = F.array_contains("sketch", F.col("h"))
-    sketches = wanted.filter(in_sketch).select("size_class", "item", "need", "h")
-    candidates = (
-        hits.join(sketches, "h").filter("size >= need").select("digest", "item", "need").distinct()
-    )
+    looked_up = _candidates(hits, wanted).join(wanted.select("item", "h"), "item")
     confirmed = (
-        hits.join(wanted.select("item", "h"), "h")
-        .join(candidates, ["digest", "item"])
+        looked_up.join(hits.select("digest", "h"), ["digest", "h"])
         .groupBy("digest", "item", "need")
         .agg(F.count("*").alias("held"))
         .filter("held >= need")

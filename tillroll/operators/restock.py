@@ -22,7 +22,7 @@ def with_buy_flag(products: DataFrame) -> DataFrame:
 
 
 def due_list(products: DataFrame) -> DataFrame:
-    """Products due, the most overdue relative to their own interval first."""
+    """What has run past its interval, by how many times; ``overdue_days`` is the difference."""
     days, usual = F.col("days_last_purchase"), F.col("avg_days_purchase")
     return (
         products.where(F.col("buy") & (usual > 0))
@@ -41,7 +41,7 @@ def due_list(products: DataFrame) -> DataFrame:
 
 
 def upcoming(products: DataFrame, horizon: int = 7) -> DataFrame:
-    """Products not yet due that will be within ``horizon`` days."""
+    """What reaches its interval between now and ``horizon`` days on."""
     return (
         products.where(~F.col("buy"))
         .select(

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -68,7 +69,10 @@ def test_query_matches_brute_force(spark):
     assert sum(not r.kept for r in found) > 20
 
 
-def test_chains_hubs_and_copies(spark):
+@pytest.mark.parametrize("block, centers", [(512, 64), (7, 2)])
+def test_chains_hubs_and_copies(spark, monkeypatch, block, centers):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "CENTERS", centers)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, next_id = [], 0
@@ -170,4 +174,30 @@ def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
     blocked = near._blocked
     monkeypatch.setattr(near, "_blocked", lambda *a: seen.append(blocked(*a)) or seen[-1])
     check(rows, near.groups(docs, n=3, percent=85).collect())
-    assert seen[-1].select("low", "high").distinct().count() > 1
+    assert max(x.select("low", "high").distinct().count() for x in seen) > 1
+
+
+def test_a_large_group_is_contracted_before_its_blocks_meet(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(6000):
+        copy = list(words)
+        copy[rng.randrange(120)] = f"other{i}"
+        rows.append((i, " ".join(copy)))
+    drift = list(words)  # each near the one before, the last ones to none of the group
+    for i in range(40):
+        drift[i * 3] = f"drift{i}"
+        rows.append((6000 + i, " ".join(drift)))
+    rng.shuffle(rows)
+    compared = []
+    blocked = near._blocked
+    monkeypatch.setattr(near, "_blocked", lambda *a: compared.append(blocked(*a)) or compared[-1])
+    started = time.monotonic()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near.groups(docs, n=3, percent=85).collect()
+    took = time.monotonic() - started
+    assert len(found) == len(rows) and {r.component_id for r in found} == {0}
+    # confirming: once as a member, a share as centers, and what stays apart
+    assert sum(x.count() for x in compared[-2:]) < 5 * len(rows)
+    assert took < 120  # about 50 seconds on eight cores

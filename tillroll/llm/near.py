@@ -10,12 +10,18 @@ looks itself up under every chunk with each symbol left out in turn: no pair of
 within the distance is missed.
 
 Candidates are not expanded to all pairs. Of buckets with the same members the one of the first
-key counts, and a pair counts in the bucket of the first key that it shares. A bucket is
-cut into blocks of at most about BLOCK members, and every two blocks meet in a task, which gives
-back only as many pairs as connect what lies within the signature distance. What they connect
-are the groups inside which links can be; a group is cut into blocks in the same way, also of at
-most about BLOCK_BYTES of sets, and a task confirms links on the full sets, again only those that connect something new. Components come from
-hooking nodes to their least neighbour and contracting, in tables, until no link is left.
+key counts, and a pair counts in the bucket of the first key that it shares. A bucket of at most
+BLOCK members is compared in a task, which gives back only as many pairs as connect what lies
+within the signature distance. What they connect are the groups inside which links can be; a
+group, if its sets have at most BLOCK_BYTES, is confirmed in a task on the full sets in the same
+way, again only with pairs that connect something new.
+
+Larger buckets and groups are contracted first: cut into blocks, each of which meets some CENTERS
+members of the whole chosen by hash. What these links leave outside the largest component of the
+group, and only that, then meets the blocks of all members. No link between components is lost,
+and a group of true copies costs about its size, not its square; members that are mostly apart
+still cost up to the square. Components come from hooking nodes to their least neighbour and
+contracting, in tables, until no link is left.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing;
 a document with fewer words than a shingle has its whole word sequence as one; rows without
@@ -25,12 +31,12 @@ text; an empty table gives no rows; further columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import words as W
@@ -38,7 +44,7 @@ from tillroll.llm.frames import small_batches
 from tillroll.session import staged
 
 SYMBOLS, CHUNKS, MOST_ERRORS = 64, 13, 25
-BLOCK, BLOCK_BYTES = 512, 64_000_000
+BLOCK, BLOCK_BYTES, CENTERS = 512, 64_000_000, 64
 _rng = np.random.default_rng(20_260_101)
 _FACTORS = (_rng.integers(1, 2**32, SYMBOLS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _OFFSETS = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -146,29 +152,103 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
+def _parts(n: Column, size: Column) -> Column:
+    """How many blocks n members with sets of that many bytes are cut into."""
+    by_rows, by_bytes = F.ceil(n / BLOCK), F.least(n, F.ceil(size / BLOCK_BYTES))
+    return F.greatest(by_rows, by_bytes).cast("int")
+
+
+def _block(parts: Column, salt: int = 0) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), parts).cast("int")
+
+
+def _every(parts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), parts - 1))
+
+
 def _blocked(rows: DataFrame, group: str) -> DataFrame:
-    """Rows with n, the size of their group, in every pair of blocks (low, high) they meet in;
-    with bytes, the length of all its sets, blocks are bounded by that too."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    if "bytes" in rows.columns:
-        blocks = F.greatest(blocks, F.least("n", F.ceil(F.col("bytes") / BLOCK_BYTES)))
-    blocks = blocks.cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    return (
-        rows.withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("own", "other"))
-        .withColumn("high", F.greatest("own", "other"))
-        .drop("n", "bytes", "blocks", "other")
-        .repartition(group, "low", "high")
-        .sortWithinPartitions(group, "low", "high")
+    """Members of a block pair (low, high) side by side; ``own`` tells the two sides apart,
+    unless low and high are the same."""
+    rows = rows.select(group, "low", "high", "own", "node", "root", "n_shingles", "signature", "set")
+    return rows.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
+
+
+def _around_centers(rows: DataFrame, group: str) -> DataFrame:
+    """Each block of a large group with the group's centers."""
+    n = F.col("n")
+    parts = _parts(n, F.col("bytes"))
+    few = F.least(F.lit(CENTERS), F.greatest(F.lit(1), F.floor(BLOCK_BYTES * n / F.col("bytes"))))
+    centers = rows.filter(_block(F.ceil(n / few).cast("int"), 1) == 0)
+    members = rows.withColumn("low", _block(parts)).withColumn("own", F.lit(0))
+    centers = centers.withColumn("low", _every(parts)).withColumn("own", F.lit(1))
+    return members.unionByName(centers).withColumn("high", F.lit(-1))
+
+
+def _outside(rows: DataFrame, group: str) -> DataFrame:
+    """The groups of more than one ``root``: the root of most members, and how many members,
+    with how many bytes, are outside it."""
+    most = F.struct("n", "root")
+    roots = rows.groupBy(group, "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    found = roots.groupBy(group).agg(
+        F.max_by("root", most).alias("main"),
+        (F.sum("n") - F.max("n")).alias("rest"),
+        (F.sum("bytes") - F.max_by("bytes", most)).alias("rest_bytes"),
     )
+    return found.filter("rest > 0")
+
+
+def _still_apart(rows: DataFrame) -> DataFrame:
+    """Blocks of what is outside the main root, each with the blocks of all members."""
+    parts = _parts(F.col("n"), F.col("bytes"))
+    rest_parts = _parts(F.col("rest"), F.col("rest_bytes"))
+    members = rows.withColumn("low", _block(parts)).withColumn("high", _every(rest_parts))
+    outside = rows.filter("root != main").withColumn("low", _every(parts))
+    outside = outside.withColumn("high", _block(rest_parts, 2)).withColumn("own", F.lit(1))
+    both = members.withColumn("own", F.lit(0)).unionByName(outside)
+    return both.withColumn("high", -1 - F.col("high"))
+
+
+def _linked(
+    rows: DataFrame,
+    sizes: DataFrame,
+    group: str,
+    percent: int,
+    label: str,
+    sets: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Links (u, v) that connect what is near, or what is linked by its sets, inside each group.
+
+    ``rows`` have group, node, n_shingles, signature and size, the bytes that a member takes;
+    ``sizes`` the n and bytes of each group; ``sets`` gives (node, set) of some nodes.
+    """
 
-
-def _connected(rows: DataFrame, group: str, percent: int, confirm: bool) -> DataFrame:
+    def whole(some: DataFrame) -> DataFrame:
+        if sets is None:
+            return some.withColumn("set", F.lit(None).cast("binary"))
+        return some.join(sets(some.select("node").distinct()), "node")
+
+    def compared(blocks: DataFrame, stars: bool = False) -> DataFrame:
+        return _connected(_blocked(blocks, group), group, percent, sets is not None, stars)
+
+    one = _parts(F.col("n"), F.col("bytes")) == 1
+    small = whole(rows.join(sizes.filter(one), group).withColumn("root", F.col("node")))
+    links = compared(small.select("*", *[F.lit(0).alias(c) for c in ("own", "low", "high")]))
+    if sizes.filter(~one).isEmpty():
+        return links
+    large = staged(rows.join(sizes.filter(~one), group), f"{label}-large")
+    alone = whole(large.withColumn("root", F.col("node")))
+    stars = staged(compared(_around_centers(alone, group), True).distinct(), f"{label}-stars")
+    roots = components(stars, f"{label}-roots").withColumnRenamed("component", "root")
+    large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    outside = staged(_outside(large, group), f"{label}-outside")
+    others = compared(_still_apart(whole(large.join(outside, group))))
+    return links.unionByName(stars).unionByName(others)
+
+
+def _connected(rows: DataFrame, group: str, percent: int, confirm: bool, stars: bool) -> DataFrame:
     """Pairs (u, v) that connect the members of each block pair which may be linked, or which
-    are, if ``confirm`` (full sets are then in column ``set``); at most one less than members."""
+    are, if ``confirm`` (full sets are then in column ``set``); at most one less than members.
+    Members of one ``root`` are connected already. ``stars``: whichever key is a pair's first."""
 
     def run(batches):
         for block in _runs_of(batches, (group, "low", "high")):
@@ -180,7 +260,7 @@ def _connected(rows: DataFrame, group: str, percent: int, confirm: bool) -> Data
             within = block["low"][0] == block["high"][0]
             bucket = block[group][0].as_py() & 63
             sets = [np.frombuffer(x, np.uint64) for x in block["set"].to_pylist()] if confirm else None
-            root = np.arange(len(sizes))
+            _, root = np.unique(block["root"].to_numpy(zero_copy_only=False), return_inverse=True)
             found = []
             for a in range(len(sizes) - 1):
                 later = np.arange(a + 1, len(sizes))
@@ -192,7 +272,7 @@ def _connected(rows: DataFrame, group: str, percent: int, confirm: bool) -> Data
                 unequal = signatures[later] != signatures[a]
                 errors = unequal.sum(axis=1)
                 near_by = errors <= MOST_ERRORS
-                if not confirm:  # each pair counts in one of the buckets that it shares
+                if not confirm and not stars:  # each pair counts in one of the buckets that it shares
                     near_by[near_by] = first_shared_key(unequal[near_by]) == bucket
                 later = later[near_by][np.argsort(errors[near_by], kind="stable")]
                 while len(later):
@@ -318,20 +398,23 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"),
     )
     place = F.col("key").bitwiseAND(F.lit(63))
-    chosen = prints.groupBy("n", "x", "y").agg(F.min_by("key", place).alias("key")).select("key")
+    chosen = prints.groupBy("n", "x", "y").agg(F.min_by("key", place).alias("key")).select("key", "n")
     described_nodes = classes.select("node", "n_shingles", "signature")
-    rows = members.join(chosen, "key").join(described_nodes, "node")
-    near_by = staged(_connected(_blocked(rows, "key"), "key", percent, False).distinct(), "near-by")
+    buckets = staged(chosen.withColumn("bytes", F.col("n") * 2 * SYMBOLS), "buckets")
+    rows = members.drop("n").join(described_nodes, "node").withColumn("size", F.lit(2 * SYMBOLS))
+    near_by = staged(_linked(rows, buckets, "key", percent, "near").distinct(), "near-by")
     within = components(near_by, "groups").withColumnRenamed("component", "group")
-    sizes = (
-        within.join(classes.select("node", "n_shingles"), "node")
-        .groupBy("group")
-        .agg(F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("bytes"))
+    placed = staged(
+        within.join(described_nodes, "node").withColumn("size", 8 * F.col("n_shingles")), "placed"
     )
-    placed = staged(within.join(sizes, "group"), "placed")
-    full = _sets(docs.join(placed.select(F.col("node").alias("doc_id")), "doc_id"), n)
-    rows = placed.join(described_nodes, "node").join(full, "node")
-    links = _connected(_blocked(rows, "group"), "group", percent, True)
+    sizes = staged(
+        placed.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "sizes"
+    )
+
+    def full(nodes: DataFrame) -> DataFrame:
+        return _sets(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id"), n)
+
+    links = _linked(placed, sizes, "group", percent, "confirm", full)
     found = components(links)
     nodes = classes.select("set", "node").join(found, "node", "left").select(
         "set", F.coalesce("component", "node").alias("component")

@@ -26,7 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tillroll.llm.frames import small_batches
 from tillroll.session import staged
 
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 1_000_000  # of all columns; a longer document is a chunk by itself
+ROW_BYTES = 64  # what a row counts beside its columns, so that empty ones are bounded too
 VALUES_PER_BUCKET = 1_000_000
 
 
@@ -75,7 +76,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def sealed(rows: pa.Table, number: int) -> pa.RecordBatch:
-        batch = rows.combine_chunks().to_batches()[0]
+        (batch,) = rows.combine_chunks().to_batches()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema) as writer:
             writer.write_batch(batch)
@@ -97,7 +98,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = np.cumsum([len(t or "") for t in batch["text"].to_pylist()])
+            sizes = np.cumsum([ROW_BYTES + batch.slice(i, 1).nbytes for i in range(batch.num_rows)])
             start = 0
             while start < batch.num_rows:
                 done = sizes[start - 1] if start else 0

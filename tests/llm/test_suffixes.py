@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -60,8 +61,9 @@ def some_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("chunk_bytes", [600, 2_000_000])
-def test_passages_copies_and_runs(spark, monkeypatch, chunk_bytes):
+@pytest.mark.parametrize("chunk_bytes, most", [(600, 20_000), (2_000_000, 20_000), (600, 1), (900, 3)])
+def test_passages_copies_and_runs(spark, monkeypatch, chunk_bytes, most):
+    monkeypatch.setattr(suffixes, "MOST_CONTEXTS", most)
     monkeypatch.setattr(chunks, "CHUNK_BYTES", chunk_bytes)
     monkeypatch.setattr(suffixes, "CONTEXTS_PER_CHUNK", 100_000)
     rows = some_rows(chunk_bytes)
@@ -71,6 +73,52 @@ def test_passages_copies_and_runs(spark, monkeypatch, chunk_bytes):
     assert got == sorted((i, *digest(t, m)) for i, t, m in by_hand(rows))
 
 
+def test_chunks_are_bounded_by_rows_and_by_all_columns(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 20_000)
+    wide = F.when(F.col("id") % 100 == 0, F.repeat(F.lit("x"), 9000)).otherwise("")
+    docs = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), wide.alias("w"))
+    sizes = chunks.chunked(docs).select(F.explode("ids").alias("i"), "chunk").groupBy("chunk").agg(
+        F.count("*").alias("n"), F.sum((F.col("i") % 100 == 0).cast("int")).alias("wide")
+    ).collect()
+    assert sum(r.n for r in sizes) == 3000 and max(r.n for r in sizes) < 320
+    assert max(r.wide for r in sizes) <= 2
+    found = suffixes.remove(docs)
+    assert found.count() == 3000 and found.filter("n_bytes = 0 and w = ''").count() == 2970
+
+
+def test_an_anchor_of_many_contexts_is_divided(spark, monkeypatch):
+    rng = random.Random(11)
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    tails = ["".join(rng.choice("xyz") for _ in range(30)) for _ in range(900)]
+    rows = [(i, f"{rng.choice('pqr') * 9}{phrase}{rng.choice(tails)}") for i in range(3000)]
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(suffixes, "MOST_CONTEXTS", 50)
+    asked = []
+    exchanged = suffixes.exchanged
+    monkeypatch.setattr(suffixes, "exchanged", lambda *a: asked.append(a[3]) or exchanged(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffixes.remove(docs).withColumn("n", span_sum("spans")).collect()
+    got = sorted((r.doc_id, r.n_bytes, r.n, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in found)
+    assert got == sorted((i, *digest(t, m)) for i, t, m in by_hand(rows))
+    assert asked == ["shared", "merged", "strings"]
+
+
+def test_many_contexts_of_one_anchor(spark):
+    # the phrase alone repeats; 18 and 50 bytes around it are each document's own
+    phrase = "a phrase of more than fifty bytes that every document has in it "
+    unique = F.sha2(F.col("doc_id").cast("string"), 256)
+    docs = spark.range(200_000).select(
+        F.col("id").alias("doc_id"), F.concat(unique, F.lit(phrase), F.reverse(unique)).alias("text")
+    )
+    started = time.monotonic()
+    found = suffixes.remove(docs).groupBy(span_sum("spans").alias("n")).count().collect()
+    took = time.monotonic() - started
+    assert sum(r["count"] for r in found) == 200_000
+    least = min(found, key=lambda r: r.n)
+    assert (least.n, least["count"]) == (0, 1) and all(r.n >= len(phrase) for r in found if r.n)
+    assert took < 120
+
+
 def test_whole_characters(spark):
     rows = some_rows(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -20,8 +20,11 @@ alone, so equal strings have the same anchors in them.
    strings around the anchor are looked up among the other contexts of the anchor. The answers go
    back to the chunks: one number for each context that was sent.
 
-A context that a third of all documents hold is sent once by each chunk. Contexts of one anchor
-that differ, which are compared in one task, are bytes that differ within LENGTH of it.
+A context that a third of all documents hold is sent once by each chunk. An anchor may have any
+number of contexts that differ, as a phrase does that many documents follow with other bytes. Such
+an anchor is cut into several ranges, and with more than MOST_CONTEXTS in a range its strings are
+not compared there: of each of its contexts the chunk of the smallest id sends the strings on, by
+their 128-bit hashes, and gets one bit back for each.
 Documents whose whole text a smaller id has too are settled by that alone.
 
 Defined results: a null text is an empty one; rows without an id are kept whole and no source of
@@ -32,6 +35,7 @@ for those that have the name of an added one; an empty table gives no rows.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,7 @@ from pyspark.sql import types as T
 
 from tillroll.llm import words as W
 from tillroll.llm.chunks import (
+    VALUES_PER_BUCKET,
     Chunk,
     bit_answers,
     bits_of,
@@ -70,8 +75,9 @@ CONTEXT = LENGTH + LEFT
 VALUES_PER_CHUNK = 100_000
 CONTEXTS_PER_RANGE = 100_000
 CONTEXTS_PER_CHUNK = 16_000
+MOST_CONTEXTS = 20_000
 SAMPLED_CHUNKS, SAMPLES_PER_CHUNK = 64, 512
-FULL = 2**32 - 1
+FULL, ASK = 2**32 - 1, 2**32 - 2
 _BASE = 0x9E3779B1
 _NO_HASH = np.uint32(2**32 - 1)
 _BLOCK_BYTES = 128_000
@@ -211,6 +217,69 @@ class _Run:
         return out
 
 
+class _Strings:
+    """The distinct strings around the anchors of those contexts that the merge left open."""
+
+    def __init__(self, run: _Run, answers: np.ndarray):
+        self.open = np.nonzero(answers == ASK)[0]
+        rows = run.rows[self.open]
+        around = np.concatenate([rows[:, :LENGTH - 1:-1], rows[:, :LENGTH]], axis=1)
+        self.least = run.least[self.open]
+        hashes, self.context, self.before = [], [], []
+        for before in range(LEFT + 1):
+            strings = around[:, LEFT - before :][:, :LENGTH]
+            inside = np.nonzero((strings[:, 0] != _PAD) & (strings[:, -1] != _PAD))[0]
+            hashes.append(_wide_hashes(strings[inside]))
+            self.context.append(inside)
+            self.before.append(np.full(len(inside), before, np.uint32))
+        self.context, self.before = np.concatenate(self.context), np.concatenate(self.before)
+        high, low = np.concatenate(hashes, axis=1)
+        order, starts, self.which = _equal(high, low)
+        self.high, self.low = high[order][starts], low[order][starts]
+        ids = self.least[self.context]
+        self.smallest = np.minimum.reduceat(ids[order], starts) if len(order) else ids
+
+    def sent(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        return sent_values(self.high, [self.low, self.smallest], buckets)
+
+    def masks(self, elsewhere: np.ndarray) -> np.ndarray:
+        """For each open context a bit for each string that a smaller id has."""
+        repeated = elsewhere[self.which] | (self.least[self.context] > self.smallest[self.which])
+        out = np.zeros(len(self.open), np.uint32)
+        np.bitwise_or.at(out, self.context[repeated], np.uint32(1) << self.before[repeated])
+        return out
+
+
+def _wide_hashes(strings: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit hashes of each string of LENGTH bytes."""
+    padded = np.zeros((len(strings), -(-LENGTH // 8) * 8), np.uint8)
+    padded[:, :LENGTH] = strings
+    words = padded.view(np.uint64)
+    out = np.zeros((2, len(strings)), np.uint64)
+    out[1] = 0x632BE59BD9B4E019
+    for k in range(words.shape[1]):
+        out[0] = W.mixed(out[0] * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
+        out[1] = W.mixed((out[1] ^ words[:, k]) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
+def _equal(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted order of the pairs, where distinct ones start in it, and which one each pair is."""
+    order = np.lexsort((low, high))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order, np.nonzero(new)[0], which
+
+
+def _smaller_elsewhere(data: list[bytes]) -> list[bytes]:
+    """Whether another chunk sent a string with a smaller id."""
+    sizes, (high, low, least) = received(data)
+    order, starts, which = _equal(high, low)
+    return bit_answers(sizes, least > np.minimum.reduceat(least[order], starts)[which])
+
+
 def front_coded(rows: np.ndarray) -> tuple[bytes, bytes]:
     """Lengths of the prefixes that sorted rows share with the row before, and the rests."""
     shared = np.zeros(len(rows), np.uint8)
@@ -304,8 +373,9 @@ def _masks(contexts: list[bytes], least: list[int]) -> list[int]:
     return out
 
 
-def _decided(data: list[bytes]) -> list[bytes]:
-    """Answers to each run: FULL where a smaller id elsewhere has the context, else a mask."""
+def _decided(data: list[bytes], cut: frozenset[bytes], most: int) -> list[bytes]:
+    """Answers to each run: FULL where a smaller id elsewhere has the context, else a mask, or
+    ASK where the anchor is one of those ``cut`` into ranges or has more than ``most`` contexts."""
     parts = [unpacked(x) for x in data]
     least = [p[1].tolist() for p in parts]
     replies = [np.zeros(len(x), np.uint32) for x in least]
@@ -313,9 +383,13 @@ def _decided(data: list[bytes]) -> list[bytes]:
     contexts: list[bytes] = []
     smallest: list[int] = []
     senders: list[list[tuple[int, int]]] = []
+    many = False
 
     def close() -> None:
-        masks = _masks(contexts, smallest) if len(contexts) > 1 else [0]
+        if many:
+            masks = [ASK] * len(contexts)
+        else:
+            masks = _masks(contexts, smallest) if len(contexts) > 1 else [0]
         for mask, low, who in zip(masks, smallest, senders, strict=True):
             for run, k in who:
                 replies[run][k] = FULL if least[run][k] > low else mask
@@ -329,10 +403,14 @@ def _decided(data: list[bytes]) -> list[bytes]:
             if i < smallest[-1]:
                 smallest[-1] = i
             continue
-        if shared < ANCHOR and contexts:
+        context = string.to_bytes(CONTEXT)
+        if contexts and (shared < ANCHOR or len(contexts) == most):
+            many = many or shared >= ANCHOR
             close()
             contexts, smallest, senders = [], [], []
-        contexts.append(string.to_bytes(CONTEXT))
+        if shared < ANCHOR:
+            many = context[:ANCHOR] in cut
+        contexts.append(context)
         smallest.append(i)
         senders.append([(run, k)])
     if contexts:
@@ -439,30 +517,70 @@ def remove(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
                 chosen = pa.array(strings[step // 2 :: step], pa.binary())
                 yield pa.RecordBatch.from_arrays([chosen], names=["s"])
 
-    # cut to the anchor, so that no range ends between the contexts of one
+    # an anchor is cut only if it takes two splitters or more
     found = joined(few).mapInArrow(sampled, "s binary").collect()
-    sample = sorted(bytes(r.s)[:ANCHOR] for r in found)
-    splitters = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    sample = sorted(bytes(r.s) for r in found)
+    chosen = {sample[len(sample) * k // ranges] for k in range(1, ranges)} if sample else set()
+    times = Counter(s[:ANCHOR] for s in chosen)
+    splitters = sorted({s if times[s[:ANCHOR]] > 1 else s[:ANCHOR] for s in chosen})
     sent = spark.sparkContext.broadcast(splitters)  # at most ``ranges`` strings
+    divided = frozenset(a for a, n in times.items() if n > 1)
 
     known = joined(chunks.select("chunk", "data"))
 
     def runs_sent(row):
         return sorted_run(row)[3].sent(sent.value)
 
-    merged_runs = exchanged(known, runs_sent, _decided, "merged")
+    def decided(data):
+        return _decided(data, divided, MOST_CONTEXTS)
+
+    merged_runs = exchanged(known, runs_sent, decided, "merged")
+    rows = known.join(merged_runs.withColumnRenamed("answers", "merged"), "chunk", "left")
+
+    def left_open(batches):
+        for batch in batches:
+            numbers = [
+                sum(int((np.frombuffer(x["data"], np.uint32) == ASK).sum()) for x in answers)
+                for answers in batch["answers"].to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch["chunk"], pa.array(numbers, pa.int64())], names=["chunk", "n"]
+            )
+
+    asking = staged(merged_runs.mapInArrow(left_open, "chunk long, n long").filter("n > 0"), "open")
+    n_open = asking.agg(F.sum("n")).first()[0] or 0
+    parts = max(8, n_open * (LEFT + 1) // VALUES_PER_BUCKET)
+    if n_open:
+
+        def strings_sent(row):
+            run = sorted_run(row)[3]
+            return _Strings(run, run.answers(sent.value, row["merged"])).sent(parts)
+
+        asked = rows.join(asking, "chunk", "left_semi")
+        strings = exchanged(asked, strings_sent, _smaller_elsewhere, "strings")
+        rows = rows.join(strings.withColumnRenamed("answers", "strings"), "chunk", "left")
+
+    def answers_of(run, row):
+        answers = run.answers(sent.value, row["merged"])
+        if row.get("strings"):
+            strings = _Strings(run, answers)
+            elsewhere = bits_of(strings.high, row["strings"], parts)
+            answers[strings.open] = strings.masks(elsewhere)
+        else:  # none has a whole string around it
+            answers[answers == ASK] = 0
+        return answers
+
     cut = _cut_characters if whole_characters else _cut
 
     def finish(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk, left_out, anchors, run = sorted_run(row)
-                number, start, end = _intervals(run, anchors, run.answers(sent.value, row["merged"]))
+                number, start, end = _intervals(run, anchors, answers_of(run, row))
                 masks = {
                     anchors.places[k]: covered(int(anchors.sizes[k]), start[at], end[at])
                     for k, at in by_document(number)
                 }
                 yield finished(chunk, masks, left_out, cut, schema)
 
-    rows = known.join(merged_runs.withColumnRenamed("answers", "merged"), "chunk", "left")
     return rows.mapInArrow(finish, schema)

@@ -239,7 +239,11 @@ def _linked(
     alone = whole(large.withColumn("root", F.col("node")))
     stars = staged(compared(_around_centers(alone, group), True).distinct(), f"{label}-stars")
     roots = components(stars, f"{label}-roots").withColumnRenamed("component", "root")
-    large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # a node is in at most one group for each of its keys: they are looked up once for all
+    places = F.collect_list(F.struct(group, "n", "bytes")).alias("places")
+    nodes = large.groupBy("node", "n_shingles", "signature", "size").agg(places)
+    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = nodes.select("node", "n_shingles", "signature", "size", "root", F.inline("places"))
     outside = staged(_outside(large, group), f"{label}-outside")
     others = compared(_still_apart(whole(large.join(outside, group))))
     return links.unionByName(stars).unionByName(others)

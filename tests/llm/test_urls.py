@@ -57,6 +57,34 @@ def test_odd_urls(spark):
     assert set(clash.select("verdict").distinct().toPandas()["verdict"]) == {"allow", "block"}
 
 
+def wilson(bad, seen, z=1.96):
+    """The share at which ``bad`` of ``seen`` is just z standard errors above what one expects."""
+    low, high = 0.0, bad / seen
+    for _ in range(80):
+        share = (low + high) / 2
+        if bad / seen - share > z * (share * (1 - share) / seen) ** 0.5:
+            low = share
+        else:
+            high = share
+    return low
+
+
+def test_few_urls_prove_little_and_one_law_holds_at_all_sizes(spark):
+    def mined(n_bad, n_good=0, others=0):
+        rows = [(f"http://spam{i}.org/trap/", True) for i in range(n_bad)]
+        rows += [(f"http://spam.org/trap/{'x' * i}", False) for i in range(n_good)]
+        rows += [(f"http://h{i}.net/p{'y' * i}", True) for i in range(others)]
+        found = urls.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+        return {t for r in found for t in r.rule_tokens}
+
+    assert wilson(5, 5) < 0.6 < wilson(6, 6)
+    assert mined(5) == set()
+    assert mined(6) == {"h:org", "p:trap"}
+    assert mined(6, others=60) == {"h:org", "p:trap", "h:net"}
+    assert wilson(9, 11) < 0.6 and mined(9, 2) == set()
+    assert wilson(12, 13) > 0.6 and mined(12, 1) == {"h:org", "p:trap"}
+
+
 def test_mined_rules_match_brute_force(spark):
     rng = random.Random(9)
     rows = []
@@ -75,13 +103,13 @@ def test_mined_rules_match_brute_force(spark):
         for combo in map(frozenset, combinations(every, n)):
             bad = sum(b and combo <= s for b, s in sets)
             seen = sum(combo <= s for _, s in sets)
-            if bad >= max(20, 0.05 * n_bad) and bad / seen >= 0.7:
+            if bad >= 0.05 * n_bad and wilson(bad, seen) >= 0.7:
                 good[combo] = (bad, bad / seen)
     expected = {c: v for c, v in good.items() if not any(d < c for d in good)}
-    found = urls.mine(labelled, 0.05, 20, 0.7).collect()
+    found = urls.mine(labelled, 0.05, 0.7).collect()
     assert expected and {frozenset(r.rule_tokens): (r.support, r.confidence) for r in found} == expected
     assert all(r.key in r.rule_tokens for r in found)
-    judged = urls.judge(labelled, urls.mine(labelled, 0.05, 20, 0.7)).collect()
+    judged = urls.judge(labelled, urls.mine(labelled, 0.05, 0.7)).collect()
     for r in judged:
         have = any(c <= dict_tokens for c in expected for dict_tokens in [tokens_of(r.url)])
         assert (r.mined_confidence is not None) == have

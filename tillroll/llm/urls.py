@@ -1,8 +1,8 @@
 """URL filters by association rules.
 
 Spark's FP-growth finds token combinations that are frequent among the URLs labelled bad. A
-combination whose share of bad among all labelled URLs that have it (its confidence) is high
-enough, and that has no shorter rule inside it, becomes a rule. URLs are matched through an
+combination whose share of bad among all labelled URLs that have it (its confidence) is surely
+high enough, and that has no shorter rule inside it, becomes a rule. URLs are matched through an
 inverted index: each rule is listed under its rarest token, and a URL's tokens look it up.
 Rules given by hand come first; the longest that fits decides.
 
@@ -14,6 +14,7 @@ name of an added one: it replaces them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.frames import without
 from tillroll.session import staged
 
-MIN_SHARE, MIN_COUNT, MIN_CONFIDENCE = 0.005, 20, 0.6
+MIN_SHARE, MIN_CONFIDENCE, Z = 0.005, 0.6, 1.96
 #: (verdict, host, path)
 RULES = (
     ("allow", "com", "/"),
@@ -69,17 +70,28 @@ def _matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.filter(F.size(F.array_except("rule_tokens", "tokens")) == 0).drop("tokens")
 
 
+def surely(bad: Column, seen: Column, z: float) -> Column:
+    """The share of bad that ``bad`` of ``seen`` prove: the lower end of Wilson's interval."""
+    share, spread = bad / seen, z * z / seen
+    error = z * F.sqrt(share * (1 - share) / seen + spread / (4 * seen))
+    return (share + spread / 2 - error) / (1 + spread)
+
+
 def mine(
     labelled: DataFrame,
     min_share: float = MIN_SHARE,
-    min_count: int = MIN_COUNT,
     min_confidence: float = MIN_CONFIDENCE,
+    z: float = Z,
 ) -> DataFrame:
     """Rules (key, rule_tokens, support, confidence) of labelled URLs (url, bad boolean).
 
     ``key`` is the rule's rarest token among the labelled URLs. Combinations are frequent if
-    at least ``min_share`` of the bad URLs, and ``min_count`` of them, have them.
+    at least ``min_share`` of the bad URLs have them; the lower end of their confidence, ``z``
+    standard errors down, must reach ``min_confidence``, so that few URLs prove little at any
+    size of the table.
     """
+    if not 0 < min_confidence < 1:
+        raise ValueError("min_confidence must be between 0 and 1")
     spark = labelled.sparkSession
     rows = staged(
         labelled.filter(F.col("url").isNotNull() & F.col("bad").isNotNull())
@@ -92,10 +104,12 @@ def mine(
     )
     bad = rows.filter("bad")
     n_bad = bad.count()
-    if n_bad < min_count:
+    # fewer bad URLs than these would not prove the confidence if all that is seen were bad
+    proving = z * z * min_confidence / (1 - min_confidence)
+    least = max(1, math.ceil(min_share * n_bad), math.ceil(proving - 1e-9))
+    if n_bad < least:
         return empty
-    least = max(min_share, min_count / n_bad)
-    growth = FPGrowth(itemsCol="tokens", minSupport=least, minConfidence=1.0)
+    growth = FPGrowth(itemsCol="tokens", minSupport=(least - 0.5) / n_bad, minConfidence=1.0)
     frequent = growth.fit(bad.select("tokens")).freqItemsets
     # each token's frequency, and each combination under its rarest token
     known = rows.select(F.explode("tokens").alias("key")).groupBy("key").count()
@@ -111,13 +125,14 @@ def mine(
         .groupBy("key", "rule_tokens", "freq")
         .agg(F.count("*").alias("seen"))
     )
+    proven = surely(F.col("freq"), F.col("seen"), z) >= min_confidence
     confident = staged(
-        counted.select(
+        counted.filter(proven).select(
             "key",
             "rule_tokens",
             F.col("freq").alias("support"),
             (F.col("freq") / F.col("seen")).alias("confidence"),
-        ).filter(F.col("confidence") >= min_confidence),
+        ),
         "confident",
     )
     # a longer rule around a shorter one says nothing new

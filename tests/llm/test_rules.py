@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import regex
 
 from tillroll.llm import ordinal, rules
 from tillroll.llm.registry import op8_rules
@@ -39,6 +40,48 @@ def test_query_measures_whole_texts(spark):
     check(docs, op8_rules(spark, "/root/testdata/sf0.01"))
 
 
+def votes_by_hand(text):
+    """2 good, 1 bad, 0 abstains, of every rule."""
+    text = text or ""
+    n, chars, symbols, dup, repeated = by_hand(text)
+    joined = "".join(WORD.findall(text))
+    lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+    upper = len(regex.findall(r"\p{Lu}", text))
+    marks = len(regex.sub(r"[\p{L}\p{N}]+", "", joined))
+    shouts = text.count("!!")
+    cases = (
+        (n >= 30, n < 10),
+        (100 * repeated <= 5 * n, 100 * repeated > 20 * n),
+        (100 * symbols <= 2 * n, 100 * symbols > 10 * n),
+        (10 * dup <= lines, 10 * dup > 3 * lines),
+        (3 * n <= chars <= 9 * n, chars < 2 * n or chars > 14 * n),
+        (100 * upper <= 15 * chars, 100 * upper > 30 * chars),
+        (100 * marks <= 6 * chars, 100 * marks > 9 * chars),
+        (shouts == 0, 100 * shouts > 5 * n),
+    )
+    return [1 if bad else 2 if good else 0 for good, bad in cases]
+
+
+def test_votes_and_posteriors_match_a_row_by_row_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    votes = np.array([votes_by_hand(d.text) for d in docs])
+    objections = (votes == 1).sum(axis=1)
+    good = np.where(objections == 0, 0.9, 0.3**objections)
+    said = np.stack([votes == v for v in range(3)]).astype(float)  # vote, document, rule
+    for _ in range(50):
+        of_good = (np.einsum("vdk,d->vk", said, good) + 1) / (good.sum() + 3)
+        of_bad = (np.einsum("vdk,d->vk", said, 1 - good) + 1) / ((1 - good).sum() + 3)
+        odds = np.einsum("vdk,vk->d", said, np.log(of_good) - np.log(of_bad))
+        odds += np.log(good.sum() + 1) - np.log((1 - good).sum() + 1)
+        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    found = {r.doc_id: r for r in op8_rules(spark, "/root/testdata/sf0.01").collect()}
+    for doc, p in zip(docs, good, strict=True):
+        row = found[doc.doc_id]
+        assert abs(row.p_good - p) < 1e-6, doc
+        assert row.kept == (not row.base_failed and p >= 0.5)
+    assert 0 < np.mean(good >= 0.5) < 1
+
+
 def test_odd_texts(spark):
     rng = random.Random(8)
     pieces = ["a", "b", "c d e f g", "\n", " ", "\u00a0", "\x0b", "é|", "##", "\r\n", "\u2028", "x y z"]

@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tillroll.llm import licences
@@ -51,6 +53,65 @@ def test_held_out_wordings(spark, trained):
     assert all(found.get(len(HELD_OUT) + i, "unknown") == "unknown" for i in range(len(PLAIN)))
 
 
+def words_by_hand(line):
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", regex.sub(r"\p{N}+", "0", line.lower())) if w]
+
+
+def pairs_by_hand(words):
+    return set(zip(words, words[1:], strict=False))
+
+
+def grams_by_hand(words):
+    return {" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)}
+
+
+def scan_by_hand(spark, docs, model, least):
+    """The decision on every paragraph in plain Python, from the coefficients and the templates."""
+    hashing, fitted = model.stages
+    weights, start = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    every = {
+        g for d in docs for line in (d.text or "").split("\n") for g in grams_by_hand(words_by_hand(line))
+    }
+    rows = spark.createDataFrame([(g, [g]) for g in sorted(every)], "gram string, grams array<string>")
+    place = {r.gram: int(r.features.indices[0]) for r in hashing.transform(rows).collect()}
+    found = {}
+    for doc in docs:
+        for n, line in enumerate((doc.text or "").split("\n")):
+            words = words_by_hand(line)
+            if not words:
+                continue
+            raw = weights[:, sorted({place[g] for g in grams_by_hand(words)})].sum(axis=1) + start
+            p = np.exp(raw - raw.max())
+            p /= p.sum()
+            best = int(np.argmax(p[:-1]))
+            pairs = pairs_by_hand(words)
+            alike = 0.0
+            for template in licences.TEMPLATES[licences.FAMILIES[best]]:
+                theirs = pairs_by_hand(words_by_hand(template))
+                alike = max(alike, len(pairs & theirs) / max(1, min(len(pairs), len(theirs))))
+            if p[-1] < 0.5 and alike >= licences.UNKNOWN_SIMILARITY:
+                sure = p[best] >= least and alike >= licences.LEAST_SIMILARITY
+                found[doc.doc_id, n] = (licences.FAMILIES[best] if sure else "unknown", p[best], alike)
+    return found
+
+
+def test_scan_matches_plain_python(spark, trained):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    cut = [" ".join(t.split()[:k]) for ts in licences.TEMPLATES.values() for t in ts for k in (2, 4, 9, 99)]
+    mixed = [f"{a} and so on, {b}" for a, b in zip(cut, cut[5:], strict=False)]
+    texts = [*HELD_OUT.values(), *PLAIN, "\n".join(cut), "\n\n".join(mixed), None, ""]
+    more = [(10**9 + i, t) for i, t in enumerate(texts)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    expected = scan_by_hand(spark, docs.collect(), *trained)
+    found = licences.scan(docs, *trained).collect()
+    rows = {(r.doc_id, r.paragraph): (r.family, r.probability, r.similarity) for r in found}
+    assert len(rows) == len(found) and rows.keys() == expected.keys()
+    for key, (family, p, alike) in expected.items():
+        assert rows[key][0] == family, key
+        assert rows[key][1:] == pytest.approx((p, alike), abs=1e-9), key
+    assert {"unknown", *licences.TEMPLATES} <= {family for family, _, _ in expected.values()}
+
+
 def test_a_bound_that_binds_leaves_one_sample_and_one_model(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     lines = docs.count()

@@ -30,7 +30,9 @@ def take_in_batch(
         if number <= base.now().streams.get(query_id, -1):
             return
         pieces = base.scan_pieces()
-        whole = pieces.where("whole").select("ingest_id").distinct()
+        # Names of ingests only, which the driver lists as well: a shuffle by them would take a
+        # whole ingest to one task.
+        whole = F.broadcast(pieces.where("whole").select("ingest_id").distinct())
         fresh = batch.join(whole, "ingest_id", "left_anti")
         others = pieces.where(
             ~F.col("whole") & ~F.col("source").eqNullSafe(F.lit(query_id))

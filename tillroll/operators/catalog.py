@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import NAME_COLLATION, clean_name
 
-GRAM = 3
-_PAD = "\ue001" * (GRAM - 1)
 _STEM = 3
 
 
@@ -65,56 +62,46 @@ def _plain(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), r"[\s.]+", " "))
 
 
-def _grams(plain: Column) -> Column:
-    """The runs of GRAM characters of a padded name; the n-th of equal ones is marked n."""
-    padded = F.concat(F.lit(_PAD), plain, F.lit(_PAD))
-    every = F.transform(
-        F.sequence(F.lit(1), F.length(plain) + GRAM - 1), lambda i: F.substring(padded, i, GRAM)
-    )
-    return F.transform(
-        every,
-        lambda g, i: F.concat(g, F.size(F.filter(F.slice(every, 1, i), lambda x: x == g)).cast("string")),
-    )
-
-
-def _rarest(names: DataFrame, shared: DataFrame, count: int) -> DataFrame:
-    """(plain, gram): of each name the grams that fewest known names have."""
-    order = W.partitionBy("plain").orderBy(F.coalesce("held", F.lit(0)), "gram")
-    return (
-        names.select("plain", F.explode(_grams(F.col("plain"))).alias("gram"))
-        .join(shared, "gram", "left")
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= count)
-        .select("plain", "gram")
-    )
+def _shortened(plain: Column, max_edits: int) -> Column:
+    """The text and all that is left of it after up to so many single characters are taken out."""
+    every = F.array(plain)
+    for _ in range(max_edits):
+        less = F.transform(
+            every,
+            lambda text: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
+                lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substr(text, i + 1)),
+            ),
+        )
+        every = F.array_distinct(F.concat(every, F.flatten(less)))
+    return every
 
 
 def similar_names(names: DataFrame, known: DataFrame, max_edits: int = 1) -> DataFrame:
     """(plain, known_plain, edits) of names (plain) and known names at most so many edits apart.
 
-    An edit changes at most GRAM runs of characters, so names within ``max_edits`` have one in
-    common among the ``GRAM * max_edits + 1`` rarest of each. Only those are joined, and what
-    meets there is compared; names as short as ``GRAM * max_edits - GRAM + 1`` characters or
-    less have too few runs and are left out.
+    Names within ``max_edits`` have a text in common that each becomes when up to so many of its
+    characters are taken out. Names meet by the hash of these texts and are then compared: what
+    meets is at most twice as many edits apart, however many names share most of their characters.
+    A name of n characters has about n texts for one edit, n * n / 2 for two. Names as short as
+    ``3 * max_edits - 2`` characters or less are left out.
     """
-    least = GRAM * max_edits - GRAM + 2
-    count = GRAM * max_edits + 1
-    both = [x.where(F.length("plain") >= least).select("plain").distinct() for x in (names, known)]
-    shared = (
-        both[1]
-        .select(F.explode(_grams(F.col("plain"))).alias("gram"))
-        .groupBy("gram")
-        .agg(F.count("*").alias("held"))
-    )
-    mine, theirs = (_rarest(x, shared, count) for x in both)
-    met = (
-        mine.join(theirs.withColumnRenamed("plain", "known_plain"), "gram")
+    least = 3 * max_edits - 1
+
+    def texts(df: DataFrame, name: str) -> DataFrame:
+        kept = df.where(F.length("plain") >= least).select(F.col("plain").alias(name)).distinct()
+        left = F.explode(_shortened(F.col(name), max_edits)).alias("left")
+        return kept.select(name, left).select(name, F.xxhash64("left").alias("left"))
+
+    edits = F.levenshtein("plain", "known_plain", max_edits)
+    return (
+        texts(names, "plain")
+        .join(texts(known, "known_plain"), "left")
         .where(F.abs(F.length("plain") - F.length("known_plain")) <= max_edits)
-        .select("plain", "known_plain")
+        .select("plain", "known_plain", edits.alias("edits"))
+        .where("edits >= 0")
         .distinct()
     )
-    edits = F.levenshtein("plain", "known_plain", max_edits)
-    return met.withColumn("edits", edits).where("edits >= 0")
 
 
 def _stems(words: Column) -> Column:
@@ -123,21 +110,38 @@ def _stems(words: Column) -> Column:
 
 def abbreviated_names(names: DataFrame, known: DataFrame) -> DataFrame:
     """(plain, known_plain) where each word of a name begins the word in its place of a known
-    name; a word shorter than _STEM letters has to be the whole word."""
+    name; a word shorter than _STEM letters has to be the whole word.
+
+    Names meet by the first letters of all words and the whole of the name's longest word, the
+    last of several: a known name stands there with every beginning of each of its words.
+    """
 
     def split(df: DataFrame, name: str, words: str) -> DataFrame:
-        return df.select(F.col("plain").alias(name), F.split("plain", " ").alias(words))
+        split = df.select(F.col("plain").alias(name), F.split("plain", " ").alias(words)).distinct()
+        return split.withColumn("stems", _stems(F.col(words)))
 
-    mine = split(names, "plain", "short").withColumn("stems", _stems(F.col("short")))
-    theirs = split(known, "known_plain", "long").withColumn("stems", _stems(F.col("long")))
+    longest = F.array_max(
+        F.transform("short", lambda w, i: F.struct(F.length(w).alias("size"), i.alias("at"), w.alias("word")))
+    )
+    beginnings = F.flatten(
+        F.transform(
+            "long",
+            lambda w, i: F.transform(
+                F.sequence(F.least(F.length(w), F.lit(_STEM)), F.length(w)),
+                lambda n: F.struct(i.alias("at"), F.substring(w, F.lit(1), n).alias("word")),
+            ),
+        )
+    )
+    mine = split(names, "plain", "short").withColumn("long_word", longest)
+    theirs = split(known, "known_plain", "long").select("*", F.inline(beginnings))
     begins = F.zip_with(
         "short",
         "long",
         lambda a, b: (a == b) | ((F.length(a) >= _STEM) & F.startswith(b, a)),
     )
     return (
-        mine.distinct()
-        .join(theirs.distinct(), "stems")
+        mine.select("plain", "short", "stems", "long_word.at", "long_word.word")
+        .join(theirs, ["stems", "at", "word"])
         .where((F.size("short") == F.size("long")) & F.forall(begins, lambda x: x))
         .select("plain", "known_plain")
     )

@@ -47,6 +47,9 @@ _NAMED = (
     (r"^#(\d\d) ", "#20$1 "),
 )
 
+_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+_SHORT = r"^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}, [1-9]\d{3}$"
+
 
 def parse_purchase_date(col: Column | str) -> Column:
     return date_of(blank_to_null(col))
@@ -59,15 +62,34 @@ def date_of(text: Column) -> Column:
     missing day or month is the first. Unreadable text gives null.
     """
 
+    # The commonest forms are taken apart by position; the rewrites below give them the same date.
+    iso = F.substring(text, 1, 10).try_cast("date")
+    year, first, second = F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2)
+    day_first = first.between("13", "31")
+    slashed = F.concat_ws(
+        "-", year, F.when(day_first, second).otherwise(first), F.when(day_first, first).otherwise(second)
+    )
+    joined = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
+    month = F.ceil(F.instr(F.lit(_MONTHS), F.substring(text, 1, 3)) / 3)
+    day = F.substring_index(F.substring(text, 5, 3), ",", 1)
+    short = F.concat_ws("-", F.right(text, F.lit(4)), month.cast("string"), day)
+    plain = (
+        F.when(text.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}{_CLOCK}"), iso)
+        .when(text.rlike(rf"^\d{{2}}{_SEP}\d{{2}}{_SEP}\d{{4}}$"), slashed.try_cast("date"))
+        .when(text.rlike(r"^\d{8}$"), joined.try_cast("date"))
+        .when(text.rlike(_SHORT), short.try_cast("date"))
+    )
+    # In a lambda the rewrites stay out of the generated method, which is compiled only while small.
+    return F.coalesce(plain, F.get(F.transform(F.array(text), _any_form), F.lit(0)))
+
+
+def _any_form(text: Column) -> Column:
     def rewritten(forms: tuple, result: str) -> Column:
         column = text
         for pattern, order in forms:
             column = F.regexp_replace(column, pattern, order)
         return F.regexp_extract(column, result, 1)
 
-    plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
     numeric = rewritten(_NUMERIC, r"^(\d{4}(?:-\d{1,2}){0,2})-*$").try_cast("date")
     named = F.initcap(rewritten(_NAMED, r"^#(\d{4} [A-Za-z]{3}(?: \d{1,2})?) *$"))
-    return F.coalesce(
-        plain, numeric, F.to_date(F.try_to_timestamp(named, F.lit("yyyy MMM[ d]")))
-    )
+    return F.coalesce(numeric, F.to_date(F.try_to_timestamp(named, F.lit("yyyy MMM[ d]"))))

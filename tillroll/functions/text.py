@@ -16,8 +16,6 @@ WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace
 # Texts that stand for "no value" in raw columns.
 MISSING_TOKENS = ("", "nan", "None", "<NA>", "NaT")
 
-_MISSING = "^(" + "|".join(MISSING_TOKENS) + ")$"
-
 # Collation under which two spellings name the same product or market:
 # case, accents and trailing spaces do not count.
 NAME_COLLATION = "UNICODE_CI_AI_RTRIM"
@@ -28,6 +26,8 @@ MARKET_BUCKETS = 5
 
 _BREAK = "\ue000 "
 _UNCASED = r"([^\p{IsUppercase}\p{IsLowercase}\p{Lt}])"
+# Words of ASCII letters, with other characters only after their letters: initcap is right there.
+_PLAIN_WORDS = r"^(?:[A-Za-z]*+[!-@\[-`{-~]*+(?: |$))*+$"
 
 
 def strip(col: Column | str) -> Column:
@@ -37,7 +37,7 @@ def strip(col: Column | str) -> Column:
 def blank_to_null(col: Column | str) -> Column:
     """Stripped text, or null where it holds one of the missing tokens."""
     text = strip(col)
-    return F.when(~text.rlike(_MISSING), text)
+    return F.when(~text.isin(*MISSING_TOKENS), text)
 
 
 def clean_name(col: Column | str) -> Column:
@@ -52,9 +52,19 @@ def capitalised(text: Column | str) -> Column:
     character and comes out again, which keeps the whole rule inside codegen.
     """
     column = F.col(text) if isinstance(text, str) else text
-    marked = F.regexp_replace(column, _UNCASED, f"$1{_BREAK}")
-    by_marks = F.replace(F.initcap(marked), F.lit(_BREAK), F.lit(""))
-    return F.when(column.rlike("^[A-Za-z ]*$"), F.initcap(column)).otherwise(by_marks)
+
+    # In a lambda the rest stays out of the generated method, which is compiled only while small.
+    other = F.get(F.transform(F.array(column), _by_marks), F.lit(0))
+    return F.when(column.rlike(_PLAIN_WORDS), F.initcap(column)).otherwise(other)
+
+
+def _by_marks(text: Column) -> Column:
+    def marked(uncased: str) -> Column:
+        broken = F.regexp_replace(text, uncased, f"$1{_BREAK}")
+        return F.replace(F.initcap(broken), F.lit(_BREAK), F.lit(""))
+
+    in_ascii = marked(r"([!-@\[-`{-~])(?=[A-Za-z])")
+    return F.when(text.rlike("^[ -~]*$"), in_ascii).otherwise(marked(_UNCASED))
 
 
 @F.pandas_udf(T.StringType())

@@ -141,6 +141,19 @@ def test_silver_follows_an_emptied_bronze(spark, layers):
     assert layers.scan_product_stats().count() == 0
 
 
+def test_stream_leaves_the_lines_of_an_ingest_in_several_tasks(spark, layers):
+    lines = spark.range(4000).selectExpr(
+        "'2026-01-01' purchase_date", "concat('Name ', id) product_id", "'1.00' product_price", "'M' market_id"
+    )
+    imports.ingest_to_raw(layers, lines.repartition(4), "csv")
+    files = layers.scan_raw().select(F.input_file_name()).distinct().count()
+    assert files > 1
+    raw_to_bronze_stream(layers, fresh_path(spark, "stream").rsplit("/", 1)[1])
+    written = layers.scan_lines()
+    assert written.count() == 4000
+    assert written.select(F.input_file_name()).distinct().count() > 1
+
+
 def test_stream_restarts_where_it_stopped(spark, layers):
     name = fresh_path(spark, "stream").rsplit("/", 1)[1]
     imports.ingest_to_raw(layers, as_input(spark), "csv")

@@ -11,8 +11,10 @@ from tillroll.functions.text import strip
 _QUANTITY = r"(?<![0-9.,])([0-9][0-9.]*(?:,[0-9]+)?)"
 _PRICE = r"([0-9][0-9.]*,[0-9]{2})(?![0-9,])"
 # The last such pair of a line: packs such as 2X500ML come before it and show no price.
-_QTY_TIMES_UNIT = rf"(?i)^.*{_QUANTITY}\s*(?:kg|g|un|l|ml)?\s*[x*]\s*(?:R\$\s*)?{_PRICE}"
+_IF_QTY_TIMES_UNIT = rf"(?i)^(?:.*{_QUANTITY}\s*(?:kg|g|un|l|ml)?\s*[x*]\s*(?:R\$\s*)?{_PRICE})?"
 _LAST_PRICE = rf"^.*(?<![0-9.,]){_PRICE}"
+# Stands between amounts; the same character in a line is replaced, which no pattern minds.
+_MARK, _OTHER = "\ue001", "\ue002"
 
 # Words that open a receipt line which is not a product. What follows them is
 # more such words, an amount, a colon or the end: a product may begin with one of them.
@@ -35,6 +37,11 @@ def parse_br_number(col: Column | str) -> Column:
     return coerce_number(F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
 
 
+def _br_digits(text: Column) -> Column:
+    """``1.234,56`` of digits, points and at most one comma to 1234.56; empty text to null."""
+    return F.translate(text, ",.", ".").try_cast("double")
+
+
 def parse_br_date(col: Column | str) -> Column:
     """Day-first ``24/05/2026`` to a date."""
     text = strip(col)
@@ -42,14 +49,25 @@ def parse_br_date(col: Column | str) -> Column:
     return F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), iso.try_cast("date"))
 
 
+def _amounts(col: Column | str) -> Column:
+    """Quantity, mark, unit price, mark and the rest of the line; both are empty and the rest is
+    the line where it shows none.
+
+    All three amounts come from this one search, which Spark makes once for a projection.
+    """
+    column = F.col(col) if isinstance(col, str) else col
+    unmarked = F.replace(column, F.lit(_MARK), F.lit(_OTHER))
+    return F.regexp_replace(unmarked, _IF_QTY_TIMES_UNIT, f"$1{_MARK}$2{_MARK}")
+
+
 def line_quantity(col: Column | str) -> Column:
     """Left side of ``3 x 4,50`` or ``0,750 kg x 12,90``; 1 where the line shows none."""
-    return F.coalesce(parse_br_number(F.regexp_extract(col, _QTY_TIMES_UNIT, 1)), F.lit(1.0))
+    return F.coalesce(_br_digits(F.substring_index(_amounts(col), _MARK, 1)), F.lit(1.0))
 
 
 def line_unit_price(col: Column | str) -> Column:
     """Right side of ``3 x 4,50``; null where the line shows none."""
-    return parse_br_number(F.regexp_extract(col, _QTY_TIMES_UNIT, 2))
+    return _br_digits(F.substring_index(F.substring_index(_amounts(col), _MARK, 2), _MARK, -1))
 
 
 def line_total(col: Column | str) -> Column:
@@ -57,9 +75,8 @@ def line_total(col: Column | str) -> Column:
 
     It prevails over quantity times unit price, as everywhere.
     """
-    column = F.col(col) if isinstance(col, str) else col
-    rest = F.regexp_replace(column, _QTY_TIMES_UNIT, "")
-    return parse_br_number(F.regexp_extract(rest, _LAST_PRICE, 1))
+    rest = F.substring_index(_amounts(col), _MARK, -1)
+    return _br_digits(F.regexp_extract(rest, _LAST_PRICE, 1))
 
 
 def shows_price(col: Column | str) -> Column:

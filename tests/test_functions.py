@@ -184,3 +184,17 @@ def test_products_that_begin_like_other_lines(spark):
         "CPF CONSUMIDOR: 123.456.789-00": False,
     }
     assert values(spark, list(kinds), receipts.is_product_line("s")) == list(kinds.values())
+
+
+def test_common_dates_and_names_are_as_by_the_general_rules(spark):
+    days = ["2026-02-03", "2026-02-03 10:30:00", "2026-02-30", "12/05/1995", "13/05/1995", "05.31.1995",
+            "31-12-1995", "19950531", "19951331", "00010101", "May 5, 1995", "Sep 31, 1995", "Dec 05, 1995",
+            "Jan 0, 1995", "13/13/1995", None]
+    fast, general = dates.date_of(F.col("s")), dates._any_form(F.col("s"))
+    assert values(spark, days, fast) == values(spark, days, general)
+    names = ["old ring 947", "OLD RING-947KG", "supplier#000000947", "(abc 1a) b-c", "'x 2l", " a  b ", "",
+             "PÃO DE AÇÚCAR 2kg", None]
+    marked = F.replace(
+        F.initcap(F.regexp_replace("s", text._UNCASED, f"$1{text._BREAK}")), F.lit(text._BREAK), F.lit("")
+    )
+    assert values(spark, names, text.capitalised("s")) == values(spark, names, marked)

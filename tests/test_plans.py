@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import catalog, cleaning, edits, gaps, prices, recurrence, silver
-from tillroll.plans import testbed
+from tillroll.plans import registry, testbed
 from tillroll.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +130,27 @@ def test_a_filter_on_cleaned_lines_parses_no_text_again(spark):
         )
         assert all(part.count(n) <= whole.count(n) for n in names)
         assert "Generate inline" in part
+
+
+@pytest.mark.parametrize("name", ["receipt_items", "oversized_amounts", "raw_to_bronze"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, name, capsys):
+    """HotSpot leaves methods of more than 8,000 bytes to its interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        QUERIES[name](spark, SF).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+    assert sizes and max(map(int, sizes)) < 8000
+
+
+def test_raw_lines_are_dealt_out_before_they_have_texts(spark):
+    dealt = plan(testbed.raw_purchases(spark, SF, dealt=True))
+    assert "Exchange hashpartitioning(l_orderkey" in dealt
+    assert "hashpartitioning(id" not in plan(registry._raw(spark, SF))
+
+
+def test_names_alike_meet_without_windows_over_shared_runs(spark):
+    names = spark.createDataFrame([("old ring 947",)], "plain string")
+    found = plan(catalog.similar_names(names, names))
+    assert "xxhash64" in found and "Window" not in found

@@ -517,7 +517,8 @@ def scan_receipt_json(spark, d):
     amounts = ("quantity", "unit_price", "product_price")
     items = lines.drop("id").withColumns({c: F.col(c).cast("double") for c in amounts})
     path = fresh_path(spark, "receipts")
-    items.select(F.to_json(F.array(F.struct(*items.columns)))).write.text(path)
+    text = items.select(F.to_json(F.array(F.struct(*items.columns))))
+    text.write.option("compression", "snappy").text(path)
     return files.scan_receipt_json(spark, path, per_line=True)
 
 

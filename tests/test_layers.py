@@ -432,3 +432,59 @@ def test_ids_count_within_their_ingest(spark, layers):
     again = layers.scan_raw().where(F.col("ingest_id") == first)
     layers.append_raw(again, "other")
     assert imports.raw_to_bronze(layers) == 6 and len(contents(layers)) == 12
+
+
+def test_lines_are_summed_by_the_first_refresh_only(spark, layers, monkeypatch):
+    """An import without refresh makes no sums; each generation's are made once."""
+    folder = f"{layers.root}/silver/parts"
+    imports.ingest_to_raw(layers, as_input(spark), "csv")
+    assert imports.raw_to_bronze(layers) == 6 and not layers.log.exists(folder)
+    imports.refresh_silver(layers, AS_OF)
+    expected = silver_of(layers)
+
+    def fail(*_):
+        raise RuntimeError("summed again")
+
+    monkeypatch.setattr(VersionLog, "place", fail)
+    layers.write_silver(AS_OF)
+    monkeypatch.undo()
+    # Sums that were cut short are not read, and of two that were made one stays.
+    imports.import_purchases(layers, as_input(spark, GOLDEN[:1]), "ocr", AS_OF)
+    assert silver_of(layers) != expected
+    generation = layers.scan_pieces().first()["generation"]
+    for table in ("silver_product_stats", "silver_market_stats"):
+        assert not layers.log.place(layers._parts_folder(table), layers._parts_folder(table, generation))
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_an_edit_of_one_ingest_is_written_as_the_join_leaves_it(spark, layers, monkeypatch, few):
+    """Lines go through the exchange by ingest only where there are many ingests; nothing else
+    than the changes is staged."""
+    monkeypatch.setattr(imports, "FEW_INGESTS", few)
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    plans, labels = [], []
+    written, staged = type(layers).write_generation, imports.staged
+
+    def watched(self, lines, *rest):
+        plans.append(lines._jdf.queryExecution().optimizedPlan().toString())
+        return written(self, lines, *rest)
+
+    def labelled(df, label, *rest):
+        labels.append(label)
+        return staged(df, label, *rest)
+
+    monkeypatch.setattr(type(layers), "write_generation", watched)
+    monkeypatch.setattr(imports, "staged", labelled)
+    imports.apply_edits(layers, *edited_set(layers), AS_OF)
+    assert ("RebalancePartitions" in plans[0]) == (few == 0)
+    assert labels == ["diff", "located"] and len(contents(layers)) == 6
+
+
+def test_layer_files_are_compressed_with_zstd(spark, layers):
+    import pyarrow.parquet as pq
+
+    imports.import_purchases(layers, as_input(spark), "csv", AS_OF)
+    files = layers.scan_raw().inputFiles() + layers.scan_bronze_exact().inputFiles()
+    for file in files:
+        group = pq.ParquetFile(file.removeprefix("file://")).metadata.row_group(0)
+        assert group.column(1).compression == "ZSTD"

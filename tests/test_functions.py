@@ -198,3 +198,19 @@ def test_common_dates_and_names_are_as_by_the_general_rules(spark):
         F.initcap(F.regexp_replace("s", text._UNCASED, f"$1{text._BREAK}")), F.lit(text._BREAK), F.lit("")
     )
     assert values(spark, names, text.capitalised("s")) == values(spark, names, marked)
+
+
+def test_strip_looks_at_both_ends_before_it_searches(spark):
+    """Texts that begin and end with any character, one that is not visible ASCII included."""
+    ends = ["", "a", "~", "!", " ", "\x00", "\x1f", "\x7f", "\x80", "\x85", "\xa0", "\u2003", "é", "\U0001f600"]
+    items = [f"{a}{m}{b}" for a in ends for m in ("", "x y") for b in ends] + [None]
+    got = values(spark, items, text.strip("s"))
+    assert got == [None if s is None else s.strip() for s in items]
+    df = spark.createDataFrame([("a",)], "s string")
+    plan = df.select(text.strip("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan
+
+
+def test_strip_of_numbers_and_collated_texts(spark):
+    df = spark.sql("SELECT 1.50D n, '\u00a0x ' COLLATE UNICODE_CI_AI s")
+    assert df.select(text.strip("n"), text.strip("s")).first()[:] == ("1.5", "x")

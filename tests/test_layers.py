@@ -488,3 +488,19 @@ def test_layer_files_are_compressed_with_zstd(spark, layers):
     for file in files:
         group = pq.ParquetFile(file.removeprefix("file://")).metadata.row_group(0)
         assert group.column(1).compression == "ZSTD"
+
+
+def test_columns_that_hardly_repeat_have_no_dictionary(spark, layers):
+    """Even where these lines would fill one well; the others have theirs."""
+    import pyarrow.parquet as pq
+
+    lines = spark.range(4000).selectExpr(
+        "'2026-01-01' purchase_date", "concat('Name ', id % 9) product_id", "'1.00' product_price", "'M' market_id"
+    )
+    imports.ingest_to_raw(layers, lines.coalesce(1), "csv")
+    imports.raw_to_bronze(layers)
+    for file in layers.scan_raw().inputFiles() + layers.scan_bronze_exact().inputFiles():
+        group = pq.ParquetFile(file.removeprefix("file://")).metadata.row_group(0)
+        chunks = {c.path_in_schema: c for c in map(group.column, range(group.num_columns))}
+        assert not any("DICT" in e for e in chunks["product_id"].encodings)
+        assert any("DICT" in e for e in chunks["market_id"].encodings)

@@ -24,6 +24,8 @@ NAME_COLLATION = "UNICODE_CI_AI_RTRIM"
 KNOWN_MARKETS = ("swift", "atacadao")
 MARKET_BUCKETS = 5
 
+# No text that begins with a visible ASCII character sorts after it.
+_LAST_VISIBLE = "\x7f"
 _BREAK = "\ue000 "
 _UNCASED = r"([^\p{IsUppercase}\p{IsLowercase}\p{Lt}])"
 # Words of ASCII letters, with other characters only after their letters: initcap is right there.
@@ -31,7 +33,14 @@ _PLAIN_WORDS = r"^(?:[A-Za-z]*+[!-@\[-`{-~]*+(?: |$))*+$"
 
 
 def strip(col: Column | str) -> Column:
-    return F.trim(col, F.lit(WHITESPACE))
+    """Without whitespace at both ends. A named column is looked at first: a text that begins
+    and ends with a visible ASCII character is not searched for the whole set."""
+    if not isinstance(col, str):
+        return F.trim(col, F.lit(WHITESPACE))
+    text = F.col(col).cast("string")
+    last = F.substring(text, -1, 1)
+    visible = text.between("!", _LAST_VISIBLE) & last.between("!", "~")
+    return F.when(visible, text).otherwise(F.trim(text, F.lit(WHITESPACE)))
 
 
 def blank_to_null(col: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning, edits
-from tillroll.schemas import CODEC
+from tillroll.schemas import CODEC, FILES
 from tillroll.session import numbered, staged
 from tillroll.sources.tables import Layers, tombstones
 from tillroll.sources.versions import Conflict
@@ -26,7 +26,8 @@ def ingest_to_raw(layers: Layers, df: DataFrame, source_type: str) -> str:
     reserves, so that several writers can work at once. Only an ingest that stops after that
     leaves its block unused. The ids are fixed by this write and only read from then on.
     """
-    lines = numbered(cleaning.stringify_purchases(df, source_type), "ingest", "id", CODEC)
+    texts = cleaning.stringify_purchases(df, source_type)
+    lines = numbered(texts, "ingest", "id", CODEC, FILES)
     first = layers.reserve_ids(lines.count())
     ingest = f"{first:016d}-{uuid.uuid4().hex[:12]}"
     layers.append_raw(lines.withColumn("id", F.col("id") + F.lit(first)), ingest)

@@ -8,6 +8,15 @@ from pyspark.sql import types as T
 
 # How the files of the layers and what is staged for them are compressed.
 CODEC = "zstd"
+# How they are written. Columns that hardly repeat get no dictionary, which would be filled for
+# every row group, found too large and given up.
+_HARDLY_REPEATED = (
+    "id", "raw_id", "product_id", "product_price", "unit_price", "access_key", "nfce_url"
+)
+FILES = {
+    "compression": CODEC,
+    **{f"parquet.enable.dictionary#{name}": "false" for name in _HARDLY_REPEATED},
+}
 
 _TEXT, _LONG, _DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
 _DATE, _TIME = T.DateType(), T.TimestampType()

@@ -201,7 +201,7 @@ class Layers:
         """Add an ingest. Its folder is the output folder of the write, so that writers who
         append at the same time have no temporary folder in common."""
         folder = f"{self.root}/raw/raw_purchases/ingest_id={ingest}"
-        df.select(*schemas.RAW.fieldNames()).write.parquet(folder, compression=schemas.CODEC)
+        df.select(*schemas.RAW.fieldNames()).write.options(**schemas.FILES).parquet(folder)
         name = self.name("raw", "raw_purchases")
         self.spark.sql(
             f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION (ingest_id = '{_quoted(ingest)}') "
@@ -226,7 +226,7 @@ class Layers:
         folder = self._lines_folder(generation)
         columns = [c for c in schemas.PLACED_LINES.fieldNames() if c != "generation"]
         placed = lines.select(*columns).write.partitionBy("ingest_id", "rejected")
-        placed.parquet(folder, compression=schemas.CODEC)
+        placed.options(**schemas.FILES).parquet(folder)
         written = self._read_lines([folder])
         gone = F.col("reject_reason") == schemas.DELETED_BY_HAND
         found = written.groupBy("ingest_id").agg(

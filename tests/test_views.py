@@ -1,5 +1,6 @@
 import random
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from conftest import AS_OF, LINES, rows
@@ -264,3 +265,15 @@ def distance(a, b):
         for j, y in enumerate(b, 1):
             before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
     return row[-1]
+
+
+def test_product_names_are_sorted_by_collation_once(spark):
+    df = spark.createDataFrame(
+        [(date(2026, 1, 1), "Pao", Decimal("1.00")), (date(2026, 1, 3), "pão", Decimal("2.00"))],
+        "purchase_date date, product_id string, product_price decimal(10,2)",
+    )
+    found = silver.product_stats(df, "2026-02-01")
+    row = found.first()
+    assert found.count() == 1 and (row["product_id"], row["total_purchases"]) == ("Pao", 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1

@@ -70,8 +70,10 @@ def products_of_names(
     """From one row per spelling. The gaps between consecutive dates add up to last minus first,
     so the average gap needs neither a window nor a sort."""
     if collation:
-        same = F.collate("product_id", collation).alias("same_name")
-        per_name = _added_up(per_name, same, F.min("product_id").alias("product_id")).drop(
+        # Dealt out by collation before they are sorted by it: once, not on both sides.
+        same = F.collate("product_id", collation)
+        dealt = per_name.withColumn("same_name", same).repartition("same_name")
+        per_name = _added_up(dealt, "same_name", F.min("product_id").alias("product_id")).drop(
             "same_name"
         )
     money = "decimal(10,2)"

@@ -52,11 +52,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of the ids and of the bytes they decode to."""
     ranks = public_tokenizers.path(RANKS)
-    # a small cache: the workers hold what the stages before need as well
+    # a small cache, and none left behind: the workers hold what the other stages need as well
     coded = bpe.encode(
-        docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, cached_pieces=30_000
+        docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, cached_pieces=30_000, keep=False
     )
-    decoded = bpe.decode(coded.drop("text"), ranks)
+    decoded = bpe.decode(coded.drop("text"), ranks, keep=False)
     return decoded.select(
         "doc_id",
         "n_tokens",

@@ -7,7 +7,7 @@ import pytest
 import regex
 import tiktoken
 
-from tillroll.llm import bpe
+from tillroll.llm import bpe, frames
 from tillroll.llm.registry import RANKS, op1_bpe
 
 PATH = public_tokenizers.path(RANKS)
@@ -108,3 +108,27 @@ def test_the_pattern_splits_as_the_library_does(words, theirs):
         text = f"a{char}{char} b{char}c  {char}"
         ids = [i for p in find(text) for i in bpe.PrefixTable(words, p.encode()).encoded()]
         assert ids == theirs.encode_ordinary(text), hex(ord(char))
+
+
+def test_a_task_that_keeps_nothing_leaves_no_vocabulary(spark, theirs):
+    """The pipeline's workers go on with other stages."""
+    df = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id int, text string")
+    coded = bpe.encode(df, PATH, public_tokenizers.PATTERN, keep=False)
+    row = bpe.decode(coded, PATH, keep=False).where("doc_id = 1").first()
+    assert list(memoryview(bytes(row.ids)).cast("I")) == theirs.encode_ordinary("one two")
+    assert bytes(row.decoded) == b"one two"
+
+    def run(batches):
+        for batch in batches:
+            yield len(bpe.vocabulary(b"YQ== 0").ranks) + len(bpe.tokens(b"YQ== 0")) + batch
+
+    assert list(bpe._forgetting(run)(iter([1, 2]))) == [3, 4]
+    assert bpe.vocabulary.cache_info().currsize == bpe.tokens.cache_info().currsize == 0
+
+
+def test_free_memory_goes_back_at_the_end_of_a_task(monkeypatch):
+    calls = []
+    monkeypatch.setattr(frames, "give_back", lambda: calls.append("given"))
+    for batch in frames.giving_back(lambda batches: (b * 2 for b in batches))(iter([1, 2])):
+        calls.append(batch)
+    assert calls == [2, 4, "given"]

@@ -17,9 +17,10 @@ extra columns are kept, but for those that have the name of an added one: it rep
 from __future__ import annotations
 
 import base64
+import gc
 import os
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.frames import small_batches, without
+from tillroll.llm.frames import giving_back, small_batches, without
 
 CACHED_PIECES = 300_000
 CACHED_PAIRS = 300_000
@@ -276,6 +277,20 @@ def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     )
 
 
+def _forgetting(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` without the vocabularies that its worker would keep for the next task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            vocabulary.cache_clear()
+            tokens.cache_clear()
+            gc.collect()  # a vocabulary and its pieces name each other
+
+    return wrapped
+
+
 def encode(
     df: DataFrame,
     rank_path: str,
@@ -284,12 +299,14 @@ def encode(
     ids: str = "ids",
     n_tokens: str = "n_tokens",
     cached_pieces: int = CACHED_PIECES,
+    keep: bool = True,
 ) -> DataFrame:
     """Add the ids of each whole text, as little-endian unsigned 32-bit integers, and their
     number. Each match of ``pattern`` is encoded separately, without special tokens.
 
     A worker keeps the ids of up to twice ``cached_pieces`` pieces, about 230 bytes each, also
-    between tasks: more is faster, less leaves room for what else runs there."""
+    between tasks: more is faster, less leaves room for what else runs there. Without ``keep``
+    each task makes its own vocabulary and leaves none."""
     small_batches(df.sparkSession)
     df = without(df, ids, n_tokens)
     shared = df.sparkSession.sparkContext.broadcast(_read(rank_path))
@@ -314,13 +331,17 @@ def encode(
     schema = _schema(
         df, T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())
     )
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run if keep else _forgetting(run)), schema)
 
 
 def decode(
-    df: DataFrame, rank_path: str, ids: str = "ids", decoded: str = "decoded"
+    df: DataFrame,
+    rank_path: str,
+    ids: str = "ids",
+    decoded: str = "decoded",
+    keep: bool = True,
 ) -> DataFrame:
-    """Add the bytes that the ids stand for."""
+    """Add the bytes that the ids stand for; ``keep`` as in ``encode``."""
     df = without(df, decoded)
     shared = df.sparkSession.sparkContext.broadcast(_read(rank_path))
 
@@ -333,7 +354,8 @@ def decode(
             ]
             yield _with(batch, **{decoded: pa.array(out, pa.binary())})
 
-    return df.mapInArrow(run, _schema(df, T.StructField(decoded, T.BinaryType())))
+    task = giving_back(run if keep else _forgetting(run))
+    return df.mapInArrow(task, _schema(df, T.StructField(decoded, T.BinaryType())))
 
 
 def append_text(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tillroll.llm.frames import small_batches
+from tillroll.llm.frames import give_back, giving_back, small_batches
 from tillroll.session import staged
 
 CHUNK_BYTES = 1_000_000  # of all columns; a longer document is a chunk by itself
@@ -114,7 +114,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             yield sealed(pa.Table.from_batches(held), number)
 
     schema = "chunk long, ids array<long>, digests array<binary>, data binary"
-    return staged(docs.mapInArrow(run, schema), "chunks")
+    return staged(docs.mapInArrow(giving_back(run), schema), "chunks")
 
 
 def copies(chunks: DataFrame) -> DataFrame:
@@ -164,6 +164,7 @@ def exchanged(
 
     def back(table: pa.Table) -> pa.Table:
         replies = decide(table["data"].to_pylist())
+        give_back()
         return pa.table(
             {
                 "chunk": table["chunk"],
@@ -172,7 +173,7 @@ def exchanged(
             }
         )
 
-    sent = rows.mapInArrow(out, "bucket int, chunk long, data binary")
+    sent = rows.mapInArrow(giving_back(out), "bucket int, chunk long, data binary")
     answers = sent.groupBy("bucket").applyInArrow(back, "chunk long, bucket int, data binary")
     grouped = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
     return staged(grouped, label)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,28 @@ def rows_per_batch(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> Iterator[
         spark.conf.set(setting, before)
 
 
+def give_back() -> None:
+    """What Arrow and the allocator hold free goes back to the system. Python workers live on
+    from stage to stage, more of them than there are cores, and would keep what their largest
+    task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that leaves no free memory in its worker."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame without columns of these names, in any case: the operator's own replace them."""
     added = {n.lower() for n in names}

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import words as W
-from tillroll.llm.frames import small_batches
+from tillroll.llm.frames import giving_back, small_batches
 from tillroll.session import staged
 
 SYMBOLS, CHUNKS, MOST_ERRORS = 64, 13, 25
@@ -127,7 +127,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set binary, signature binary"
+        giving_back(run), "doc_id long, n_shingles long, set binary, signature binary"
     )
 
 
@@ -149,7 +149,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
                     [pa.array(keys.ravel()), pa.array(nodes)], names=["key", "node"]
                 )
 
-    return classes.select("node", "signature").mapInArrow(run, "key long, node long")
+    return classes.select("node", "signature").mapInArrow(giving_back(run), "key long, node long")
 
 
 def _parts(n: Column, size: Column) -> Column:
@@ -295,7 +295,7 @@ def _connected(rows: DataFrame, group: str, percent: int, confirm: bool, stars:
                     [pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"]
                 )
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(giving_back(run), "u long, v long")
 
 
 def _runs_of(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -448,4 +448,4 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 names=["node", "set"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, set binary")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "node long, set binary")

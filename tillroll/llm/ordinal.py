@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.frames import small_batches, without
+from tillroll.llm.frames import giving_back, small_batches, without
 
 WORD_BITS, SHAPE_BITS = 18, 12
 N_FEATURES = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 1
@@ -215,7 +215,7 @@ def train(
             )
 
     # in one order, whatever the partitions: the fit depends on it
-    got = sorted({tuple(r) for r in texts.mapInArrow(run, schema).collect()})
+    got = sorted({tuple(r) for r in texts.mapInArrow(giving_back(run), schema).collect()})
     rated.unpersist()
     grades = np.array([g for g, _, _ in got], np.int64)
     counts = np.bincount(grades, minlength=n_grades) if len(grades) else np.zeros(n_grades)
@@ -252,4 +252,4 @@ def classify(
                     names=[*batch.schema.names, *added],
                 )
 
-    return df.mapInArrow(run, schema).withColumn("accepted", F.col("p_accept") >= 0.5)
+    return df.mapInArrow(giving_back(run), schema).withColumn("accepted", F.col("p_accept") >= 0.5)

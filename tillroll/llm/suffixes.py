@@ -65,7 +65,7 @@ from tillroll.llm.chunks import (
     sent_values,
     unpacked,
 )
-from tillroll.llm.frames import without
+from tillroll.llm.frames import giving_back, without
 from tillroll.llm.repeats import SPANS
 from tillroll.session import staged
 
@@ -518,7 +518,7 @@ def remove(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([chosen], names=["s"])
 
     # an anchor is cut only if it takes two splitters or more
-    found = joined(few).mapInArrow(sampled, "s binary").collect()
+    found = joined(few).mapInArrow(giving_back(sampled), "s binary").collect()
     sample = sorted(bytes(r.s) for r in found)
     chosen = {sample[len(sample) * k // ranges] for k in range(1, ranges)} if sample else set()
     times = Counter(s[:ANCHOR] for s in chosen)
@@ -547,7 +547,7 @@ def remove(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
                 [batch["chunk"], pa.array(numbers, pa.int64())], names=["chunk", "n"]
             )
 
-    asking = staged(merged_runs.mapInArrow(left_open, "chunk long, n long").filter("n > 0"), "open")
+    asking = staged(merged_runs.mapInArrow(giving_back(left_open), "chunk long, n long").filter("n > 0"), "open")
     n_open = asking.agg(F.sum("n")).first()[0] or 0
     parts = max(8, n_open * (LEFT + 1) // VALUES_PER_BUCKET)
     if n_open:
@@ -583,4 +583,4 @@ def remove(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
                 }
                 yield finished(chunk, masks, left_out, cut, schema)
 
-    return rows.mapInArrow(finish, schema)
+    return rows.mapInArrow(giving_back(finish), schema)

@@ -95,6 +95,58 @@ def test_nulls_empty_long_and_extra_columns(spark, theirs):
     assert clash.columns == ["doc_id", "text", "ids", "n_tokens"] and clash.count() == 5
 
 
+def test_a_pair_is_judged_without_merging_its_bytes(monkeypatch):
+    own = bpe.Vocabulary(bpe._read(PATH))
+    rng, tokens = random.Random(6), sorted(own.token_bytes)
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(3000)]
+    pairs += [(rng.choice(tokens[:600]), rng.choice(tokens[:600])) for _ in range(3000)]
+    merged = [own.merged(own.token_bytes[a] + own.token_bytes[b]) == [a, b] for a, b in pairs]
+    monkeypatch.setattr(own, "merged", None)
+    assert [own.apart(a, b) for a, b in pairs] == merged and len(set(merged)) == 2
+
+
+def test_pairs_of_any_rank_file_are_judged_as_their_bytes_merge():
+    """Also where ranks are in no order, tokens are not made by their own merges, bytes lack."""
+    rng = random.Random(7)
+    for _ in range(300):
+        tokens = {bytes(rng.choice(b"aabc") for _ in range(rng.randint(2, 6))) for _ in range(12)}
+        tokens = [b"a", b"b", b"c", *sorted(tokens, key=lambda t: (len(t) + rng.randint(0, 3), t))]
+        if rng.random() < 0.3:
+            rng.shuffle(tokens)
+        lines = [base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(tokens)]
+        own = bpe.Vocabulary(b"\n".join(lines))
+        for a in own.token_bytes:
+            for b in own.token_bytes:
+                data = own.token_bytes[a] + own.token_bytes[b]
+                assert own.apart(a, b) == (own.merged(data) == [a, b]), (tokens, a, b)
+    lacking = bpe.Vocabulary(b"YWI= 0\nYQ== 1\nYmE= 2")  # ab, a and ba, no b
+    assert lacking.apart(1, 1) and not lacking.apart(1, 2)
+
+
+def test_new_pieces_take_over_what_the_one_before_begins_with(theirs, monkeypatch):
+    own, filled = bpe.Vocabulary(bpe._read(PATH)), []
+    append = bpe.PrefixTable.append
+    monkeypatch.setattr(
+        bpe.PrefixTable, "append", lambda table, more: filled.append(len(more)) or append(table, more)
+    )
+    stem = "qzxjk" * 6
+    group = [[stem + end for end in ("a", "bq", "bqz", "c")], [stem + "a", "x" * 100], []]
+    own.pieces.learn(group)
+    assert sum(filled) == len(stem) + 5 and len(own.pieces) == 4
+    for piece in (p for pieces in group for p in pieces):
+        assert list(memoryview(own.pieces[piece]).cast("I")) == theirs.encode_ordinary(piece)
+    own.pieces.limit, before = 2, dict(own.pieces)
+    own.pieces.learn([[f"{stem}{n}" for n in "defgh"]])
+    assert {p: own.pieces[p] for p in before} == before
+
+
+def test_pieces_are_held_for_some_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 3)
+    found = [["a"], [], ["b", "c", "d", "e"], ["f"]]
+    assert list(bpe._in_groups(found)) == [found[:3], found[3:]]
+    assert list(bpe._in_groups([])) == [[]]
+
+
 def test_append_operator(spark, theirs):
     df = spark.createDataFrame([(None, None), ("I", "'ll  "), ("a  ", " b")], "text string, more string")
     for row in bpe.append_text(df, PATH, public_tokenizers.PATTERN).collect():

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import gc
-import os
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -33,7 +32,9 @@ from tillroll.llm.frames import giving_back, small_batches, without
 
 CACHED_PIECES = 300_000
 CACHED_PAIRS = 300_000
+LONGEST_CACHED = 64
 ROWS_AT_ONCE = 256
+PIECES_AT_ONCE = 50_000
 
 
 class Vocabulary:
@@ -45,19 +46,24 @@ class Vocabulary:
             if line.strip():
                 token, rank = line.split()
                 self.ranks[base64.b64decode(token)] = int(rank)
-        self.longest = max(map(len, self.ranks))
         self.token_bytes = {rank: token for token, rank in self.ranks.items()}
-        #: every prefix of a token: its own id, or -1 if it is none
-        self.prefixes = {t[:n]: -1 for t in self.ranks for n in range(1, len(t))} | self.ranks
+        self._sized = {rank: (len(token), rank) for token, rank in self.ranks.items()}
+        #: every beginning of a token: lengths and ids of the tokens that it ends in, longest
+        #: first, or False until ``ending`` is asked for them
+        self.beginnings: dict[bytes, tuple[tuple[int, int], ...] | bool] = {
+            t[:n]: False for t in self.ranks for n in range(1, len(t) + 1)
+        }
         self.known_pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
+        self.halves = _Halves(self)
         self.pieces = _PieceCache(self)
 
-    def merged(self, data: bytes) -> list[int]:
-        """Ids after merging, again and again, the leftmost pair of lowest rank."""
+    def parts(self, data: bytes, few: int = 1) -> list[bytes]:
+        """The bytes after merging, again and again, the leftmost pair of lowest rank, until
+        nothing merges or so few parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = self.ranks
-        while len(parts) > 1:
+        while len(parts) > few:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 rank = ranks.get(parts[i] + parts[i + 1])
@@ -66,7 +72,11 @@ class Vocabulary:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return parts
+
+    def merged(self, data: bytes) -> list[int]:
+        """Ids after all merges."""
+        return [self.ranks[p] for p in self.parts(data)]
 
     def whole(self, token: int) -> bool:
         """Whether the token's own bytes merge into it."""
@@ -75,14 +85,65 @@ class Vocabulary:
             known = self._whole[token] = self.merged(self.token_bytes[token]) == [token]
         return known
 
+    def ending(self, data: bytes) -> tuple[tuple[int, int], ...]:
+        """Lengths and ids of the tokens that the bytes end in, the longest first."""
+        found = (self.ranks.get(data[n:]) for n in range(len(data)))
+        tokens = tuple(self._sized[token] for token in found if token is not None)
+        self.beginnings[data] = tokens
+        return tokens
+
     def apart(self, left: int, right: int) -> bool:
         """Whether the two tokens, written side by side, are encoded as themselves."""
         if len(self.known_pairs) >= CACHED_PAIRS:
             self.known_pairs.clear()
-        data = self.token_bytes[left] + self.token_bytes[right]
-        fits = self.known_pairs[left << 32 | right] = self.merged(data) == [left, right]
+        fits = self.known_pairs[left << 32 | right] = self._stay_apart(left, right)
         return fits
 
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Goes back through the merges that made the two, the last one first. No tokens that met
+        at the seam may merge sooner than the next merge beside it; of equal ranks the merge
+        further left comes first."""
+        rank, token_bytes, halves = self.ranks.get, self.token_bytes, self.halves
+        of_left, of_right = halves[left], halves[right]
+        if of_left is None or of_right is None:
+            return self.merged(token_bytes[left] + token_bytes[right]) == [left, right]
+        limit = None
+        while True:
+            across = rank(token_bytes[left] + token_bytes[right])
+            if across is not None and (limit is None or across < limit):
+                return False
+            if of_left and (left > right or not of_right):
+                limit, left = left, of_left[1]
+                of_left = halves[left]
+            elif of_right:
+                limit, right = right + 1, of_right[0]
+                of_right = halves[right]
+            else:
+                return True
+
+
+class _Halves(dict):
+    """Token to the two whose merge makes it, none for a single byte; None if its own merges do
+    not make it, or not in the order of their ranks."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, token: int) -> tuple[int, ...] | None:
+        words, found = self.vocabulary, ()
+        data = words.token_bytes[token]
+        if len(data) > 1:
+            parts = words.parts(data, 2)
+            found = tuple(words.ranks.get(p) for p in parts)
+            in_order = len(parts) == 2 and all(
+                half is not None and (len(p) == 1 or (half < token and self[half] is not None))
+                for p, half in zip(parts, found, strict=True)
+            )
+            found = found if in_order else None
+        self[token] = found
+        return found
+
 
 class PrefixTable:
     """The last token of every byte prefix of one piece; grows by appends, follows edits."""
@@ -91,43 +152,57 @@ class PrefixTable:
         self.vocabulary = vocabulary
         self.piece = b""
         self.last = [-1]
+        #: where the longest end of each prefix begins that a token begins with
+        self.begins = [0]
         self.append(piece)
 
     def append(self, more: bytes) -> PrefixTable:
         """Bytes added at the end; what is known of the old prefixes stays."""
         words, old = self.vocabulary, len(self.piece)
         piece = self.piece = self.piece + more
-        last = self.last
-        last.extend([-1] * len(more))
-        prefix, pair, n = words.prefixes.get, words.known_pairs.get, len(piece)
-        for start in range(max(0, old - words.longest), n):
-            before = last[start]
-            if start and before < 0:
-                continue
-            end = start
-            while end < n:
-                end += 1
-                token = prefix(piece[start:end])
-                if token is None:
-                    break
-                if token < 0 or end <= old or last[end] >= 0:
-                    continue
-                if start:
+        last, begins = self.last, self.begins
+        known, pair, begin = words.beginnings.get, words.known_pairs.get, begins[-1]
+        for end in range(old + 1, len(piece) + 1):
+            tokens = known(piece[begin:end])
+            while tokens is None:
+                begin += 1
+                tokens = known(piece[begin:end]) if begin < end else ()
+            if tokens is False:
+                tokens = words.ending(piece[begin:end])
+            found = -1
+            for size, token in tokens:
+                if size < end:
+                    before = last[end - size]
+                    if before < 0:
+                        continue
                     fits = pair(before << 32 | token)
                     if fits is None:
                         fits = words.apart(before, token)
                 else:
                     fits = words.whole(token)
                 if fits:
-                    last[end] = token
+                    found = token
+                    break
+            last.append(found)
+            begins.append(begin)
         return self
 
     def changed_to(self, piece: bytes) -> PrefixTable:
         """The table of another piece; prefixes that both pieces share are taken over."""
-        shared = len(os.path.commonprefix([self.piece, piece]))
-        table = PrefixTable(self.vocabulary, b"")
-        table.piece, table.last = piece[:shared], self.last[: shared + 1]
-        return table.append(piece[shared:])
+        table = PrefixTable(self.vocabulary)
+        table.piece, table.last, table.begins = self.piece, self.last[:], self.begins[:]
+        return table.become(piece)
+
+    def become(self, piece: bytes) -> PrefixTable:
+        """This table itself changed to that of another piece."""
+        shared = 0
+        for mine, other in zip(self.piece, piece, strict=False):
+            if mine != other:
+                break
+            shared += 1
+        self.piece = piece[:shared]
+        del self.last[shared + 1 :], self.begins[shared + 1 :]
+        return self.append(piece[shared:])
 
     def ids(self) -> list[int] | None:
         """Tokens of the whole piece, or None if the array does not settle it."""
@@ -166,12 +241,29 @@ class _PieceCache(dict):
             whole = self.vocabulary.ranks.get(data)
             ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).encoded()
             packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONGEST_CACHED:
+            self._keep(piece, packed)
+        return packed
+
+    def _keep(self, piece: str, packed: bytes) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
+        self[piece] = packed
+
+    def learn(self, found: list[list[str]]) -> None:
+        """Encode what is new among the pieces of some texts. They are taken in order, so that
+        each table takes over from the one before what both pieces begin with."""
+        old, ranks = self.old, self.vocabulary.ranks
+        new = [
+            p for p in set().union(*found) if len(p) <= LONGEST_CACHED and p not in self and p not in old
+        ]
+        table = PrefixTable(self.vocabulary)
+        for piece in sorted(new):
+            data = piece.encode()
+            whole = ranks.get(data)
+            ids = table.become(data).encoded() if whole is None else [whole]
+            self._keep(piece, struct.pack(f"<{len(ids)}I", *ids))
 
 
 def matches(pattern: regex.Pattern, text: str, start: int = 0) -> Iterator[tuple[int, int]]:
@@ -271,6 +363,18 @@ def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, ROWS_AT_ONCE)
 
 
+def _in_groups(found: Iterable[list[str]]) -> Iterator[list[list[str]]]:
+    """The pieces of text after text, some texts at a time: more only of a long text."""
+    group, n = [], 0
+    for pieces in found:
+        group.append(pieces)
+        n += len(pieces)
+        if n >= PIECES_AT_ONCE:
+            yield group
+            group, n = [], 0
+    yield group
+
+
 def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [*batch.columns, *columns.values()], names=[*batch.schema.names, *columns]
@@ -317,9 +421,10 @@ def encode(
         known.limit = cached_pieces
         lookup = known.__getitem__
         for batch in _sliced(batches):
-            packed = [
-                b"".join(map(lookup, find(t))) if t else b"" for t in batch[text].to_pylist()
-            ]
+            packed = []
+            for group in _in_groups(find(t) if t else [] for t in batch[text].to_pylist()):
+                known.learn(group)
+                packed += [b"".join(map(lookup, pieces)) for pieces in group]
             yield _with(
                 batch,
                 **{

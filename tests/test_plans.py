@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import catalog, cleaning, edits, gaps, prices, recurrence, silver
 from tillroll.plans import registry, testbed
 from tillroll.plans.registry import QUERIES
+from tillroll.session import fresh_path
 
 SF = "/root/testdata/sf0.001"
 # Queries that write tables first; their plans only read the result.
@@ -154,3 +155,20 @@ def test_names_alike_meet_without_windows_over_shared_runs(spark):
     names = spark.createDataFrame([("old ring 947",)], "plain string")
     found = plan(catalog.similar_names(names, names))
     assert "xxhash64" in found and "Window" not in found
+
+
+def test_matching_names_neither_reads_nor_broadcasts_once_a_use(spark):
+    """Lines get their names from a table small enough to be broadcast: it is, once for all uses
+    of the known names, the spellings and the lines together."""
+    parts = fresh_path(spark, "parts")
+    spark.range(300).selectExpr("id AS part", "concat('blue ring ', id) AS product_id").write.parquet(parts)
+    bought = spark.range(900).selectExpr("id", "id % 300 AS part").repartition(3)
+    lines = bought.join(spark.read.parquet(parts), "part").select("id", "product_id")
+    known = lines.groupBy("product_id").agg(F.count("*").alias("total_purchases"))
+    known = known.where("total_purchases > 0").withColumn("product_id", F.initcap("product_id"))
+    matched = catalog.match_similar_products(lines, known)
+    assert matched.where("matched_by = 'same'").count() == 900
+    matched.collect()
+    final = plan(matched).split("== Initial Plan ==")[0]
+    made = [x for x in final.splitlines() if "BroadcastExchange" in x and "Reused" not in x]
+    assert len([x for x in made if "bigint" in x]) == 1 and len(made) <= 3

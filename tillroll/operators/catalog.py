@@ -57,6 +57,12 @@ def match_known_products(
     return lines.join(matched, "product_id", "left")
 
 
+def _made_once(names: DataFrame) -> DataFrame:
+    """The same rows, out of a generator. No filter passes it, so all uses of the names have what
+    comes before in common and share its exchanges: it is neither read nor broadcast once a use."""
+    return names.select(F.inline(F.array(F.struct(*names.columns))))
+
+
 def _plain(name: Column) -> Column:
     """Small letters, words one space apart, without the dots of abbreviations."""
     return F.trim(F.regexp_replace(F.lower(name), r"[\s.]+", " "))
@@ -96,7 +102,7 @@ def similar_names(names: DataFrame, known: DataFrame, max_edits: int = 1) -> Dat
     edits = F.levenshtein("plain", "known_plain", max_edits)
     return (
         texts(names, "plain")
-        .join(texts(known, "known_plain"), "left")
+        .join(texts(known, "known_plain").hint("merge"), "left")
         .where(F.abs(F.length("plain") - F.length("known_plain")) <= max_edits)
         .select("plain", "known_plain", edits.alias("edits"))
         .where("edits >= 0")
@@ -141,7 +147,7 @@ def abbreviated_names(names: DataFrame, known: DataFrame) -> DataFrame:
     )
     return (
         mine.select("plain", "short", "stems", "long_word.at", "long_word.word")
-        .join(theirs, ["stems", "at", "word"])
+        .join(theirs.hint("merge"), ["stems", "at", "word"])
         .where((F.size("short") == F.size("long")) & F.forall(begins, lambda x: x))
         .select("plain", "known_plain")
     )
@@ -159,13 +165,17 @@ def match_similar_products(
     (``edited``), else the cleaned name itself (``new``).
 
     Of several the one with fewest edits counts, then the most purchased, then the first by
-    name. All is done on distinct spellings; a line without a name gets neither.
+    name. All is done on distinct spellings; a line without a name gets neither. Candidates are
+    found and chosen by sort and merge, so that the driver holds no table of them at any size.
     """
-    exact = match_known_products(lines.select("product_id").distinct(), known, collation)
-    names = known.groupBy("product_id").agg(F.max("total_purchases").alias("bought"))
+    spellings = _made_once(lines.select("product_id").distinct())
+    names = _made_once(known.groupBy("product_id").agg(F.max("total_purchases").alias("bought")))
+    exact = match_known_products(spellings, names, collation)
     named = names.withColumn("plain", _plain(F.col("product_id")))
     spelled = exact.withColumn("plain", _plain(F.col("matched_name")))
-    unknown = spelled.join(names, F.col("matched_name") == names["product_id"], "left_anti")
+    unknown = spelled.join(
+        names.hint("merge"), F.col("matched_name") == names["product_id"], "left_anti"
+    )
     candidates = (
         abbreviated_names(unknown, named)
         .withColumns({"how": F.lit("short"), "edits": F.lit(0)})
@@ -175,14 +185,14 @@ def match_similar_products(
         F.when(F.col("how") == "short", 0).otherwise(1), "edits", -F.col("bought"), "product_id"
     )
     best = (
-        candidates.join(named.withColumnRenamed("plain", "known_plain"), "known_plain")
+        candidates.join(named.withColumnRenamed("plain", "known_plain").hint("merge"), "known_plain")
         .groupBy("plain")
         .agg(F.min_by(F.struct("product_id", "how"), order).alias("best"))
     )
     same = names.select(F.col("product_id").alias("matched_name"), F.lit("same").alias("same"))
     chosen = (
-        spelled.join(same, "matched_name", "left")
-        .join(best, "plain", "left")
+        spelled.join(same.hint("merge"), "matched_name", "left")
+        .join(best.hint("merge"), "plain", "left")
         .select(
             "product_id",
             F.when(F.col("same").isNull(), F.coalesce(F.col("best.product_id"), "matched_name"))

@@ -88,3 +88,22 @@ def test_a_receipt_that_holds_most_lines(spark):
     ]
     facts = receipt_facts(lines(spark, a=texts)).first()
     assert (facts["market_line"], facts["due_line"]) == (0, 6002)
+
+
+def test_lines_are_read_once(spark):
+    plan = whole_receipts(lines(spark, a=SHOP))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+
+
+def test_repeated_and_missing_numbers(spark):
+    data = [
+        ("a", 0, "Loja"), ("a", 2, "001 CAFE"), ("a", 2, "001 CHA"), ("a", 3, "2 x 3,00"),
+        ("a", 5, "2 x 4,00"), ("a", 6, "SAL 1,00"), ("a", 6, "SAL 1,00"), ("a", None, "MEL 1,00"),
+        (None, 1, "Loja"), (None, 2, "ARROZ 5,00"),
+    ]
+    repeated = spark.createDataFrame(data, "receipt_id string, line_no long, line string")
+    found = rows(whole_receipts(repeated), "line_no", "product_id", "product_price", "items_total")
+    assert sorted(found) == [
+        (3, "Cafe", D("6.00"), D("14.00")), (3, "Cha", D("6.00"), D("14.00")),
+        (6, "Sal", D("1.00"), D("14.00")), (6, "Sal", D("1.00"), D("14.00")),
+    ]
